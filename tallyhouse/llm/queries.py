@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyhouse.llm import chunkstore, packing, pieces
+from tallyhouse.llm import chunkstore, jaccard, packing, pieces
 from tallyhouse.llm.storage import new_folder
 
 
@@ -29,13 +29,18 @@ def op3_chunk_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunkstore.read_back(spark, path)
 
 
+def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return jaccard.similar_documents(docs, width=5, percent=80).select("doc_id", "n_shingles", "component_id")
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return packing.pack(docs, vocabulary("word_bpe_49k.json"), end_id=2, window=4096)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_sentencepiece, op3_chunk_store, op6_packing)}
+    return {f.__name__: f for f in (op2_sentencepiece, op3_chunk_store, op5_ngram_jaccard, op6_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
