@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tallyhouse.llm import chunkstore, jaccard, packing, pieces
+from tallyhouse.llm import chunkstore, jaccard, language, packing, pieces, quality
 from tallyhouse.llm.storage import new_folder
 
 
@@ -39,8 +40,23 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(docs, vocabulary("word_bpe_49k.json"), end_id=2, window=4096)
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    path = vocabulary("piece_bpe_32k.model")
+    found = language.predict(docs.select("doc_id", "text"), path, language.fit(docs, path))
+    return found.select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score")
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    found = quality.score(docs, quality.fit(docs, labels))
+    predicted = F.when(F.col("quality_score") >= 0.7, 1).otherwise(0)
+    return found.select("doc_id", language.held_out().alias("held_out"), F.col("quality_score").alias("score"), predicted.alias("predicted"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_sentencepiece, op3_chunk_store, op5_ngram_jaccard, op6_packing)}
+    return {f.__name__: f for f in (op2_sentencepiece, op3_chunk_store, op5_ngram_jaccard, op6_packing, op8_language_id, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
