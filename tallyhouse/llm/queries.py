@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyhouse.llm import chunkstore, jaccard, language, packing, pieces, quality
+from tallyhouse.llm import chunkstore, jaccard, language, licenses, packing, pieces, quality
 from tallyhouse.llm.storage import new_folder
 
 
@@ -30,6 +30,10 @@ def op3_chunk_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunkstore.read_back(spark, path)
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return jaccard.similar_documents(docs, width=5, percent=80).select("doc_id", "n_shingles", "component_id")
@@ -56,8 +60,8 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_sentencepiece, op3_chunk_store, op5_ngram_jaccard, op6_packing, op8_language_id, op10_quality)}
+    return {f.__name__: f for f in (op2_sentencepiece, op3_chunk_store, op4_license_scan, op5_ngram_jaccard, op6_packing, op8_language_id, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_license_scan": licenses.oracle()}
