@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyhouse.llm import chunkstore, jaccard, language, licenses, packing, pieces, quality
+from tallyhouse.llm import chunkstore, jaccard, language, licenses, neighbours, packing, pieces, quality, vectorgraph
 from tallyhouse.llm.storage import new_folder
 
 
@@ -44,6 +44,10 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(docs, vocabulary("word_bpe_49k.json"), end_id=2, window=4096)
 
 
+def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.search(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), lambda i: i % 100 == 0, k=10)
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     path = vocabulary("piece_bpe_32k.model")
@@ -51,6 +55,10 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectorgraph.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), threshold=0.9)
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
@@ -60,7 +68,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_sentencepiece, op3_chunk_store, op4_license_scan, op5_ngram_jaccard, op6_packing, op8_language_id, op10_quality)}
+    return {f.__name__: f for f in (op2_sentencepiece, op3_chunk_store, op4_license_scan, op5_ngram_jaccard, op6_packing, op7_nearest_neighbours, op8_language_id, op9_embedding_near_dedup, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
