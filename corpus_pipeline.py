@@ -1,12 +1,68 @@
-"""A training corpus from raw documents."""
+"""A training corpus from raw documents: languages, quality, near copies, secrets, packing.
+
+Every stage reads all that its predecessor kept, and all but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tallyhouse.llm import jaccard, language, packing, quality, secrets
+from tallyhouse.llm.queries import vocabulary
+from tallyhouse.llm.storage import written
+
+#: A language counts as recognised from this probability on; a document of less quality than this goes.
+LEAST_LANGUAGE, LEAST_QUALITY = 0.5, 0.5
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps documents whose language is recognised; texts that are null or have no letter go."""
+    path = vocabulary("piece_bpe_32k.model")
+    found = language.predict(docs, path, language.fit(docs, path))
+    return found.where((F.col("lang_pred") != language.UNDETERMINED) & (F.col("score") >= LEAST_LANGUAGE)).select(docs.columns)
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps documents that are likelier good than not, as ``labels`` marks quality."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return quality.score(docs, quality.fit(docs, labels)).where(F.col("quality_score") >= LEAST_QUALITY).select(docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each group of copies and near copies, that of the smallest doc_id; rows without a doc_id stay."""
+    found = jaccard.similar_documents(docs, width=5, percent=80)
+    kept = found.where("doc_id = component_id").select("doc_id").distinct()
+    named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return named.union(docs.where("doc_id is null")).select(docs.columns)
+
+
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Puts a mark in the place of every secret and counts n_chars again."""
+    path = vocabulary("word_bpe_49k.json")
+    forest = secrets.fit(spark, secrets.labelled_findings(spark, path), path)
+    return secrets.redact(docs, forest).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Packs what is left into sequences of 4096 tokens; a row a piece, with its ids."""
+    return packing.pack(docs, vocabulary("word_bpe_49k.json"), end_id=2, window=4096, with_ids=True)
+
 
-STAGES: list = []
+STAGES = [
+    ("language ID", language_id),
+    ("quality classifier", quality_classifier),
+    ("n-gram Jaccard join", near_duplicates),
+    ("secret scans", secret_scan),
+    ("packing", pack),
+]
+#: SQL can express none of the trained stages.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """All stages over documents; each stage's result is written to the shared folder and read by the next."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyhouse.llm import chunkstore, jaccard, language, licenses, neighbours, packing, pieces, quality, vectorgraph
+from tallyhouse.llm import chunkstore, jaccard, language, licenses, neighbours, packing, pieces, quality, secrets, vectorgraph
 from tallyhouse.llm.storage import new_folder
 
 
@@ -18,6 +18,12 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
+    path = vocabulary("word_bpe_49k.json")
+    return secrets.scan(docs, secrets.fit(spark, secrets.labelled_findings(spark, path), path))
+
+
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return pieces.encode(docs, vocabulary("piece_bpe_32k.model"), ids=False, digests=True)
@@ -68,7 +74,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_sentencepiece, op3_chunk_store, op4_license_scan, op5_ngram_jaccard, op6_packing, op7_nearest_neighbours, op8_language_id, op9_embedding_near_dedup, op10_quality)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_sentencepiece, op3_chunk_store, op4_license_scan, op5_ngram_jaccard, op6_packing, op7_nearest_neighbours, op8_language_id, op9_embedding_near_dedup, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
