@@ -27,8 +27,10 @@ from tallyhouse.llm.storage import small_batches, written
 
 #: The sketch of item counts: buckets, and the parts it is summed in. 2**20 counts are 1 MB as levels, whatever the corpus.
 BUCKET_BITS, PARTS = 20, 64
-#: Nodes that a block of a group of near misses holds, members that one walk of a tree takes, and bits of a node's parity sketch.
+#: Nodes that a block of a group of near misses holds, members that one walk of a tree takes, and the least bits of a node's parity sketch.
 BLOCK, WALK, PARITY_BITS = 512, 256, 1024
+#: Ids that are broadcast at most, 8 MB of them; more go through a shuffle join.
+BROADCAST_IDS = 1_000_000
 #: Characters of text hashed at a time.
 CHARACTERS = 1 << 20
 
@@ -81,11 +83,20 @@ def ordered(grams: np.ndarray, levels: np.ndarray) -> np.ndarray:
 
 
 def parity(grams: np.ndarray) -> bytes:
-    """A bit for each of PARITY_BITS residues: whether an odd number of items has it. Two sketches differ in no more bits than the sets do in items."""
-    bits = np.bincount((grams % np.uint64(PARITY_BITS)).astype(np.int64), minlength=PARITY_BITS) & 1
+    """A bit for each residue modulo a power of two, that of the set's size or more: whether an odd number of items has it. Two sketches differ in no more bits than the sets do in items."""
+    size = max(PARITY_BITS, 1 << (len(grams) - 1).bit_length()) if len(grams) else PARITY_BITS
+    bits = np.bincount((grams % np.uint64(size)).astype(np.int64), minlength=size) & 1
     return np.packbits(bits.astype(np.uint8)).tobytes()
 
 
+def folded(sketches: list[bytes], size: int) -> np.ndarray:
+    """Sketches as rows of ``size`` bytes; longer ones are folded, which makes them those of a smaller modulus."""
+    rows = np.zeros((len(sketches), size // 8), np.uint64)
+    for k, s in enumerate(sketches):
+        rows[k] = np.bitwise_xor.reduce(np.frombuffer(s, np.uint64).reshape(-1, size // 8), axis=0)
+    return rows
+
+
 def walk(probe: np.ndarray, sets: list[np.ndarray], percent: int) -> list[int]:
     """Which of ``sets`` are similar to ``probe``; all are ascending in the global order.
 
@@ -161,6 +172,23 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return dealt.mapInArrow(work, "a long, b long")
 
 
+def _possible(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """Those of ``pairs`` (a, b) that neither the sets' sizes nor their parity sketches rule out."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, m = (batch.column(k).to_numpy().astype(np.int64) for k in ("n_a", "n_b"))
+            both = list(zip(batch.column("parity_a").to_pylist(), batch.column("parity_b").to_pylist(), strict=True))
+            apart = np.array([int(np.bitwise_count(np.bitwise_xor(*folded([x, y], min(len(x), len(y))))).sum()) for x, y in both], np.int64)
+            keep = (100 * np.minimum(n, m) >= percent * np.maximum(n, m)) & (apart * (100 + percent) <= (100 - percent) * (n + m))
+            yield batch.select(["a", "b"]).filter(pa.array(keep))
+
+    both = pairs
+    for side in ("a", "b"):
+        both = both.join(sketches.select(F.col("id").alias(side), F.col("n").alias(f"n_{side}"), F.col("parity").alias(f"parity_{side}")), side)
+    return both.mapInArrow(work, "a long, b long").distinct()
+
+
 def _near_misses(rows: DataFrame, percent: int) -> DataFrame:
     """Pairs in one block of one group (h, p, q), in different components, that neither length nor parity sketch rules out."""
 
@@ -176,17 +204,22 @@ def _near_misses(rows: DataFrame, percent: int) -> DataFrame:
                 comps = np.array([r[1] for r in held], np.int64)
                 size = np.array([r[2] for r in held], np.int64)
                 block = np.array([r[3] for r in held], np.int64)
-                bits = np.frombuffer(b"".join(r[4] for r in held), np.uint64).reshape(len(held), -1)
-                for k in np.flatnonzero(block == p).tolist():
-                    other = np.flatnonzero((comps != comps[k]) & (block == q) & (ids > ids[k] if p == q else True))
-                    s, t = np.minimum(size[other], size[k]), np.maximum(size[other], size[k])
-                    other = other[100 * s >= percent * t]
-                    if not len(other):
-                        continue
-                    apart = np.bitwise_count(bits[other] ^ bits[k]).sum(axis=1).astype(np.int64)
-                    # similar sets differ in at most (100 - percent) / (100 + percent) of the sum of their sizes
-                    for j in other[apart * (100 + percent) <= (100 - percent) * (size[other] + size[k])].tolist():
-                        out.append((int(min(ids[k], ids[j])), int(max(ids[k], ids[j]))))
+                wide = np.array([len(r[4]) for r in held], np.int64)
+                for z in np.unique(wide).tolist():  # pairs whose shorter sketch has z bytes
+                    at = np.flatnonzero(wide >= z)
+                    bits = folded([held[k][4] for k in at.tolist()], z)
+                    for i, k in enumerate(at.tolist()):
+                        if block[k] != p:
+                            continue
+                        other = np.flatnonzero((comps[at] != comps[k]) & (block[at] == q) & (ids[at] > ids[k] if p == q else True) & (np.minimum(wide[at], wide[k]) == z))
+                        s, t = np.minimum(size[at[other]], size[k]), np.maximum(size[at[other]], size[k])
+                        other = other[100 * s >= percent * t]
+                        if not len(other):
+                            continue
+                        apart = np.bitwise_count(bits[other] ^ bits[i]).sum(axis=1).astype(np.int64)
+                        # similar sets differ in at most (100 - percent) / (100 + percent) of the sum of their sizes
+                        for j in at[other[apart * (100 + percent) <= (100 - percent) * (size[at[other]] + size[k])]].tolist():
+                            out.append((int(min(ids[k], ids[j])), int(max(ids[k], ids[j]))))
             a, b = zip(*set(out), strict=True) if out else ((), ())
             return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
@@ -220,15 +253,16 @@ def similar_documents(docs: DataFrame, width: int = 5, percent: int = 80) -> Dat
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for s in _slices(texts):
-                n, keys, first = [], [], []
+                n, keys, first, bits = [], [], [], []
                 for grams in shingle_sets(texts[s], width):
                     items = ordered(grams, levels.value)
                     n.append(len(items))
                     keys.append(hashlib.blake2b(items.tobytes(), digest_size=16).digest() if len(items) else None)
                     first.append(items[: len(items) - -(-percent * len(items) // 100) + 1].tobytes() if len(items) else None)
-                yield pa.RecordBatch.from_arrays([batch.column(0)[s.start : s.stop], pa.array(n, pa.int32()), pa.array(keys, pa.binary()), pa.array(first, pa.binary())], names=["doc_id", "n", "key", "first"])
+                    bits.append(parity(items & MASK))
+                yield pa.RecordBatch.from_arrays([batch.column(0)[s.start : s.stop], pa.array(n, pa.int32()), pa.array(keys, pa.binary()), pa.array(first, pa.binary()), pa.array(bits, pa.binary())], names=["doc_id", "n", "key", "first", "parity"])
 
-    rows = written(docs.mapInArrow(prefixes, "doc_id long, n int, key binary, first binary"), "prefixes")
+    rows = written(docs.mapInArrow(prefixes, "doc_id long, n int, key binary, first binary, parity binary"), "prefixes")
     real = rows.where("key is not null and doc_id is not null")
     nodes = real.groupBy("key").agg(F.min("doc_id").alias("id"))
     one_each = real.groupBy("key").agg(F.min(F.struct("doc_id", "n", "first")).alias("r")).select(F.col("r.doc_id").alias("id"), "r.n", "r.first")
@@ -250,22 +284,25 @@ def similar_documents(docs: DataFrame, width: int = 5, percent: int = 80) -> Dat
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for s in _slices(texts):
-                sets = [ordered(g, levels.value) for g in shingle_sets(texts[s], width)]
-                yield pa.RecordBatch.from_arrays([batch.column(0)[s.start : s.stop], pa.array([x.tobytes() for x in sets], pa.binary()), pa.array([parity(x & MASK) for x in sets], pa.binary())], names=["id", "items", "parity"])
-
-    wanted = met.select("id").distinct()
-    texts = docs.join(wanted, docs["doc_id"] == wanted["id"], "left_semi")
-    sets = written(texts.mapInArrow(whole, "id long, items binary, parity binary").where(F.length("items") > 0), "sets")
-
-    links = written(_verify(first_pairs, sets, percent), "links")
+                sets = [ordered(g, levels.value).tobytes() for g in shingle_sets(texts[s], width)]
+                yield pa.RecordBatch.from_arrays([batch.column(0)[s.start : s.stop], pa.array(sets, pa.binary())], names=["id", "items"])
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        ids = written(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
+        wanted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+        texts = docs.join(wanted, docs["doc_id"] == wanted["id"], "left_semi")
+        sets = written(texts.mapInArrow(whole, "id long, items binary").where(F.length("items") > 0), "sets")
+        return written(_verify(pairs, sets, percent), "links")
+
+    sketches = written(real.select(F.col("doc_id").alias("id"), "n", "parity").distinct(), "sketches")
+    links = verified(written(_possible(first_pairs, sketches, percent), "pairs"))
     first = components(links)
     group3 = W.Window.partitionBy("h")
     placed = met.join(first, "id", "left").withColumn("component", F.coalesce("component", "id"))
     open_ = placed.withColumns({"lo": F.min("component").over(group3), "hi": F.max("component").over(group3)}).where("lo < hi").select("h", "id", "n", "component", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
     open_ = open_.withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int")).withColumn("q", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    open_ = open_.select("h", "id", "n", "component", "block", F.least("block", "q").alias("p"), F.greatest("block", "q").alias("q")).join(sets.select("id", "parity"), "id")
-    more = _verify(written(_near_misses(open_, percent), "pairs"), sets, percent)
-    joined = components(links.union(more))
+    open_ = open_.select("h", "id", "n", "component", "block", F.least("block", "q").alias("p"), F.greatest("block", "q").alias("q")).join(sketches.select("id", "parity"), "id")
+    joined = components(links.union(verified(written(_near_misses(open_, percent), "pairs"))))
 
     by_key = nodes.join(joined, "id", "left").select("key", F.coalesce("component", "id").alias("component"))
     return rows.select("doc_id", "n", "key").join(by_key, "key", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"), F.col("key").alias("set_key"))
