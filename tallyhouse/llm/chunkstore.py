@@ -14,6 +14,7 @@ from __future__ import annotations
 import hashlib
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -77,15 +78,12 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, row
     def chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = word_ids(tokenizer)
         sent: set[bytes] = set()
-        row = 0
-        task = np.random.SeedSequence  # noqa: F841
         for batch in batches:
             out: list[tuple] = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 raw = encoder.encode(text)
                 ids = np.append(np.frombuffer(raw, encoder.dtype), np.asarray([end_id], encoder.dtype))
                 tie, at, n = _tie(text or ""), 0, len(ids)
-                row += 1
                 for seq, end in enumerate(cut_points(ids)):
                     payload = ids[at:end].tobytes()
                     digest = hashlib.blake2b(payload, digest_size=16).digest()
@@ -160,16 +158,23 @@ def listed_any(spark: SparkSession, path: str) -> bool:
 
 def crc_shift(crc: np.ndarray, n_bytes: np.ndarray) -> np.ndarray:
     """CRC-32 values as they count once ``n_bytes`` more bytes follow: times x to the 8 n, modulo the polynomial."""
-    out, bits = crc.astype(np.uint32), n_bytes.astype(np.uint64) * np.uint64(8)
-    power, k = np.uint32(1 << 30), 0  # x to the 2 to the k
-    while bits.size and int(bits.max()) >> k:
-        use = (bits >> np.uint64(k) & np.uint64(1)).astype(bool)
-        out[use] = _times(out[use], power)
-        power = _times(np.array([power], np.uint32), power)[0]
-        k += 1
+    out, left = crc.astype(np.uint32), n_bytes.astype(np.int64)
+    for k in range(int(left.max()).bit_length() if left.size else 0):
+        use = np.flatnonzero(left >> k & 1)
+        c, t = out[use], _byte_shift(k)
+        out[use] = t[0][c & 255] ^ t[1][c >> 8 & 255] ^ t[2][c >> 16 & 255] ^ t[3][c >> 24]
     return out
 
 
+@lru_cache(maxsize=None)
+def _byte_shift(k: int) -> np.ndarray:
+    """For each of the four bytes of a checksum, what its values become when 2 to the ``k`` bytes follow."""
+    power = np.uint32(1 << 30)  # x
+    for _ in range(k + 3):
+        power = _times(np.array([power], np.uint32), power)[0]
+    return np.stack([_times(np.arange(256, dtype=np.uint32) << np.uint32(8 * b), power) for b in range(4)])
+
+
 def _times(a: np.ndarray, b: np.uint32) -> np.ndarray:
     """Products of reflected polynomials over GF(2), modulo the CRC polynomial."""
     total, a = np.zeros_like(a), a.copy()

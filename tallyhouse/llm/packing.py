@@ -59,16 +59,17 @@ def cut_windows(places: np.ndarray, penalty: np.ndarray, window: int) -> list[in
 
 def _places(lengths: list[int], ends: list[np.ndarray], window: int) -> tuple[np.ndarray, np.ndarray]:
     """Where windows may be cut, and what each cut costs: at documents' ends, after sentences, and within those that no window holds."""
-    starts = np.concatenate([[0], np.cumsum(lengths)])
-    inner = np.concatenate([e + s for e, s in zip(ends, starts[:-1], strict=True)] or [np.zeros(0, np.int64)])
-    places = np.unique(np.concatenate([starts, inner]))
+    starts = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
+    kind = np.zeros(int(starts[-1]) + 1, np.uint8)  # of each place: 0 none, 1 within a sentence, 2 after one, 3 at a document's end
+    for e, s in zip(ends, starts[:-1].tolist(), strict=True):
+        kind[e + s] = 2
+    kind[starts] = 3
+    places = np.flatnonzero(kind)
     gaps = np.diff(places)
-    forced = [np.arange(p + window, q, window) for p, q in zip(places[:-1][gaps > window], places[1:][gaps > window], strict=True)]
-    all_places = np.unique(np.concatenate([places, *forced]))
-    penalty = np.full(len(all_places), float(INSIDE_SENTENCE))
-    penalty[np.isin(all_places, inner)] = INSIDE_DOCUMENT
-    penalty[np.isin(all_places, starts)] = 0
-    return all_places, penalty
+    for k in np.flatnonzero(gaps > window).tolist():
+        kind[places[k] + window : places[k + 1] : window] = 1
+    places = np.flatnonzero(kind)
+    return places, np.array([0.0, INSIDE_SENTENCE, INSIDE_DOCUMENT, 0.0])[kind[places]]
 
 
 def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, window: int = 4096, rows_per_shard: int = 2500, with_ids: bool = False) -> DataFrame:

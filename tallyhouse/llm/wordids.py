@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 import re
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -16,7 +17,7 @@ import numpy as np
 #: The vocabulary's pre-token pattern, for Latin-1 text that is lower-cased already.
 _LETTERS = "a-zªµºß-öø-ÿ"
 _NUMBERS = "0-9²³¹¼-¾"
-_PRETOKENS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^ \t\n\r{_LETTERS}{_NUMBERS}]+")
+_PRETOKENS = re.compile(rf"[{_LETTERS}]+|'(?:s|t|re|ve|m|ll|d)|[{_NUMBERS}]|[^ \t\n\r{_LETTERS}{_NUMBERS}]+")
 _UNUSUAL = re.compile(r"[^\t\n\r\x20-\x7e¡-¬®-ÿ]|<\|")
 _SPACES = re.compile(r"[ \n]+")
 
@@ -29,35 +30,29 @@ def _byte_letters() -> dict[int, str]:
 
 
 class WordIds:
-    """Encoder with memos of words and of pre-tokens; either is emptied when it passes ``limit`` entries."""
+    """Encoder with a memo of pre-tokens and one of words that only the library can cut; either is emptied when it passes ``limit`` entries."""
 
-    def __init__(self, path: str, limit: int = 300_000):
+    def __init__(self, path: str, limit: int = 800_000):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.limit = limit
         self.size = self.library.get_vocab_size()
-        self.dtype = np.uint16 if self.size <= 65536 else np.uint32
-        library, model, dtype, letters = self.library, self.library.model, self.dtype, _byte_letters()
+        self.dtype, kind = (np.uint16, "H") if self.size <= 65536 else (np.uint32, "I")
+        library, tokenize, letters = self.library, self.library.model.tokenize, _byte_letters()
 
         class PreTokens(dict):
             def __missing__(self, token: str) -> bytes:
                 seen = token if token.isascii() else token.encode().decode("latin-1").translate(letters)
-                ids = self[token] = np.array([t.id for t in model.tokenize(seen)], dtype=dtype).tobytes()
-                return ids
-
-        class Words(dict):
-            def __missing__(self, word: str) -> bytes:
-                ids = self[word] = b"".join(map(pretokens.__getitem__, _PRETOKENS.findall(word)))
+                ids = self[token] = array(kind, [t.id for t in tokenize(seen)]).tobytes()
                 return ids
 
         class OddWords(dict):
             def __missing__(self, word: str) -> bytes:
-                ids = self[word] = np.array(library.encode(word, add_special_tokens=False).ids, dtype=dtype).tobytes()
+                ids = self[word] = array(kind, library.encode(word, add_special_tokens=False).ids).tobytes()
                 return ids
 
-        pretokens = PreTokens()
-        self.memos = pretokens, Words(), OddWords()
+        self.memos = PreTokens(), OddWords()
 
     def encode(self, text: str | None) -> bytes:
         """The text's ids as little-endian unsigned integers of ``dtype``; no ids for null."""
@@ -67,8 +62,8 @@ class WordIds:
             if len(memo) > self.limit:
                 memo.clear()
         if _UNUSUAL.search(text):
-            return b"".join(map(self.memos[2].__getitem__, _SPACES.split(text)))
-        return b"".join(map(self.memos[1].__getitem__, text.lower().split()))
+            return b"".join(map(self.memos[1].__getitem__, _SPACES.split(text)))
+        return b"".join(map(self.memos[0].__getitem__, _PRETOKENS.findall(text.lower())))
 
 
 @lru_cache(maxsize=2)
