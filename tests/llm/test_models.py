@@ -1,0 +1,164 @@
+"""Trained operators by held-out accuracy, and their rows on odd input."""
+
+import zlib
+
+import duckdb
+import numpy as np
+import pytest
+
+import corpus_pipeline
+from tallyhouse.llm import language, licenses, quality, secrets
+from tallyhouse.llm import queries as Q
+from tests.llm.helpers import documents, texts, words
+
+FOLDER = "/root/testdata/sf0.01"
+WP, SP = Q.vocabulary("word_bpe_49k.json"), Q.vocabulary("piece_bpe_32k.model")
+
+
+def test_language_by_held_out_rows(spark):
+    langs = {r["doc_id"]: r["lang"] for r in spark.read.parquet(f"{FOLDER}/documents.parquet").select("doc_id", "lang").collect()}
+    got = Q.op8_language_id(spark, FOLDER).collect()
+    assert len(got) == len(langs)
+    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) and 0 <= r["score"] <= 1 for r in got)
+    held = [r for r in got if r["held_out"]]
+    assert np.mean([r["lang_pred"] == langs[r["doc_id"]] for r in held]) >= 0.97
+
+
+def test_forward_sums_all_segmentations():
+    lattice = language.Lattice(["▁the"], SP)
+    table = np.random.default_rng(1).random((len(language._vocabulary(SP)[0]), 2))
+
+    def ways(at):
+        if at == 4:
+            return np.ones(2)
+        return sum((table[lattice.at[at + k, k][0]] if lattice.at[at + k, k][0] >= 0 else np.full(2, language.UNKNOWN if k == 1 else 0.0)) * ways(at + k) for k in range(1, 5 - at) if (at + k, k) in lattice.at)
+
+    assert np.allclose(lattice.probabilities(table)[0][-1][0], ways(0))
+
+
+def test_language_on_odd_rows(spark):
+    docs = documents(spark, texts() + [(901, "123 456 !"), (902, "ñ" * 3000)])
+    found = language.predict(docs, SP, language.fit(docs, SP))
+    assert found.count() == docs.count() and found.columns[: len(docs.columns) - 1] == [c for c in docs.columns if c != "score"]
+    assert {r["doc_id"] for r in found.where("lang_pred = 'und'").collect()} >= {1, 2, 3, 901}
+    nothing = language.predict(docs, SP, language.fit(docs.where("false"), SP))
+    assert {r["lang_pred"] for r in nothing.collect()} == {"und"}
+    assert language.predict(docs.where("false"), SP, (["en"], np.full((len(language._vocabulary(SP)[0]), 1), 1e-4))).count() == 0
+
+
+def test_quality_by_held_out_rows(spark):
+    labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{FOLDER}/labels.parquet").collect()}
+    got = Q.op10_quality(spark, FOLDER).collect()
+    held = [r for r in got if r["held_out"] and labels.get(r["doc_id"]) is not None]
+    assert len(held) > 50 and np.mean([r["predicted"] == labels[r["doc_id"]] for r in held]) >= 0.95
+    assert all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.7) for r in got)
+
+
+def test_quality_on_odd_rows(spark):
+    docs = documents(spark)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 120)] + [(1, None), (None, 1), (4, 1), (4, 0)], "doc_id long, quality int")
+    model = quality.fit(docs, labels)
+    found = quality.score(docs, model)
+    assert found.count() == docs.count() and found.where("quality_score is null").count() == 0
+    assert quality.fit(docs, labels.where("quality = 1")) is None
+    assert {r["quality_score"] for r in quality.score(docs, None).collect()} == {0.5}
+    assert quality.score(docs.where("false"), model).count() == 0
+
+
+def test_attention_gradients():
+    r = np.random.default_rng(0)
+    x, bags, y = r.normal(size=(9, 5)), np.array([2, 3, 1, 3]), np.array([1.0, 0, 1, 0])
+    model = quality.Attention(np.zeros(5), np.ones(5))
+
+    def loss():
+        p = model.forward(x, bags)["p"]
+        return -(y * np.log(p) + (1 - y) * np.log(1 - p)).mean()
+
+    got = model.gradients(model.forward(x, bags), y, decay=0.0)
+    for k, w in model.w.items():
+        flat = w.reshape(-1)
+        for i in range(0, len(flat), 7):
+            old = flat[i]
+            flat[i] = old + 1e-6
+            up = loss()
+            flat[i] = old - 1e-6
+            down = loss()
+            flat[i] = old
+            assert abs((up - down) / 2e-6 - got[k].reshape(-1)[i]) < 1e-6
+
+
+@pytest.fixture(scope="module")
+def forest(spark):
+    return secrets.fit(spark, secrets.labelled_findings(spark, WP), WP)
+
+
+def test_forest_by_held_out_findings(spark):
+    rows = secrets.labelled_findings(spark, WP)
+    forest = secrets.fit(spark, rows.where("pmod(xxhash64(text), 5) <> 0"), WP)
+    held = rows.where("pmod(xxhash64(text), 5) = 0").collect()
+    spans = [(r, secrets.candidates(r["text"])) for r in held]
+    right = [bool(s and forest.scores([secrets.finding(r["text"], s[-1], r["path"])])[0] >= 0.5) == bool(r["label"]) for r, s in spans]
+    assert np.mean(right) >= 0.97
+
+
+KEY, HEX = "AKIA" + "Q7ZP3LM5TX2VB6NR", "9f86d081884c7d659a2feaa0c55ad015a3bf4f1b"
+
+
+def test_secrets_found_and_left_alone(spark, forest):
+    rows = [(1, f"my {KEY} here"), (2, f'token = "{HEX}"'), (3, "password=1cfe32532b58a53af4 ok"), (4, f"commit {HEX} fixes it"), (5, "password = changeme"), (6, "card 4785380592391139 and phone +1 (202) 555-0011"), (7, None), (8, ""), (9, "postgres://bob:hunter2Xk9!q@db/x"), (2, f'token = "{HEX}"'), (None, f"secret: {HEX}")]
+    got = secrets.scan(documents(spark, rows), forest).where("is_secret").collect()
+    assert sorted((r["doc_id"] for r in got), key=str) == sorted([1, 2, 2, 3, 9, None], key=str)
+    assert secrets.scan(documents(spark, []), forest).count() == 0 and secrets.scan(documents(spark, rows, extra=False), forest).count() >= 6
+    clean = {r["doc_id"]: r["text"] for r in secrets.redact(documents(spark, rows), forest).collect()}
+    assert clean[1] == "my [secret] here" and clean[2] == 'token = "[secret]"' and clean[4] == rows[3][1] and clean[7] is None
+
+
+def test_candidates_do_not_overlap():
+    text = " ".join(f'token = "{HEX}{k}" x{k}={KEY}' for k in range(3000)) + " " + "ab1" * 20000
+    spans = secrets.candidates(text)
+    assert len(spans) == 6001 and all(a[1] <= b[0] for a, b in zip(spans, spans[1:], strict=False))
+
+
+LICENCES = [(1, "Released under the MIT License."), (2, "licensed under the Apache License, Version 2.0 (the \"License\");\nyou may not use this file except in compliance with the License."), (3, "No licence here."), (4, None), (5, ""), (6, "MIT License\n\nPermission is hereby granted, free of charge, to any person obtaining a copy of this software."), (7, "all rights reserved"), (1, "Released under the MIT License.")]
+
+
+def test_licences_equal_sql(spark):
+    rows = LICENCES + texts()
+    got = sorted((tuple(r) for r in licenses.scan(documents(spark, rows)).collect()), key=str)
+    c = duckdb.connect()
+    c.execute("create table documents (doc_id bigint, text varchar)")
+    c.executemany("insert into documents values (?, ?)", [list(r) for r in rows])
+    assert got == sorted((tuple(r) for r in c.execute(licenses.oracle()).fetchall()), key=str)
+    named = {r[0]: r[2] for r in got}
+    assert (named[1], named[2], named[3], named[4]) == ("MIT", "Apache-2.0", "", "")
+    assert licenses.scan(documents(spark, [])).count() == 0
+
+
+def test_pipeline_stages(spark):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    before = {r["doc_id"]: r for r in docs.collect()}
+    kept = [set(before)]
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = corpus_pipeline.written(stage(spark, docs, FOLDER), "stage")
+        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+        rows = {r["doc_id"]: r for r in docs.collect()}
+        assert set(rows) <= kept[-1] and len(rows) == docs.count()
+        kept.append(set(rows))
+    labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{FOLDER}/labels.parquet").collect()}
+    assert all(labels.get(i) != 1 for i in kept[1] - kept[2])
+    components = {r["doc_id"]: r["component_id"] for r in Q.op5_ngram_jaccard(spark, FOLDER).collect()}
+    assert {components[i] for i in kept[3]} == {components[i] for i in kept[2]} and len({components[i] for i in kept[3]}) == len(kept[3])
+    assert not any("token = \"" in r["text"] and "[secret]" not in r["text"] for r in rows.values())
+    assert all(r["n_chars"] == len(r["text"]) for r in rows.values())
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, FOLDER)
+    assert {r["doc_id"] for r in packed.select("doc_id").distinct().collect()} == kept[4]
+
+
+def test_pipeline_on_odd_rows(spark, tmp_path):
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 120)], "doc_id long, quality int")
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    for rows in (texts() + [(500 + k, words(40, k)) for k in range(20)], []):
+        docs = documents(spark, rows).select("doc_id", "text", "lang", "source", "n_chars")
+        for _, stage in corpus_pipeline.STAGES:
+            docs = stage(spark, docs, str(tmp_path))
+        assert docs.count() >= 0
