@@ -311,16 +311,16 @@ def labelled_findings(spark: SparkSession, vocabulary: str, n: int = 4000, seed:
                 r = np.random.default_rng((seed, i))
                 some = lambda options: options[int(r.integers(len(options)))]  # noqa: E731, B023
                 make = lambda letters, size: "".join(letters[k] for k in r.integers(0, len(letters), size))  # noqa: E731, B023
-                label, kind = i % 2, int(r.integers(8))
+                label, kind = i % 2, int(r.integers(9))
                 if label:
-                    value = [make(hexes, int(some((16, 18, 20, 24, 32, 40, 64)))), make(mixed, int(r.integers(14, 48))), make(mixed + symbols, int(r.integers(10, 24))), "AKIA" + make(upper, 16), "ghp_" + make(mixed, 36), make(hexes, 40), "sk-" + make(mixed, 40), make(hexes, int(some((16, 18, 32))))][kind]
+                    value = [make(hexes, int(some((16, 18, 20, 24, 32, 40, 64)))), make(mixed, int(r.integers(14, 48))), make(mixed + symbols, int(r.integers(10, 24))), "AKIA" + make(upper, 16), "ghp_" + make(mixed, 36), make(hexes, 40), "sk-" + make(mixed, 40), make(hexes, int(some((16, 18, 32)))), make(mixed + "!+-_", int(r.integers(9, 24)))][kind]
                     own = kind in (3, 4, 6) and bool(r.integers(2))
-                    line = value if own else some((f'{some(_TRUE_NAMES)} = "{value}"', f"{some(_TRUE_NAMES)}={value}", f"{some(_TRUE_NAMES)}: {value}", f'"{some(_TRUE_NAMES)}": "{value}"'))
+                    line = f"{some(('postgres', 'https', 'amqp', 'mysql'))}://{some(plain)}:{value}@{some(plain)}.example.com/{some(plain)}" if kind == 8 else value if own else some((f'{some(_TRUE_NAMES)} = "{value}"', f"{some(_TRUE_NAMES)}={value}", f"{some(_TRUE_NAMES)}: {value}", f'"{some(_TRUE_NAMES)}": "{value}"'))
                 else:
                     words = [some(plain) for _ in range(4)]
-                    value = [make(hexes, int(some((32, 40, 64)))), "-".join(make(hexes, k) for k in (8, 4, 4, 4, 12)), some(_PLACEHOLDERS), "_".join(words) + make("0123456789", 2), "/".join(words) + "/v2", make("0123456789", 24) + "n", "".join(w.capitalize() for w in words) + "2", some(words) + "-" + some(words)][kind]
+                    value = [make(hexes, int(some((32, 40, 64)))), "-".join(make(hexes, k) for k in (8, 4, 4, 4, 12)), some(_PLACEHOLDERS), "_".join(words) + make("0123456789", 2), "/".join(words) + "/v2", make("0123456789", 24) + "n", "".join(w.capitalize() for w in words) + "2", some(words) + "-" + some(words), some(words)][kind]
                     name = some(_TRUE_NAMES) if kind in (2, 7) else some(_OTHER_NAMES)
-                    line = some((f'{name} = "{value}"', f"{name}={value}", f"{name}: {value}", f"{name} {value}" if kind not in (2, 7) else f"{name}={value}"))
+                    line = f"https://{words[0]}:{value}@{words[1]}.example.com/" if kind == 8 else some((f'{name} = "{value}"', f"{name}={value}", f"{name}: {value}", f"{name} {value}" if kind not in (2, 7) else f"{name}={value}"))
                 before, after = " ".join(some(plain) for _ in range(3)), " ".join(some(plain) for _ in range(3))
                 out.append((f"{before} {line}" + ("" if r.integers(2) else f" {after}"), some(_PATHS), label))
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.string(), pa.string(), pa.int32()), strict=True)], names=["text", "path", "label"])
