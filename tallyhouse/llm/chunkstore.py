@@ -41,16 +41,21 @@ def _gear() -> np.ndarray:
 GEAR = _gear()
 
 
-def cut_points(ids: np.ndarray) -> list[int]:
-    """Ends of the chunks of one document's ids: they depend on the ids near them alone, save for the length limits."""
-    n = len(ids)
+def marks(ids: np.ndarray) -> np.ndarray:
+    """Ends at which the rolling hash of the REACH ids before has its low bits zero. What stands before a document does not matter to it: its first LEAST ids, more than REACH, are never cut."""
     gear = GEAR[ids & 0xFFFF]
-    rolled = np.zeros(n, dtype=np.uint32)
-    for k in range(min(REACH, n)):
-        rolled[k:] += gear[: n - k] << np.uint32(k)
-    marks = np.flatnonzero(rolled >> np.uint32(32 - CUT_BITS - 8) & np.uint32((1 << CUT_BITS) - 1) == 0) + 1
+    rolled = np.zeros(len(ids), dtype=np.uint32)
+    for k in range(min(REACH, len(ids))):
+        rolled[k:] += gear[: len(ids) - k] << np.uint32(k)
+    return np.flatnonzero(rolled >> np.uint32(32 - CUT_BITS - 8) & np.uint32((1 << CUT_BITS) - 1) == 0) + 1
+
+
+def cut_points(n: int, at: list[int]) -> list[int]:
+    """Ends of the chunks of a document of ``n`` ids with marks ``at``: they depend on the ids near them alone, save for the length limits."""
     cuts, last = [], 0
-    for m in [*marks.tolist(), n]:
+    for m in [*at, n]:
+        if m - last < LEAST and m < n:
+            continue
         while m - last > MOST:
             last += MOST
             cuts.append(last)
@@ -77,15 +82,20 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, row
 
     def chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = word_ids(tokenizer)
+        width = np.dtype(encoder.dtype).itemsize
         sent: set[bytes] = set()
         for batch in batches:
             out: list[tuple] = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                raw = encoder.encode(text)
-                ids = np.append(np.frombuffer(raw, encoder.dtype), np.asarray([end_id], encoder.dtype))
-                tie, at, n = _tie(text or ""), 0, len(ids)
-                for seq, end in enumerate(cut_points(ids)):
-                    payload = ids[at:end].tobytes()
+            end_mark = np.asarray([end_id], encoder.dtype).tobytes()
+            texts = batch.column(1).to_pylist()
+            streams = [encoder.encode(text) + end_mark for text in texts]
+            starts = np.cumsum([0] + [len(x) // width for x in streams])
+            found = marks(np.frombuffer(b"".join(streams), encoder.dtype))
+            bounds = np.searchsorted(found, starts, side="right").tolist()
+            for doc, text, raw, start, lo, hi in zip(batch.column(0).to_pylist(), texts, streams, starts.tolist(), bounds[:-1], bounds[1:], strict=False):
+                tie, at, n = _tie(text or ""), 0, len(raw) // width
+                for seq, end in enumerate(cut_points(n, (found[lo:hi] - start).tolist())):
+                    payload = raw[at * width : end * width]
                     digest = hashlib.blake2b(payload, digest_size=16).digest()
                     fresh = digest not in sent
                     if fresh:

@@ -17,8 +17,10 @@ import numpy as np
 #: The vocabulary's pre-token pattern, for Latin-1 text that is lower-cased already.
 _LETTERS = "a-zªµºß-öø-ÿ"
 _NUMBERS = "0-9²³¹¼-¾"
-_PRETOKENS = re.compile(rf"[{_LETTERS}]+|'(?:s|t|re|ve|m|ll|d)|[{_NUMBERS}]|[^ \t\n\r{_LETTERS}{_NUMBERS}]+")
-_UNUSUAL = re.compile(r"[^\t\n\r\x20-\x7e¡-¬®-ÿ]|<\|")
+_PRETOKENS = re.compile(rf"[{_LETTERS}]+|'(?:s|t|re|ve|m|ll|d)|[{_NUMBERS}]|[^ \t\n\r{_LETTERS}{_NUMBERS}]+".encode("latin-1"))
+#: Characters of the texts that are cut here, as bytes of Latin-1, and what each becomes in lower case.
+_USUAL = bytes([9, 10, 13, *range(0x20, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)])
+_LOWER = bytes(ord(c.lower()) if len(c.lower()) == 1 and ord(c.lower()) < 256 else ord(c) for c in map(chr, range(256)))
 _SPACES = re.compile(r"[ \n]+")
 
 
@@ -42,8 +44,8 @@ class WordIds:
         library, tokenize, letters = self.library, self.library.model.tokenize, _byte_letters()
 
         class PreTokens(dict):
-            def __missing__(self, token: str) -> bytes:
-                seen = token if token.isascii() else token.encode().decode("latin-1").translate(letters)
+            def __missing__(self, token: bytes) -> bytes:
+                seen = token.decode() if token.isascii() else token.decode("latin-1").encode().decode("latin-1").translate(letters)
                 ids = self[token] = array(kind, [t.id for t in tokenize(seen)]).tobytes()
                 return ids
 
@@ -61,9 +63,13 @@ class WordIds:
         for memo in self.memos:
             if len(memo) > self.limit:
                 memo.clear()
-        if _UNUSUAL.search(text):
+        try:
+            raw = text.encode("latin-1")
+        except UnicodeEncodeError:
+            raw = None
+        if raw is None or b"<|" in raw or raw.translate(None, _USUAL):
             return b"".join(map(self.memos[1].__getitem__, _SPACES.split(text)))
-        return b"".join(map(self.memos[0].__getitem__, _PRETOKENS.findall(text.lower())))
+        return b"".join(map(self.memos[0].__getitem__, _PRETOKENS.findall(raw.translate(_LOWER))))
 
 
 @lru_cache(maxsize=2)
