@@ -131,7 +131,11 @@ RULES = [
 #: Known sentences that no rule took.
 UNNAMED = "LicenseRef-unnamed"
 #: Where a sentence ends: where lines count as sentences of their own, and where a line end is a space.
-ENDS = {"lines": r"[.!?;:]+[ \t\r]*\n[ \t\r\n]*|[.!?;:]+[ \t\r]+|\n[ \t\r\n]*", "wrapped": r"[.!?;:]+[ \t\r\n]+|\n[ \t\r]*\n[ \t\r\n]*"}
+#: The colon of an SPDX tag and the full stop of "v." before a digit end none.
+_INNER = r"(?<!\bspdx-license-identifier:)(?!(?<=\bv\.)[ \t\r\n*#/;-]+[0-9])"
+ENDS = {"lines": rf"[.!?;:]+[ \t\r]*\n[ \t\r\n]*|[.!?;:]++{_INNER}[ \t\r]+|\n[ \t\r\n]*", "wrapped": rf"[.!?;:]++{_INNER}[ \t\r\n]+|\n[ \t\r]*\n[ \t\r\n]*"}
+#: The ends in the SQL, which cut there too: RE2 cannot look around.
+SQL_ENDS = {"lines": r"[.!?;:]+[ \t\r]*\n[ \t\r\n]*|[.!?;:]+[ \t\r]+|\n[ \t\r\n]*", "wrapped": r"[.!?;:]+[ \t\r\n]+|\n[ \t\r]*\n[ \t\r\n]*"}
 
 
 def rule_pattern(rule: str) -> str:
@@ -188,13 +192,13 @@ def scan(docs: DataFrame) -> DataFrame:
 
 
 def oracle() -> str:
-    """The same in SQL for DuckDB."""
+    """The same in SQL for DuckDB, but for texts with an SPDX tag or "v." before a number (SQL_ENDS)."""
     quoted = ", ".join(f"'{s}'" for s in SENTENCES)
     table = "MAP {" + ", ".join(f"'{s}': '{i}'" for s, i in SENTENCES.items()) + "}"
 
     def known(kind: str) -> str:
         mark = "chr(10)" if kind == "lines" else "chr(1)"
-        marked = f"regexp_replace(lower(text), '{ENDS[kind]}', {mark}, 'g')"
+        marked = f"regexp_replace(lower(text), '{SQL_ENDS[kind]}', {mark}, 'g')"
         if kind == "wrapped":
             marked = f"replace({marked}, chr(10), ' ')"
         cleaned = f"regexp_replace({marked}, '[^a-z0-9.' || {mark} || ']+', ' ', 'g')"
