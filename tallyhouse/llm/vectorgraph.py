@@ -21,6 +21,8 @@ from tallyhouse.llm.vectors import dimension_of, lloyd, matrix, sample, valid_ro
 
 #: Vectors a cluster and a shard are meant to have, and clusters at most; neighbours kept, near and random ones looked at; the pruning factor.
 CLUSTER, SHARD, MOST_CLUSTERS = 2000, 4000, 4096
+#: Queries that meet a shard in one task; more of them meet copies of the shard in other tasks.
+QUERIES = 32_000
 DEGREE, NEAR, RANDOM, ALPHA = 24, 48, 48, 1.2
 #: Expansion goes on from vectors this much below the threshold too.
 SLACK = 0.05
@@ -82,27 +84,101 @@ def range_search(x: np.ndarray, lists: list[np.ndarray], q: np.ndarray, starts:
     return np.concatenate(hits)
 
 
-def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[tuple, pa.Table]]:
-    """Runs of rows with equal keys, as tables."""
-    held: list[pa.RecordBatch] = []
-    key: tuple | None = None
+def _runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[tuple, pa.RecordBatch]]:
+    """Runs of rows with equal keys, a batch's part at a time."""
     for batch in batches:
-        if not batch.num_rows:
-            continue
         values = list(zip(*(batch.column(k).to_pylist() for k in keys), strict=True))
         lo = 0
         for k in range(1, len(values) + 1):
             if k == len(values) or values[k] != values[lo]:
-                if values[lo] != key:
-                    if held:
-                        yield key, pa.Table.from_batches(held)
-                    key, held = values[lo], []
-                held.append(batch.slice(lo, k - lo))
+                yield values[lo], batch.slice(lo, k - lo)
                 lo = k
+
+
+def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[tuple, pa.Table]]:
+    """Runs of rows with equal keys, as tables."""
+    held: list[pa.RecordBatch] = []
+    key: tuple | None = None
+    for at, run in _runs(batches, keys):
+        if at != key:
+            if held:
+                yield key, pa.Table.from_batches(held)
+            key, held = at, []
+        held.append(run)
     if held:
         yield key, pa.Table.from_batches(held)
 
 
+def _matrix(t: pa.Table | pa.RecordBatch) -> np.ndarray:
+    return np.frombuffer(b"".join(t.column("v").to_pylist()), "<f8").reshape(t.num_rows, -1)
+
+
+class Shard:
+    """A shard's vectors and lists in memory, searched by any number of batches of queries."""
+
+    def __init__(self, t: pa.Table, threshold: float):
+        self.threshold, self.x, self.ids, self.copies = threshold, _matrix(t), t.column("node").to_numpy(), t.column("copies").to_numpy()
+        order = np.argsort(self.ids)
+        self.around = []
+        for a in t.column("around").to_pylist():
+            k = np.minimum(np.searchsorted(self.ids[order], a), len(self.ids) - 1)
+            self.around.append(order[k[self.ids[order][k] == a]])
+        self.at = {int(i): k for k, i in enumerate(self.ids)}
+        self.medoid = int((self.x @ self.x.mean(axis=0)).argmax())
+        self.top: dict[int, int] = {}
+
+    def _root(self, i: int) -> int:
+        top = self.top
+        while top.setdefault(i, i) != i:
+            top[i] = i = top[top[i]]
+        return i
+
+    def search(self, queries: pa.RecordBatch) -> pa.RecordBatch:
+        """Links of each query, and an edge from each that is not of this shard; what the shard's own vectors share is kept for ``edges``."""
+        ids = queries.column("node").to_pylist()
+        counts, ends = [], []
+        for i, q in zip(ids, _matrix(queries), strict=True):
+            inside = i in self.at
+            hits = range_search(self.x, self.around, q, [self.medoid] + ([self.at[i]] if inside else []), self.threshold)
+            hits = hits[self.ids[hits] != i]
+            counts.append(int(self.copies[hits].sum()))
+            met = self.ids[hits].tolist()
+            if met and not inside:
+                ends.append((i, met[0]))
+            for j in met:
+                a, b = self._root(i if inside else met[0]), self._root(j)
+                if a != b:
+                    self.top[max(a, b)] = min(a, b)
+        return _finds(ids, counts, ends)
+
+    def edges(self) -> pa.RecordBatch:
+        """Edges that span what the shard's vectors share: fewer than it has vectors."""
+        return _finds([], [], [(i, self._root(i)) for i in list(self.top) if self._root(i) != i])
+
+
+def _finds(ids: list[int], counts: list[int], ends: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([*ids, *(i for i, _ in ends)], pa.int64()), pa.array([*counts, *[None] * len(ends)], pa.int64()), pa.array([*[None] * len(ids), *(r for _, r in ends)], pa.int64())], names=["node", "links", "root"])
+
+
+def find_links(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
+    """Search shards (role 0) by the queries that follow them (role 1), which are held a batch at a time."""
+    key, held, shard = None, [], None
+    for (*at, role), run in _runs(batches, ["cluster", "shard", "block", "role"]):
+        if at != key:
+            if shard:
+                yield shard.edges()
+            key, held, shard = at, [], None
+        if role == 0:
+            held.append(run)
+            continue
+        if shard is None and held:
+            shard, held = Shard(pa.Table.from_batches(held), threshold), []
+        if shard:
+            yield shard.search(run)
+    if shard:
+        yield shard.edges()
+
+
 def near_duplicates(rows: DataFrame, id_column: str = "vec_id", vector_column: str = "embedding", threshold: float = 0.9, overlap: int = 2, learn_from: int = 20_000, audit: int = 100, recall: float = 0.95) -> DataFrame:
     """Link vectors with cosine of at least ``threshold``: the id, n_links, component_id (smallest id reachable) and kept, a row per row of ``rows``.
 
@@ -161,7 +237,7 @@ def _search(nodes: DataFrame, centres: np.ndarray, overlap: int, threshold: floa
             yield pa.RecordBatch.from_arrays([pa.array(cluster), pa.array(own), batch.column("node").take(pa.array(at)), batch.column("copies").take(pa.array(at)), v.take(pa.array(at))], names=["cluster", "own", "node", "copies", "v"])
 
     placed = written(nodes.select("node", "copies", "v").mapInArrow(assign, "cluster int, own boolean, node long, copies long, v binary"), "clusters")
-    sizes = placed.groupBy("cluster").count().select("cluster", F.ceil(F.col("count") / SHARD).cast("int").alias("shards"))  # a row a cluster
+    sizes = placed.groupBy("cluster").count().select("cluster", F.ceil(F.col("count") / SHARD).cast("int").alias("shards"), F.ceil(F.col("count") / QUERIES).cast("int").alias("blocks"))  # a row a cluster
     placed = placed.join(F.broadcast(sizes), "cluster").withColumn("shard", F.pmod(F.xxhash64("node"), "shards").cast("int"))
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,46 +253,13 @@ def _search(nodes: DataFrame, centres: np.ndarray, overlap: int, threshold: floa
 
     dealt = placed.repartition(n, "cluster", "shard").sortWithinPartitions("cluster", "shard", "node")
     lists = dealt.mapInArrow(build, "node long, around array<long>").groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("around"))).alias("around"))
-    data = placed.join(lists, "node").select("cluster", "shard", F.lit(0).alias("role"), "node", "copies", "v", "around")
-    queries = placed.where("own").select("cluster", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"), F.lit(1).alias("role"), "node", "copies", "v", F.array().cast("array<long>").alias("around"))
+    data = placed.join(lists, "node").select("cluster", "shard", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(0).alias("role"), "node", "copies", "v", "around")
+    queries = placed.where("own").select("cluster", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"), F.pmod(F.xxhash64("node", F.lit(1)), "blocks").cast("int").alias("block"), F.lit(1).alias("role"), "node", "copies", "v", F.array().cast("array<long>").alias("around"))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        data: dict = {}
-        for (cluster, shard, role), t in _groups(batches, ["cluster", "shard", "role"]):
-            ids = t["node"].to_numpy()
-            x = np.frombuffer(b"".join(t["v"].to_pylist()), "<f8").reshape(len(ids), -1)
-            if role == 0:
-                order = np.argsort(ids)
-                around = []
-                for a in t["around"].to_pylist():
-                    k = np.minimum(np.searchsorted(ids[order], a), len(ids) - 1)
-                    around.append(order[k[ids[order][k] == a]])
-                data = {"key": (cluster, shard), "x": x, "ids": ids, "at": {int(i): k for k, i in enumerate(ids)}, "around": around, "copies": t["copies"].to_numpy(), "medoid": int((x @ x.mean(axis=0)).argmax())}
-                continue
-            if data.get("key") != (cluster, shard):
-                continue
-            top: dict[int, int] = {}
-
-            def root(i: int) -> int:
-                while top.setdefault(i, i) != i:
-                    top[i] = i = top[top[i]]
-                return i
-
-            counts = []
-            for i, q in zip(ids.tolist(), x, strict=True):
-                starts = [data["medoid"]] + ([data["at"][i]] if i in data["at"] else [])
-                hits = range_search(data["x"], data["around"], q, starts, threshold)
-                hits = hits[data["ids"][hits] != i]
-                counts.append(int(data["copies"][hits].sum()))
-                for j in data["ids"][hits].tolist():
-                    a, b = root(i), root(j)
-                    if a != b:
-                        top[max(a, b)] = min(a, b)
-            ends = [(i, root(i)) for i in list(top)]
-            ends = [(i, r) for i, r in ends if i != r]
-            yield pa.RecordBatch.from_arrays([pa.array([*ids.tolist(), *(i for i, _ in ends)], pa.int64()), pa.array([*counts, *[None] * len(ends)], pa.int64()), pa.array([*[None] * len(ids), *(r for _, r in ends)], pa.int64())], names=["node", "links", "root"])
-
-    both = data.union(queries).repartition(n, "cluster", "shard").sortWithinPartitions("cluster", "shard", "role", "node")
+        yield from find_links(batches, threshold)
+
+    both = data.union(queries).repartition(n, "cluster", "shard", "block").sortWithinPartitions("cluster", "shard", "block", "role", "node")
     found = written(both.mapInArrow(find, "node long, links long, root long"), "finds")
     links = found.where("links is not null").groupBy("node").agg(F.sum("links").alias("links"))
     return links, found.where("root is not null").select(F.col("node").alias("a"), F.col("root").alias("b"))
