@@ -23,6 +23,8 @@ from tallyhouse.llm.vectors import dimension_of, lloyd, matrix, sample, valid_ro
 CLUSTER, SHARD, MOST_CLUSTERS = 2000, 4000, 4096
 #: Queries that meet a shard in one task; more of them meet copies of the shard in other tasks.
 QUERIES = 32_000
+#: Vectors that a pass of the audit asks at most.
+AUDIT_BLOCK = 4096
 DEGREE, NEAR, RANDOM, ALPHA = 24, 48, 48, 1.2
 #: Expansion goes on from vectors this much below the threshold too.
 SLACK = 0.05
@@ -185,7 +187,7 @@ def near_duplicates(rows: DataFrame, id_column: str = "vec_id", vector_column: s
     Vectors that are null, empty, zero, of another length than most or not finite in all components link with nothing and are their own component; a row without an id keeps a null component and is kept. Rows that repeat an id are vectors
     of their own for n_links and one node for components. Extra columns are ignored; an empty table gives an empty one.
     Equal vectors are one node with a count. Centres come from at most ``learn_from`` vectors; all rows are indexed and searched.
-    ``audit`` vectors are held against all rows by brute force; below ``recall`` the search is done again with two more clusters for each vector.
+    ``audit`` vectors or more, until half as many have links or all were asked, are held against all rows by brute force; below ``recall``, a mean over those with links, the search is done again with two more clusters for each vector.
     """
     spark = rows.sparkSession
     result = f"{id_column} long, n_links long, component_id long, kept boolean"
@@ -198,7 +200,7 @@ def near_duplicates(rows: DataFrame, id_column: str = "vec_id", vector_column: s
     nodes = written(members.groupBy("key").agg(F.min("id").alias("node"), F.count("*").alias("copies"), F.first("v").alias("v")), "nodes")
     n = nodes.count()
     centres = _unit(lloyd(_unit(sample(nodes.select(F.col("node").alias("id"), "v"), learn_from)), max(1, min(MOST_CLUSTERS, round(n / CLUSTER)))))
-    asked = _audit_sample(nodes, audit, threshold)
+    asked = _audit_sample(nodes, audit, threshold) if overlap < len(centres) else []
     while True:
         found, edges = _search(nodes, centres, min(overlap, len(centres)), threshold)
         if overlap >= len(centres) or _recall(found, asked) >= recall:
@@ -266,29 +268,47 @@ def _search(nodes: DataFrame, centres: np.ndarray, overlap: int, threshold: floa
 
 
 def _audit_sample(nodes: DataFrame, n: int, threshold: float) -> list[tuple[int, int]]:
-    """(node, links) by brute force of ``n`` nodes, half of them taken from those with links if a first look finds any: one pass over all rows."""
-    spark = nodes.sparkSession
-    chosen = nodes.orderBy(F.xxhash64("node"), "node").limit(n).select("node", "v").collect()
-    ids, x = np.array([r["node"] for r in chosen]), _unit(np.array([r["v"] for r in chosen]))
-    shared = spark.sparkContext.broadcast((ids, x))
+    """(node, links) by brute force of ``n`` nodes or more: blocks of growing size are asked until half of ``n`` have links or all nodes were asked; a pass over all rows a block."""
+    asked: list[tuple[int, int]] = []
+    after, size = "", n
+    while True:
+        chosen = nodes.where(F.col("key") > after).orderBy("key").limit(size).select("key", "node", "v").collect()
+        if chosen:
+            asked += _brute_force(nodes, np.array([r["node"] for r in chosen]), _unit(np.array([r["v"] for r in chosen])), threshold)
+        if len(chosen) < size or 2 * sum(links > 0 for _, links in asked) >= n:
+            return asked
+        after, size = chosen[-1]["key"], min(4 * size, AUDIT_BLOCK)
+
+
+def _brute_force(nodes: DataFrame, ids: np.ndarray, x: np.ndarray, threshold: float) -> list[tuple[int, int]]:
+    """(node, links) of vectors ``x`` of nodes ``ids``, held against all rows."""
+    shared = nodes.sparkSession.sparkContext.broadcast((ids, x))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, q = shared.value
         total = np.zeros(len(ids), np.int64)
         for batch in batches:
-            if batch.num_rows:
-                near = _unit(matrix(batch.column("v"))) @ q.T >= threshold
-                total += (near * batch.column("copies").to_numpy()[:, None]).sum(axis=0) - (near & (batch.column("node").to_numpy()[:, None] == ids)).astype(np.int64).T @ batch.column("copies").to_numpy()
-        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(total)], names=["node", "links"])
+            for lo in range(0, batch.num_rows, 1024):
+                part = batch.slice(lo, 1024)
+                row, of = np.nonzero(_unit(matrix(part.column("v"))) @ q.T >= threshold)
+                other = part.column("node").to_numpy()[row] != ids[of]
+                np.add.at(total, of[other], part.column("copies").to_numpy()[row[other]])
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(ids))), pa.array(total)], names=["place", "links"])
 
-    return [(r["node"], r["links"]) for r in nodes.select("node", "copies", "v").mapInArrow(count, "node long, links long").groupBy("node").agg(F.sum("links").alias("links")).collect()]
+    summed = nodes.select("node", "copies", "v").mapInArrow(count, "place long, links long").groupBy("place").agg(F.sum("links").alias("links"))
+    found = [(int(ids[r["place"]]), r["links"]) for r in summed.collect()]
+    shared.unpersist()
+    return found
 
 
 def _recall(found: DataFrame, asked: list[tuple[int, int]]) -> float:
-    """Links found of those that the audit knows; 1 if it knows none."""
-    known = dict(asked)
-    total = sum(known.values())
-    if not total:
+    """Mean over the audited vectors with links of the part of them that was found; 1 if all rows were asked and none has links."""
+    known: dict[int, int] = {}
+    for node, links in asked:
+        if links:
+            known[node] = known.get(node, 0) + links
+    if not known:
         return 1.0
-    got = {r["node"]: r["links"] for r in found.where(F.col("node").isin(list(known))).collect()}
-    return sum(min(v, got.get(k, 0)) for k, v in known.items()) / total
+    some = found.sparkSession.createDataFrame([(k,) for k in known], "node long")
+    got = {r["node"]: r["links"] for r in found.join(F.broadcast(some), "node", "left_semi").collect()}
+    return sum(min(v, got.get(k, 0)) / v for k, v in known.items()) / len(known)
