@@ -3,7 +3,8 @@
 Vectors are cut into parts of two components, each coded by one of 16 centres. Codes and centres minimise a loss that weighs the
 residual along a vector more than that across it, since the first is what shifts large inner products. The nearest vector by
 Euclidean distance has the largest inner product with the query less half its own squared length; the latter is kept exactly.
-A scan adds table entries for each byte of two codes; the best of each query are measured again on the original vectors.
+A scan adds table entries for each byte of two codes; the best of each query are measured again on the original vectors, and so is
+every row that may be nearer than the k-th of these, its distance from the query being that of its code less its own distance from its code at least.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ from tallyhouse.llm.vectors import dimension_of, lloyd, matrix, sample, valid_ro
 PART, CENTRES = 2, 16
 #: Queries scanned together.
 QUERY_BLOCK = 512
+#: Rows scanned together.
+SCANNED = 2048
 
 
 @dataclass
@@ -101,12 +104,39 @@ def _best(score: np.ndarray, ids: np.ndarray, n: int) -> np.ndarray:
     return keep[np.lexsort((ids[keep], -score[keep]))[:n]]
 
 
+def _distance(x: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Euclidean distances, components added in order."""
+    total = np.zeros(len(x))
+    for j in range(len(q)):
+        total += (x[:, j] - q[j]) ** 2
+    return np.sqrt(total)
+
+
+def nearest_of(best: tuple[np.ndarray, np.ndarray], q: np.ndarray, x: np.ndarray, ids: np.ndarray, least: np.ndarray, k: int, first: int) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, distances) of the k nearest of ``best`` and of the rows (ids, x), of which none is nearer than ``least``: ``first`` rows are measured, then all that may be nearer than the k-th."""
+    def joined(best: tuple[np.ndarray, np.ndarray], at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        all_ids, all_far = np.concatenate([best[0], ids[at]]), np.concatenate([best[1], _distance(x[at], q)])
+        top = _best(-all_far, all_ids, k)
+        return all_ids[top], all_far[top]
+
+    start = np.argpartition(least, first)[:first] if len(least) > first else np.arange(len(least))
+    start = start[least[start] < np.inf]
+    best = joined(best, start)
+    bound = best[1][-1] if len(best[1]) == k else np.inf
+    rest = (least <= bound) & (least < np.inf)
+    rest[start] = False
+    at = np.flatnonzero(rest)
+    for lo in range(0, len(at), 4096):
+        best = joined(best, at[lo : lo + 4096])
+    return best
+
+
 def search(rows: DataFrame, is_query, id_column: str = "vec_id", vector_column: str = "embedding", k: int = 10, rerank: int = 100, learn_from: int = 20_000) -> DataFrame:
     """The ``k`` nearest other rows of each query row: query_id, rank from 1, the neighbour's id and score, its Euclidean distance in double precision.
 
     ``is_query`` is a condition on the id column. Vectors that are null, empty, zero, of another length than most or not finite in all components take no part, nor do rows without an id;
     fewer candidates than k give fewer rows; ties go to the smaller id. Rows that repeat an id are candidates each. Extra columns are ignored; an empty table gives an empty one.
-    The codebook is fitted on at most ``learn_from`` vectors; every row is coded and scanned. Queries meet all rows in blocks; of rows with equal vectors the k + 1 smallest ids stand for all, since no other can be among a query's k nearest.
+    The codebook is fitted on at most ``learn_from`` vectors; every row is coded and scanned. ``rerank`` rows of a batch are measured first, then all others whose bound the k-th of them does not rule out: the result is exact. Queries meet all rows in blocks; of rows with equal vectors the k + 1 smallest ids stand for all, since no other can be among a query's k nearest.
     """
     spark = rows.sparkSession
     out = f"query_id long, rank int, {id_column} long, score double"
@@ -126,9 +156,13 @@ def search(rows: DataFrame, is_query, id_column: str = "vec_id", vector_column:
                 continue
             c = book.value.codes(x).astype(np.uint8)
             packed = c[:, 0::2] | c[:, 1::2] << 4
-            yield pa.RecordBatch.from_arrays([pa.array([np.asarray(batch.column("id")).astype("<i8").tobytes()], pa.binary()), pa.array([packed.tobytes()], pa.binary()), pa.array([((x * x).sum(axis=1) / 2).astype("<f4").tobytes()], pa.binary())], names=["ids", "codes", "half"])
+            parts = Codebook.parts(x)
+            near = book.value.centres[np.arange(c.shape[1])[None, :], c]
+            off = np.sqrt(((parts - near) ** 2).sum(axis=(1, 2)))
+            columns = [np.asarray(batch.column("id")).astype("<i8"), packed, (near * near).sum(axis=(1, 2)), off, x.astype("<f8")]
+            yield pa.RecordBatch.from_arrays([pa.array([a.tobytes()], pa.binary()) for a in columns], names=["ids", "codes", "norm2", "off", "v"])
 
-    coded = written(candidates.mapInArrow(code, "ids binary, codes binary, half binary"), "codes")
+    coded = written(candidates.mapInArrow(code, "ids binary, codes binary, norm2 binary, off binary, v binary"), "codes")
     n_queries = queries.count()
     blocks = max(1, -(-n_queries // QUERY_BLOCK))
 
@@ -146,40 +180,43 @@ def search(rows: DataFrame, is_query, id_column: str = "vec_id", vector_column:
     meet = coded.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(asked, "block")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, tables, query_ids, best = None, None, np.zeros(0, np.int64), []
+        block, tables, query_ids, asked, best = None, None, np.zeros(0, np.int64), np.zeros((0, 0)), []
 
         def result() -> pa.RecordBatch:
             n = [len(b[0]) for b in best]
-            return pa.RecordBatch.from_arrays([pa.array(np.repeat(query_ids, n)), pa.array(np.concatenate([b[0] for b in best])), pa.array(np.concatenate([b[1] for b in best]).astype(np.float32))], names=["query_id", "id", "approx"])
+            return pa.RecordBatch.from_arrays([pa.array(np.repeat(query_ids, n)), pa.array(np.concatenate([b[0] for b in best])), pa.array(np.concatenate([b[1] for b in best]))], names=["query_id", "id", "score"])
 
         for batch in batches:
-            for b, ids_, codes, half, qs, vs in zip(*(batch.column(c).to_pylist() for c in ("block", "ids", "codes", "half", "query_ids", "queries")), strict=True):
+            for row in range(batch.num_rows):
+                b, ids_, codes, norm2_, off_, v_, qs, vs = (batch.column(c)[row].as_py() for c in ("block", "ids", "codes", "norm2", "off", "v", "query_ids", "queries"))
                 if b != block:
                     if block is not None:
                         yield result()
                     block, query_ids = b, np.frombuffer(qs, "<i8")
-                    tables = book.value.tables(np.frombuffer(vs, "<f8").reshape(len(query_ids), -1))
-                    best = [(np.zeros(0, np.int64), np.zeros(0, np.float32))] * len(query_ids)
-                ids = np.frombuffer(ids_, "<i8")
-                packed = np.frombuffer(codes, np.uint8).reshape(len(ids), -1)
-                score = np.repeat(-np.frombuffer(half, "<f4")[:, None], len(query_ids), axis=1)
-                for s in range(packed.shape[1]):
-                    score += tables[s][packed[:, s]]
-                for k_, q in enumerate(query_ids):
-                    mine = np.where(ids == q, np.float32(-np.inf), score[:, k_])
-                    top = _best(mine, ids, rerank)
-                    top = top[mine[top] > -np.inf]
-                    all_ids, all_scores = np.concatenate([best[k_][0], ids[top]]), np.concatenate([best[k_][1], mine[top]])
-                    top = _best(all_scores, all_ids, rerank)
-                    best[k_] = all_ids[top], all_scores[top]
+                    asked = np.frombuffer(vs, "<f8").reshape(len(query_ids), -1)
+                    tables = book.value.tables(asked)
+                    best = [(np.zeros(0, np.int64), np.zeros(0))] * len(query_ids)
+                every = np.frombuffer(ids_, "<i8")
+                for lo in range(0, len(every), SCANNED):
+                    part = slice(lo, lo + SCANNED)
+                    ids, norm2, off = every[part], np.frombuffer(norm2_, "<f8")[part], np.frombuffer(off_, "<f8")[part]
+                    packed = np.frombuffer(codes, np.uint8).reshape(len(every), -1)[part]
+                    x = np.frombuffer(v_, "<f8").reshape(len(every), -1)[part]
+                    inner = np.zeros((len(ids), len(query_ids)), np.float32)
+                    for s in range(packed.shape[1]):
+                        inner += tables[s][packed[:, s]]
+                    for k_, q in enumerate(query_ids):
+                        q2 = (asked[k_] ** 2).sum()
+                        # single precision in the tables: what it may be wrong by is added before the root is taken
+                        error = 1e-7 * (packed.shape[1] + 4) * (q2 + norm2)
+                        least = np.sqrt(np.maximum(q2 - 2 * inner[:, k_].astype(np.float64) + norm2 - error, 0)) - off * (1 + 1e-9)
+                        least[~np.isfinite(least)] = 0  # too large for single precision
+                        least[ids == q] = np.inf
+                        best[k_] = nearest_of(best[k_], asked[k_], x, ids, least, k, rerank)
         if block is not None:
             yield result()
 
     parts = max(1, min(blocks * 8, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    found = meet.repartition(parts, "block", F.xxhash64("ids") % 8).sortWithinPartitions("block").mapInArrow(scan, "query_id long, id long, approx float")
-    first = W.Window.partitionBy("query_id").orderBy(F.desc("approx"), "id")
-    found = found.withColumn("place", F.row_number().over(first)).where(F.col("place") <= rerank).select("query_id", "id").distinct()
-    exact = found.join(candidates, "id").join(queries.select(F.col("id").alias("query_id"), F.col("v").alias("q")), "query_id")
-    distance = F.sqrt(F.aggregate(F.zip_with("v", "q", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda t, x: t + x))
+    found = meet.repartition(parts, "block", F.xxhash64("ids") % 8).sortWithinPartitions("block").mapInArrow(scan, "query_id long, id long, score double")
     order = W.Window.partitionBy("query_id").orderBy("score", "id")
-    return exact.select("query_id", "id", distance.alias("score")).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(id_column), "score")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(id_column), "score")
