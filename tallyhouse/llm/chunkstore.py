@@ -1,12 +1,13 @@
 """A content-addressed store of token ids.
 
 Documents' id streams are cut where a rolling hash of the last ids says so; each distinct chunk is stored once under
-its digest; a recipe per document lists its chunks in order, and Merkle roots over recipes, shards and the whole
-make reading verifiable. Layout below the store's folder, all Parquet:
+its digest; a recipe per document lists its chunks in order. Merkle trees make reading verifiable: a document's root is over its chunks
+with their lengths and positions, a shard's over its documents in order, the store's over its shards. Layout below the store's folder, all Parquet:
 
 - ``chunks``: digest, seq, after, n, doc_id, tie and, on one row of each digest, ``payload`` (ids, little-endian unsigned);
-- ``recipes/shard=k``: in ascending doc_id: doc_id, tie, start, n_tokens, chunks (digest and length in order), root;
-- ``manifest``: shard, n_docs, n_tokens, root.
+- ``recipes/shard=k``: in ascending doc_id: pos, doc_id, tie, before (ids of the shard before it), n_tokens, chunks (digest, length and ids after it, in order), root;
+- ``manifest``: shard, start, n_docs, n_tokens, root;
+- ``whole``: n_shards, n_docs, n_tokens, root.
 """
 
 from __future__ import annotations
@@ -18,16 +19,19 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from tallyhouse.llm.shards import shard_bounds, shard_of
+from tallyhouse.llm.shards import with_shards
 from tallyhouse.llm.storage import small_batches
 from tallyhouse.llm.wordids import word_ids
 
 #: A cut falls where this many low bits of the rolling hash are zero; no chunk is shorter than LEAST or longer than MOST ids.
 CUT_BITS, LEAST, MOST, REACH = 8, 64, 2048, 16
+#: Roots that one node list of a tree holds: larger sets are cut into runs of so many, and a tree is built over the runs' roots.
+RUN_OF_ROOTS = 4096
+WHOLE = "n_shards long, n_docs long, n_tokens long, root string"
 #: Fixed value: the reversed CRC-32 polynomial.
 CRC_POLYNOMIAL = 0xEDB88320
 
@@ -70,11 +74,12 @@ def _tie(text: str) -> int:
     return int.from_bytes(hashlib.blake2b(text.encode(), digest_size=8).digest(), "little", signed=True)
 
 
-def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, rows_per_shard: int = 20_000) -> None:
+def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, rows_per_shard: int = 20_000) -> str | None:
     """Encode ``docs`` (doc_id, text) with the word-end vocabulary ``tokenizer``, append ``end_id`` to each and write the store.
 
     A null text is empty: its one id is the end id. Rows that repeat a doc_id are documents of their own, in the order of a
     hash of their text; identical rows follow one another. A null doc_id comes first. Columns other than the two are ignored. An empty table writes an empty store.
+    Returns the root of the whole, None if there are no documents.
     Ids travel once, dealt by digest; a chunk that many documents share sends its ids from each task once.
     """
     spark = docs.sparkSession
@@ -131,34 +136,65 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, row
         .write.option("compression", "zstd").parquet(f"{path}/chunks")
     )
     _write_recipes(spark, path, rows_per_shard)
+    found = spark.read.parquet(f"{path}/whole").select("root").first()
+    return found and found["root"]
+
+
+def merkle(leaves: Column) -> Column:
+    """The root of a binary tree over an array of hashes in order: a node hashes two, and one left over goes up as it is."""
+    def joined(a: Column) -> Column:
+        at = F.sequence(F.lit(0), F.floor((F.size(a) - 1) / 2).cast("int"))
+        return F.transform(at, lambda i: F.when(2 * i + 1 < F.size(a), F.sha2(F.concat(F.lit("n"), F.get(a, 2 * i), F.get(a, 2 * i + 1)), 256)).otherwise(F.get(a, 2 * i)))
+
+    levels = F.sequence(F.lit(1), F.ceil(F.log2(F.size(leaves))).cast("int"))
+    return F.get(F.when(F.size(leaves) > 1, F.aggregate(levels, leaves, lambda a, _: joined(a))).otherwise(leaves), 0)
+
+
+def _recipe_root() -> Column:
+    """A document's root: over its chunks, each with its place, its length and the ids after it, and over what else its recipe says."""
+    leaves = F.transform("chunks", lambda c, k: F.sha2(F.concat_ws("|", F.lit("c"), k, c["n"], c["after"], F.hex(c["digest"])), 256))
+    return F.sha2(F.concat_ws("|", F.lit("d"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "tie", "before", "n_tokens", F.size("chunks"), merkle(leaves)), 256)
+
+
+def _rooted(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """keys, root: of each group's column root in the order of ``order``, numbers from 0 or 1 on."""
+    ordered = lambda by: merkle(F.transform(F.sort_array(F.collect_list(F.struct(by, "root"))), lambda r: r["root"])).alias("root")
+    runs = rows.withColumn("run", F.floor(F.col(order) / RUN_OF_ROOTS)).groupBy(*keys, "run").agg(ordered(order))
+    return runs.groupBy(*keys).agg(ordered("run"))
+
+
+def _whole(manifest: DataFrame) -> dict:
+    """n_shards, n_docs, n_tokens and root over the rows of a manifest."""
+    leaf = F.sha2(F.concat_ws("|", F.lit("s"), "shard", "start", "n_docs", "n_tokens", "root"), 256)
+    sums = manifest.agg(F.count("*").alias("n_shards"), F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens")).first()
+    return sums.asDict() | _rooted(manifest.select("shard", leaf.alias("root")), [], "shard").first().asDict()
 
 
 def _write_recipes(spark: SparkSession, path: str, rows_per_shard: int) -> None:
     chunks = spark.read.parquet(f"{path}/chunks")
-    ends = chunks.where(F.col("after") == 0).select("doc_id")
-    bounds = shard_bounds(ends, "doc_id", rows_per_shard)
-    shard = shard_of("doc_id", bounds)
-    # Rows of a doc_id and text that repeat have the same chunks; they are told apart by how often the last one comes.
+    # Rows of a doc_id and text that repeat have the same chunks; they are told apart by how often each comes.
     listed = (
-        chunks.groupBy("doc_id", "tie", "seq").agg(F.first("digest").alias("digest"), F.first("n").alias("n"), F.count("*").alias("copies"))
-        .groupBy("doc_id", "tie").agg(F.sort_array(F.collect_list(F.struct("seq", "digest", "n"))).alias("chunks"), F.max("copies").alias("copies"))
-        .select("doc_id", "tie", F.transform("chunks", lambda c: F.struct(c["digest"].alias("digest"), c["n"].alias("n"))).alias("chunks"), F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"))
-        .withColumn("n_tokens", F.aggregate("chunks", F.lit(0).cast("long"), lambda a, c: a + c["n"]))
-        .withColumn("root", F.sha2(F.concat_ws("", F.transform("chunks", lambda c: F.sha2(c["digest"], 256))), 256))
-        .withColumn("shard", shard)
+        chunks.groupBy("doc_id", "tie", "seq").agg(F.first("digest").alias("digest"), F.first("n").alias("n"), F.first("after").alias("after"), F.count("*").alias("copies"))
+        .groupBy("doc_id", "tie").agg(F.sort_array(F.collect_list(F.struct("seq", "digest", "n", "after"))).alias("chunks"), F.max("copies").alias("copies"))
+        .select("doc_id", "tie", F.transform("chunks", lambda c: F.struct(c["digest"].alias("digest"), c["n"].alias("n"), c["after"].alias("after"))).alias("chunks"), F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"))
+        .withColumn("n_tokens", F.get("chunks", 0)["n"] + F.get("chunks", 0)["after"])
     )
     in_order = W.Window.partitionBy("shard").orderBy(F.col("doc_id").asc_nulls_first(), "tie", "copy")
     (
-        listed.withColumn("before", F.coalesce(F.sum("n_tokens").over(in_order.rowsBetween(W.Window.unboundedPreceding, -1)), F.lit(0).cast("long")))
+        with_shards(listed, "doc_id", rows_per_shard)[0]
+        .withColumns({"pos": F.row_number().over(in_order), "before": F.coalesce(F.sum("n_tokens").over(in_order.rowsBetween(W.Window.unboundedPreceding, -1)), F.lit(0).cast("long"))})
+        .withColumn("root", _recipe_root()).drop("copy")
         .write.option("compression", "zstd").partitionBy("shard").parquet(f"{path}/recipes")
     )
-    recipes = spark.read.parquet(f"{path}/recipes") if listed_any(spark, path) else None
-    if recipes is None:
-        spark.createDataFrame([], "shard int, n_docs long, n_tokens long, start long, root string").write.parquet(f"{path}/manifest")
+    if not listed_any(spark, path):
+        spark.createDataFrame([], "shard long, start long, n_docs long, n_tokens long, root string").write.parquet(f"{path}/manifest")
+        spark.createDataFrame([], WHOLE).write.parquet(f"{path}/whole")
         return
-    totals = recipes.groupBy("shard").agg(F.count("*").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"), F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("before", "root"))), lambda r: r["root"]), ""), 256).alias("root"))
-    # A row a shard, and shards are bounded: one task may hold them.
+    recipes = spark.read.parquet(f"{path}/recipes").select(F.col("shard").cast("long").alias("shard"), "pos", "n_tokens", "root")
+    totals = recipes.groupBy("shard").agg(F.count("*").alias("n_docs"), F.sum("n_tokens").alias("n_tokens")).join(_rooted(recipes, ["shard"], "pos"), "shard")
+    # A row a shard: the running sum over them is small work for one task.
     totals.withColumn("start", F.coalesce(F.sum("n_tokens").over(W.Window.orderBy("shard").rowsBetween(W.Window.unboundedPreceding, -1)), F.lit(0).cast("long"))).write.parquet(f"{path}/manifest")
+    spark.createDataFrame([_whole(spark.read.parquet(f"{path}/manifest"))], WHOLE).write.parquet(f"{path}/whole")
 
 
 def listed_any(spark: SparkSession, path: str) -> bool:
@@ -195,31 +231,43 @@ def _times(a: np.ndarray, b: np.uint32) -> np.ndarray:
     return total
 
 
-def read_back(spark: SparkSession, path: str, width: int = 2) -> DataFrame:
+def _sound_shards(spark: SparkSession, path: str, root: str | None) -> DataFrame:
+    """shard, start, sound: whether the shard's recipes have the manifest's root and sums, and the manifest that of the whole and, if given, ``root``."""
+    manifest = spark.read.parquet(f"{path}/manifest")
+    recipes = spark.read.parquet(f"{path}/recipes").select(F.col("shard").cast("long").alias("shard"), "pos", "n_tokens", "root")
+    now = recipes.groupBy("shard").agg(F.count("*").alias("docs"), F.sum("n_tokens").alias("tokens")).join(_rooted(recipes, ["shard"], "pos").withColumnRenamed("root", "now"), "shard")
+    said = spark.read.parquet(f"{path}/whole").collect()  # one row
+    whole = len(said) == 1 and said[0].asDict() == _whole(manifest) and root in (None, said[0]["root"]) and not manifest.join(now, "shard", "left_anti").take(1)
+    same = (F.col("root") == F.col("now")) & (F.col("n_docs") == F.col("docs")) & (F.col("n_tokens") == F.col("tokens"))
+    return now.join(manifest, "shard", "left").select("shard", F.coalesce("start", F.lit(0).cast("long")).alias("shard_start"), (F.coalesce(same, F.lit(False)) & F.lit(whole)).alias("shard_sound"))
+
+
+def read_back(spark: SparkSession, path: str, width: int = 2, root: str | None = None) -> DataFrame:
     """Read every chunk and recipe of a store: doc_id, start, n_tokens, ids_crc32 of the ids as 32-bit integers, verified.
 
-    Each stored chunk is read in whole, its digest recomputed, its length held against the recipe; ids_crc32 combines the chunks' checksums in the
-    recipe's order. ``verified`` is false where a chunk is missing, altered or of another length. ``width``: bytes a stored id.
+    Each stored chunk is read in whole and its digest recomputed; ids_crc32 combines the chunks' checksums in the recipe's order.
+    ``verified`` is false where a chunk is missing, altered or of another length; where a recipe does not have its root (reordered, cut, lengthened, changed); for all
+    documents of a shard whose recipes do not have the manifest's root or sums (a recipe with a new root, a lost or added document); and for all documents if the manifest
+    has not the root of the whole, lists a shard that is gone, or the whole has not ``root``, which ``write_store`` returned. ``width``: bytes a stored id. An empty store gives no rows.
     """
     small_batches(spark)
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             payloads = batch.column("payload").to_pylist()
-            ids = [np.frombuffer(p, f"<u{width}").astype("<u4") for p in payloads]
+            ids = [np.frombuffer(p, f"<u{width}").astype("<u4") if len(p) % width == 0 else np.zeros(0, "<u4") for p in payloads]
             yield pa.RecordBatch.from_arrays([
                 batch.column("digest"), pa.array([zlib.crc32(x) for x in ids], pa.int64()), pa.array([len(x) for x in ids], pa.int32()),
                 pa.array([hashlib.blake2b(p, digest_size=16).digest() == d for p, d in zip(payloads, batch.column("digest").to_pylist(), strict=True)]),
             ], names=["digest", "crc", "stored", "sound"])
 
+    if not listed_any(spark, path):
+        return spark.createDataFrame([], "doc_id long, start long, n_tokens long, ids_crc32 long, verified boolean")
     chunks = spark.read.schema("digest binary, payload binary").parquet(f"{path}/chunks")
     stored = chunks.where(F.col("payload").isNotNull()).mapInArrow(summed, "digest binary, crc long, stored int, sound boolean").groupBy("digest").agg(F.min("crc").alias("crc"), F.min("stored").alias("stored"), F.min("sound").alias("sound"))
-    manifest = spark.read.parquet(f"{path}/manifest").select("shard", F.col("start").alias("shard_start"))
-    if not manifest.take(1):
-        return spark.createDataFrame([], "doc_id long, start long, n_tokens long, ids_crc32 long, verified boolean")
-    recipes = spark.read.parquet(f"{path}/recipes").join(F.broadcast(manifest), "shard").select("doc_id", (F.col("shard_start") + F.col("before")).alias("start"), "n_tokens", "chunks")
-    parts = recipes.select("doc_id", "start", "n_tokens", F.posexplode(F.transform("chunks", lambda c: c)).alias("seq", "c"), F.col("chunks"))
-    parts = parts.select("doc_id", "start", "n_tokens", "c.digest", "c.n", F.aggregate(F.slice("chunks", F.col("seq") + 2, F.lit(1 << 30)), F.lit(0).cast("long"), lambda a, c: a + c["n"]).alias("after"))
+    recipes = spark.read.parquet(f"{path}/recipes").withColumn("shard", F.col("shard").cast("long")).join(_sound_shards(spark, path, root), "shard")
+    whole_recipe = F.col("shard_sound") & (_recipe_root() == F.col("root"))
+    parts = recipes.select("doc_id", (F.col("shard_start") + F.col("before")).alias("start"), "shard", "pos", "n_tokens", whole_recipe.alias("whole"), F.explode_outer("chunks").alias("c")).select("doc_id", "start", "shard", "pos", "n_tokens", "whole", "c.*")
 
     def shifted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -227,18 +275,19 @@ def read_back(spark: SparkSession, path: str, width: int = 2) -> DataFrame:
             after = batch.column("after").to_numpy(zero_copy_only=False) * 4
             yield batch.set_column(batch.schema.get_field_index("crc"), "crc", pa.array(crc_shift(crc, after).astype(np.int64)))
 
-    whole = parts.join(stored, "digest", "left").select("doc_id", "start", "n_tokens", "after", F.coalesce("crc", F.lit(0).cast("long")).alias("crc"), (F.coalesce(F.col("sound"), F.lit(False)) & F.coalesce(F.col("stored") == F.col("n"), F.lit(False))).alias("sound"))
+    sound = F.col("whole") & F.coalesce(F.col("sound") & (F.col("stored") == F.col("n")), F.lit(False))
+    found = parts.join(stored, "digest", "left").select("shard", "pos", "doc_id", "start", "n_tokens", F.coalesce("after", F.lit(0).cast("long")).alias("after"), F.coalesce("crc", F.lit(0).cast("long")).alias("crc"), sound.alias("sound"))
     return (
-        whole.mapInArrow(shifted, whole.schema)
-        .groupBy("doc_id", "start", "n_tokens").agg(F.bit_xor("crc").alias("ids_crc32"), F.bool_and("sound").alias("verified"))
+        found.mapInArrow(shifted, found.schema)
+        .groupBy("shard", "pos", "doc_id", "start", "n_tokens").agg(F.bit_xor("crc").alias("ids_crc32"), F.bool_and("sound").alias("verified")).drop("shard", "pos")
     )
 
 
 def read_ids(spark: SparkSession, path: str, doc_ids: DataFrame | None = None) -> DataFrame:
     """Rebuild documents from recipes and chunks: doc_id, start and the ids as stored bytes. ``doc_ids`` keeps to those documents."""
-    recipes = spark.read.parquet(f"{path}/recipes").join(F.broadcast(spark.read.parquet(f"{path}/manifest").select("shard", F.col("start").alias("shard_start"))), "shard")
+    recipes = spark.read.parquet(f"{path}/recipes").withColumn("shard", F.col("shard").cast("long")).join(spark.read.parquet(f"{path}/manifest").select("shard", F.col("start").alias("shard_start")), "shard")
     if doc_ids is not None:
         recipes = recipes.join(doc_ids.select("doc_id").distinct(), "doc_id", "left_semi")
-    parts = recipes.select("doc_id", (F.col("shard_start") + F.col("before")).alias("start"), F.posexplode("chunks").alias("seq", "c")).select("doc_id", "start", "seq", "c.digest")
+    parts = recipes.select("shard", "pos", "doc_id", (F.col("shard_start") + F.col("before")).alias("start"), F.posexplode("chunks").alias("seq", "c")).select("shard", "pos", "doc_id", "start", "seq", "c.digest")
     stored = spark.read.parquet(f"{path}/chunks").where(F.col("payload").isNotNull()).select("digest", "payload").dropDuplicates(["digest"])
-    return parts.join(stored, "digest").groupBy("doc_id", "start").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("seq", F.hex("payload").alias("h")))), lambda c: c["h"]), "").alias("h")).select("doc_id", "start", F.unhex("h").alias("ids"))
+    return parts.join(stored, "digest").groupBy("shard", "pos", "doc_id", "start").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("seq", F.hex("payload").alias("h")))), lambda c: c["h"]), "").alias("h")).select("doc_id", "start", F.unhex("h").alias("ids"))

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyhouse.llm.shards import shard_bounds, shard_of
+from tallyhouse.llm.shards import with_shards
 from tallyhouse.llm.storage import small_batches
 from tallyhouse.llm.wordids import sentence_ends, word_ids
 
@@ -19,6 +19,8 @@ from tallyhouse.llm.wordids import sentence_ends, word_ids
 INSIDE_DOCUMENT, INSIDE_SENTENCE = 8, 200
 #: Lengths that need no padding: powers of two, from this one on. Shorter windows would only be many.
 LEAST_POWER = 512
+#: Tokens whose cuts are chosen together; a task holds about so many, and one document more.
+RUN = 4_000_000
 
 
 def cut_windows(places: np.ndarray, penalty: np.ndarray, window: int) -> list[int]:
@@ -77,11 +79,10 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, window: int = 4096, r
 
     A row a piece: doc_id, start (ids of its document before it), length, ids_crc32, doc_tokens, sequence_id, offset, with
     ``with_ids`` also the ids. Documents fall into ranges of doc_id of about ``rows_per_shard`` rows, and each range is
-    packed by one task, a run of documents of about a million tokens at a time; at its end one window may stay short. A null text is empty: it is the end id
+    packed by one task, a run of documents of about RUN tokens at a time; at its end one window may stay short. A null text is empty: it is the end id
     alone. Repeated rows are packed each for itself, rows of one doc_id in order of their text; a null doc_id comes first. No documents give no pieces. Extra columns are ignored.
     """
     small_batches(docs.sparkSession)
-    bounds = shard_bounds(docs, "doc_id", rows_per_shard)
     kind = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids array<int>" * with_ids
     names = [f.split()[0] for f in kind.split(", ")]
 
@@ -113,7 +114,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, window: int = 4096, r
         ends: list[np.ndarray] = []
         for batch in batches:
             for s, doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                if ids and (s != shard or held >= 4_000_000):
+                if ids and (s != shard or held >= RUN):
                     found, run = rows(shard, run, ids, doc_ids, ends)
                     yield found
                     ids, doc_ids, ends, held = [], [], [], 0
@@ -127,6 +128,5 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, window: int = 4096, r
         if ids:
             yield rows(shard, run, ids, doc_ids, ends)[0]
 
-    n = len(bounds) + 1
-    placed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).select(shard_of("doc_id", bounds).alias("shard"), "doc_id", "text")
-    return placed.repartitionByRange(n, "shard").sortWithinPartitions(F.col("shard"), F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), "text").mapInArrow(work, kind)
+    placed, n = with_shards(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "doc_id", rows_per_shard)
+    return placed.select("shard", "doc_id", "text").repartitionByRange(n, "shard").sortWithinPartitions(F.col("shard"), F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), "text").mapInArrow(work, kind)

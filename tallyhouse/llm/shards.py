@@ -1,33 +1,41 @@
-"""Ranges of doc_id that spread ordered work over tasks."""
+"""Ranges of a long column that spread ordered work over tasks."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Bounds at most; the driver holds them, whatever the size of the table.
-MOST_SHARDS = 4000
+#: Bounds that the driver holds at most. A table that needs more shards gets its ranges cut again, by Spark, so that a shard never grows with the table.
+MOST_BOUNDS = 4000
 
 
-def shard_bounds(df: DataFrame, column: str, rows_per_shard: int) -> list[int]:
-    """Ascending values of ``column`` at which a new shard begins: about ``rows_per_shard`` rows each."""
-    n = df.count()
-    shards = max(1, min(MOST_SHARDS, -(-n // rows_per_shard)))
-    if shards == 1:
-        return []
-    cuts = df.select(F.percentile_approx(column, [k / shards for k in range(1, shards)], 100 * shards)).first()[0]
-    return sorted({int(c) for c in cuts or []})
+def with_shards(df: DataFrame, column: str, rows_per_shard: int) -> tuple[DataFrame, int]:
+    """``df`` with a long ``shard`` that ascends with ``column``, and how many there are: about ``rows_per_shard`` rows each; nulls come first, in shard 0.
+
+    Rows that share a value share a shard, however many they are.
+    """
+    wanted = max(1, -(-df.count() // rows_per_shard))
+    ranges = min(wanted, MOST_BOUNDS)
+    bounds = _bounds(df, column, ranges)
+    placed = df.withColumn("shard", range_of(column, bounds).cast("long"))
+    if wanted <= MOST_BOUNDS:
+        return placed, len(bounds) + 1
+    finer = -(-wanted // ranges)
+    cuts = placed.groupBy("shard").agg(F.percentile_approx(column, [k / finer for k in range(1, finer)], 100 * finer).alias("cuts"))  # a row a range
+    cut = placed.join(cuts, "shard").withColumn("shard", F.col("shard") * finer + F.coalesce(F.size(F.filter("cuts", lambda c: c <= F.col(column))), F.lit(0)))
+    return cut.select(*df.columns, "shard"), (len(bounds) + 1) * finer
 
 
-def shard_of(column: str, bounds: list[int]) -> Column:
-    """The number of the shard of a value; nulls come first, in shard 0."""
-    if not bounds:
-        return F.lit(0)
-    return F.coalesce(F.array_size(F.filter(F.lit(bounds), lambda b: b <= F.col(column))), F.lit(0)) if len(bounds) < 8 else _searched(column, bounds)
+def _bounds(df: DataFrame, column: str, ranges: int) -> list[int]:
+    """Ascending values at which a new range begins."""
+    if ranges == 1:
+        return []
+    cuts = df.select(F.percentile_approx(column, [k / ranges for k in range(1, ranges)], 100 * ranges)).first()[0]
+    return sorted({int(c) for c in cuts or []})
 
 
-def _searched(column: str, bounds: list[int]) -> Column:
-    """A binary search through nested conditions: about log2 of the number of bounds comparisons a row."""
+def range_of(column: str, bounds: list[int]) -> Column:
+    """How many bounds a value has reached, found through nested conditions: about log2 of their number of comparisons a row."""
     def part(lo: int, hi: int) -> Column:
         if lo == hi:
             return F.lit(lo)

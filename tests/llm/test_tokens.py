@@ -9,13 +9,14 @@ import pytest
 import sentencepiece
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tallyhouse.llm import chunkstore, packing, pieces
+from tallyhouse.llm import chunkstore, packing, pieces, shards
 from tallyhouse.llm.queries import vocabulary
 from tallyhouse.llm.storage import new_folder
 from tallyhouse.llm.wordids import WordIds
-from tests.llm.helpers import documents, texts
+from tests.llm.helpers import documents, texts, words
 
 SP, WP = vocabulary("piece_bpe_32k.model"), vocabulary("word_bpe_49k.json")
 ODD = ["", " ", "a  b ", "▁x▁", "Don't we'll IT'S", "naïve Straße ÀÉ µm ß", "日本語 text 😀", "a b­c", "x\u0000y", "<|endoftext|> <|", "12.5%  ...!?\n\n\tend", "İstanbul ﬁ", "  line", "é"]
@@ -84,18 +85,72 @@ def test_store_reads_back_every_id(spark, libraries):
     assert all(rebuilt[i] == by_id[i][0] for i in by_id if i is not None and i >= 20)
 
 
+PARTS = ("chunks", "recipes", "manifest", "whole")
+
+
+def altered(spark, path, **changes):
+    """A copy of a store in which parts are changed."""
+    other = new_folder(spark, "store")
+    for part in PARTS:
+        rows = spark.read.parquet(f"{path}/{part}")
+        changes.get(part, lambda x: x)(rows).write.partitionBy(*["shard"] * (part == "recipes")).parquet(f"{other}/{part}")
+    return other
+
+
+def verdicts(spark, path, **more):
+    return {r["doc_id"]: r["verified"] for r in chunkstore.read_back(spark, path, **more).collect()}
+
+
 def test_store_tells_damage(spark):
-    path, other = new_folder(spark, "store"), new_folder(spark, "store")
+    path = new_folder(spark, "store")
     rows = [(1, "a b c"), (2, "d e f"), (3, "a b c")]
     chunkstore.write_store(documents(spark, rows), path, WP)
-    chunks = spark.read.parquet(f"{path}/chunks")
-    assert chunks.where("payload is not null").count() == 2
-    one = chunks.where("payload is not null and doc_id = 2")
-    one.selectExpr("digest", "cast('x1' as binary) as payload").write.parquet(f"{other}/chunks")
-    chunks.where("payload is not null and doc_id <> 2").select("digest", "payload").write.mode("append").parquet(f"{other}/chunks")
-    for part in ("recipes", "manifest"):
-        spark.read.parquet(f"{path}/{part}").write.partitionBy(*["shard"] * (part == "recipes")).parquet(f"{other}/{part}")
-    assert {r["doc_id"]: r["verified"] for r in chunkstore.read_back(spark, other).collect()} == {1: True, 2: False, 3: True}
+    assert spark.read.parquet(f"{path}/chunks").where("payload is not null").count() == 2
+    other = altered(spark, path, chunks=lambda c: c.withColumn("payload", F.expr("if(payload is not null and doc_id = 2, cast('x1' as binary), payload)")))
+    assert verdicts(spark, path) == {1: True, 2: True, 3: True}
+    assert verdicts(spark, other) == {1: True, 2: False, 3: True}
+
+
+def test_store_tells_altered_recipes_and_manifests(spark):
+    path = new_folder(spark, "store")
+    rows = [(k, words(3000 if k == 3 else 40, k)) for k in range(12)]
+    root = chunkstore.write_store(documents(spark, rows), path, WP, rows_per_shard=4)
+    shards = {r["doc_id"]: r["shard"] for r in spark.read.parquet(f"{path}/recipes").select("doc_id", "shard").collect()}
+    assert len(set(shards.values())) == 3 and spark.read.parquet(f"{path}/recipes").where("doc_id = 3").select(F.size("chunks")).first()[0] > 3
+    every = dict.fromkeys(range(12), True)
+    assert verdicts(spark, path, root=root) == every
+    assert not any(verdicts(spark, path, root="0" * 64).values())
+    one = lambda new: lambda r: r.withColumn("chunks", F.when(F.col("doc_id") == 3, new).otherwise(F.col("chunks")))
+    for new in (F.reverse("chunks"), F.slice("chunks", 1, F.size("chunks") - 1), F.concat("chunks", F.slice("chunks", 1, 1)), F.transform("chunks", lambda c: c.withField("after", c["after"] + 1))):
+        got = verdicts(spark, altered(spark, path, recipes=one(new)))
+        assert got == every | {3: False}
+    # a recipe of another document that brings a root of its own: nothing of its shard can be trusted
+    foreign = lambda r: r.withColumn("chunks", F.when(F.col("doc_id") == 3, F.reverse("chunks")).otherwise(F.col("chunks"))).withColumn("root", F.when(F.col("doc_id") == 3, chunkstore._recipe_root()).otherwise(F.col("root")))
+    got = verdicts(spark, altered(spark, path, recipes=foreign))
+    assert got == {k: shards[k] != shards[3] for k in range(12)}
+    got = verdicts(spark, altered(spark, path, recipes=lambda r: r.where("doc_id <> 5")))
+    assert got == {k: shards[k] != shards[5] for k in range(12) if k != 5}
+    for change in (lambda m: m.withColumn("start", m["start"] + 1), lambda m: m.where("shard > 0"), lambda m: m.withColumn("n_docs", m["n_docs"] + 1)):
+        assert not any(verdicts(spark, altered(spark, path, manifest=change)).values())
+    assert not any(verdicts(spark, altered(spark, path, recipes=lambda r: r.where("shard > 0"))).values())
+
+
+def test_tree_is_a_binary_one(spark):
+    node = lambda a, b: hashlib.sha256(f"n{a}{b}".encode()).hexdigest()
+    leaves = [c * 64 for c in "abcde"]
+    got = spark.createDataFrame([(leaves[:n],) for n in range(1, 6)], "a array<string>").select(F.size("a"), chunkstore.merkle(F.col("a"))).collect()
+    a, b, c, d, e = leaves
+    assert dict(map(tuple, got)) == {1: a, 2: node(a, b), 3: node(node(a, b), c), 4: node(node(a, b), node(c, d)), 5: node(node(node(a, b), node(c, d)), e)}
+
+
+def test_shards_do_not_grow_with_the_table(spark, monkeypatch):
+    monkeypatch.setattr(shards, "MOST_BOUNDS", 4)
+    rows = spark.range(0, 3000).selectExpr("id * 7 % 3000 as doc_id", "id as other").union(spark.sql("select cast(null as bigint), 1L"))
+    placed, n = shards.with_shards(rows, "doc_id", 60)
+    got = placed.groupBy("shard").agg(F.count("*").alias("n"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).orderBy("shard").collect()
+    assert placed.columns == ["doc_id", "other", "shard"] and max(r["n"] for r in got) <= 90 and n >= 50 > 4 and max(r["shard"] for r in got) < n
+    assert all(a["hi"] < b["lo"] for a, b in zip(got, got[1:], strict=False)) and sum(r["n"] for r in got) == 3001
+    assert placed.where("doc_id is null").first()["shard"] == 0
 
 
 def test_empty_store(spark):
