@@ -5,6 +5,7 @@ import zlib
 import duckdb
 import numpy as np
 import pytest
+import sentencepiece
 
 import corpus_pipeline
 from tallyhouse.llm import language, licenses, quality, secrets
@@ -24,16 +25,83 @@ def test_language_by_held_out_rows(spark):
     assert np.mean([r["lang_pred"] == langs[r["doc_id"]] for r in held]) >= 0.97
 
 
-def test_forward_sums_all_segmentations():
-    lattice = language.Lattice(["▁the"], SP)
-    table = np.random.default_rng(1).random((len(language._vocabulary(SP)[0]), 2))
-
-    def ways(at):
-        if at == 4:
-            return np.ones(2)
-        return sum((table[lattice.at[at + k, k][0]] if lattice.at[at + k, k][0] >= 0 else np.full(2, language.UNKNOWN if k == 1 else 0.0)) * ways(at + k) for k in range(1, 5 - at) if (at + k, k) in lattice.at)
-
-    assert np.allclose(lattice.probabilities(table)[0][-1][0], ways(0))
+@pytest.fixture(scope="module")
+def vocabulary():
+    """The pieces by text, and a probability of each in two languages."""
+    lib = sentencepiece.SentencePieceProcessor(model_file=SP)
+    texts = [lib.id_to_piece(i) for i in range(lib.get_piece_size()) if not (lib.is_control(i) or lib.is_unknown(i) or lib.is_byte(i))]
+    return {t: k for k, t in enumerate(texts)}, np.random.default_rng(1).random((len(texts), 2)) / 100
+
+
+def segmentations(word, pieces):
+    """All ways to cut a word into pieces and unknown letters."""
+    if not word:
+        yield []
+    for k in range(1, len(word) + 1):
+        if word[:k] in pieces or k == 1:
+            for rest in segmentations(word[k:], pieces):
+                yield [word[:k], *rest]
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_sums_are_over_all_segmentations(vocabulary, seed):
+    pieces, table = vocabulary
+    r = np.random.default_rng(seed)
+    some = ["▁" + "".join("thearniosé的"[k] for k in r.integers(0, 11, int(r.integers(1, 9)))) for _ in range(8)]
+    value = lambda parts: np.prod([table[pieces[p]] if p in pieces else np.full(2, language.UNKNOWN) for p in parts], axis=0)
+    want = [sum(value(s) for s in segmentations(w, pieces)) for w in some]
+    assert np.allclose(np.exp(language.Lattice(some, SP).logs(table)), want, rtol=1e-9)
+    counts = np.zeros_like(table)
+    for w, total in zip(some, want, strict=True):
+        for s in segmentations(w, pieces):
+            for p in s:
+                if p in pieces:
+                    counts[pieces[p]] += value(s) / total
+    got = sum(language.Lattice([w], SP).expected(table, np.ones((1, 2))) for w in some)
+    assert np.allclose(got, counts, atol=1e-12)
+
+
+def plain_log_forward(word, pieces, table):
+    """The forward sum letter by letter, in logarithms."""
+    logs = [np.zeros(2)]
+    for end in range(1, len(word) + 1):
+        ways = [logs[end - k] + (np.log(table[pieces[p]]) if p in pieces else np.log(language.UNKNOWN)) for k in range(1, min(end, 40) + 1) if (p := word[end - k : end]) in pieces or k == 1]
+        logs.append(np.logaddexp.reduce(ways, axis=0))
+    return logs[-1]
+
+
+def test_a_long_run_of_letters_is_one_sum(vocabulary):
+    pieces, table = vocabulary
+    r = np.random.default_rng(3)
+    long = ["▁" + "".join("thearniosé的語"[k] for k in r.integers(0, 12, n)) for n in (5000, 4600, 41, 40, 17)]
+    for group in ([long[0], long[1]], *([w] for w in long)):
+        assert np.allclose(language.Lattice(group, SP).logs(table), [plain_log_forward(w, pieces, table) for w in group], rtol=1e-10)
+    odd = "▁" + "語" * 39  # below the range of doubles if not scaled
+    counts = language.Lattice([odd], SP).expected(table, np.ones((1, 2)))
+    assert np.isfinite(counts).all()
+    word = long[3]
+    a, b = language.Lattice([word], SP).expected(table, np.ones((1, 2))), np.zeros_like(table)
+    eps = 1e-7  # the expected count of a piece is the derivative of the log sum by the log of its probability
+    for k in np.flatnonzero(a[:, 0] > 0.1)[:6]:
+        t = table.copy()
+        t[k] *= 1 + eps
+        b[k] = (language.Lattice([word], SP).logs(t) - language.Lattice([word], SP).logs(table))[0] / eps
+        assert np.allclose(a[k], b[k], rtol=1e-3, atol=1e-5)
+    scorer = language.Scorer(["aa", "bb"], table, SP)
+    text = long[0][1:] + " the " + long[2][1:]
+    total = sum(plain_log_forward("▁" + w, pieces, table) for w in text.split())
+    name, score = scorer.score([text, "the"])
+    assert name[0] == ["aa", "bb"][int(total.argmax())] and abs(score[0] - 1 / (1 + np.exp(-abs(total[0] - total[1])))) < 1e-9
+    assert set(scorer.row) == {"the", long[2][1:]}
+
+
+def test_letters_are_the_same_in_learning_and_prediction(spark):
+    assert language.letters("½ ² ③ Ⅷ _ 12") == [] and language.letters("Ab1cd-É") == ["ab", "cd", "é"]
+    rows = [(k, t, lang) for k, (t, lang) in enumerate([("the cat sat on the mat", "en"), ("der hund und die katze", "de")] * 20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    odd = spark.createDataFrame([(1, "½ ² ③"), (2, "x"), (3, "的" * 5000), (4, None)], "doc_id long, text string")
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language.predict(odd, SP, language.fit(docs, SP)).collect()}
+    assert got[1] == got[4] == ("und", 0.0) and got[2][0] != "und" and got[3][0] != "und"
 
 
 def test_language_on_odd_rows(spark):
