@@ -1,13 +1,14 @@
 """Licence recognition by sentences, with DataFrame functions alone.
 
 A text is cut into sentences, each normalised; those that are known get an identifier, and the sequence of
-identifiers is matched against ordered licence rules. A rule that matches takes its identifiers out of the sequence,
-so what a fuller rule has used is not seen by a shorter one; known sentences that no rule takes make an unnamed licence.
+identifiers is matched against ordered licence rules. A rule takes its identifiers out of the sequence wherever it matches, as often as it does,
+so what a fuller rule has used is not seen by a shorter one; known sentences that no rule takes are told, and make an unnamed licence if nothing else was found.
 """
 
 from __future__ import annotations
 
 from functools import reduce
+from itertools import product
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -93,31 +94,87 @@ SENTENCES = {
     "licensed under cc0 1.0": "Cc0Name",
     "boost software license version 1.0": "BoostName",
     "distributed under the boost software license version 1.0": "BoostName",
+    "in no event shall the copyright holder or contributors be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services": "BsdLiability",
+    "loss of use data or profits": "BsdLoss",
+    "or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage": "BsdInterruption",
+    "the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness": "IscWarranty",
+    "in no event shall the author be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software": "IscLiability",
+    "subject to the terms and conditions of this license each contributor hereby grants to you a perpetual worldwide non exclusive no charge royalty free irrevocable copyright license to reproduce prepare derivative works of publicly display publicly perform sublicense and distribute the work and such derivative works in source or object form": "ApacheCopyright",
+    "subject to the terms and conditions of this license each contributor hereby grants to you a perpetual worldwide non exclusive no charge royalty free irrevocable except as stated in this section patent license to make have made use offer to sell sell import and otherwise transfer the work where such license applies only to those patent claims licensable by such contributor that are necessarily infringed by their contribution s alone or by combination of their contribution s with the work to which such contribution s was submitted": "ApachePatent",
+    "you may reproduce and distribute copies of the work or derivative works thereof in any medium with or without modifications and in source or object form provided that you meet the following conditions": "ApacheRedistribution",
+    "this license does not grant permission to use the trade names trademarks service marks or product names of the licensor except as required for reasonable and customary use in describing the origin of the work and reproducing the content of the notice file": "ApacheTrademarks",
+    "gnu general public license": "GplTitle",
+    "gnu lesser general public license": "LgplTitle",
+    "gnu affero general public license": "AgplTitle",
+    "version 2 june 1991": "GnuVersion2",
+    "version 3 29 june 2007": "GnuVersion3",
+    "version 3 19 november 2007": "GnuVersion3",
+    "everyone is permitted to copy and distribute verbatim copies of this license document but changing it is not allowed": "GnuVerbatim",
+    "the gnu general public license is a free copyleft license for software and other kinds of works": "Gpl3Preamble",
+    "the licenses for most software and other practical works are designed to take away your freedom to share and change the works": "Gpl3Freedom",
+    "the licenses for most software are designed to take away your freedom to share and change it": "Gpl2Freedom",
+    "the gnu affero general public license is a free copyleft license for software and other kinds of works specifically designed to ensure cooperation with the community in the case of network server software": "AgplPreamble",
+    "this version of the gnu lesser general public license incorporates the terms and conditions of version 3 of the gnu general public license supplemented by the additional permissions listed below": "LgplBody",
+    "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version": "Gpl3LaterTerms",
+    "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version": "Gpl2LaterTerms",
+    "you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version": "Lgpl3LaterTerms",
+    "you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version": "Agpl3LaterTerms",
+    "see the gnu lesser general public license for more details": "LgplSee",
+    "see the gnu affero general public license for more details": "AgplSee",
+    "mozilla public license version 2.0": "MplTitle",
+    "contributor means each individual or legal entity that creates contributes to the creation of or owns covered software": "MplContributor",
+    "each contributor hereby grants you a world wide royalty free non exclusive license": "MplGrant",
+    "eclipse public license v 1.0": "Epl1Title",
+    "eclipse public license v 2.0": "Epl2Title",
+    "the accompanying program is provided under the terms of this eclipse public license agreement": "EplTerms",
+    "any use reproduction or distribution of the program constitutes recipient s acceptance of this agreement": "EplAcceptance",
+    "this program and the accompanying materials are made available under the terms of the eclipse public license 2.0 which is available at https www.eclipse.org legal epl 2.0": "Epl2Notice",
+    "this software is provided as is without any express or implied warranty": "ZlibAsIs",
+    "in no event will the authors be held liable for any damages arising from the use of this software": "ZlibLiability",
+    "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions": "ZlibGrant",
     "all rights reserved": "AllRights",
 }
 #: Fixed values, in order: a licence, and the identifiers that it takes one after another; ``?`` may be missing, ``|`` separates alternatives.
 RULES = [
     ("MIT", "MitTitle? MitGrant MitNotice MitWarranty MitLiability?"),
-    ("BSD-3-Clause", "BsdGrant BsdSource BsdBinary BsdEndorse BsdWarranty?"),
-    ("BSD-2-Clause", "BsdGrant BsdSource BsdBinary BsdWarranty?"),
+    ("BSD-3-Clause", "BsdGrant BsdSource BsdBinary BsdEndorse BsdWarranty? BsdLiability? BsdLoss? BsdInterruption?"),
+    ("BSD-2-Clause", "BsdGrant BsdSource BsdBinary BsdWarranty? BsdLiability? BsdLoss? BsdInterruption?"),
+    ("Apache-2.0", "ApacheTitle? ApacheCopyright ApachePatent? ApacheRedistribution? ApacheTrademarks?"),
     ("Apache-2.0", "ApacheLicensed|ApacheName ApacheUse ApacheObtain ApacheAddress? ApacheBasis ApacheSee?"),
-    ("LGPL-3.0-or-later", "GplFree? LgplTerms GplVersion3Later"),
+    ("AGPL-3.0-only", "AgplTitle? GnuVersion3? GnuVerbatim? AgplPreamble"),
+    ("LGPL-3.0-only", "LgplTitle? GnuVersion3? GnuVerbatim? LgplBody"),
+    ("GPL-3.0-only", "GplTitle? GnuVersion3? GnuVerbatim? Gpl3Preamble Gpl3Freedom?"),
+    ("GPL-2.0-only", "GplTitle? GnuVersion2? GnuVerbatim? Gpl2Freedom"),
+    ("AGPL-3.0-or-later", "GplFree? Agpl3LaterTerms GplHope? GplEven? AgplSee?"),
+    ("LGPL-3.0-or-later", "GplFree? Lgpl3LaterTerms GplHope? GplEven? LgplSee?"),
+    ("GPL-3.0-or-later", "GplFree? Gpl3LaterTerms GplHope? GplEven? GplSee? GplReceived?"),
+    ("GPL-2.0-or-later", "GplFree? Gpl2LaterTerms GplHope? GplEven? GplSee? GplReceived?"),
+    ("LGPL-3.0-or-later", "GplFree? LgplTerms GplVersion3Later GplHope? GplEven? LgplSee?"),
     ("GPL-3.0-or-later", "GplFree? GplTerms GplVersion3Later GplHope? GplEven? GplSee? GplReceived?"),
     ("GPL-2.0-or-later", "GplFree? GplTerms GplVersion2Later GplHope? GplEven? GplSee? GplReceived?"),
+    ("MPL-2.0", "MplTitle? MplContributor MplGrant?"),
     ("MPL-2.0", "MplTerms MplObtain?"),
-    ("ISC", "IscGrant"),
+    ("EPL-2.0", "Epl2Title EplTerms? EplAcceptance?"),
+    ("EPL-1.0", "Epl1Title EplTerms? EplAcceptance?"),
+    ("EPL-2.0", "Epl2Notice"),
+    ("ISC", "IscGrant IscWarranty? IscLiability?"),
+    ("Zlib", "ZlibAsIs? ZlibLiability? ZlibGrant"),
     ("Unlicense", "UnlicenseGrant"),
     ("MIT", "MitName"),
     ("MIT", "MitTitle"),
     ("Apache-2.0", "ApacheTitle? ApacheLicensed|ApacheName"),
     ("BSD-3-Clause", "Bsd3Name"),
     ("BSD-2-Clause", "Bsd2Name"),
-    ("GPL-3.0-only", "Gpl3Name"),
+    ("GPL-3.0-only", "GplTitle? Gpl3Name"),
     ("GPL-3.0-or-later", "Gpl3LaterName"),
-    ("GPL-2.0-only", "Gpl2Name"),
-    ("LGPL-3.0-only", "Lgpl3Name"),
-    ("AGPL-3.0-only", "Agpl3Name"),
-    ("MPL-2.0", "MplName"),
+    ("GPL-2.0-only", "GplTitle? Gpl2Name"),
+    ("GPL-3.0-only", "GplTitle GnuVersion3"),
+    ("GPL-2.0-only", "GplTitle GnuVersion2"),
+    ("LGPL-3.0-only", "LgplTitle? Lgpl3Name"),
+    ("LGPL-3.0-only", "LgplTitle GnuVersion3"),
+    ("AGPL-3.0-only", "AgplTitle? Agpl3Name"),
+    ("AGPL-3.0-only", "AgplTitle GnuVersion3"),
+    ("MPL-2.0", "MplName|MplTitle"),
     ("ISC", "IscName"),
     ("CC-BY-NC-SA-4.0", "CcByNcSaName"),
     ("CC-BY-NC-4.0", "CcByNcName"),
@@ -134,21 +191,19 @@ UNNAMED = "LicenseRef-unnamed"
 #: The colon of an SPDX tag and the full stop of "v." before a digit end none.
 _INNER = r"(?<!\bspdx-license-identifier:)(?!(?<=\bv\.)[ \t\r\n*#/;-]+[0-9])"
 ENDS = {"lines": rf"[.!?;:]+[ \t\r]*\n[ \t\r\n]*|[.!?;:]++{_INNER}[ \t\r]+|\n[ \t\r\n]*", "wrapped": rf"[.!?;:]++{_INNER}[ \t\r\n]+|\n[ \t\r]*\n[ \t\r\n]*"}
-#: The ends in the SQL, which cut there too: RE2 cannot look around.
-SQL_ENDS = {"lines": r"[.!?;:]+[ \t\r]*\n[ \t\r\n]*|[.!?;:]+[ \t\r]+|\n[ \t\r\n]*", "wrapped": r"[.!?;:]+[ \t\r\n]+|\n[ \t\r]*\n[ \t\r\n]*"}
 
 
 def rule_pattern(rule: str) -> str:
-    """A regular expression over ``,Id,Id,...,``."""
+    """A regular expression over ``,Id,,Id,``: every identifier has both its commas, so that notices which follow each other share none."""
     out = ""
     for part in rule.split():
-        ids = f"(?:{part.rstrip('?')}),"
+        ids = f",(?:{part.rstrip('?')}),"
         out += f"(?:{ids})?" if part.endswith("?") else ids
-    return f",{out}"
+    return out
 
 
 def _known(kind: str) -> Column:
-    """Identifiers of the known sentences of column text, in order, as ``,Id,Id,``."""
+    """Identifiers of the known sentences of column text, in order, as ``,Id,,Id,``."""
     marked = F.regexp_replace(F.lower("text"), ENDS[kind], "\n") if kind == "lines" else F.regexp_replace(F.regexp_replace(F.lower("text"), ENDS[kind], "\u0001"), "\n", " ")
     mark = "\n" if kind == "lines" else "\u0001"
     sentences = F.split(F.regexp_replace(marked, f"[^a-z0-9.{mark}]+", " "), mark)
@@ -158,70 +213,86 @@ def _known(kind: str) -> Column:
 
 
 def _licences(sequence: Column) -> Column:
-    """The licences whose rules match, in the rules' order, repeated identifiers being one."""
+    """(found, left): the licences whose rules match, in the rules' order, and the sequence without what they took, a bar in its place."""
     rules = F.array(*[F.struct(F.lit(name).alias("name"), F.lit(rule_pattern(rule)).alias("pattern")) for name, rule in RULES])
-    start = F.struct(F.regexp_replace(sequence, ",,", ",").alias("left"), F.array().cast("array<string>").alias("found"))
+    start = F.struct(sequence.alias("left"), F.array().cast("array<string>").alias("found"))
 
     def step(state: Column, rule: Column) -> Column:
-        left = F.regexp_replace(state["left"], rule["pattern"], F.lit(","))
+        left = F.regexp_replace(state["left"], rule["pattern"], F.lit("|"))
         return F.struct(left.alias("left"), F.when(left != state["left"], F.array_append(state["found"], rule["name"])).otherwise(state["found"]).alias("found"))
 
-    end = F.aggregate(rules, start, step)
-    return F.array_distinct(F.when(F.length(F.replace(end["left"], F.lit(","))) > 0, F.array_append(end["found"], F.lit(UNNAMED))).otherwise(end["found"]))
+    return F.when(sequence == "", start).otherwise(F.aggregate(rules, start, step))
+
+
+def _ids(sequence: Column) -> Column:
+    return F.filter(F.split(sequence, "[,|]+"), lambda x: x != "")
 
 
 def scan(docs: DataFrame) -> DataFrame:
     """Licences of every whole text of ``docs`` (doc_id, text).
 
     A row per row: doc_id, sentence_ids (identifiers in order, comma-separated; lines as sentences first, then, where they differ, lines joined), licenses
-    (comma-separated, ascending, empty if none) and n_known. Null and empty texts have none. Repeated rows and null doc_ids stay, extra columns are left out, an empty table stays empty. No shuffle.
+    (comma-separated, ascending, empty if none), n_known and unclaimed (identifiers that no rule took in either reading, comma-separated, ascending). A text with known sentences and no licence has UNNAMED. Null and empty texts have none.
+    Repeated rows and null doc_ids stay, extra columns are left out, an empty table stays empty. No shuffle.
     """
-    both = docs.select("doc_id", _known("lines").alias("a"), _known("wrapped").alias("b"))
+    both = docs.select("doc_id", F.coalesce(_known("lines"), F.lit("")).alias("a"), F.coalesce(_known("wrapped"), F.lit("")).alias("b"))
     # Lines that are sentences show in either reading; each reading has its own sequence for the rules.
-    nothing = F.array().cast("array<string>")
-    found = both.select(
-        "doc_id", F.coalesce("a", F.lit("")).alias("a"), F.when(F.coalesce("b", F.lit("")) == F.coalesce("a", F.lit("")), "").otherwise(F.coalesce("b", F.lit(""))).alias("b"),
-    )
-    found = found.withColumn("ids", F.concat("a", "b")).withColumn(
-        "found", F.when(F.col("ids") == "", nothing).otherwise(F.array_union(F.when(F.col("a") == "", nothing).otherwise(_licences(F.col("a"))), F.when(F.col("b") == "", nothing).otherwise(_licences(F.col("b")))))
-    )
-    ids = F.trim(F.regexp_replace("ids", ",+", ","), F.lit(","))
-    named = F.filter("found", lambda x: x != UNNAMED)
-    licences = F.when(F.size(named) > 0, named).otherwise(F.col("found"))
-    return found.select("doc_id", ids.alias("sentence_ids"), F.array_join(F.array_sort(licences), ",").alias("licenses"), F.when(F.col("ids") == "", 0).otherwise(F.size(F.split(ids, ","))).cast("long").alias("n_known"))
+    found = both.withColumn("b", F.when(F.col("a") == F.col("b"), "").otherwise(F.col("b"))).withColumns({"ra": _licences(F.col("a")), "rb": _licences(F.col("b")), "ids": _ids(F.concat("a", "b"))})
+    left_a, left_b = _ids(F.col("ra.left")), _ids(F.col("rb.left"))
+    unclaimed = F.array_union(F.array_except(left_a, F.array_except(_ids(F.col("b")), left_b)), F.array_except(left_b, F.array_except(_ids(F.col("a")), left_a)))
+    named = F.array_union("ra.found", "rb.found")
+    licences = F.when((F.size(named) == 0) & (F.size("ids") > 0), F.array(F.lit(UNNAMED))).otherwise(named)
+    return found.select("doc_id", F.array_join("ids", ",").alias("sentence_ids"), F.array_join(F.array_sort(licences), ",").alias("licenses"), F.size("ids").cast("long").alias("n_known"), F.array_join(F.array_sort(unclaimed), ",").alias("unclaimed"))
+
+
+def _spelled_out(rule: str) -> list[str]:
+    """All sequences that a rule takes, longer ones first."""
+    ways = [[()] * part.endswith("?") + [(x,) for x in part.rstrip("?").split("|")] for part in rule.split()]
+    return sorted(("".join(f",{x}," for step in way for x in step) for way in product(*ways)), key=lambda w: (-w.count(","), w))
 
 
 def oracle() -> str:
-    """The same in SQL for DuckDB, but for texts with an SPDX tag or "v." before a number (SQL_ENDS)."""
+    """The same in SQL for DuckDB: sentences by other expressions, since RE2 cannot look around, and every sequence that a rule takes spelled out instead of its pattern."""
     quoted = ", ".join(f"'{s}'" for s in SENTENCES)
     table = "MAP {" + ", ".join(f"'{s}': '{i}'" for s, i in SENTENCES.items()) + "}"
+    blank = {"lines": r"[ \t\r]", "wrapped": r"[ \t\r\n]"}
+    ends = {"lines": r"[.!?;:]+[ \t\r]*\n[ \t\r\n]*|[.!?;:]+[ \t\r]+|\n[ \t\r\n]*", "wrapped": r"[.!?;:]+[ \t\r\n]+|\n[ \t\r]*\n[ \t\r\n]*"}
 
     def known(kind: str) -> str:
         mark = "chr(10)" if kind == "lines" else "chr(1)"
-        marked = f"regexp_replace(lower(text), '{SQL_ENDS[kind]}', {mark}, 'g')"
+        # a tag's colon becomes a space, and the stop of "v." before a number chr(2), until sentences are cut
+        after = blank[kind] + ("+[^ \\t\\r\\n]" if kind == "lines" else "")
+        held = rf"regexp_replace(lower(text), '\bspdx-license-identifier:({after})', 'spdx-license-identifier \1', 'g')"
+        between = r"[ \t*#/;-]+" if kind == "lines" else r"[ \t\r\n*#/;-]+"
+        held = rf"regexp_replace({held}, '\bv\.({between}[0-9])', 'v' || chr(2) || '\1', 'g')"
+        marked = f"regexp_replace({held}, '{ends[kind]}', {mark}, 'g')"
         if kind == "wrapped":
             marked = f"replace({marked}, chr(10), ' ')"
-        cleaned = f"regexp_replace({marked}, '[^a-z0-9.' || {mark} || ']+', ' ', 'g')"
+        cleaned = f"regexp_replace(replace({marked}, chr(2), '.'), '[^a-z0-9.' || {mark} || ']+', ' ', 'g')"
         return f"coalesce(list_aggregate(list_transform(list_filter(list_transform(string_split({cleaned}, {mark}), lambda s: trim(s, ' .')), lambda s: s IN ({quoted})), lambda s: ',' || {table}[s] || ','), 'string_agg', ''), '')"
 
+    def taken(column: str, rule: str) -> str:
+        return reduce(lambda x, way: f"replace({x}, '{way}', '|')", _spelled_out(rule), column)
+
     def chain(column: str) -> str:
-        steps = [f"{column}0 AS (SELECT *, regexp_replace({column}, ',,', ',', 'g') AS {column}_0 FROM %s)"]
-        steps += [f"{column}{k} AS (SELECT *, regexp_replace({column}_{k - 1}, '{rule_pattern(rule)}', ',', 'g') AS {column}_{k} FROM {column}{k - 1})" for k, (_, rule) in enumerate(RULES, 1)]
+        steps = [f"{column}0 AS (SELECT *, {column} AS {column}_0 FROM %s)"]
+        steps += [f"{column}{k} AS (SELECT *, {taken(f'{column}_{k - 1}', rule)} AS {column}_{k} FROM {column}{k - 1})" for k, (_, rule) in enumerate(RULES, 1)]
         return ",\n".join(steps)
 
     def names(column: str) -> str:
-        parts = [f"CASE WHEN {column}_{k} <> {column}_{k - 1} THEN '{name}' END" for k, (name, _) in enumerate(RULES, 1)]
-        parts.append(f"CASE WHEN length(replace({column}_{len(RULES)}, ',', '')) > 0 THEN '{UNNAMED}' END")
-        return reduce(lambda a, b: f"{a}, {b}", parts)
+        return ", ".join(f"CASE WHEN {column}_{k} <> {column}_{k - 1} THEN '{name}' END" for k, (name, _) in enumerate(RULES, 1))
 
+    ids = lambda x: f"list_filter(string_split(replace({x}, '|', ','), ','), lambda s: s <> '')"
+    last = len(RULES)
     return f"""
 WITH both_ AS (SELECT doc_id, {known("lines")} AS a, {known("wrapped")} AS b FROM documents),
 seq AS (SELECT doc_id, a, CASE WHEN a = b THEN '' ELSE b END AS b FROM both_),
 {chain("a") % "seq"},
-{chain("b") % f"a{len(RULES)}"},
-named AS (SELECT doc_id, a || b AS ids, list_distinct(list_filter([{names("a")}, {names("b")}], lambda x: x IS NOT NULL)) AS found FROM b{len(RULES)}),
-best AS (SELECT *, list_filter(found, lambda x: x <> '{UNNAMED}') AS n FROM named)
-SELECT doc_id, trim(regexp_replace(ids, ',+', ',', 'g'), ',') AS sentence_ids,
-       array_to_string(list_sort(CASE WHEN len(n) > 0 THEN n ELSE found END), ',') AS licenses,
-       CASE WHEN ids = '' THEN 0 ELSE len(string_split(trim(regexp_replace(ids, ',+', ',', 'g'), ','), ',')) END AS n_known
-FROM best"""
+{chain("b") % f"a{last}"},
+named AS (SELECT doc_id, {ids("a")} AS ia, {ids("b")} AS ib, {ids(f"a_{last}")} AS la, {ids(f"b_{last}")} AS lb, list_distinct(list_filter([{names("a")}, {names("b")}], lambda x: x IS NOT NULL)) AS found FROM b{last}),
+sets AS (SELECT *, list_filter(ia, lambda x: NOT list_contains(la, x)) AS ca, list_filter(ib, lambda x: NOT list_contains(lb, x)) AS cb FROM named)
+SELECT doc_id, array_to_string(ia || ib, ',') AS sentence_ids,
+       CASE WHEN len(found) = 0 AND len(ia || ib) > 0 THEN '{UNNAMED}' ELSE array_to_string(list_sort(found), ',') END AS licenses,
+       len(ia || ib) AS n_known,
+       array_to_string(list_sort(list_distinct(list_filter(la, lambda x: NOT list_contains(cb, x)) || list_filter(lb, lambda x: NOT list_contains(ca, x)))), ',') AS unclaimed
+FROM sets"""
