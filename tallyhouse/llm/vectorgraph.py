@@ -1,16 +1,19 @@
 """Near-duplicate vectors by a robust-pruned flat graph.
 
 Vectors fall into overlapping clusters, and large clusters into shards. On each shard a graph of near and of random neighbours is
-built and pruned so that no kept neighbour is much nearer to another kept one; the shards' adjacency lists are united. Every vector then searches the
-shards of its own cluster: a greedy walk from the medoid, then expansion to all that lie in range. What it meets is verified in double precision.
-Recall is audited against brute force over all rows, and the overlap widened if it falls short.
+built and pruned so that no kept neighbour is much nearer to another kept one; the shards' adjacency lists are united. Every vector then searches its
+own cluster: a greedy walk from the medoids of its shards, then expansion to all that lie in range. Where a united list leads from there to a vector of another cluster
+that may be in range, the search goes on in that cluster, until it leads nowhere new. What it meets is verified in double precision.
+Each pair that was found counts once, for both of its ends. Recall is audited against brute force over all rows, and the overlap widened if it falls short.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,15 +22,20 @@ from tallyhouse.llm.components import components
 from tallyhouse.llm.storage import written
 from tallyhouse.llm.vectors import dimension_of, lloyd, matrix, sample, valid_rows
 
-#: Vectors a cluster and a shard are meant to have, and clusters at most; neighbours kept, near and random ones looked at; the pruning factor.
+#: Vectors a cluster and a shard are meant to have, and centres learned at a time: a table that needs more clusters has its clusters cut again.
 CLUSTER, SHARD, MOST_CLUSTERS = 2000, 4000, 4096
+#: Vectors that the centres within a cluster are learned from at most.
+LEARN_WITHIN = 20_000
 #: Queries that meet a shard in one task; more of them meet copies of the shard in other tasks.
 QUERIES = 32_000
 #: Vectors that a pass of the audit asks at most.
 AUDIT_BLOCK = 4096
+#: Neighbours kept, near and random ones looked at; the pruning factor.
 DEGREE, NEAR, RANDOM, ALPHA = 24, 48, 48, 1.2
 #: Expansion goes on from vectors this much below the threshold too.
 SLACK = 0.05
+#: A list's entry: a neighbour, its cosine and its cluster.
+ENTRY = np.dtype([("id", "<i8"), ("cosine", "<f4"), ("home", "<i4")])
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -61,14 +69,14 @@ def robust_prune(x: np.ndarray, near: np.ndarray, seed: int) -> list[np.ndarray]
     return [np.array(sorted(a | b), np.int64) for a, b in zip(kept, back, strict=True)]
 
 
-def range_search(x: np.ndarray, lists: list[np.ndarray], q: np.ndarray, starts: list[int], threshold: float) -> np.ndarray:
-    """Rows with ``x @ q >= threshold`` that a walk from ``starts`` meets."""
+def range_search(x: np.ndarray, lists: list[np.ndarray], q: np.ndarray, starts: list[int], threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Rows that a walk from ``starts`` meets with ``x @ q >= threshold - SLACK``, and these products."""
     seen = np.zeros(len(x), bool)
     frontier = np.array(sorted(set(starts)))
     seen[frontier] = True
     score = x[frontier] @ q
-    best = score.max()
-    hits = [frontier[score >= threshold]]
+    best, least = score.max(), threshold - SLACK
+    hits, scores = [frontier[score >= least]], [score[score >= least]]
     while len(frontier):
         around = np.unique(np.concatenate([lists[k] for k in frontier.tolist()]))
         around = around[~seen[around]]
@@ -76,14 +84,15 @@ def range_search(x: np.ndarray, lists: list[np.ndarray], q: np.ndarray, starts:
             break
         seen[around] = True
         score = x[around] @ q
-        hits.append(around[score >= threshold])
+        hits.append(around[score >= least])
+        scores.append(score[score >= least])
         # in range: go on from all of them; not yet there: from those that come nearer, and the nearest few
-        on = score >= threshold - SLACK
+        on = score >= least
         if not on.any() and score.max() > best:
             on = score >= np.partition(score, max(0, len(score) - 4))[max(0, len(score) - 4)]
         best = max(best, score.max())
         frontier = around[on]
-    return np.concatenate(hits)
+    return np.concatenate(hits), np.concatenate(scores)
 
 
 def _runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[tuple, pa.RecordBatch]]:
@@ -116,17 +125,30 @@ def _matrix(t: pa.Table | pa.RecordBatch) -> np.ndarray:
 
 
 class Shard:
-    """A shard's vectors and lists in memory, searched by any number of batches of queries."""
+    """A shard's vectors and lists in memory, searched by any number of batches of queries.
 
-    def __init__(self, t: pa.Table, threshold: float):
-        self.threshold, self.x, self.ids, self.copies = threshold, _matrix(t), t.column("node").to_numpy(), t.column("copies").to_numpy()
+    A pair counts once, whoever finds it: of two vectors of one cluster the smaller id counts it. A query from another cluster counts what it
+    meets unless that has searched the query's cluster before, or does so in the same round and has the smaller id.
+    """
+
+    def __init__(self, cluster: int, t: pa.Table, threshold: float):
+        self.cluster, self.threshold = cluster, threshold
+        self.x, self.ids, self.copies = _matrix(t), t.column("node").to_numpy(), t.column("copies").to_numpy()
+        self.before, self.now = t.column("before").to_pylist(), t.column("now").to_pylist()
         order = np.argsort(self.ids)
-        self.around = []
-        for a in t.column("around").to_pylist():
-            k = np.minimum(np.searchsorted(self.ids[order], a), len(self.ids) - 1)
-            self.around.append(order[k[self.ids[order][k] == a]])
+        self.around, outside = [], []
+        for owner, parts in enumerate(t.column("around").to_pylist()):
+            a = np.frombuffer(b"".join(parts), ENTRY)
+            k = np.minimum(np.searchsorted(self.ids[order], a["id"]), len(self.ids) - 1)
+            self.around.append(np.unique(order[k[self.ids[order][k] == a["id"]]]))
+            a = a[a["home"] != cluster]
+            outside.append(np.rec.fromarrays([np.full(len(a), owner), np.arccos(np.clip(a["cosine"], -1, 1)), a["home"]], names="owner,angle,home"))
+        self.first = np.cumsum([0, *map(len, outside)])
+        self.outside = np.concatenate(outside)
         self.at = {int(i): k for k, i in enumerate(self.ids)}
         self.medoid = int((self.x @ self.x.mean(axis=0)).argmax())
+        self.credit = np.zeros(len(self.ids), np.int64)
+        self.searched: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         self.top: dict[int, int] = {}
 
     def _root(self, i: int) -> int:
@@ -135,31 +157,53 @@ class Shard:
             top[i] = i = top[top[i]]
         return i
 
+    def _counts(self, i: int, home: int, hits: np.ndarray) -> np.ndarray:
+        """Which hits of query ``i`` count."""
+        if home == self.cluster:
+            return self.ids[hits] > i
+        if home not in self.searched:
+            self.searched[home] = np.array([home in s for s in self.before]), np.array([home in s for s in self.now])
+        before, now = self.searched[home]
+        return ~before[hits] & (~now[hits] | (self.ids[hits] > i))
+
+    def _onward(self, near: np.ndarray, score: np.ndarray) -> set[int]:
+        """Clusters of listed neighbours that may be as near to the query as expansion goes: the angle to them is at least the difference of the two that are known."""
+        n = self.first[near + 1] - self.first[near]
+        if not n.sum():
+            return set()
+        at = np.repeat(self.first[near] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        angle = np.repeat(np.arccos(np.clip(score, -1, 1)), n)
+        part = self.outside[at]
+        return set(part["home"][np.cos(angle - part["angle"]) >= self.threshold - SLACK].tolist())
+
     def search(self, queries: pa.RecordBatch) -> pa.RecordBatch:
-        """Links of each query, and an edge from each that is not of this shard; what the shard's own vectors share is kept for ``edges``."""
-        ids = queries.column("node").to_pylist()
-        counts, ends = [], []
-        for i, q in zip(ids, _matrix(queries), strict=True):
+        """Links of each query, clusters to go on to, and an edge from each that is not of this shard; what the shard's own vectors have is kept for ``rest``."""
+        out: list[tuple] = []
+        for i, home, copies, q in zip(*(queries.column(k).to_pylist() for k in ("node", "home", "copies")), _matrix(queries), strict=True):
             inside = i in self.at
-            hits = range_search(self.x, self.around, q, [self.medoid] + ([self.at[i]] if inside else []), self.threshold)
-            hits = hits[self.ids[hits] != i]
-            counts.append(int(self.copies[hits].sum()))
+            near, score = range_search(self.x, self.around, q, [self.medoid] + ([self.at[i]] if inside else []), self.threshold)
+            out += [(i, None, None, c) for c in self._onward(near, score) if c != home]
+            hits = near[(score >= self.threshold) & (self.ids[near] != i)]
+            counted = hits[self._counts(i, home, hits)]
+            self.credit[counted] += copies
+            out.append((i, int(self.copies[counted].sum()), None, None))
             met = self.ids[hits].tolist()
             if met and not inside:
-                ends.append((i, met[0]))
+                out.append((i, None, met[0], None))
             for j in met:
                 a, b = self._root(i if inside else met[0]), self._root(j)
                 if a != b:
                     self.top[max(a, b)] = min(a, b)
-        return _finds(ids, counts, ends)
+        return _finds(out)
 
-    def edges(self) -> pa.RecordBatch:
-        """Edges that span what the shard's vectors share: fewer than it has vectors."""
-        return _finds([], [], [(i, self._root(i)) for i in list(self.top) if self._root(i) != i])
+    def rest(self) -> pa.RecordBatch:
+        """What was counted for the shard's own vectors, and edges that span what they share: fewer than it has vectors."""
+        return _finds([(int(i), int(n), None, None) for i, n in zip(self.ids, self.credit, strict=True) if n] + [(i, None, self._root(i), None) for i in list(self.top) if self._root(i) != i])
 
 
-def _finds(ids: list[int], counts: list[int], ends: list[tuple[int, int]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([*ids, *(i for i, _ in ends)], pa.int64()), pa.array([*counts, *[None] * len(ends)], pa.int64()), pa.array([*[None] * len(ids), *(r for _, r in ends)], pa.int64())], names=["node", "links", "root"])
+def _finds(rows: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) or [()] * 4
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.int32()), strict=True)], names=["node", "links", "root", "onward"])
 
 
 def find_links(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
@@ -168,17 +212,17 @@ def find_links(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[
     for (*at, role), run in _runs(batches, ["cluster", "shard", "block", "role"]):
         if at != key:
             if shard:
-                yield shard.edges()
+                yield shard.rest()
             key, held, shard = at, [], None
         if role == 0:
             held.append(run)
             continue
         if shard is None and held:
-            shard, held = Shard(pa.Table.from_batches(held), threshold), []
+            shard, held = Shard(key[0], pa.Table.from_batches(held), threshold), []
         if shard:
             yield shard.search(run)
     if shard:
-        yield shard.edges()
+        yield shard.rest()
 
 
 def near_duplicates(rows: DataFrame, id_column: str = "vec_id", vector_column: str = "embedding", threshold: float = 0.9, overlap: int = 2, learn_from: int = 20_000, audit: int = 100, recall: float = 0.95) -> DataFrame:
@@ -199,10 +243,12 @@ def near_duplicates(rows: DataFrame, id_column: str = "vec_id", vector_column: s
     members = written(valid.withColumn("key", F.sha2(F.array_join(F.transform("v", lambda x: F.hex(F.xxhash64(x + F.lit(0.0)))), ""), 256)), "vectors")
     nodes = written(members.groupBy("key").agg(F.min("id").alias("node"), F.count("*").alias("copies"), F.first("v").alias("v")), "nodes")
     n = nodes.count()
-    centres = _unit(lloyd(_unit(sample(nodes.select(F.col("node").alias("id"), "v"), learn_from)), max(1, min(MOST_CLUSTERS, round(n / CLUSTER)))))
+    clusters = max(1, round(n / CLUSTER))
+    finer = -(-clusters // MOST_CLUSTERS)
+    centres = _unit(lloyd(_unit(sample(nodes.select(F.col("node").alias("id"), "v"), learn_from)), -(-clusters // finer)))
     asked = _audit_sample(nodes, audit, threshold) if overlap < len(centres) else []
     while True:
-        found, edges = _search(nodes, centres, min(overlap, len(centres)), threshold)
+        found, edges = _search(nodes, centres, min(overlap, len(centres)), threshold, finer)
         if overlap >= len(centres) or _recall(found, asked) >= recall:
             break
         overlap += 2
@@ -220,51 +266,124 @@ def _takes_part(id_column: str, vector_column: str, d: int):
     return F.col(id_column).isNotNull() & usable(vector_column) & (F.size(vector_column) == d)
 
 
-def _search(nodes: DataFrame, centres: np.ndarray, overlap: int, threshold: float) -> tuple[DataFrame, DataFrame]:
-    """links per node (node, links: other rows within range of it), and edges (a, b) that span each shard's finds."""
-    spark = nodes.sparkSession
-    shared = spark.sparkContext.broadcast(centres)
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+def _nearest_clusters(x: np.ndarray, centres: np.ndarray, n: int) -> np.ndarray:
+    return np.argsort(-(x @ centres.T), axis=1, kind="stable")[:, :n].astype(np.int32)
+
+
+def _placements(cluster: np.ndarray, own: np.ndarray, batch: pa.RecordBatch, at: np.ndarray, v: pa.Array) -> pa.RecordBatch:
+    take = pa.array(at)
+    return pa.RecordBatch.from_arrays([pa.array(cluster, pa.int32()), pa.array(own), batch.column("node").take(take), batch.column("copies").take(take), v.take(take)], names=["cluster", "own", "node", "copies", "v"])
+
+
+PLACED = "cluster int, own boolean, node long, copies long, v binary"
+
+
+def _place(nodes: DataFrame, centres: np.ndarray, overlap: int) -> DataFrame:
+    """Each node in the clusters of its ``overlap`` nearest centres; ``own`` is the nearest."""
+    shared = nodes.sparkSession.sparkContext.broadcast(centres)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
             x = _unit(matrix(batch.column("v")))
-            near = np.argsort(-(x @ shared.value.T), axis=1, kind="stable")[:, :overlap]
-            at = np.repeat(np.arange(len(x)), near.shape[1])
-            cluster = near.reshape(-1).astype(np.int32)
-            own = (np.arange(len(at)) % near.shape[1]) == 0
+            near = _nearest_clusters(x, shared.value, overlap)
+            at = np.arange(near.size)
             v = pa.array([r.astype("<f8").tobytes() for r in x], pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(cluster), pa.array(own), batch.column("node").take(pa.array(at)), batch.column("copies").take(pa.array(at)), v.take(pa.array(at))], names=["cluster", "own", "node", "copies", "v"])
+            yield _placements(near.reshape(-1), at % near.shape[1] == 0, batch, at // near.shape[1], v)
 
-    placed = written(nodes.select("node", "copies", "v").mapInArrow(assign, "cluster int, own boolean, node long, copies long, v binary"), "clusters")
-    sizes = placed.groupBy("cluster").count().select("cluster", F.ceil(F.col("count") / SHARD).cast("int").alias("shards"), F.ceil(F.col("count") / QUERIES).cast("int").alias("blocks"))  # a row a cluster
-    placed = placed.join(F.broadcast(sizes), "cluster").withColumn("shard", F.pmod(F.xxhash64("node"), "shards").cast("int"))
+    return nodes.select("node", "copies", "v").mapInArrow(assign, PLACED)
+
+
+def _place_within(placed: DataFrame, finer: int, overlap: int) -> DataFrame:
+    """Clusters cut into ``finer`` each, by centres learned from LEARN_WITHIN of their own vectors at most; vectors of other clusters join the nearest one.
+
+    A cluster's centres come to tasks before its vectors; a large one is dealt to several tasks.
+    """
+    n = int(placed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sizes = placed.where("own").groupBy("cluster").count()
+    part = F.least(F.lit(1.0), F.lit(float(LEARN_WITHIN)) / F.col("count"))
+    some = placed.where("own").join(sizes, "cluster").where(F.pmod(F.xxhash64("node", F.lit(7)), F.lit(1 << 20)) < part * (1 << 20)).select("cluster", "node", "v")
+
+    def learn(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("node")
+        x = np.stack([np.frombuffer(v, "<f8") for v in frame["v"]])
+        return pd.DataFrame({"cluster": frame["cluster"][:1], "v": [_unit(lloyd(x, finer)).astype("<f8").tobytes()]})
+
+    centres = some.groupBy("cluster").applyInPandas(learn, "cluster int, v binary")
+    blocks = sizes.select("cluster", F.ceil(F.col("count") / QUERIES).cast("int").alias("blocks"))
+    heads = centres.join(blocks, "cluster").select("cluster", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(0).alias("role"), F.lit(False).alias("own"), F.lit(0).cast("long").alias("node"), F.lit(0).cast("long").alias("copies"), "v")
+    rows = placed.join(blocks, "cluster").select("cluster", F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("block"), F.lit(1).alias("role"), "own", "node", "copies", "v")
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = np.zeros(0)
+        for (cluster, _, role), run in _runs(batches, ["cluster", "block", "role"]):
+            if role == 0:
+                known = np.frombuffer(run.column("v")[0].as_py(), "<f8")
+                continue
+            x = _matrix(run)
+            known = known.reshape(-1, x.shape[1])
+            near = _nearest_clusters(x, known, overlap)
+            own = np.asarray(run.column("own").to_pylist())
+            keep = own[:, None] | (np.arange(near.shape[1]) == 0)
+            at, place = np.nonzero(keep)
+            yield _placements(cluster * finer + near[at, place], own[at] & (place == 0), run, at, run.column("v"))
+
+    return heads.union(rows).repartition(n, "cluster", "block").sortWithinPartitions("cluster", "block", "role").mapInArrow(assign, PLACED)
+
+
+def _search(nodes: DataFrame, centres: np.ndarray, overlap: int, threshold: float, finer: int = 1) -> tuple[DataFrame, DataFrame]:
+    """links per node (node, links: other rows within range of it), and edges (a, b) that span what was found."""
+    spark = nodes.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    placed = written(_place(nodes, centres, overlap), "clusters")
+    if finer > 1:
+        placed = written(_place_within(placed, finer, overlap), "clusters")
+    homes = placed.where("own").select("node", F.col("cluster").alias("home"))
+    shards = placed.groupBy("cluster").agg(F.ceil(F.count("*") / SHARD).cast("int").alias("shards"))  # a row a cluster
+    dealt = placed.join(homes, "node").join(shards, "cluster").withColumn("shard", F.pmod(F.xxhash64("node"), "shards").cast("int"))
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (cluster, shard), t in _groups(batches, ["cluster", "shard"]):
-            ids = t["node"].to_numpy()
-            x = np.frombuffer(b"".join(t["v"].to_pylist()), "<f8").reshape(len(ids), -1)
+            ids, home, x = t["node"].to_numpy(), t["home"].to_numpy(), _matrix(t)
             near = []
             for lo in range(0, len(x), 512):
                 s = x[lo : lo + 512] @ x.T
                 near.append(np.argpartition(-s, min(NEAR, len(x) - 1), axis=1)[:, : NEAR + 1])
-            lists = robust_prune(x, np.concatenate(near), seed=cluster * 65537 + shard)
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array([ids[k] for k in lists], pa.list_(pa.int64()))], names=["node", "around"])
+            around = []
+            for i, ks in enumerate(robust_prune(x, np.concatenate(near), seed=cluster * 65537 + shard)):
+                entries = np.empty(len(ks), ENTRY)
+                entries["id"], entries["cosine"], entries["home"] = ids[ks], x[ks] @ x[i], home[ks]
+                around.append(entries.tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(around, pa.binary())], names=["node", "around"])
 
-    dealt = placed.repartition(n, "cluster", "shard").sortWithinPartitions("cluster", "shard", "node")
-    lists = dealt.mapInArrow(build, "node long, around array<long>").groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("around"))).alias("around"))
-    data = placed.join(lists, "node").select("cluster", "shard", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(0).alias("role"), "node", "copies", "v", "around")
-    queries = placed.where("own").select("cluster", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"), F.pmod(F.xxhash64("node", F.lit(1)), "blocks").cast("int").alias("block"), F.lit(1).alias("role"), "node", "copies", "v", F.array().cast("array<long>").alias("around"))
+    built = dealt.repartition(n, "cluster", "shard").sortWithinPartitions("cluster", "shard", "node").mapInArrow(build, "node long, around binary")
+    united = built.groupBy("node").agg(F.collect_list("around").alias("around"))
+    data = written(dealt.where("own").join(united, "node").select("cluster", "shard", "shards", "node", "copies", "v", "around"), "graph")
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from find_links(batches, threshold)
 
-    both = data.union(queries).repartition(n, "cluster", "shard", "block").sortWithinPartitions("cluster", "shard", "block", "role", "node")
-    found = written(both.mapInArrow(find, "node long, links long, root long"), "finds")
-    links = found.where("links is not null").groupBy("node").agg(F.sum("links").alias("links"))
-    return links, found.where("root is not null").select(F.col("node").alias("a"), F.col("root").alias("b"))
+    searched = homes.select("node", F.col("home").alias("cluster"), F.lit(1).alias("round"))
+    finds: list[DataFrame] = []
+    while True:
+        now = len(finds) + 1
+        blocks = searched.where(F.col("round") == now).groupBy("cluster").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("blocks"))
+        history = searched.groupBy("node").agg(F.collect_list(F.when(F.col("round") < now, F.col("cluster"))).alias("before"), F.collect_list(F.when(F.col("round") == now, F.col("cluster"))).alias("now"))
+        rows = data.join(blocks, "cluster").join(history, "node").select("cluster", "shard", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(0).alias("role"), "node", F.col("cluster").alias("home"), "copies", "v", "around", "before", "now")
+        vectors = data.select("node", F.col("cluster").alias("home"), "copies", "v")
+        asking = searched.where(F.col("round") == now).join(blocks, "cluster").join(data.select("cluster", "shards").distinct(), "cluster").join(vectors, "node")
+        nothing, none = F.array().cast("array<binary>").alias("around"), F.array().cast("array<int>")
+        asking = asking.select("cluster", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"), F.pmod(F.xxhash64("node", F.lit(1)), "blocks").cast("int").alias("block"), F.lit(1).alias("role"), "node", "home", "copies", "v", nothing, none.alias("before"), none.alias("now"))
+        both = rows.union(asking).repartition(n, "cluster", "shard", "block").sortWithinPartitions("cluster", "shard", "block", "role", "node")
+        finds.append(written(both.mapInArrow(find, "node long, links long, root long, onward int"), "finds"))
+        onward = finds[-1].where("onward is not null").select("node", F.col("onward").alias("cluster")).distinct().join(searched, ["node", "cluster"], "left_anti").withColumn("round", F.lit(now + 1))
+        onward = written(onward, "onward")
+        if not onward.take(1):
+            break
+        searched = searched.union(onward)
+    found = reduce(DataFrame.union, finds)
+    return found.where("links is not null").groupBy("node").agg(F.sum("links").alias("links")), found.where("root is not null").select(F.col("node").alias("a"), F.col("root").alias("b"))
 
 
 def _audit_sample(nodes: DataFrame, n: int, threshold: float) -> list[tuple[int, int]]:
