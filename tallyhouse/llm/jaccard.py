@@ -7,7 +7,8 @@ and a subtree is left when what remains of the probe and of its sets cannot reac
 
 Equal sets are one node. Each node is first compared with one partner of each group it meets in, the one it meets most often; that joins
 the bulk of any large group of near copies in work that follows its size. Pairs that still lie in different components are then compared all, in blocks,
-behind bounds that never reject a similar pair. So no link that joins components is lost, and no group's pairs are listed.
+behind bounds that never reject a similar pair: members of a group's largest component meet only its other members. A group whose members all meet in an
+earlier group, too, is left out. So no link that joins components is lost, and no group's pairs are listed.
 """
 
 from __future__ import annotations
@@ -27,8 +28,10 @@ from tallyhouse.llm.storage import small_batches, written
 
 #: The sketch of item counts: buckets, and the parts it is summed in. 2**20 counts are 1 MB as levels, whatever the corpus.
 BUCKET_BITS, PARTS = 20, 64
-#: Nodes that a block of a group of near misses holds, members that one walk of a tree takes, and the least bits of a node's parity sketch.
-BLOCK, WALK, PARITY_BITS = 512, 256, 1024
+#: Nodes that a block of a group of near misses holds, those that a block of its largest component holds, members that one walk of a tree takes, and the least bits of a node's parity sketch.
+BLOCK, MAIN_BLOCK, WALK, PARITY_BITS = 512, 4096, 256, 1024
+#: Items of this level or more may be in a quarter of a million sets or more; they are grouped by sums that are combined before the shuffle.
+HOT_LEVEL = 10
 #: Ids that are broadcast at most, 8 MB of them; more go through a shuffle join.
 BROADCAST_IDS = 1_000_000
 #: Characters of text hashed at a time.
@@ -189,8 +192,47 @@ def _possible(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(work, "a long, b long").distinct()
 
 
+#: The block of a member of its group's largest component.
+MAIN = -1
+
+
+def _open_groups(met: DataFrame, first: DataFrame) -> DataFrame:
+    """h, id, component of the meetings ``met`` (h, id) in groups that must be compared: those of several components.
+
+    Left out are groups whose members all have the same item before this one, or the same first one, among the items that they share with others: each pair of them meets at that item.
+    """
+    in_order = W.Window.partitionBy("id").orderBy("h")
+    placed = met.join(first, "id", "left").select("h", "id", F.coalesce("component", "id").alias("component"), F.lag("h").over(in_order).alias("last"), F.first("h").over(in_order).alias("lowest"))
+    groups = placed.groupBy("h").agg(
+        F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi"),
+        F.count("last").alias("n_last"), F.min("last").alias("last_lo"), F.max("last").alias("last_hi"), F.min("lowest").alias("lowest_lo"), F.max("lowest").alias("lowest_hi"),
+    )
+    elsewhere = ((F.col("n_last") == F.col("n")) & F.coalesce(F.col("last_lo") == F.col("last_hi"), F.lit(False))) | ((F.col("lowest_lo") == F.col("lowest_hi")) & (F.col("lowest_lo") != F.col("h")))
+    return placed.join(groups.where((F.col("lo") < F.col("hi")) & ~elsewhere).select("h", F.col("n").alias("size")), "h").select("h", "id", "component", "size")
+
+
+def _blocks(open_: DataFrame) -> DataFrame:
+    """``open_`` with the blocks that each member meets: h, p, q, m, id, component, block.
+
+    A group of BLOCK members is one block. In a larger one the members outside the largest component, the strays, fall into blocks that meet each other,
+    and each meets the blocks of the largest component: rows in proportion to the strays' blocks times the group, not to its square.
+    """
+    zero = F.lit(0)
+    small = open_.where(F.col("size") <= BLOCK).select("h", zero.alias("p"), zero.alias("q"), zero.alias("m"), "id", "component", zero.alias("block"))
+    large = open_.where(F.col("size") > BLOCK)
+    main = large.groupBy("h", "component").count().groupBy("h").agg(F.max(F.struct("count", "component")).alias("main"), F.sum("count").alias("all"))
+    parts = main.select("h", F.col("main.component").alias("main"), F.ceil((F.col("all") - F.col("main.count")) / BLOCK).cast("int").alias("blocks"), F.ceil(F.col("main.count") / MAIN_BLOCK).cast("int").alias("mains"))
+    placed = large.join(parts, "h")
+    strays = placed.where("component <> main").withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
+    other = F.explode(F.sequence(zero, F.col("blocks") - 1)).alias("other")
+    among = strays.select("h", "id", "component", "block", other).select("h", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), zero.alias("m"), "id", "component", "block")
+    beside = strays.select("h", F.col("block").alias("p"), F.col("block").alias("q"), F.explode(F.sequence(F.lit(1), F.col("mains"))).alias("m"), "id", "component", "block")
+    mains = placed.where("component = main").select("h", other, (F.pmod(F.xxhash64("id"), "mains") + 1).cast("int").alias("m"), "id", "component").select("h", F.col("other").alias("p"), F.col("other").alias("q"), "m", "id", "component", F.lit(MAIN).alias("block"))
+    return small.union(among).union(beside).union(mains)
+
+
 def _near_misses(rows: DataFrame, percent: int) -> DataFrame:
-    """Pairs in one block of one group (h, p, q), in different components, that neither length nor parity sketch rules out."""
+    """Pairs of blocks p and q of one group, in different components, that neither length nor parity sketch rules out; where m is not 0, pairs of block p and the members of a block of the largest component."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key: tuple | None = None
@@ -199,7 +241,7 @@ def _near_misses(rows: DataFrame, percent: int) -> DataFrame:
         def pairs() -> pa.RecordBatch:
             out: list[tuple[int, int]] = []
             if len(held) > 1:
-                _, p, q = key
+                _, p, q, m = key
                 ids = np.array([r[0] for r in held], np.int64)
                 comps = np.array([r[1] for r in held], np.int64)
                 size = np.array([r[2] for r in held], np.int64)
@@ -211,7 +253,8 @@ def _near_misses(rows: DataFrame, percent: int) -> DataFrame:
                     for i, k in enumerate(at.tolist()):
                         if block[k] != p:
                             continue
-                        other = np.flatnonzero((comps[at] != comps[k]) & (block[at] == q) & (ids[at] > ids[k] if p == q else True) & (np.minimum(wide[at], wide[k]) == z))
+                        fits = block[at] == MAIN if m else (block[at] == q) & (ids[at] > ids[k] if p == q else True)
+                        other = np.flatnonzero(fits & (comps[at] != comps[k]) & (np.minimum(wide[at], wide[k]) == z))
                         s, t = np.minimum(size[at[other]], size[k]), np.maximum(size[at[other]], size[k])
                         other = other[100 * s >= percent * t]
                         if not len(other):
@@ -224,17 +267,17 @@ def _near_misses(rows: DataFrame, percent: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
         for batch in batches:
-            for h, p, q, *rest in zip(*(batch.column(k).to_pylist() for k in ("h", "p", "q", "id", "component", "n", "block", "parity")), strict=True):
-                if (h, p, q) != key:
+            for h, p, q, m, *rest in zip(*(batch.column(k).to_pylist() for k in ("h", "p", "q", "m", "id", "component", "n", "block", "parity")), strict=True):
+                if (h, p, q, m) != key:
                     if len(held) > 1:
                         yield pairs()
-                    key, held = (h, p, q), []
+                    key, held = (h, p, q, m), []
                 held.append(rest)
         if len(held) > 1:
             yield pairs()
 
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(n, "h", "p", "q").sortWithinPartitions("h", "p", "q", "id").mapInArrow(work, "a long, b long").distinct()
+    return rows.repartition(n, "h", "p", "q", "m").sortWithinPartitions("h", "p", "q", "m", "id").mapInArrow(work, "a long, b long").distinct()
 
 
 def similar_documents(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -265,17 +308,29 @@ def similar_documents(docs: DataFrame, width: int = 5, percent: int = 80) -> Dat
     rows = written(docs.mapInArrow(prefixes, "doc_id long, n int, key binary, first binary, parity binary"), "prefixes")
     real = rows.where("key is not null and doc_id is not null")
     nodes = real.groupBy("key").agg(F.min("doc_id").alias("id"))
+    # rows of one doc_id with different sets: each set's node is the same document's
+    several = real.groupBy("doc_id").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo < hi").select("doc_id")
+    twice = real.join(several, "doc_id", "left_semi").select("doc_id", "key").distinct().join(nodes, "key").select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
     one_each = real.groupBy("key").agg(F.min(F.struct("doc_id", "n", "first")).alias("r")).select(F.col("r.doc_id").alias("id"), "r.n", "r.first")
 
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i, n, first in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                h = np.frombuffer(first, "<i8")
-                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.full(len(h), i, np.int64)), pa.array(np.full(len(h), n, np.int32))], names=["h", "id", "n"])
+    def spread(hot: bool):
+        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for i, n, first in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                    h = np.frombuffer(first, "<u8")
+                    h = h[(h >> np.uint64(HASH_BITS) >= HOT_LEVEL) == hot].astype(np.int64)
+                    if len(h):
+                        yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.full(len(h), i, np.int64)), pa.array(np.full(len(h), n, np.int32))], names=["h", "id", "n"])
+
+        return one_each.mapInArrow(work, "h long, id long, n int")
 
     group = W.Window.partitionBy("h")
-    met = one_each.mapInArrow(spread, "h long, id long, n int").withColumns({"leader": F.min("id").over(group), "last": F.max("id").over(group), "size": F.count("*").over(group)})
-    met = written(met.where("leader < last").drop("last"), "meetings")
+    met = spread(False).withColumns({"leader": F.min("id").over(group), "last": F.max("id").over(group)}).where("leader < last").select("h", "id", "leader")
+    if levels.value.max() >= HOT_LEVEL:
+        often = spread(True)
+        leaders = often.groupBy("h").agg(F.min("id").alias("leader"), F.max("id").alias("last")).where("leader < last")
+        met = met.union(often.join(leaders, "h").select("h", "id", "leader"))
+    met = written(met, "meetings")
 
     partner = met.where("id <> leader").groupBy("id", "leader").agg(F.count("*").alias("times")).groupBy("id").agg(F.max(F.struct("times", (-F.col("leader")).alias("l"))).alias("best"))
     first_pairs = written(partner.select((-F.col("best.l")).alias("a"), F.col("id").alias("b")), "pairs")
@@ -296,13 +351,10 @@ def similar_documents(docs: DataFrame, width: int = 5, percent: int = 80) -> Dat
 
     sketches = written(real.select(F.col("doc_id").alias("id"), "n", "parity").distinct(), "sketches")
     links = verified(written(_possible(first_pairs, sketches, percent), "pairs"))
-    first = components(links)
-    group3 = W.Window.partitionBy("h")
-    placed = met.join(first, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    open_ = placed.withColumns({"lo": F.min("component").over(group3), "hi": F.max("component").over(group3)}).where("lo < hi").select("h", "id", "n", "component", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
-    open_ = open_.withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int")).withColumn("q", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    open_ = open_.select("h", "id", "n", "component", "block", F.least("block", "q").alias("p"), F.greatest("block", "q").alias("q")).join(sketches.select("id", "parity"), "id")
-    joined = components(links.union(verified(written(_near_misses(open_, percent), "pairs"))))
+    links = links.union(twice)
+    open_ = _open_groups(met.select("h", "id"), components(links))
+    near = _blocks(open_).join(sketches, "id").select("h", "p", "q", "m", "id", "component", "n", "block", "parity")
+    joined = components(links.union(verified(written(_near_misses(near, percent), "pairs"))))
 
     by_key = nodes.join(joined, "id", "left").select("key", F.coalesce("component", "id").alias("component"))
     return rows.select("doc_id", "n", "key").join(by_key, "key", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"), F.col("key").alias("set_key"))

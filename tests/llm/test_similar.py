@@ -47,11 +47,40 @@ def test_similar_without_broadcast_and_in_small_blocks(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "BROADCAST_IDS", 0)
     monkeypatch.setattr(jaccard, "BLOCK", 4)
     monkeypatch.setattr(jaccard, "WALK", 3)
+    monkeypatch.setattr(jaccard, "MAIN_BLOCK", 5)
     rows = [(k, near(words(150, 9), 3 * (k % 5), k)) for k in range(50)]
     found = jaccard.similar_documents(documents(spark, rows))
     assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in found.collect()), key=str) == expected(rows)
 
 
+@pytest.mark.parametrize("hot_level", [0, 1])
+def test_similar_with_frequent_passages_and_a_large_component(spark, monkeypatch, hot_level):
+    monkeypatch.setattr(jaccard, "BLOCK", 6)
+    monkeypatch.setattr(jaccard, "MAIN_BLOCK", 7)
+    monkeypatch.setattr(jaccard, "HOT_LEVEL", hot_level)
+    base, one, two = words(200, 1), words(70, 2), words(60, 3)
+    rows = [(k, near(base, k % 3, k)) for k in range(40)]  # one component
+    rows += [(100 + k, near(base, 12 + k, k)) for k in range(25)]  # near misses of it
+    rows += [(200 + k, f"{one} {words(14, 300 + k)} {two}") for k in range(30)]  # passages that many share, linked through them or not
+    rows += [(300 + k, f"{words(40, 400 + k)} {one}") for k in range(30)] + [(7, near(base, 60, 5)), (8, f"{one} {two}")]
+    found = jaccard.similar_documents(documents(spark, rows))
+    assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in found.collect()), key=str) == expected(rows)
+
+
+def test_a_document_with_two_texts_joins_what_each_links_to(spark):
+    a, b = words(50, 1), words(50, 2)
+    rows = [(3, a), (5, b), (7, a), (7, b), (9, near(b, 1, 1)), (11, words(50, 3))]
+    got = sorted((r["doc_id"], r["component_id"]) for r in jaccard.similar_documents(documents(spark, rows)).collect())
+    assert got == [(3, 3), (5, 3), (7, 3), (7, 3), (9, 3), (11, 11)] == sorted((i, c) for i, _, c in expected(rows))
+
+
+def test_groups_within_an_earlier_one_are_left_out(spark):
+    met = [(h, i) for h, ids in ((1, [1, 2, 3, 4]), (2, [1, 2, 3]), (3, [1, 2]), (5, [3, 4]), (6, [4, 5]), (7, [4, 5]), (8, [1, 5])) for i in ids]
+    left = {r["h"] for r in jaccard._open_groups(spark.createDataFrame(met, "h long, id long"), spark.createDataFrame([], "id long, component long")).collect()}
+    meets = lambda hs: {(a, b) for h, a in met if h in hs for g, b in met if g == h and a < b}
+    assert left == {1, 6, 8} and meets(left) == meets(range(9))
+
+
 def test_sketches_never_rule_out_similar_sets():
     r = np.random.default_rng(2)
     for n in (3, 50, 1023, 1024, 1025, 3000):
