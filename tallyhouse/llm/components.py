@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyhouse.llm.storage import written
+from tallyhouse.llm.storage import discard, written
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -13,7 +13,7 @@ def components(links: DataFrame) -> DataFrame:
 
     Alternates large-star and small-star steps: each node hands its larger, then its smaller neighbours
     to the smallest one, until nothing changes; a logarithmic number of rounds, whose work follows the
-    number of links whatever the size of a component. Each round is written to the shared folder.
+    number of links whatever the size of a component. Each round is written to the shared folder, and what it was made from deleted.
     """
     edges = written(_directed(links), "links")
     mark = None
@@ -24,7 +24,9 @@ def components(links: DataFrame) -> DataFrame:
         large = written(large.where("high > low").distinct(), "links")
         least = large.groupBy("high").agg(F.min("low").alias("m"))
         moved = large.join(least, "high").select(F.explode(F.array(F.struct(F.col("low").alias("high"), F.col("m").alias("low")), F.struct("high", F.col("m").alias("low")))).alias("e")).select("e.*")
-        edges = written(moved.where("high > low").distinct(), "links")
+        past, edges = edges, written(moved.where("high > low").distinct(), "links")
+        discard(large)
+        discard(past)
         seen = edges.agg(F.count("*"), F.sum(F.xxhash64("high", "low").cast("decimal(38,0)"))).first()
         if tuple(seen) == mark:
             break

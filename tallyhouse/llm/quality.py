@@ -1,6 +1,7 @@
 """Document quality by attention over passages: multiple-instance learning.
 
-A document is a bag of passages of PASSAGE words. Each passage is encoded; gated attention, learned from the labels of
+A document is a bag of passages of PASSAGE words. Each passage is encoded from its words, by a learned embedding of each bucket of their hashes, and from
+counts of its characters and shapes; gated attention, learned from the labels of
 documents alone, weighs the passages; the weighted sum of their encodings is scored.
 """
 
@@ -19,8 +20,8 @@ from tallyhouse.llm.language import held_out
 from tallyhouse.llm.shingles import word_hashes
 from tallyhouse.llm.storage import small_batches
 
-#: Words of a passage.
-PASSAGE = 64
+#: Words of a passage, and buckets that their hashes fall into.
+PASSAGE, BUCKETS = 64, 256
 #: Byte classes counted in words.
 _CLASSES = {
     "upper": b"ABCDEFGHIJKLMNOPQRSTUVWXYZ",
@@ -31,11 +32,14 @@ _CLASSES = {
     "symbol": b"#$%&*@^~|<>{}[]\\/=+_`",
     "other": bytes(range(128, 256)),
 }
+#: How strongly embeddings are drawn to zero, where they start: a word must earn its weight.
+EMBEDDING_DECAY = 5e-3
 FEATURES = [*(f"{k}_share" for k in _CLASSES), "word_length", "upper_words", "symbol_words", "loud_words", "stop_words", "single_words", "same_as_last", "distinct", "capitalised", "new_lines", "full"]
+WIDTH = len(FEATURES) + BUCKETS
 
 
 def passage_features(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """Features (passage, feature) of all passages in order, and how many passages each text has: one at least."""
+    """Features (passage, feature) of all passages in order, and how many passages each text has: one at least. After FEATURES comes the root of each bucket's share of the words."""
     raw = [(t or "").encode() for t in texts]
     buf = np.frombuffer(b"\n".join(raw), np.uint8)
     starts = np.cumsum([0] + [len(r) + 1 for r in raw[:-1]])
@@ -43,7 +47,7 @@ def passage_features(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     cut = np.searchsorted(begins, np.append(starts, len(buf) + 1))
     words = np.diff(cut)
     passages = np.maximum(1, -(-words // PASSAGE))
-    out = np.zeros((int(passages.sum()), len(FEATURES)))
+    out = np.zeros((int(passages.sum()), WIDTH))
     if not len(begins):
         return out, passages
     table = np.zeros(256, np.uint8)
@@ -73,11 +77,14 @@ def passage_features(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     rows = [*(np.bincount(at, c, len(out)) / letters for c in count.T), np.bincount(at, length, len(out)) / some / 10]
     rows += [np.bincount(at, w, len(out)) / some for w in ((upper > 0) & (lower == 0) & (length > 1), symbol > 0, loud > 0, stop > 0, length == 1, same)]
     rows += [np.bincount(at[order], fresh, len(out)) / some, np.bincount(at, first_upper, len(out)) / some, np.bincount(at, new_line, len(out)) / some, np.minimum(n, PASSAGE) / PASSAGE]
-    return np.stack(rows, axis=1), passages
+    out[:, : len(FEATURES)] = np.stack(rows, axis=1)
+    bucket = (hashes >> np.uint64(40)).astype(np.int64) % BUCKETS
+    out[:, len(FEATURES) :] = np.sqrt(np.bincount(at * BUCKETS + bucket, minlength=len(out) * BUCKETS).reshape(-1, BUCKETS) / some[:, None])
+    return out, passages
 
 
 class Attention:
-    """p = sigmoid(w z + b), z = sum over passages of a h, h = tanh(x W + c), a = softmax(u (tanh(h V) * sigmoid(h U)))."""
+    """p = sigmoid(w z + b), z = sum over passages of a h, h = tanh(x W + c), a = softmax(u (tanh(h V) * sigmoid(h U))). The rows of W that belong to buckets are the embeddings of their words."""
 
     def __init__(self, mean: np.ndarray, scale: np.ndarray, seed: int = 7, hidden: int = 16, gates: int = 8):
         random = np.random.default_rng(seed)
@@ -85,10 +92,13 @@ class Attention:
         self.mean, self.scale = mean, scale
         self.w = {"W": random.normal(0, d**-0.5, (d, hidden)), "c": np.zeros(hidden), "V": random.normal(0, 0.25, (hidden, gates)), "U": random.normal(0, 0.25, (hidden, gates)), "u": random.normal(0, 0.25, gates), "w": random.normal(0, 0.25, hidden), "b": np.zeros(1)}
 
+    def standard(self, x: np.ndarray) -> np.ndarray:
+        return np.clip((x - self.mean) / self.scale, -8, 8)
+
     def forward(self, x: np.ndarray, bags: np.ndarray) -> dict[str, np.ndarray]:
+        """``x`` is in standard form."""
         w, start = self.w, np.concatenate([[0], np.cumsum(bags)[:-1]])
         of = np.repeat(np.arange(len(bags)), bags)
-        x = np.clip((x - self.mean) / self.scale, -8, 8)
         h = np.tanh(x @ w["W"] + w["c"])
         t, g = np.tanh(h @ w["V"]), 1 / (1 + np.exp(-(h @ w["U"])))
         e = (t * g) @ w["u"]
@@ -109,11 +119,15 @@ class Attention:
         out = {"W": f["x"].T @ dh, "c": dh.sum(axis=0), "V": f["h"].T @ dt, "U": f["h"].T @ dg, "u": (f["t"] * f["g"]).T @ de, "w": f["z"].T @ ds, "b": ds.sum(keepdims=True)}
         return {k: v + decay * w[k] for k, v in out.items()}
 
-    def fit(self, x: np.ndarray, bags: np.ndarray, y: np.ndarray, steps: int = 300, rate: float = 0.02) -> Attention:
+    def fit(self, x: np.ndarray, bags: np.ndarray, y: np.ndarray, steps: int = 200, rate: float = 0.02) -> Attention:
+        x, words = self.standard(x), slice(len(FEATURES), None)
+        self.w["W"][words] = 0
         m = {k: np.zeros_like(v) for k, v in self.w.items()}
         s = {k: np.zeros_like(v) for k, v in self.w.items()}
         for step in range(1, steps + 1):
-            for k, g in self.gradients(self.forward(x, bags), y).items():
+            gradients = self.gradients(self.forward(x, bags), y)
+            gradients["W"][words] += EMBEDDING_DECAY * self.w["W"][words]
+            for k, g in gradients.items():
                 m[k] = 0.9 * m[k] + 0.1 * g
                 s[k] = 0.99 * s[k] + 0.01 * g * g
                 self.w[k] = self.w[k] - rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(s[k] / (1 - 0.99**step)) + 1e-8)
@@ -143,7 +157,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 3000, longest: int = 2
     y = np.array([r["quality"] for r in rows])
     if len(set(y.tolist())) < 2:
         return None
-    parts = [np.frombuffer(r["x"], "<f4").reshape(-1, len(FEATURES)).astype(np.float64) for r in rows]
+    parts = [np.frombuffer(r["x"], "<f4").reshape(-1, WIDTH).astype(np.float64) for r in rows]
     x, bags = np.concatenate(parts), np.array([len(p) for p in parts])
     return Attention(x.mean(axis=0), x.std(axis=0) + 0.02).fit(x, bags, y)
 
@@ -166,7 +180,7 @@ def score(docs: DataFrame, model: Attention | None) -> DataFrame:
             found: list[np.ndarray] = []
             for s in _slices(texts):
                 x, bags = passage_features(texts[s])
-                found.append(np.full(len(bags), 0.5) if model is None else model.forward(x, bags)["p"])
+                found.append(np.full(len(bags), 0.5) if model is None else model.forward(model.standard(x), bags)["p"])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate([*found, np.zeros(0)]))], names=[*batch.schema.names, "quality_score"])
 
     return docs.mapInArrow(work, schema)

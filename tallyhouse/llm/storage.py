@@ -12,12 +12,11 @@ ROWS_PER_BATCH = 256
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder, ``spark.checkpoint.dir``; where it is unset (tests, one machine) a folder of our own."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    """The cluster's shared folder, ``spark.checkpoint.dir``; where it is unset on one machine (master local), a folder of our own. A cluster must name one."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
-        jvm_set = spark.sparkContext.getCheckpointDir()
-        if jvm_set:
-            return jvm_set
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="tallyhouse-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder
@@ -35,6 +34,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete the files of a ``written`` table that nothing will read any more."""
+    spark = df.sparkSession
+    jvm, conf = spark._jvm, spark._jsparkSession.sessionState().newHadoopConf()
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(conf).delete(path, True)
+
+
 def small_batches(spark: SparkSession) -> None:
     """Arrow batches of few rows, since texts are long."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS_PER_BATCH))
