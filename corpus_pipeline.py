@@ -5,8 +5,9 @@ Every stage reads all that its predecessor kept, and all but the last return the
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import window as W
 
 from tallyhouse.llm import jaccard, language, packing, quality, secrets
 from tallyhouse.llm.queries import vocabulary
@@ -16,25 +17,36 @@ from tallyhouse.llm.storage import written
 LEAST_LANGUAGE, LEAST_QUALITY = 0.5, 0.5
 
 
+def _apart(docs: DataFrame, *used: str) -> tuple[DataFrame, list[Column]]:
+    """``docs`` with every column but ``used`` renamed, so that a stage can add columns of any name, and the expressions that bring the old names back."""
+    names = {c: c if c in used else f"{c}__kept" for c in docs.columns}
+    return docs.select([F.col(f"`{c}`").alias(n) for c, n in names.items()]), [F.col(f"`{n}`").alias(c) for c, n in names.items()]
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents whose language is recognised; texts that are null or have no letter go."""
     path = vocabulary("piece_bpe_32k.model")
-    found = language.predict(docs, path, language.fit(docs, path))
-    return found.where((F.col("lang_pred") != language.UNDETERMINED) & (F.col("score") >= LEAST_LANGUAGE)).select(docs.columns)
+    plain, back = _apart(docs, "text")
+    found = language.predict(plain, path, language.fit(docs, path))
+    return found.where((F.col("lang_pred") != language.UNDETERMINED) & (F.col("score") >= LEAST_LANGUAGE)).select(back)
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents that are likelier good than not, as ``labels`` marks quality."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return quality.score(docs, quality.fit(docs, labels)).where(F.col("quality_score") >= LEAST_QUALITY).select(docs.columns)
+    plain, back = _apart(docs, "text")
+    return quality.score(plain, quality.fit(docs, labels)).where(F.col("quality_score") >= LEAST_QUALITY).select(back)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of copies and near copies, that of the smallest doc_id; rows without a doc_id stay."""
+    """Keeps one document of each group of copies and near copies, that of the smallest doc_id, and of its rows, if there are several, that of the smallest hash over all columns; rows without a doc_id stay."""
     found = jaccard.similar_documents(docs, width=5, percent=80)
     kept = found.where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.union(docs.where("doc_id is null")).select(docs.columns)
+    plain, back = _apart(docs, "doc_id")
+    others = [c for c in plain.columns if c != "doc_id"]
+    order = W.Window.partitionBy("doc_id").orderBy(F.xxhash64(*others), F.to_json(F.struct(*others)))
+    named = plain.join(kept, "doc_id", "left_semi").withColumn("place", F.row_number().over(order)).where("place = 1")
+    return named.select(back).union(docs.where("doc_id is null"))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
