@@ -150,10 +150,11 @@ def merkle(leaves: Column) -> Column:
     return F.get(F.when(F.size(leaves) > 1, F.aggregate(levels, leaves, lambda a, _: joined(a))).otherwise(leaves), 0)
 
 
-def _recipe_root() -> Column:
-    """A document's root: over its chunks, each with its place, its length and the ids after it, and over what else its recipe says."""
+def _with_root(recipes: DataFrame, name: str) -> DataFrame:
+    """``recipes`` with a document's root: over its chunks, each with its place, its length and the ids after it, and over what else its recipe says."""
     leaves = F.transform("chunks", lambda c, k: F.sha2(F.concat_ws("|", F.lit("c"), k, c["n"], c["after"], F.hex(c["digest"])), 256))
-    return F.sha2(F.concat_ws("|", F.lit("d"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "tie", "before", "n_tokens", F.size("chunks"), merkle(leaves)), 256)
+    root = F.sha2(F.concat_ws("|", F.lit("d"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "tie", "before", "n_tokens", F.size("chunks"), merkle(F.col("leaves"))), 256)
+    return recipes.withColumn("leaves", leaves).withColumn(name, root).drop("leaves")
 
 
 def _rooted(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
@@ -180,12 +181,8 @@ def _write_recipes(spark: SparkSession, path: str, rows_per_shard: int) -> None:
         .withColumn("n_tokens", F.get("chunks", 0)["n"] + F.get("chunks", 0)["after"])
     )
     in_order = W.Window.partitionBy("shard").orderBy(F.col("doc_id").asc_nulls_first(), "tie", "copy")
-    (
-        with_shards(listed, "doc_id", rows_per_shard)[0]
-        .withColumns({"pos": F.row_number().over(in_order), "before": F.coalesce(F.sum("n_tokens").over(in_order.rowsBetween(W.Window.unboundedPreceding, -1)), F.lit(0).cast("long"))})
-        .withColumn("root", _recipe_root()).drop("copy")
-        .write.option("compression", "zstd").partitionBy("shard").parquet(f"{path}/recipes")
-    )
+    placed = with_shards(listed, "doc_id", rows_per_shard)[0].withColumns({"pos": F.row_number().over(in_order), "before": F.coalesce(F.sum("n_tokens").over(in_order.rowsBetween(W.Window.unboundedPreceding, -1)), F.lit(0).cast("long"))})
+    _with_root(placed, "root").drop("copy").write.option("compression", "zstd").partitionBy("shard").parquet(f"{path}/recipes")
     if not listed_any(spark, path):
         spark.createDataFrame([], "shard long, start long, n_docs long, n_tokens long, root string").write.parquet(f"{path}/manifest")
         spark.createDataFrame([], WHOLE).write.parquet(f"{path}/whole")
@@ -266,8 +263,9 @@ def read_back(spark: SparkSession, path: str, width: int = 2, root: str | None =
     chunks = spark.read.schema("digest binary, payload binary").parquet(f"{path}/chunks")
     stored = chunks.where(F.col("payload").isNotNull()).mapInArrow(summed, "digest binary, crc long, stored int, sound boolean").groupBy("digest").agg(F.min("crc").alias("crc"), F.min("stored").alias("stored"), F.min("sound").alias("sound"))
     recipes = spark.read.parquet(f"{path}/recipes").withColumn("shard", F.col("shard").cast("long")).join(_sound_shards(spark, path, root), "shard")
-    whole_recipe = F.col("shard_sound") & (_recipe_root() == F.col("root"))
-    parts = recipes.select("doc_id", (F.col("shard_start") + F.col("before")).alias("start"), "shard", "pos", "n_tokens", whole_recipe.alias("whole"), F.explode_outer("chunks").alias("c")).select("doc_id", "start", "shard", "pos", "n_tokens", "whole", "c.*")
+    # once a document: an expression beside explode would be computed for every chunk
+    recipes = _with_root(recipes, "now").withColumn("whole", F.col("shard_sound") & (F.col("now") == F.col("root")))
+    parts = recipes.select("doc_id", (F.col("shard_start") + F.col("before")).alias("start"), "shard", "pos", "n_tokens", "whole", F.explode_outer("chunks").alias("c")).select("doc_id", "start", "shard", "pos", "n_tokens", "whole", "c.*")
 
     def shifted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
