@@ -20,6 +20,11 @@ def ratio(a: Column, b: Column, digits: int = 4) -> Column:
     return F.coalesce(F.round(F.try_divide(a.cast("double"), b.cast("double")), digits), F.lit(0.0))
 
 
+def even_ratio(a: Column, b: Column, digits: int = 4) -> Column:
+    """a / b of decimals, rounded half to even; 0 where b is 0 or null."""
+    return F.coalesce(F.bround(F.try_divide(a.cast("decimal(18,2)"), b.cast("decimal(18,2)")), digits), F.lit(0)).cast(f"decimal(28,{digits})")
+
+
 def cents(c: Column) -> Column:
     return (c * 100).cast("bigint")
 
@@ -37,6 +42,17 @@ def rolling_start(ref: Column, months: int) -> Column:
     return F.add_months(F.trunc(ref, "MM"), -(months - 1))
 
 
+def month_later(day: Column, months: Column) -> Column:
+    """The same day ``months`` later, or the month's last one where it has no such day."""
+    return F.add_months(day, months)
+
+
+def relative_start(text: Column, today: Column, most: int = 3650) -> Column:
+    """The day that ``YYYY-MM-DD``, ``-Nd`` or ``Nd`` names, N days before ``today``; null for anything else and for more than ``most`` days."""
+    days = F.regexp_extract(text, r"^-?(\d{1,4})d$", 1).try_cast("int")
+    return F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_date(text, "yyyy-MM-dd")).when(days <= most, F.date_sub(today, days))
+
+
 def week_label(c: Column) -> Column:
     """ISO year and week, as 2026-W19."""
     return F.concat(F.extract(F.lit("YEAROFWEEK"), c).cast("string"), F.lit("-W"), F.lpad(F.weekofyear(c).cast("string"), 2, "0"))

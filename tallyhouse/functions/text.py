@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import window as W
 
 #: What is redacted from mail texts, in order, and what takes its place.
 REDACTIONS = [
@@ -142,5 +144,50 @@ def line_items(c: Column, most: int = 30) -> Column:
     """``- label | amount | hint`` lines as structs."""
     lines = F.filter(F.transform(F.split(c, "\n"), lambda x: F.trim(x)), lambda x: x.rlike(r"^[-*].*\|"))
     parts = F.transform(lines, lambda x: F.transform(F.split(F.substr(x, F.lit(2)), r"\|"), lambda y: F.trim(y)))
-    items = F.transform(F.filter(parts, lambda p: p[0] != ""), lambda p: F.struct(redact(p[0], 120).alias("label"), mixed_decimal(F.get(p, 1)).alias("amount"), redact(F.get(p, 2), 80).alias("category_hint")))
+    items = F.transform(F.filter(parts, lambda p: p[0] != ""), lambda p: F.struct(F.coalesce(redact(p[0], 120), F.lit("Artikel")).alias("label"), mixed_decimal(F.get(p, 1)).alias("amount"), redact(F.get(p, 2), 80).alias("category_hint")))
     return F.slice(items, 1, most)
+
+
+#: Fixed value: keys whose values never go to a language model.
+BANNED_KEYS = r"(?i)(iban|raw|source_payload|account_id|depot_id|external_id|mandate|reference|order|invoice|message_id|token|password|webhook|database_url|email)"
+
+
+def pseudonyms(rows: DataFrame, column: str, order: str, prefix: str) -> DataFrame:
+    """``rows`` of one prompt's context with the values of ``column`` replaced by prefix_001, prefix_002 ... in the order in which they are first seen; nulls stay.
+
+    The context is what a prompt holds: its values are numbered by one task.
+    """
+    first = rows.where(F.col(column).isNotNull()).groupBy(column).agg(F.min(order).alias("_first"))
+    n = F.row_number().over(W.Window.orderBy("_first", column)).cast("string")
+    named = first.select(F.col(column).alias("_value"), F.concat(F.lit(f"{prefix}_"), F.when(F.length(n) < 3, F.lpad(n, 3, "0")).otherwise(n)).alias("_name"))
+    return rows.join(named, F.col(column) == F.col("_value"), "left").withColumn(column, F.col("_name")).drop("_value", "_name")
+
+
+def for_prompt(rows: DataFrame, order: str) -> DataFrame:
+    """Columns of ``rows`` fit for a prompt: those with banned names go, ids of transactions and evidence become pseudonyms, texts are sanitised."""
+    kept = rows.select([c for c in rows.columns if c == order or c in ("transaction_id", "evidence_id") or not re.search(BANNED_KEYS, c)])
+    for column, prefix in (("transaction_id", "tx"), ("evidence_id", "ev")):
+        if column in kept.columns:
+            kept = pseudonyms(kept, column, order, prefix)
+    texts = [f.name for f in kept.schema if f.dataType.simpleString() == "string" and f.name not in ("transaction_id", "evidence_id", order)]
+    return kept.withColumns({c: sanitise(F.col(c)) for c in texts}) if texts else kept
+
+
+def masked_url(url: Column) -> Column:
+    """A web hook's address without the secret at its end but for the last six characters."""
+    bare = F.regexp_replace(url, "/+$", "")
+    head, tail = F.regexp_extract(bare, "^(.+/)[^/]*$", 1), F.regexp_extract(bare, "([^/]*)$", 1)
+    return F.when(head == "", url).when(F.length(tail) <= 6, F.concat(head, F.lit("…"))).otherwise(F.concat(head, F.lit("…"), F.right(tail, F.lit(6))))
+
+
+#: What raw error messages hold, and what a user is told instead; the first that fits counts.
+ERRORS = [
+    (r"(?i)specified api usage limits|(?=.*invalid_request_error)(?=.*usage limit)", "limit reached"),
+    (r"(?i)rate_limit|429", "too many requests"),
+    (r"(?i)connect", "no connection"),
+    (r"(?i)exceeded maximum retries", "malformed answers"),
+]
+
+
+def error_class(message: Column) -> Column:
+    return F.coalesce(*[F.when(message.rlike(p), name) for p, name in ERRORS], message)

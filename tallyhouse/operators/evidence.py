@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyhouse.functions import text as T
 from tallyhouse.functions.numbers import cents
+from tallyhouse.operators.versions import upsert
 
 #: Patterns of a mail's fields, the first that fits counting.
 MERCHANT = [r"^\s*(?:merchant|händler|shop|vendor)\s*:\s*(.+)$", r"^\s*(?:from|von)\s*:\s*(.+)$"]
@@ -28,41 +29,89 @@ def _first(text: Column, patterns: list[str]) -> Column:
 
 
 def extracted(messages: DataFrame) -> DataFrame:
-    """Evidence drafts of ``messages`` (source, source_message_id, received_at, sender, subject, body_text): no personal data, references only as digests."""
-    m = messages.withColumn("text", F.concat(F.coalesce("subject", F.lit("")), F.lit("\n"), F.coalesce("body_text", F.lit(""))))
+    """Evidence drafts of ``messages`` (source, source_message_id, received_at, sender, subject, body_text): no personal data, references only as digests.
+
+    Confidence grows with each field that the text itself holds; the day of receipt stands in for a missing date, but earns nothing.
+    """
+    subject, body = F.coalesce("subject", F.lit("")), F.coalesce("body_text", F.lit(""))
+    m = messages.withColumns({"text": F.concat(subject, F.lit("\n"), body), "from": F.coalesce(F.nullif("source", F.lit("")), F.lit("gmail"))})
     text = F.col("text")
     sender = F.split(F.coalesce("sender", F.lit("")), "@")[0]
     m = m.withColumns({
-        "merchant": T.redact(F.coalesce(_first(text, MERCHANT), sender), 200), "total_amount": T.mixed_decimal(_first(text, AMOUNT)), "currency": F.upper(F.coalesce(_first(text, CURRENCY), F.lit("EUR"))),
-        "document_date": F.coalesce(T.any_date(_first(text, DATE)), F.col("received_at")), "order_ref": _first(text, ORDER), "payment_method": T.payment_method(text), "evidence_type": T.evidence_type(text), "line_items": T.line_items(text),
+        "merchant_name": T.redact(F.coalesce(_first(text, MERCHANT), sender), 200), "signed": T.mixed_decimal(_first(text, AMOUNT)), "currency": F.upper(F.coalesce(_first(text, CURRENCY), F.lit("EUR"))), "written": T.any_date(_first(text, DATE)),
+        "order_ref": _first(text, ORDER), "payment_method": T.payment_method(text), "payment_hint": T.redact(_first(text, PAYMENT), 200), "evidence_type": T.evidence_type(text), "line_items": T.line_items(body), "subject_hint": T.redact(subject, 200), "redacted_snippet": T.redact(body, 500),
     })
-    m = m.withColumns({"merchant_key": T.merchant_key(F.col("merchant")), "order_ref_hash": T.reference_hash(F.coalesce("order_ref", "source_message_id"))})
-    weights = ((F.col("merchant").isNotNull(), 20), (F.col("total_amount").isNotNull(), 25), (F.col("document_date").isNotNull(), 15), (F.col("order_ref").isNotNull(), 15), (F.col("payment_method").isNotNull(), 10), (F.size("line_items") > 0, 5))
-    score = F.lit(10)
-    for known, weight in weights:
-        score = score + F.when(known, weight).otherwise(0)
+    m = m.withColumns({"merchant_key": T.merchant_key(F.col("merchant_name")), "order_ref_hash": T.reference_hash(F.col("order_ref")), "document_date": F.coalesce("written", "received_at")})
+    message = F.coalesce(F.nullif("source_message_id", F.lit("")), F.nullif(subject, F.lit("")), body)
+    identity = F.concat_ws("|", "from", F.coalesce("order_ref_hash", T.reference_hash(message)), "evidence_type", F.coalesce(F.when(F.col("signed") != 0, F.col("signed").cast("string")), F.lit("")), F.coalesce(F.col("written").cast("string"), F.lit("")))
+    weights = (("merchant_name", 20), ("signed", 25), ("written", 15), ("order_ref", 15), ("payment_method", 10))
+    score = F.lit(10) + sum((F.when(F.col(c).isNotNull(), w).otherwise(0) for c, w in weights), F.when(F.size("line_items") > 0, 5).otherwise(0))
     return m.select(
-        F.concat(F.lit("mail_"), F.left(F.sha2(F.concat_ws("|", "source", "order_ref_hash", "evidence_type"), 256), F.lit(24))).alias("evidence_id"), "source", "evidence_type", "merchant", "merchant_key", "total_amount", "currency", "document_date", "payment_method", "order_ref_hash", "line_items",
-        F.least(score / 100, F.lit(0.999)).cast("decimal(4,3)").alias("confidence"))
+        F.concat(F.lit("mail_"), F.left(T.reference_hash(identity), F.lit(24))).alias("evidence_id"), F.col("from").alias("source"), "evidence_type", "merchant_name", "merchant_key", "document_date", F.abs("signed").alias("total_amount"), "currency", "payment_method", "payment_hint", "order_ref_hash", "subject_hint",
+        "redacted_snippet", "line_items", message.alias("message"), F.least(score / 100, F.lit(0.999)).cast("decimal(4,3)").alias("confidence"))
 
 
 def usable(drafts: DataFrame, least: float = 0.5) -> DataFrame:
     return drafts.where(F.col("total_amount").isNotNull() & (F.col("confidence") >= least))
 
 
+def upsert_evidence(stored: DataFrame, drafts: DataFrame, order: str) -> DataFrame:
+    """``stored`` with ``drafts`` put in: a draft is the stored row of its evidence_id, else that of its source, order_ref_hash and type, else that of the first such draft; of several for a row the last in ``order`` counts. Ids never change."""
+    keys = ["source", "order_ref_hash", "evidence_type"]
+    by_id = stored.select("evidence_id", F.col("evidence_id").alias("same_id"))
+    by_key = stored.where("order_ref_hash is not null").groupBy(keys).agg(F.min("evidence_id").alias("same_key"))
+    first = drafts.where("order_ref_hash is not null").groupBy(keys).agg(F.min_by("evidence_id", order).alias("first_id"))
+    placed = drafts.join(by_id, "evidence_id", "left").join(by_key, keys, "left").join(first, keys, "left")
+    placed = placed.withColumn("evidence_id", F.coalesce("same_id", "same_key", "first_id", "evidence_id"))
+    columns = [c for c in stored.columns if c != "evidence_id"]
+    latest = placed.groupBy("evidence_id").agg(F.max_by(F.struct(*columns), order).alias("d")).select("evidence_id", "d.*")
+    return upsert(stored, latest, ["evidence_id"])
+
+
 def match_scores(evidence: DataFrame, ledger: DataFrame, within: int = 7, least: int = 650) -> DataFrame:
-    """Ledger rows that each evidence may prove, with a score in thousandths and its reasons.
+    """Ledger rows that each evidence may prove, with a score in thousandths and its reasons, as links.
 
     Equal cents and at most ``within`` days apart, by an equi-join on cents; refunds prove credits, everything else debits.
     """
     e = evidence.select("evidence_id", "evidence_type", "merchant_key", "payment_method", "document_date", F.abs(cents(F.col("total_amount"))).alias("cents"))
-    t = ledger.where(~F.col("internal_transfer")).select("id", "booking_date", "amount", F.abs(cents(F.col("amount"))).alias("cents"), T.haystack(F.col("sender"), F.col("recipient"), F.col("description")).alias("hay"))
-    pairs = e.join(t, "cents").where(F.abs(F.datediff("booking_date", "document_date")) <= within)
-    pairs = pairs.where(F.when(F.col("evidence_type") == "refund", F.col("amount") > 0).otherwise(F.col("amount") < 0))
+    hay = T.merchant_key(F.concat_ws(" ", *[F.nullif(c, F.lit("")) for c in ("sender", "recipient", "description")]))
+    t = ledger.where(~F.col("internal_transfer")).select("id", "booking_date", "amount", F.abs(cents(F.col("amount"))).alias("cents"), F.coalesce(hay, F.lit("")).alias("hay"))
     away = F.abs(F.datediff("booking_date", "document_date"))
+    pairs = e.join(t, "cents").where(away <= within)
+    pairs = pairs.where(F.when(F.col("evidence_type") == "refund", F.col("amount") > 0).otherwise(F.col("amount") < 0))
     tokens = F.filter(F.split("merchant_key", " "), lambda x: F.length(x) >= 4)
-    near, named, paid = F.when(away <= 1, 150).when(away <= 5, 80).otherwise(0), F.coalesce(F.exists(tokens, lambda x: F.contains(F.col("hay"), x)), F.lit(False)), F.coalesce(F.contains(F.col("hay"), F.replace("payment_method", F.lit("_"), F.lit(" "))), F.lit(False))
-    reasons = F.concat_ws("+", F.lit("amount"), F.when(near > 0, "date"), F.when(named, "merchant"), F.when(paid, "payment"))
-    score = F.least(F.lit(550) + near + F.when(named, 200).otherwise(0) + F.when(paid, 100).otherwise(0), F.lit(999)).cast("bigint")
-    scored = pairs.select("evidence_id", "id", score.alias("score"), reasons.alias("reasons")).where(F.col("score") >= least)
-    return scored.withColumn("link_id", F.concat(F.lit("evlink_"), F.left(F.sha2(F.concat_ws("|", "id", "evidence_id"), 256), F.lit(24))))
+    holds = lambda c: F.contains(F.col("hay"), c)
+    named = F.coalesce(F.exists(tokens, holds), F.lit(False))
+    paid = F.coalesce(holds(F.col("payment_method")) | ((F.col("payment_method") == "credit_card") & (holds(F.lit("visa")) | holds(F.lit("mastercard")) | holds(F.lit("santander")))), F.lit(False))
+    reasons = F.concat_ws("+", F.lit("amount"), F.when(away <= 1, "date<=1d").when(away <= 5, "date<=5d"), F.when(named, "merchant"), F.when(paid, "payment_method"))
+    score = F.lit(550) + F.when(away <= 1, 150).when(away <= 5, 80).otherwise(0) + F.when(named, 200).otherwise(0) + F.when(paid, 100).otherwise(0)
+    kind = F.concat("evidence_type", F.lit("_match"))
+    link = F.concat(F.lit("evlink_"), F.left(T.reference_hash(F.concat_ws("|", "id", "evidence_id", kind)), F.lit(24)))
+    return pairs.select("evidence_id", "id", kind.alias("match_type"), F.least(score, F.lit(999)).cast("bigint").alias("score"), reasons.alias("reasons"), link.alias("link_id")).where(F.col("score") >= least)
+
+
+def upsert_links(stored: DataFrame, found: DataFrame) -> DataFrame:
+    """Links by their id: a link that is found again takes the new score and reasons."""
+    return upsert(stored, found, ["link_id"], fixed=["evidence_id", "id", "match_type"])
+
+
+def imported(messages: DataFrame, stored: DataFrame, links: DataFrame, ledger: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(evidence, links) after ``messages``, extracted, put in and matched to the ledger. Messages count in the order of their source_message_id."""
+    drafts = extracted(messages)
+    evidence = upsert_evidence(stored, drafts, "message")
+    keys = ["source", "order_ref_hash", "evidence_type"]
+    come = evidence.join(drafts.select("evidence_id").distinct(), "evidence_id", "left_semi").unionByName(evidence.join(drafts.select(keys).distinct(), keys, "left_semi")).dropDuplicates(["evidence_id"])
+    return evidence, upsert_links(links, match_scores(come, ledger))
+
+
+def top_debits(ledger: DataFrame, categories: DataFrame, links: DataFrame, evidence: DataFrame, n: int = 20) -> DataFrame:
+    """The ``n`` largest debits with category and evidence; a row with several pieces of evidence comes once for each."""
+    proof = links.select("id", "evidence_id", F.col("score").alias("evidence_score")).join(evidence.select("evidence_id", "evidence_type", "merchant_name"), "evidence_id", "left")
+    rows = ledger.where("amount < 0 and not internal_transfer").join(categories, "category_id", "left").join(proof, "id", "left")
+    return rows.orderBy("amount", "id", F.col("evidence_id").asc_nulls_first()).limit(n).select("id", "booking_date", "amount", "name", "evidence_id", "evidence_type", "merchant_name", "evidence_score")
+
+
+def newest(evidence: DataFrame, start: str | None = None, end: str | None = None, n: int = 100) -> DataFrame:
+    """The latest documents, of a period or of all time; those without a date last."""
+    rows = evidence if start is None else evidence.where(F.col("document_date").between(F.to_date(F.lit(start)), F.to_date(F.lit(end))))
+    return rows.orderBy(F.desc_nulls_last("document_date"), "evidence_id").limit(n)

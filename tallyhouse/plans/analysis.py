@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyhouse.functions.numbers import money
-from tallyhouse.operators import enrich, evidence, pairing, runs, versions
+from tallyhouse.operators import enrich, pairing, runs, versions
 from tallyhouse.plans.registry import query
 from tallyhouse.sources.tables import Tables, with_
 
@@ -238,16 +238,3 @@ _FIELDS = ("id", "sender", "recipient", "category_id", "source", "description")
 @query(with_("ledger") + " UNION ALL ".join(f"SELECT '{c}' AS field, count(*) AS n, count(nullif({c}, '')) AS filled, count(DISTINCT nullif({c}, '')) AS n_values, round(count(nullif({c}, '')) / count(*), 4) AS fill_rate, count(DISTINCT nullif({c}, '')) = count(nullif({c}, '')) AS is_unique FROM ledger" for c in _FIELDS))
 def field_profile(t: Tables) -> DataFrame:
     return runs.field_profile(t.ledger(), list(_FIELDS))
-
-
-def _evidence(t: Tables) -> DataFrame:
-    rows = t.ledger().where("okey % 9 = 0")
-    return rows.select(F.concat(F.lit("e"), "id").alias("evidence_id"), F.when(F.col("amount") > 0, "refund").otherwise("receipt").alias("evidence_type"), F.lower(F.coalesce("recipient", "sender")).alias("merchant_key"), F.lit(None).cast("string").alias("payment_method"), F.date_add("booking_date", (F.col("okey") % 8).cast("int")).alias("document_date"), F.abs("amount").alias("total_amount"))
-
-
-@query(with_("ledger", e="SELECT 'e' || id AS evidence_id, amount > 0 AS refund, lower(coalesce(recipient, sender)) AS mk, booking_date + CAST(okey % 8 AS INTEGER) AS d, abs(CAST(amount * 100 AS BIGINT)) AS c FROM ledger WHERE okey % 9 = 0",
-              p="SELECT evidence_id, id, abs(date_diff('day', d, booking_date)) AS away, contains(lower(coalesce(sender, '') || ' ' || coalesce(recipient, '') || ' ' || description), mk) AS named FROM e JOIN ledger t ON c = abs(CAST(t.amount * 100 AS BIGINT)) WHERE NOT internal_transfer AND abs(date_diff('day', d, booking_date)) <= 7 AND CASE WHEN refund THEN t.amount > 0 ELSE t.amount < 0 END",
-              q="SELECT *, 550 + CASE WHEN away <= 1 THEN 150 WHEN away <= 5 THEN 80 ELSE 0 END + CASE WHEN named THEN 200 ELSE 0 END AS score FROM p")
-       + "SELECT evidence_id, id, CAST(score AS BIGINT) AS score, 'amount' || CASE WHEN away <= 5 THEN '+date' ELSE '' END || CASE WHEN named THEN '+merchant' ELSE '' END AS reasons, 'evlink_' || left(sha256(id || '|' || evidence_id), 24) AS link_id FROM q WHERE score >= 650")
-def evidence_matches(t: Tables) -> DataFrame:
-    return evidence.match_scores(_evidence(t), t.ledger())

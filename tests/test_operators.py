@@ -111,7 +111,26 @@ def test_evidence_and_match(spark):
     assert row["confidence"] == Decimal("0.999") and "AB-12345" not in str(row) and evidence.usable(draft).count() == 1
     tx = [("t1", date(2026, 2, 4), Decimal("-42.99"), None, "PAYPAL *ACME", "", False), ("t2", date(2026, 2, 4), Decimal("42.99"), "x", None, "", False), ("t3", date(2026, 2, 12), Decimal("-42.99"), None, "acme", "", False), ("t4", date(2026, 2, 10), Decimal("-42.99"), None, "other", "", False)]
     found = evidence.match_scores(draft, spark.createDataFrame(tx, "id string, booking_date date, amount decimal(14,2), sender string, recipient string, description string, internal_transfer boolean")).collect()
-    assert [(r["id"], r["score"], r["reasons"]) for r in found] == [("t1", 999, "amount+date+merchant+payment")]
+    # the processor's name is no part of a merchant's, so that it proves no payment by it
+    assert [(r["id"], r["score"], r["reasons"], r["match_type"]) for r in found] == [("t1", 900, "amount+date<=1d+merchant", "receipt_match")]
+
+
+def test_evidence_of_scanty_mails(spark):
+    rows = [("mail", "1", DAY, "shop@x.example", "Hello", "nothing"), (None, None, DAY, "shop@x.example", "Hello", "Total: -12,50 EUR\n- | 1\n- DE12345678901234567890 | 2,00\n- Pen | x | office\nPayment: Visa of a@b.example")]
+    got = evidence.extracted(spark.createDataFrame(rows, "source string, source_message_id string, received_at date, sender string, subject string, body_text string")).orderBy("confidence").collect()
+    assert [str(r["confidence"]) for r in got] == ["0.300", "0.700"] and got[0]["order_ref_hash"] is None and got[0]["document_date"] == DAY
+    second = got[1]
+    assert (second["source"], second["merchant_name"], second["total_amount"], second["payment_method"], second["payment_hint"]) == ("gmail", "shop", Decimal("12.50"), "credit_card", "Visa of [email]")
+    assert [(i["label"], i["amount"]) for i in second["line_items"]] == [("DE[iban]", Decimal("2.00")), ("Pen", None)] and second["subject_hint"] == "Hello"
+    assert got[0]["evidence_id"] != second["evidence_id"]
+
+
+def test_evidence_of_a_batch_is_put_in_once(spark):
+    kind = "evidence_id string, source string, order_ref_hash string, evidence_type string, total_amount int"
+    stored = spark.createDataFrame([("a", "g", "h1", "order", 1), ("b", "g", None, "order", 2)], kind)
+    drafts = spark.createDataFrame([("x", "g", "h1", "order", 10, 1), ("b", "g", "h9", "order", 20, 2), ("p", "g", "h2", "order", 30, 3), ("q", "g", "h2", "order", 40, 4), ("r", "g", None, "order", 50, 5)], kind + ", seq int")
+    got = {r["evidence_id"]: (r["order_ref_hash"], r["total_amount"]) for r in evidence.upsert_evidence(stored, drafts, "seq").collect()}
+    assert got == {"a": ("h1", 10), "b": ("h9", 20), "p": ("h2", 40), "r": (None, 50)}
 
 
 def test_text_functions(spark):
