@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
+from tallyhouse.sources.folders import stored
 from tallyhouse.functions.numbers import cents
 from tallyhouse.functions.text import haystack
 
@@ -84,17 +85,45 @@ def recurring(ledger: DataFrame, months: int = 3, tolerance_percent: int = 10) -
     return patterns, flags
 
 
+#: Ranges that a median's rows are counted in; a group's median lies in one or two of them.
+RANGES = 1024
+
+
+def medians(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """keys, median: the exact median of each group, the mean of the middle two.
+
+    Values are counted in RANGES ranges between the least and the largest of their group; then again in those ranges that hold a middle value, until each is a single value.
+    Every count is combined before the shuffle and no task holds a group.
+    """
+    x = rows.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("x"))
+    groups = x.groupBy(*keys).agg(F.count("*").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"))
+    # the places of the middle values, from 0: one for an odd size
+    asked = F.explode(F.array_distinct(F.array(F.floor((F.col("n") - 1) / 2), F.floor(F.col("n") / 2)))).alias("asked")
+    found = stored(groups.select(*keys, asked, "lo", "hi").withColumn("left", F.col("asked")), "medians")
+    open_ = found.where("lo < hi")
+    done = [found.where("lo = hi").select(*keys, "lo")]
+    while open_.take(1):
+        same = reduce(lambda p, q: p & q, [F.col(f"x.{k}").eqNullSafe(F.col(f"f.{k}")) for k in keys])
+        inside = x.alias("x").join(open_.alias("f"), same & F.col("x.x").between(F.col("f.lo"), F.col("f.hi")))
+        place = F.least(F.lit(RANGES - 1), F.floor((F.col("x.x") - F.col("f.lo")) / (F.col("f.hi") - F.col("f.lo")) * RANGES)).cast("int")
+        counted = inside.groupBy(*[F.col(f"f.{k}").alias(k) for k in keys], "asked", "left", place.alias("r")).agg(F.count("*").alias("n"), F.min("x.x").alias("lo"), F.max("x.x").alias("hi"))
+        in_order = W.Window.partitionBy(*keys, "asked").orderBy("r")  # RANGES rows a group at most
+        before = counted.withColumn("before", F.sum("n").over(in_order) - F.col("n")).where("before <= left and left < before + n")
+        found = stored(before.select(*keys, "asked", (F.col("left") - F.col("before")).alias("left"), "lo", "hi"), "medians")
+        done.append(found.where("lo = hi").select(*keys, "lo"))
+        open_ = found.where("lo < hi")
+    return reduce(DataFrame.union, done).groupBy(*keys).agg((F.sum("lo") / F.count("*")).alias("median"))
+
+
 def outliers(rows: DataFrame, group: str, value: str, least: int = 3, threshold: float = 3.5) -> DataFrame:
     """Rows whose modified z-score in their group exceeds the threshold, with the score; a null group is one too.
 
-    0.6745 (x - median) / MAD, or (x - median) / (1.253314 mean deviation) where MAD is 0. Medians are aggregates that are counted before the shuffle and joined
-    back, so a group may hold most of the rows.
+    0.6745 (x - median) / MAD, or (x - median) / (1.253314 mean deviation) where MAD is 0. A group may hold most of the rows.
     """
     x = rows.withColumn("x", F.col(value).cast("double"))
-    middle = x.groupBy(F.col(group).alias("_g")).agg(F.count("x").alias("size"), F.median("x").alias("median"))
-    x = x.join(middle, F.col(group).eqNullSafe(F.col("_g"))).drop("_g").withColumn("away", F.abs(F.col("x") - F.col("median")))
-    spread = x.groupBy(F.col(group).alias("_g")).agg(F.median("away").alias("mad"), F.avg("away").alias("mean_away"))
-    x = x.join(spread, F.col(group).eqNullSafe(F.col("_g"))).drop("_g")
+    joined = lambda a, b: a.join(b.withColumnRenamed(group, "_g"), F.col(group).eqNullSafe(F.col("_g"))).drop("_g")
+    x = joined(joined(x, x.groupBy(group).agg(F.count("x").alias("size"))), medians(x, [group], "x")).withColumn("away", F.abs(F.col("x") - F.col("median")))
+    x = joined(joined(x, x.groupBy(group).agg(F.avg("away").alias("mean_away"))), medians(x, [group], "away").withColumnRenamed("median", "mad"))
     z = F.when(F.col("mad") > 0, 0.6745 * (F.col("x") - F.col("median")) / F.col("mad")).when(F.col("mean_away") > 0, (F.col("x") - F.col("median")) / (1.253314 * F.col("mean_away"))).otherwise(0.0)
     return x.withColumn("z", z).where((F.col("size") >= least) & (F.abs("z") > threshold)).drop("x", "size", "median", "away", "mad", "mean_away")
 
@@ -111,12 +140,24 @@ def refund_candidates(ledger: DataFrame, catch_all: str) -> DataFrame:
     return ledger.where((F.col("category_id") == catch_all) & ~F.col("is_refund") & (F.col("amount") > 0) & ~F.col("internal_transfer") & F.col("refund_audit_decided_at").isNull())
 
 
-def memory_examples(history: DataFrame, keys: list[str], most: int = 20, least_key: int = 4) -> DataFrame:
-    """Categorised rows whose counterpart contains one of ``keys`` or is contained in it: the newest of each (counterpart, category), the newest ``most`` of those."""
-    usable = [k.lower() for k in keys if len(k) >= least_key]
+def memory_examples(history: DataFrame, keys: DataFrame, most: int = 20, least_key: int = 4) -> DataFrame:
+    """Categorised rows whose counterpart contains one of ``keys`` (a column key) or is contained in it: the newest of each (counterpart, category), the newest ``most`` of those.
+
+    Each name is compared once with each key: the newest row of each (counterpart, category) comes first, then the join of distinct names with the keys of one prompt.
+    """
     name = F.lower(F.coalesce(F.nullif("recipient", F.lit("")), F.nullif("sender", F.lit(""))))
     rows = history.where("category_id is not null").withColumn("counterpart", name).where("counterpart is not null")
-    hits = [F.contains(F.col("counterpart"), F.lit(k)) | ((F.length("counterpart") >= least_key) & F.contains(F.lit(k), F.col("counterpart"))) for k in usable]
-    rows = rows.where(reduce(lambda a, b: a | b, hits, F.lit(False)))
-    newest = W.Window.partitionBy("counterpart", "category_id").orderBy(F.desc("booking_date"), "id")
-    return rows.withColumn("r", F.row_number().over(newest)).where("r = 1").orderBy(F.desc("booking_date"), "id").limit(most).select("id", "counterpart", "category_id", "booking_date")
+    newest = rows.groupBy("counterpart", "category_id").agg(F.min_by(F.struct("id", "booking_date"), F.struct((-F.unix_date("booking_date")).alias("d"), "id")).alias("r"))
+    key = keys.select(F.lower("key").alias("key")).where(F.length("key") >= least_key).distinct()
+    meets = F.contains("counterpart", "key") | ((F.length("counterpart") >= least_key) & F.contains("key", "counterpart"))
+    known = newest.select("counterpart").distinct().join(key, meets, "left_semi")
+    return newest.join(known, "counterpart", "left_semi").select("r.id", "counterpart", "category_id", "r.booking_date").orderBy(F.desc("booking_date"), "id").limit(most)
+
+
+def decided(ledger: DataFrame, catch_all: str, at: str) -> DataFrame:
+    """``ledger`` after the clear cases of refund_candidates were decided at ``at``: a refund takes the suggested category, an income stays as it is, and neither comes up again."""
+    found = refund_suggestion(refund_candidates(ledger, catch_all)).where("auto").select("id", F.col("suggested_category").alias("_category"), F.lit(True).alias("_hit"))
+    hit, refund = F.coalesce("_hit", F.lit(False)), F.col("_category").isNotNull()
+    both = ledger.join(found, "id", "left")
+    new = {"category_id": F.coalesce("_category", "category_id"), "is_refund": F.col("is_refund") | (hit & refund), "refund_audit_decided_at": F.when(hit, F.to_timestamp(F.lit(at))).otherwise(F.col("refund_audit_decided_at"))}
+    return both.select([new.get(c, F.col(c)).alias(c) for c in ledger.columns])

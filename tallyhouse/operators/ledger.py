@@ -64,12 +64,12 @@ def summary(ledger: DataFrame) -> DataFrame:
 
 def by_category(ledger: DataFrame, categories: DataFrame) -> DataFrame:
     """Totals of rows with a category."""
-    return ledger.where(~F.col("internal_transfer")).join(F.broadcast(categories), "category_id").groupBy("category_id", "name").agg(total(F.col("amount")).alias("total"), F.count("*").alias("n"))
+    return ledger.where(~F.col("internal_transfer")).join(categories, "category_id").groupBy("category_id", "name").agg(total(F.col("amount")).alias("total"), F.count("*").alias("n"))
 
 
 def breakdown(ledger: DataFrame, categories: DataFrame) -> DataFrame:
     """Totals of every category, missing ones named, with their share of all that was spent in per cent."""
-    sums = ledger.where(~F.col("internal_transfer")).join(F.broadcast(categories), "category_id", "left").groupBy(F.coalesce("name", F.lit(UNCATEGORISED)).alias("name")).agg(total(F.col("amount")).alias("total"))
+    sums = ledger.where(~F.col("internal_transfer")).join(categories, "category_id", "left").groupBy(F.coalesce("name", F.lit(UNCATEGORISED)).alias("name")).agg(total(F.col("amount")).alias("total"))
     spent = F.sum(F.when(F.col("total") < 0, -F.col("total"))).over(W.Window.partitionBy())
     return sums.withColumn("share_pct", F.when(F.col("total") < 0, ratio(-F.col("total") * 100, spent, 1)).otherwise(0.0))
 

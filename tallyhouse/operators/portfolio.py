@@ -43,10 +43,10 @@ def depot_totals(depots: DataFrame, positions: DataFrame) -> DataFrame:
 
 def position_gains(positions: DataFrame, instruments: DataFrame) -> DataFrame:
     """Gains of each position and its weight in its depot."""
-    all_ = F.sum("current_value").over(W.Window.partitionBy("depot_id"))
+    sums = positions.groupBy("depot_id").agg(F.sum("current_value").alias("all_"))
     gain = F.col("current_value") - F.col("purchase_value")
     known = F.col("prev_day_value") > 0
-    return positions.join(instruments, "isin").select("depot_id", "isin", "name", money(F.col("current_value")).alias("value"), money(gain).alias("gain"), ratio(gain * 100, F.col("purchase_value"), 2).alias("gain_pct"), money(F.when(known, F.col("current_value") - F.col("prev_day_value"))).alias("daily_gain"), ratio(F.col("current_value") * 100, all_, 2).alias("weight_pct"))
+    return positions.join(sums, "depot_id").join(instruments, "isin").select("depot_id", "isin", "name", money(F.col("current_value")).alias("value"), money(gain).alias("gain"), ratio(gain * 100, F.col("purchase_value"), 2).alias("gain_pct"), money(F.when(known, F.col("current_value") - F.col("prev_day_value"))).alias("daily_gain"), ratio(F.col("current_value") * 100, F.col("all_"), 2).alias("weight_pct"))
 
 
 def snapshots(depots: DataFrame, positions: DataFrame) -> DataFrame:
@@ -95,10 +95,10 @@ def plan_report(positions: DataFrame, instruments_: DataFrame, targets: DataFram
     The cap binds instruments that are neither funds nor named so, unless their own maximum allows more.
     """
     held = positions.groupBy("isin").agg(F.sum("current_value").alias("v")).join(instruments_, "isin").withColumn("bucket", bucket(F.col("instrument_type")))
-    weight = ratio(F.col("v") * 100, F.sum("v").over(W.Window.partitionBy()), 4)
+    whole = positions.join(instruments_.select("isin"), "isin", "left_semi").agg(F.sum("current_value").alias("whole"))
     own = targets.where("target_type = 'isin'").select(F.col("target_key").alias("isin"), F.struct("target_pct", "max_pct").alias("own"))
     group = targets.where("target_type = 'bucket'").select(F.col("target_key").alias("bucket"), F.struct("target_pct", "max_pct").alias("group"))
-    rows = held.withColumn("weight_pct", weight).join(own, "isin", "left").join(group, "bucket", "left").withColumn("t", F.coalesce("own", "group"))
+    rows = held.join(F.broadcast(whole), F.lit(True)).withColumn("weight_pct", ratio(F.col("v") * 100, F.col("whole"), 4)).join(own, "isin", "left").join(group, "bucket", "left").withColumn("t", F.coalesce("own", "group"))
     fund = F.upper("instrument_type").isin("ETF", "FUND") | F.contains(F.lower("name"), F.lit("etf"))
     over = ~F.coalesce(fund, F.lit(False)) & (F.col("weight_pct") > cap_pct) & (F.col("t.max_pct").isNull() | (F.col("weight_pct") > F.col("t.max_pct")))
     rows = rows.join(plans.where("active").select("isin", F.lit(True).alias("has_plan")), "isin", "left")

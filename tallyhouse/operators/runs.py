@@ -35,7 +35,7 @@ def pending(found: DataFrame, ledger: DataFrame, rejected: DataFrame, categories
     """Best suggestions for rows that still have no category and that nobody has turned down, with the category's name."""
     open_ = best_suggestion(found.join(rejected, ["transaction_id", "suggested_category_id"], "left_anti"))
     rows = ledger.where("category_id is null").select(F.col("id").alias("transaction_id"), "booking_date", "amount")
-    return open_.join(rows, "transaction_id").join(F.broadcast(categories.select(F.col("category_id").alias("suggested_category_id"), "name")), "suggested_category_id", "left")
+    return open_.join(rows, "transaction_id").join(categories.select(F.col("category_id").alias("suggested_category_id"), "name"), "suggested_category_id", "left")
 
 
 def apply_suggestions(ledger: DataFrame, best: DataFrame, threshold: float = 0.6) -> DataFrame:
@@ -58,7 +58,7 @@ def stale(runs: DataFrame, now: str, seconds: int = 300, grace: int = 600) -> Da
 
 def token_cost(usage: DataFrame, prices: DataFrame) -> DataFrame:
     """Tokens and cost of each model; unknown ones cost nothing. Prices are per million."""
-    both = usage.groupBy("model").agg(F.sum("input_tokens").cast("bigint").alias("input_tokens"), F.sum("output_tokens").cast("bigint").alias("output_tokens")).join(F.broadcast(prices), "model", "left")
+    both = usage.groupBy("model").agg(F.sum("input_tokens").cast("bigint").alias("input_tokens"), F.sum("output_tokens").cast("bigint").alias("output_tokens")).join(prices, "model", "left")
     return both.select("model", "input_tokens", "output_tokens", F.round(F.coalesce((F.col("input_tokens") * F.col("input_price") + F.col("output_tokens") * F.col("output_price")) / 1e6, F.lit(0.0)), 6).alias("cost"))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyhouse.functions.numbers import money
-from tallyhouse.operators import enrich, pairing, runs, versions
+from tallyhouse.operators import enrich, normalise, pairing, runs, versions
 from tallyhouse.plans.registry import query
 from tallyhouse.sources.tables import Tables, with_
 
@@ -61,18 +61,18 @@ def robust_outliers(t: Tables) -> DataFrame:
     return enrich.outliers(t.raw("events").select("event_id", "event_type", "value"), "event_type", "value").select("event_id", "event_type", F.round("z", 4).alias("z"))
 
 
-@query(with_("ledger") + "SELECT id, CASE WHEN segment = 'BUILDING' THEN 'apotheke' WHEN segment = 'AUTOMOBILE' THEN 'paypal friends' WHEN segment = 'MACHINERY' THEN 'bonus' END AS refund_word, CASE WHEN segment = 'BUILDING' THEN 'gesundheit' WHEN segment = 'AUTOMOBILE' THEN 'restaurant-cafe' END AS suggested_category, CASE WHEN segment = 'BUILDING' THEN true WHEN segment IN ('AUTOMOBILE', 'MACHINERY') THEN false END AS auto FROM (SELECT id, substr(description, strpos(description, ' ') + 1) AS rest, CASE WHEN description LIKE '%BUILDING' THEN 'BUILDING' WHEN description LIKE '%AUTOMOBILE' THEN 'AUTOMOBILE' WHEN description LIKE '%MACHINERY' THEN 'MACHINERY' END AS segment, amount FROM ledger) WHERE amount > 0")
+@query(with_("ledger") + "SELECT id, CASE WHEN segment = 'BUILDING' THEN 'apotheke' WHEN segment = 'AUTOMOBILE' THEN 'paypal friends' WHEN segment = 'MACHINERY' THEN 'bonus' WHEN segment = 'FURNITURE' THEN 'finanzamt' END AS refund_word, CASE WHEN segment = 'BUILDING' THEN 'gesundheit' WHEN segment = 'AUTOMOBILE' THEN 'restaurant-cafe' END AS suggested_category, CASE WHEN segment IN ('BUILDING', 'FURNITURE') THEN true WHEN segment IN ('AUTOMOBILE', 'MACHINERY') THEN false END AS auto FROM (SELECT id, substr(description, strpos(description, ' ') + 1) AS rest, CASE WHEN description LIKE '%BUILDING' THEN 'BUILDING' WHEN description LIKE '%AUTOMOBILE' THEN 'AUTOMOBILE' WHEN description LIKE '%MACHINERY' THEN 'MACHINERY' WHEN description LIKE '%FURNITURE' THEN 'FURNITURE' END AS segment, amount FROM ledger) WHERE amount > 0")
 def refund_suggestions(t: Tables) -> DataFrame:
     return enrich.refund_suggestion(_refund_texts(t).where("amount > 0")).select("id", "refund_word", "suggested_category", "auto")
 
 
 def _refund_texts(t: Tables) -> DataFrame:
     d = F.col("description")
-    text = F.when(d.endswith("BUILDING"), "Stadt-Apotheke 12").when(d.endswith("AUTOMOBILE"), "Friends of PAYPAL").when(d.endswith("MACHINERY"), "Hausrat-Bonus").otherwise("nothing")
+    text = F.when(d.endswith("BUILDING"), "Stadt-Apotheke 12").when(d.endswith("AUTOMOBILE"), "Friends of PAYPAL").when(d.endswith("MACHINERY"), "Hausrat-Bonus").when(d.endswith("FURNITURE"), "Finanzamt Mitte").otherwise("nothing")
     return t.ledger().withColumns({"description": text, "sender": F.lit(None).cast("string")})
 
 
-@query(with_("ledger") + "SELECT CAST(count_if(amount > 0 AND description LIKE '%BUILDING') AS BIGINT) AS applied_refund, CAST(count_if(false) AS BIGINT) AS applied_income, CAST(count_if(amount > 0 AND description NOT LIKE '%BUILDING') AS BIGINT) AS left_for_review FROM ledger")
+@query(with_("ledger") + "SELECT CAST(count_if(amount > 0 AND description LIKE '%BUILDING') AS BIGINT) AS applied_refund, CAST(count_if(amount > 0 AND description LIKE '%FURNITURE') AS BIGINT) AS applied_income, CAST(count_if(amount > 0 AND description NOT LIKE '%BUILDING' AND description NOT LIKE '%FURNITURE') AS BIGINT) AS left_for_review FROM ledger")
 def refund_outcomes(t: Tables) -> DataFrame:
     s = enrich.refund_suggestion(_refund_texts(t).where("amount > 0"))
     auto = F.coalesce("auto", F.lit(False))
@@ -88,19 +88,19 @@ def refund_candidates(t: Tables) -> DataFrame:
 @query(with_("ledger", h="SELECT *, lower(coalesce(nullif(recipient, ''), nullif(sender, ''))) AS counterpart FROM ledger WHERE category_id IS NOT NULL", k="SELECT *, row_number() OVER (PARTITION BY counterpart, category_id ORDER BY booking_date DESC, id) AS r FROM h WHERE contains(counterpart, 'customer#00000001') OR (length(counterpart) >= 4 AND contains('customer#00000001', counterpart)) OR contains(counterpart, '0000007')")
        + "SELECT id, counterpart, category_id, booking_date FROM k WHERE r = 1 ORDER BY booking_date DESC, id LIMIT 20")
 def memory_examples(t: Tables) -> DataFrame:
-    return enrich.memory_examples(t.ledger(), ["Customer#00000001", "0000007", "abc"])
+    return enrich.memory_examples(t.ledger(), t.spark.createDataFrame([("Customer#00000001",), ("0000007",), ("abc",)], "key string"))
 
 
 def _legs(t: Tables) -> DataFrame:
-    """Each fifth order as a debit, and its mirror as a credit 0 to 3 days later."""
-    o = t.ledger().where("okey % 5 = 0").withColumn("cents", F.abs(F.col("amount")))
+    """Each order as a debit, and its mirror as a credit 0 to 3 days later."""
+    o = t.ledger().withColumn("cents", F.abs(F.col("amount")))
     debit = o.select(F.concat(F.lit("d"), "id").alias("id"), (-F.col("cents")).alias("amount"), "booking_date", F.concat(F.lit("DE"), F.col("custkey").cast("string")).alias("sender_iban"), F.lit("DE0").alias("recipient_iban"))
     credit = o.select(F.concat(F.lit("c"), "id").alias("id"), F.col("cents").alias("amount"), F.date_add("booking_date", (F.col("okey") % 4).cast("int")).alias("booking_date"), F.lit("DE0").alias("sender_iban"), F.concat(F.lit("DE"), F.col("custkey").cast("string")).alias("recipient_iban"))
     return debit.union(credit)
 
 
 _LEGS = dict(
-    o="SELECT *, abs(amount) AS c FROM ledger WHERE okey % 5 = 0",
+    o="SELECT *, abs(amount) AS c FROM ledger",
     p="SELECT 'c' || x.id AS credit_id, 'd' || y.id AS debit_id, row_number() OVER (PARTITION BY x.id ORDER BY y.booking_date, 'd' || y.id) AS r FROM o x JOIN o y ON x.c = y.c AND abs(date_diff('day', CAST(x.booking_date + CAST(x.okey % 4 AS INTEGER) AS DATE), y.booking_date)) <= 2",
 )
 
@@ -210,10 +210,10 @@ def applied_suggestions(t: Tables) -> DataFrame:
     return runs.apply_suggestions(t.ledger(), runs.best_suggestion(runs.suggestions(_runs(t)))).select("id", "category_id")
 
 
-@query("SELECT user_id % 7 AS kind, max(event_id) AS run_id, count(*) > 0 AS present FROM (SELECT *, row_number() OVER (PARTITION BY user_id % 7 ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1 GROUP BY 1")
+@query("SELECT user_id % 7 AS kind, event_id AS run_id, event_type, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id % 7 ORDER BY ts DESC, event_id DESC) = 1")
 def last_run_per_source(t: Tables) -> DataFrame:
-    rows = t.raw("events").select((F.col("user_id") % 7).alias("kind"), F.col("event_id").alias("run_id"), "ts")
-    return runs.last_by(rows, "kind", "ts").select("kind", "run_id", F.lit(True).alias("present"))
+    rows = t.raw("events").select((F.col("user_id") % 7).alias("kind"), F.col("event_id").alias("run_id"), "ts", "event_type", "value")
+    return runs.last_by(rows, "kind", "ts").select("kind", "run_id", "event_type", "value")
 
 
 @query("SELECT event_id AS run_id FROM events WHERE event_type <> 'purchase' AND CASE WHEN event_id % 4 <> 0 THEN epoch(TIMESTAMP '2024-01-20 00:00:00') - floor(epoch(ts)) > 300 ELSE epoch(TIMESTAMP '2024-01-20 00:00:00') - floor(epoch(ts)) > 600 END")
@@ -238,3 +238,50 @@ _FIELDS = ("id", "sender", "recipient", "category_id", "source", "description")
 @query(with_("ledger") + " UNION ALL ".join(f"SELECT '{c}' AS field, count(*) AS n, count(nullif({c}, '')) AS filled, count(DISTINCT nullif({c}, '')) AS n_values, round(count(nullif({c}, '')) / count(*), 4) AS fill_rate, count(DISTINCT nullif({c}, '')) = count(nullif({c}, '')) AS is_unique FROM ledger" for c in _FIELDS))
 def field_profile(t: Tables) -> DataFrame:
     return runs.field_profile(t.ledger(), list(_FIELDS))
+
+
+@query(with_("ledger", x="SELECT id, CASE WHEN description LIKE '%BUILDING' THEN 'gesundheit' ELSE category_id END AS c, category_id, is_refund, description, category_id = '5-LOW' AND NOT is_refund AND amount > 0 AND NOT internal_transfer AND (description LIKE '%BUILDING' OR description LIKE '%FURNITURE') AS hit FROM ledger")
+       + "SELECT id, CASE WHEN hit THEN c ELSE category_id END AS category_id, is_refund OR coalesce(hit AND description LIKE '%BUILDING', false) AS is_refund, coalesce(hit, false) AS decided FROM x")
+def refunds_decided(t: Tables) -> DataFrame:
+    """The ledger after the clear refunds and incomes were decided."""
+    rows = _refund_texts(t).withColumn("refund_audit_decided_at", F.lit(None).cast("timestamp"))
+    return enrich.decided(rows, "5-LOW", "2024-01-01").select("id", "category_id", "is_refund", F.col("refund_audit_decided_at").isNotNull().alias("decided"))
+
+
+def _payloads(t: Tables) -> DataFrame:
+    """The ledger as the bank's bookings come: JSON with the counterparty under creditor or remitter."""
+    side = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.col(c).alias("holderName")))
+    value = F.struct(F.col("amount").cast("string").alias("value"), F.lit("EUR").alias("unit"))
+    raw = F.to_json(F.struct(F.col("id").alias("transactionId"), F.col("booking_date").cast("string").alias("bookingDate"), value.alias("transactionValue"), side("recipient").alias("creditor"), side("sender").alias("remitter"), F.col("description").alias("remittanceInfo")))
+    return t.ledger().select(F.lit("bank").alias("source"), raw.alias("raw"), F.col("okey").alias("arrival"))
+
+
+_PASS = dict(
+    b=f"SELECT id, booking_date, coalesce(recipient, sender) AS counterpart, {_RULE} AS category_id, abs(CAST(amount * 100 AS BIGINT))::DOUBLE AS c, abs(amount)::DOUBLE AS v, year(booking_date) * 12 + month(booking_date) AS m FROM (SELECT *, {_HAY} AS hay FROM ledger)",
+    mo="SELECT counterpart, m, m - row_number() OVER (PARTITION BY counterpart ORDER BY m) AS island FROM (SELECT DISTINCT counterpart, m FROM b)",
+    w="SELECT b.*, island FROM b JOIN mo USING (counterpart, m)",
+    pt="SELECT counterpart, min(m) AS first, max(m) AS last FROM w GROUP BY counterpart, island HAVING count(DISTINCT m) >= 3 AND count(*) * sum(c * c) - sum(c) * sum(c) <= 0.01 * sum(c) * sum(c)",
+    o1="SELECT id, category_id, v, median(v) OVER (PARTITION BY category_id) AS med, count(*) OVER (PARTITION BY category_id) AS size FROM b",
+    o2="SELECT *, median(abs(v - med)) OVER (PARTITION BY category_id) AS mad, avg(abs(v - med)) OVER (PARTITION BY category_id) AS mean_away FROM o1",
+    o3="SELECT id, size >= 3 AND abs(CASE WHEN mad > 0 THEN 0.6745 * (v - med) / mad WHEN mean_away > 0 THEN (v - med) / (1.253314 * mean_away) ELSE 0.0 END) > 3.5 AS is_outlier FROM o2",
+)
+
+
+@query(with_("ledger", **_PASS) + "SELECT id, category_id, EXISTS (SELECT 1 FROM pt WHERE pt.counterpart = b.counterpart AND b.m BETWEEN first AND last) AS is_recurring, is_outlier, false AS internal_transfer FROM b JOIN o3 USING (id)")
+def normalised_ledger(t: Tables) -> DataFrame:
+    """All of the bank's bookings, ingested into an empty store and taken through the whole pass."""
+    nothing = t.spark.createDataFrame([], "source string, external_id string, content_hash string, arrival long, raw string, version long, superseded_by string")
+    _, found = normalise.ingested(nothing, _payloads(t), RULES, ["DE0"])
+    return found.ledger.select(F.col("external_id").alias("id"), "category_id", "is_recurring", "is_outlier", "internal_transfer")
+
+
+@query(with_("ledger") + "SELECT id, CASE WHEN okey % 4 = 0 THEN 'changed' ELSE 'same' END AS state FROM ledger WHERE okey % 2 = 0")
+def changed_hashes(t: Tables) -> DataFrame:
+    """Which stored rows a reading of their payload would give another hash; odd rows have no payload."""
+    from tallyhouse.sources import canonical
+
+    rows = _payloads(t).withColumn("payload", F.col("raw"))
+    kept = canonical.content_hash(canonical.bank(rows, "payload", "arrival"))
+    stored = kept.select("source", F.when(F.col("arrival") % 2 == 0, F.concat(F.lit('{"source_payload": '), "payload", F.lit("}"))).otherwise(F.col("payload")).alias("raw"), F.when(F.col("arrival") % 4 == 0, F.sha2("content_hash", 256)).otherwise(F.col("content_hash")).alias("content_hash"), F.lit(None).cast("string").alias("superseded_by"), F.col("external_id").alias("id"), (F.col("arrival") % 2 == 0).alias("even"))
+    found = normalise.hash_changes(stored).select(F.col("old").alias("content_hash"), F.lit("changed").alias("state"))
+    return stored.where("even").join(found, "content_hash", "left").select("id", F.coalesce("state", F.lit("same")).alias("state"))

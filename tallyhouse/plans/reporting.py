@@ -111,13 +111,13 @@ def new_counterparties(t: Tables) -> DataFrame:
 
 @query(with_("ledger", "categories") + f"SELECT {_TX}, coalesce(name, 'Unkategorisiert') AS category FROM ledger LEFT JOIN categories USING (category_id) WHERE {IN_PERIOD}")
 def period_transactions(t: Tables) -> DataFrame:
-    rows = L.between(t.ledger(), START, END).join(F.broadcast(t.categories()), "category_id", "left")
+    rows = L.between(t.ledger(), START, END).join(t.categories(), "category_id", "left")
     return _tx(rows.withColumn("category", F.coalesce("name", F.lit(L.UNCATEGORISED))), "category").orderBy("booking_date", "id")
 
 
 @query(with_("ledger", "categories") + f"SELECT {_TX}, name FROM ledger LEFT JOIN categories USING (category_id) WHERE is_outlier AND {IN_PERIOD}")
 def outliers_in_period(t: Tables) -> DataFrame:
-    return _tx(L.between(t.ledger(), START, END).where("is_outlier").join(F.broadcast(t.categories()), "category_id", "left"), "name")
+    return _tx(L.between(t.ledger(), START, END).where("is_outlier").join(t.categories(), "category_id", "left"), "name")
 
 
 @query(with_("ledger") + f"SELECT {_TX} FROM ledger WHERE amount < 0 AND NOT internal_transfer AND {IN_PERIOD} ORDER BY amount, id LIMIT 20")

@@ -43,3 +43,19 @@ def stream_versions(t: Tables) -> DataFrame:
     rows = stream.select(F.col("event_type").alias("source"), F.col("user_id").cast("string").alias("external_id"), F.sha2(F.concat_ws("|", "user_id", (F.col("event_id") % 1000).cast("string")), 256).alias("content_hash"), F.col("event_id").alias("arrival"))
     found = ingest.versioned(rows, fresh_folder(t.spark, "bookings"))
     return found.agg(F.countDistinct("content_hash").alias("hashes"), F.count("*").alias("stored"))
+
+
+@query("SELECT CAST(date_trunc('month', ts) AS DATE) AS month, CAST(sum(CASE WHEN event_id % 3 = 0 THEN 0 ELSE CAST(round(value * 100) AS BIGINT) END) AS BIGINT) AS income, CAST(sum(CASE WHEN event_id % 3 = 0 THEN -CAST(round(value * 100) AS BIGINT) ELSE 0 END) AS BIGINT) AS expenses, count(*) AS n FROM events GROUP BY 1")
+def stream_cashflow(t: Tables) -> DataFrame:
+    stream = ingest.opened(t.spark, f"{t.folder}/events.parquet")
+    return ingest.cashflow(stream.withColumn("amount", F.when(F.col("event_id") % 3 == 0, -F.col("value")).otherwise(F.col("value"))), "ts", "amount")
+
+
+@query("SELECT event_id AS event FROM (SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY CAST(floor(epoch(ts)) AS BIGINT) RANGE BETWEEN 7200 PRECEDING AND CURRENT ROW) AS hits FROM events) WHERE hits > 2")
+def stream_rate_limited(t: Tables) -> DataFrame:
+    return ingest.limited(ingest.opened(t.spark, f"{t.folder}/events.parquet"), "event_id", "ts", "user_id", most=2, seconds=7200).select("event")
+
+
+@query("SELECT CAST(user_id AS VARCHAR) AS key, CAST(floor(epoch(max(ts))) AS BIGINT) AS last FROM events GROUP BY user_id HAVING floor(epoch(max(ts))) + 86400 < (SELECT floor(epoch(max(ts))) - 1 FROM events)")
+def stream_stalled(t: Tables) -> DataFrame:
+    return ingest.stalled(ingest.opened(t.spark, f"{t.folder}/events.parquet").select("user_id", "ts"), "user_id", "ts", 86400).select("key", "last")

@@ -38,10 +38,13 @@ def redact_text(t: Tables) -> DataFrame:
     return _rows(t).select("k", text.redact(_note()).alias("redacted"))
 
 
-@query(f"WITH r AS (SELECT k, {_NOTE} AS note FROM ({_ROWS})) SELECT k, {_chain('note', text.SANITISERS, 300)} AS clean, false AS unsafe FROM r")
+_UNSAFE = " OR ".join(f"regexp_matches(%s, '{p}')" for p, _ in text.SANITISERS)
+
+
+@query(f"WITH r AS (SELECT k, CASE WHEN k % 3 = 0 THEN 'nothing to hide' ELSE {_NOTE} END AS note FROM ({_ROWS})), c AS (SELECT k, note, {_chain('note', text.SANITISERS, 300)} AS clean FROM r) SELECT k, clean, {_UNSAFE.replace('%s', 'note')} AS unsafe_before, {_UNSAFE.replace('%s', 'clean')} AS unsafe FROM c")
 def sanitise_text(t: Tables) -> DataFrame:
-    rows = _rows(t).select("k", text.sanitise(_note()).alias("clean"))
-    return rows.withColumn("unsafe", text.is_unsafe(F.col("clean")))
+    rows = _rows(t).select("k", F.when(F.col("k") % 3 == 0, "nothing to hide").otherwise(_note()).alias("note")).withColumn("clean", text.sanitise(F.col("note")))
+    return rows.select("k", "clean", text.is_unsafe(F.col("note")).alias("unsafe_before"), text.is_unsafe(F.col("clean")).alias("unsafe"))
 
 
 @query(f"SELECT doc_id, trim(regexp_replace(regexp_replace(text, '{_EMAIL}', '[email]', 'g'), '[ \\n\\r\\t]+', ' ', 'g')) AS clean FROM documents")
@@ -148,7 +151,12 @@ def wallet_conversion(t: Tables) -> DataFrame:
     return files.wallet(rows.union(legs)).select("external_id", F.col("amount").cast("decimal(18,2)").alias("amount"), "currency", F.col("original_currency").alias("original"))
 
 
-@query()
+_PAGE = r"regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->', ' ', 'g'), '<[^>]+>', ' ', 'g')"
+for _name, _char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&middot;", "·"), ("&copy;", "©"), ("&amp;", "&")):
+    _PAGE = f"replace({_PAGE}, '{_name}', '{_char}')"
+
+
+@query(f"SELECT page_id, trim(regexp_replace({_PAGE}, '\\s+', ' ', 'g')) AS text FROM pages")
 def page_texts(t: Tables) -> DataFrame:
     return t.raw("pages").select("page_id", text.html_text(F.col("html")).alias("text"))
 

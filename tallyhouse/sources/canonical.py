@@ -23,8 +23,8 @@ def amount(text: Column) -> Column:
     return F.bround(text.cast("decimal(38,10)"), 2).cast("decimal(14,2)")
 
 
-def bank(rows: DataFrame) -> DataFrame:
-    """Canonical columns of ``rows`` (raw: JSON of one booking), nested or flat; the counterparty is by sign, credits coming from the remitter."""
+def bank(rows: DataFrame, *kept: str) -> DataFrame:
+    """Canonical columns of ``rows`` (raw: JSON of one booking), nested or flat, and those ``kept``; the counterparty is by sign, credits coming from the remitter."""
     raw = F.col("raw")
     value = amount(_at(raw, "$.transactionValue.value", "$.amount.value", "$.amount"))
     out = value < 0
@@ -36,11 +36,11 @@ def bank(rows: DataFrame) -> DataFrame:
         F.coalesce(F.to_date(F.left(_at(raw, "$.valutaDate", "$.value_date", "$.valuation_date"), F.lit(10))), booked).alias("valuation_date"), value.alias("amount"),
         F.coalesce(_at(raw, "$.transactionValue.unit", "$.amount.unit", "$.currency"), F.lit("EUR")).alias("currency"),
         F.when(~out, name("remitter", "debtor")).alias("sender"), F.when(out, name("creditor")).alias("recipient"), F.when(~out, number("remitter", "debtor")).alias("sender_iban"), F.when(out, number("creditor")).alias("recipient_iban"),
-        F.left(remittance(_at(raw, "$.remittanceInfo", "$.remittance_info", "$.description")), F.lit(DESCRIPTION_LIMIT)).alias("description"))
+        F.left(remittance(_at(raw, "$.remittanceInfo", "$.remittance_info", "$.description")), F.lit(DESCRIPTION_LIMIT)).alias("description"), *kept)
 
 
-def card(rows: DataFrame) -> DataFrame:
-    """Canonical columns of card bookings: merchant by sign, an id derived from the booking where there is none, the foreign amount only where the currency differs."""
+def card(rows: DataFrame, *kept: str) -> DataFrame:
+    """Canonical columns of card bookings and those ``kept``: merchant by sign, an id derived from the booking where there is none, the foreign amount only where the currency differs."""
     value = amount(F.col("amount").cast("string"))
     derived = F.concat(F.lit("card-"), F.left(F.sha2(F.concat_ws("|", "bookingDate", F.coalesce("valueDate", F.lit("")), "amount", F.lower("merchant"), "currency", "cardLast4"), 256), F.lit(16)))
     foreign = F.col("originalCurrency").isNotNull() & (F.col("originalCurrency") != F.col("currency"))
@@ -48,7 +48,27 @@ def card(rows: DataFrame) -> DataFrame:
     return rows.select(
         F.lit("card").alias("source"), F.coalesce(F.nullif("id", F.lit("")), derived).alias("external_id"), booked.alias("booking_date"), F.coalesce(F.to_date("valueDate"), booked).alias("valuation_date"), value.alias("amount"), "currency",
         F.when(value >= 0, F.col("merchant")).alias("sender"), F.when(value < 0, F.col("merchant")).alias("recipient"), F.lit(None).cast("string").alias("sender_iban"), F.lit(None).cast("string").alias("recipient_iban"), F.left("merchant", F.lit(DESCRIPTION_LIMIT)).alias("description"),
-        F.when(foreign, amount(F.col("originalAmount").cast("string"))).alias("original_amount"), F.when(foreign, F.col("originalCurrency")).alias("original_currency"))
+        F.when(foreign, amount(F.col("originalAmount").cast("string"))).alias("original_amount"), F.when(foreign, F.col("originalCurrency")).alias("original_currency"), *kept)
+
+
+def accounts(rows: DataFrame) -> DataFrame:
+    """account_id, iban, account_type, balance, currency of ``rows`` (raw: JSON of an account, nested or flat); what is missing is empty or 0."""
+    raw = F.col("raw")
+    kind = _at(raw, "$.account.accountType.key", "$.accountType.key", "$.account.accountType", "$.accountType")
+    return rows.select(
+        F.coalesce(_at(raw, "$.account.accountId", "$.accountId"), F.lit("")).alias("account_id"), F.coalesce(_at(raw, "$.account.iban", "$.iban"), F.lit("")).alias("iban"), kind.alias("account_type"),
+        F.coalesce(amount(_at(raw, "$.balance.value", "$.balance")), F.lit(0).cast("decimal(14,2)")).alias("balance"), F.coalesce(_at(raw, "$.balance.unit"), F.lit("EUR")).alias("currency"))
+
+
+def positions(rows: DataFrame) -> DataFrame:
+    """isin, wkn, name, quantity, current_value, purchase_value, gains, gains_percent of ``rows`` (raw: JSON of a position): nested, flat or under German names; gains in per cent are 0 without a purchase value."""
+    raw = F.col("raw")
+    value = lambda *keys: F.coalesce(_at(raw, *(p for k in keys for p in (f"$.{k}.value", f"$.{k}"))).try_cast("decimal(38,10)"), F.lit(0))
+    now, then = F.bround(value("currentValue", "kurswert"), 2).cast("decimal(18,2)"), F.bround(value("purchaseValue", "einstandswert"), 2).cast("decimal(18,2)")
+    name = lambda k: F.coalesce(_at(raw, f"$.instrument.{k}", f"$.{k}"), F.lit(""))
+    rows = rows.select(name("isin").alias("isin"), name("wkn").alias("wkn"), name("name").alias("name"), value("quantity", "stueckzahl").cast("decimal(18,6)").alias("quantity"), now.alias("current_value"), then.alias("purchase_value"))
+    gain = (F.col("current_value") - F.col("purchase_value")).cast("decimal(18,2)")
+    return rows.withColumns({"gains": gain, "gains_percent": F.when(F.col("purchase_value") == 0, 0.0).otherwise(F.round((gain * 100 / F.col("purchase_value")).cast("double"), 4))})
 
 
 def wallet_name(name: Column) -> Column:

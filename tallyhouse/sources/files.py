@@ -47,10 +47,14 @@ def json_export(spark: SparkSession, path: str) -> DataFrame:
 
 def wallet_rows(spark: SparkSession, path: str) -> DataFrame:
     """The rows of a wallet's CSV under this engine's names. The separator is that of the header; columns are found by name; a missing one is an error that names it."""
-    header = spark.read.text(path).first()
-    if header is None:
+    if broken := spark.read.format("binaryFile").load(path).where(~F.is_valid_utf8(F.col("content").cast("string"))).select("path").take(1):
+        raise ValueError(f"not UTF-8: {broken[0][0]}")
+    # the dialect is that of the first 4096 characters: what separates the header counts, a comma if nothing does
+    head = "\n".join(r[0] for r in spark.read.text(path).limit(200).collect())[:4096]
+    if not head.strip():
         raise ValueError("the statement is empty")
-    sep = ";" if header[0].count(";") > header[0].count(",") else ","
+    first = next(line for line in head.split("\n") if line.strip())
+    sep = ";" if first.count(";") > first.count(",") else ","
     raw = spark.read.csv(path, header=True, sep=sep, encoding="UTF-8", multiLine=True, escape='"')
     names: dict[str, str] = {}
     for c in raw.columns:
@@ -125,6 +129,32 @@ def card_statement(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     return bookings, balances
 
 
+#: Files, bytes of a file and bytes of all that one import takes at most.
+MOST_FILES, MOST_BYTES, MOST_TOTAL = 24, 10 * 1024 * 1024, 50 * 1024 * 1024
+
+
+def card_statements(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(bookings, errors) of the text files of card statements at ``path``: a file that is empty, too large, no statement, or whose bookings do not add up is told of in errors (file, error), and the others count.
+
+    More files or bytes than an import takes are an error of the whole, and so is an import without any statement.
+    """
+    found = spark.read.format("binaryFile").load(path)
+    totals = found.agg(F.count("*").alias("n"), F.sum("length").alias("bytes")).first()
+    if totals["n"] > MOST_FILES:
+        raise ValueError(f"more than {MOST_FILES} files")
+    if (totals["bytes"] or 0) > MOST_TOTAL:
+        raise ValueError(f"more than {MOST_TOTAL} bytes")
+    size = F.when(F.col("length") == 0, "the file is empty").when(F.col("length") > MOST_BYTES, "the file is too large")
+    texts = found.select(F.col("path").alias("file"), size.alias("error"), F.when(size.isNull(), F.col("content").cast("string")).alias("text"))
+    bookings, balances = card_statement(texts.where("error is null").select("file", "text"))
+    checked = texts.select("file", "error").join(balances.select("file", "opening", "closing", "balanced"), "file", "left")
+    verdict = F.coalesce("error", F.when(F.col("opening").isNull() | F.col("closing").isNull(), "not a statement"), F.when(~F.col("balanced"), "opening, bookings and closing do not agree"))
+    checked = checked.select("file", verdict.alias("error"))
+    if not checked.where("error is null").take(1):
+        raise ValueError("; ".join(f"{r['file']}: {r['error']}" for r in checked.orderBy("file").collect()) or "no statement")
+    return bookings.join(checked.where("error is null").select("file"), "file", "left_semi"), checked.where("error is not null")
+
+
 def mail_messages(rows: DataFrame) -> DataFrame:
     """source, source_message_id, received_at, sender, subject, body_text of ``rows`` with a URL-safe base64 ``body`` or ``html``."""
     plain = F.unbase64(F.translate("body", "-_", "+/")).cast("string")

@@ -9,8 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def fresh_folder(spark: SparkSession, name: str) -> str:
-    """A new path below ``spark.checkpoint.dir``; where that is unset (one machine, tests) below a folder of our own."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tallyhouse-")
+    """A new path below ``spark.checkpoint.dir``; where that is unset on one machine (master local) below a folder of our own. A cluster must name one."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = tempfile.mkdtemp(prefix="tallyhouse-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 

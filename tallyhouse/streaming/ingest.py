@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming.state import GroupStateTimeout
 
 from tallyhouse.operators.versions import versions
 from tallyhouse.sources.folders import fresh_folder
@@ -57,18 +60,80 @@ def over_limit(events: DataFrame, time: str, key: str, most: int = 5, seconds: i
     return events.withColumn("_at", at).withColumn("hits", F.count("*").over(before)).where(F.col("hits") > most).drop("_at")
 
 
+#: Folders that stored hashes are dealt to: a batch reads those that its own hashes belong to.
+BUCKETS = 256
+
+
 def versioned(stream: DataFrame, path: str) -> DataFrame:
     """Keeps every distinct booking (source, external_id, content_hash, arrival) that a stream brings below ``path`` and returns all versions: late corrections become newer versions, replays nothing.
 
-    Batches append only hashes that are not stored; a batch that runs twice overwrites its own folder.
+    Batches append only hashes that are not stored, and look only into the buckets of their own hashes; a batch that runs twice overwrites its own folder.
     """
     spark = stream.sparkSession
     schema = stream.schema
+    whole = T.StructType([*schema.fields, T.StructField("batch", T.LongType()), T.StructField("bucket", T.IntegerType())])
 
     def keep(df: DataFrame, n: int) -> None:
-        known = spark.read.schema(T.StructType([*schema.fields, T.StructField("batch", T.LongType())])).parquet(path).where(F.col("batch") < n) if n else None
-        fresh = df if known is None else df.join(known.select("content_hash"), "content_hash", "left_anti")
-        fresh.dropDuplicates(["content_hash"]).select(schema.names).write.mode("overwrite").parquet(f"{path}/batch={n}")
+        df = df.withColumn("bucket", F.pmod(F.xxhash64("content_hash"), F.lit(BUCKETS)).cast("int"))
+        if n:
+            buckets = [r["bucket"] for r in df.select("bucket").distinct().collect()]  # BUCKETS rows at most
+            known = spark.read.schema(whole).parquet(path).where((F.col("batch") < n) & F.col("bucket").isin(buckets))
+            df = df.join(known.select("content_hash"), "content_hash", "left_anti")
+        df.dropDuplicates(["content_hash"]).select(*schema.names, "bucket").write.partitionBy("bucket").mode("overwrite").parquet(f"{path}/batch={n}")
 
     _run(stream, keep, "append")
-    return versions(spark.read.schema(schema).parquet(path))
+    return versions(spark.read.schema(whole).parquet(path).select(schema.names))
+
+
+def cashflow(stream: DataFrame, time: str, amount: str) -> DataFrame:
+    """Income, expenses in cents and count of each month, kept up to date as bookings come; the latest state of each month is returned. State is a row a month."""
+    spark, path = stream.sparkSession, fresh_folder(stream.sparkSession, "cashflow")
+    cents = F.round(F.col(amount) * 100).cast("bigint")
+    sums = stream.groupBy(F.trunc(F.col(time).cast("date"), "MM").alias("month")).agg(F.sum(F.when(cents > 0, cents).otherwise(0)).alias("income"), F.sum(F.when(cents < 0, cents).otherwise(0)).alias("expenses"), F.count("*").alias("n"))
+    _run(sums, lambda df, n: df.write.mode("overwrite").parquet(f"{path}/batch={n}"), "update")
+    states = spark.read.schema(T.StructType([*sums.schema.fields, T.StructField("batch", T.LongType())])).parquet(path)
+    return states.groupBy("month").agg(F.max_by(F.struct("income", "expenses", "n"), "batch").alias("s")).select("month", "s.*")
+
+
+def limited(stream: DataFrame, event: str, time: str, key: str, most: int = 5, seconds: int = 60) -> DataFrame:
+    """(event, key) of a stream's events that come after ``most`` others of their key in the last ``seconds``: each key's recent times are its state, and no more than that."""
+    spark, path = stream.sparkSession, fresh_folder(stream.sparkSession, "limited")
+
+    def check(k, frames, state):
+        rows = pd.concat(list(frames)).sort_values(["at", "event"])
+        recent = list(state.get[0]) if state.exists else []
+        over, at, n = [], rows["at"].to_numpy(), len(rows)
+        for i in range(n):
+            last = i
+            while last + 1 < n and at[last + 1] == at[i]:  # events of the same second count for each other
+                last += 1
+            recent = [x for x in recent if x >= at[i] - seconds]
+            if len(recent) + last + 1 - int(np.searchsorted(at, at[i] - seconds)) > most:
+                over.append(rows["event"].iloc[i])
+        state.update(([int(x) for x in [*recent, *at] if x >= at[-1] - seconds],))
+        yield pd.DataFrame({"event": over, "key": [k[0]] * len(over)})
+
+    rows = stream.select(F.col(event).alias("event"), F.col(key).cast("string").alias("key"), F.unix_timestamp(F.col(time).cast("timestamp")).alias("at"))
+    found = rows.groupBy("key").applyInPandasWithState(check, "event long, key string", "recent array<long>", "append", GroupStateTimeout.NoTimeout)
+    _run(found, lambda df, n: df.write.mode("overwrite").parquet(f"{path}/batch={n}"), "append")
+    return spark.read.schema("event long, key string").parquet(path)
+
+
+def stalled(stream: DataFrame, key: str, time: str, seconds: int, delay: str = "1 second") -> DataFrame:
+    """(key, last) of runs without a sign of life for ``seconds`` of event time: a timer a key that every sign sets anew."""
+    spark, path = stream.sparkSession, fresh_folder(stream.sparkSession, "stalled")
+
+    def beat(k, frames, state):
+        if state.hasTimedOut:
+            (last,) = state.get
+            state.remove()
+            yield pd.DataFrame({"key": [k[0]], "last": [last]})
+            return
+        last = max([*(int(f["at"].max()) for f in frames), *([state.get[0]] if state.exists else [])])
+        state.update((last,))
+        state.setTimeoutTimestamp(max((last + seconds) * 1000, state.getCurrentWatermarkMs() + 1))
+
+    rows = stream.select(F.col(key).cast("string").alias("key"), F.col(time).cast("timestamp").alias("ts")).withWatermark("ts", delay).withColumn("at", F.unix_timestamp("ts"))
+    found = rows.groupBy("key").applyInPandasWithState(beat, "key string, last long", "last long", "append", GroupStateTimeout.EventTimeTimeout)
+    _run(found, lambda df, n: df.write.mode("overwrite").parquet(f"{path}/batch={n}"), "append")
+    return spark.read.schema("key string, last long").parquet(path)
