@@ -98,8 +98,8 @@ def normalised(raw: DataFrame, rules: list[tuple[str, str, int]], own_ibans: lis
     ledger = stored_(_flagged(ledger, marked, "internal_transfer"), "ledger")
     patterns, flags = enrich.recurring(ledger)
     ledger = stored_(_flagged(ledger, flags, "is_recurring"), "ledger")
-    spent = ledger.where(~F.col("internal_transfer")).withColumn("size", F.abs("amount"))
-    return Normalised(_flagged(ledger, enrich.outliers(spent.select("id", "category_id", "size"), "category_id", "size"), "is_outlier"), links, patterns)
+    spent = ledger.where(~F.col("internal_transfer")).withColumn("spent", F.abs("amount"))
+    return Normalised(_flagged(ledger, enrich.outliers(spent.select("id", "category_id", "spent"), "category_id", "spent"), "is_outlier"), links, patterns)
 
 
 def ingested(stored: DataFrame, incoming: DataFrame, rules: list[tuple[str, str, int]], own_ibans: list[str]) -> tuple[DataFrame, Normalised]:

@@ -72,7 +72,8 @@ def first_depot(depots: DataFrame, positions: DataFrame) -> DataFrame:
 
 def is_agent_format(spark: SparkSession, path: str) -> bool:
     """Whether a JSON file is a report's input as ``for_agent`` shapes it (meta and depot) or a raw export (transactions); an error if it is neither."""
-    names = set(spark.read.json(path, multiLine=True).columns)
+    found = spark.read.text(path, wholetext=True).select(F.json_object_keys("value")).first()
+    names = set(found[0] or []) if found else set()
     if {"meta", "depot"} <= names:
         return True
     if {"accounts", "transactions"} & names:

@@ -134,7 +134,7 @@ MOST_FILES, MOST_BYTES, MOST_TOTAL = 24, 10 * 1024 * 1024, 50 * 1024 * 1024
 
 
 def card_statements(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(bookings, errors) of the text files of card statements at ``path``: a file that is empty, too large, no statement, or whose bookings do not add up is told of in errors (file, error), and the others count.
+    """(bookings, errors) of the text files of card statements at ``path``: a file that is too large, no statement, or whose bookings do not add up is told of in errors (file, error), and the others count. Spark passes over files without a byte.
 
     More files or bytes than an import takes are an error of the whole, and so is an import without any statement.
     """
@@ -144,7 +144,7 @@ def card_statements(spark: SparkSession, path: str) -> tuple[DataFrame, DataFram
         raise ValueError(f"more than {MOST_FILES} files")
     if (totals["bytes"] or 0) > MOST_TOTAL:
         raise ValueError(f"more than {MOST_TOTAL} bytes")
-    size = F.when(F.col("length") == 0, "the file is empty").when(F.col("length") > MOST_BYTES, "the file is too large")
+    size = F.when(F.col("length") > MOST_BYTES, "the file is too large")
     texts = found.select(F.col("path").alias("file"), size.alias("error"), F.when(size.isNull(), F.col("content").cast("string")).alias("text"))
     bookings, balances = card_statement(texts.where("error is null").select("file", "text"))
     checked = texts.select("file", "error").join(balances.select("file", "opening", "closing", "balanced"), "file", "left")
