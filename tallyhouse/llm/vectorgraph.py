@@ -225,13 +225,14 @@ def find_links(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[
         yield shard.rest()
 
 
-def near_duplicates(rows: DataFrame, id_column: str = "vec_id", vector_column: str = "embedding", threshold: float = 0.9, overlap: int = 2, learn_from: int = 20_000, audit: int = 100, recall: float = 0.95) -> DataFrame:
+def near_duplicates(rows: DataFrame, id_column: str = "vec_id", vector_column: str = "embedding", threshold: float = 0.9, overlap: int = 2, learn_from: int = 20_000, audit: int = 100, recall: float = 0.95, audit_most: int = 65_536) -> DataFrame:
     """Link vectors with cosine of at least ``threshold``: the id, n_links, component_id (smallest id reachable) and kept, a row per row of ``rows``.
 
     Vectors that are null, empty, zero, of another length than most or not finite in all components link with nothing and are their own component; a row without an id keeps a null component and is kept. Rows that repeat an id are vectors
     of their own for n_links and one node for components. Extra columns are ignored; an empty table gives an empty one.
     Equal vectors are one node with a count. Centres come from at most ``learn_from`` vectors; all rows are indexed and searched.
-    ``audit`` vectors or more, until half as many have links or all were asked, are held against all rows by brute force; below ``recall``, a mean over those with links, the search is done again with two more clusters for each vector.
+    ``audit`` vectors or more, until half as many have links, all were asked or ``audit_most`` were, are held against all rows by brute force; below ``recall``, a mean over those with links, the search is done again with two more clusters for each vector.
+    Where ``audit_most`` vectors hold too few with links, ``audit`` of those that the search found links for are held against all rows as well; if it found none either, it is done once more with two more clusters.
     """
     spark = rows.sparkSession
     result = f"{id_column} long, n_links long, component_id long, kept boolean"
@@ -246,11 +247,19 @@ def near_duplicates(rows: DataFrame, id_column: str = "vec_id", vector_column: s
     clusters = max(1, round(n / CLUSTER))
     finer = -(-clusters // MOST_CLUSTERS)
     centres = _unit(lloyd(_unit(sample(nodes.select(F.col("node").alias("id"), "v"), learn_from)), -(-clusters // finer)))
-    asked = _audit_sample(nodes, audit, threshold) if overlap < len(centres) else []
+    asked, last = _audit_sample(nodes, audit, threshold, audit_most) if overlap < len(centres) else ([], None)
+    again = True
     while True:
         found, edges = _search(nodes, centres, min(overlap, len(centres)), threshold, finer)
-        if overlap >= len(centres) or _recall(found, asked) >= recall:
+        if overlap >= len(centres):
             break
+        known = asked
+        if last and 2 * sum(links > 0 for _, links in asked) < audit:
+            known = asked + _audit_found(nodes.where(F.col("key") > last), nodes, found, audit, threshold)
+        if _recall(found, known) >= recall:
+            if not last or not again or any(links for _, links in known):
+                break
+            again = False
         overlap += 2
     joined = components(edges)
     by_node = nodes.select("key", "node", "copies").join(found, "node", "left").join(joined.withColumnRenamed("id", "node"), "node", "left")
@@ -386,17 +395,28 @@ def _search(nodes: DataFrame, centres: np.ndarray, overlap: int, threshold: floa
     return found.where("links is not null").groupBy("node").agg(F.sum("links").alias("links")), found.where("root is not null").select(F.col("node").alias("a"), F.col("root").alias("b"))
 
 
-def _audit_sample(nodes: DataFrame, n: int, threshold: float) -> list[tuple[int, int]]:
-    """(node, links) by brute force of ``n`` nodes or more: blocks of growing size are asked until half of ``n`` have links or all nodes were asked; a pass over all rows a block."""
+def _audit_sample(nodes: DataFrame, n: int, threshold: float, most: int) -> tuple[list[tuple[int, int]], str | None]:
+    """(node, links) by brute force of ``n`` nodes or more in order of their keys, and the last key if these are not all nodes: blocks of growing size are asked until half of ``n`` have links, all nodes were asked or ``most`` were; a pass over all rows a block."""
     asked: list[tuple[int, int]] = []
-    after, size = "", n
+    after, size = "", min(n, most)
     while True:
         chosen = nodes.where(F.col("key") > after).orderBy("key").limit(size).select("key", "node", "v").collect()
         if chosen:
             asked += _brute_force(nodes, np.array([r["node"] for r in chosen]), _unit(np.array([r["v"] for r in chosen])), threshold)
-        if len(chosen) < size or 2 * sum(links > 0 for _, links in asked) >= n:
-            return asked
-        after, size = chosen[-1]["key"], min(4 * size, AUDIT_BLOCK)
+        if len(chosen) < size:
+            return asked, None
+        if len(asked) >= most or 2 * sum(links > 0 for _, links in asked) >= n:
+            return asked, chosen[-1]["key"]
+        after, size = chosen[-1]["key"], min(4 * size, AUDIT_BLOCK, most - len(asked))
+
+
+def _audit_found(some: DataFrame, nodes: DataFrame, found: DataFrame, n: int, threshold: float) -> list[tuple[int, int]]:
+    """(node, links) by brute force of ``n`` of those nodes of ``some`` that the search found links for, by the hash of their vectors."""
+    linked = some.join(found.where("links > 0").select("node"), "node", "left_semi")
+    chosen = linked.orderBy("key").limit(n).select("node", "v").collect()
+    if not chosen:
+        return []
+    return _brute_force(nodes, np.array([r["node"] for r in chosen]), _unit(np.array([r["v"] for r in chosen])), threshold)
 
 
 def _brute_force(nodes: DataFrame, ids: np.ndarray, x: np.ndarray, threshold: float) -> list[tuple[int, int]]:
