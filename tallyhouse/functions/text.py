@@ -124,6 +124,17 @@ def reference_hash(c: Column) -> Column:
     return F.sha2(F.lower(F.trim(c)), 256)
 
 
+#: Fixed value: the namespace of URLs in RFC 9562.
+URL_NAMESPACE = "6ba7b811-9dad-11d1-80b4-00c04fd430c8"
+
+
+def uuid5(name: Column, namespace: str = URL_NAMESPACE) -> Column:
+    """The version 5 UUID of ``name``; null for null."""
+    h = F.sha1(F.concat(F.unhex(F.lit(namespace.replace("-", ""))), F.encode(name, "UTF-8")))
+    variant = F.substr(F.lit("89ab"), F.conv(F.substring(h, 17, 1), 16, 10).cast("int") % 4 + 1, F.lit(1))
+    return F.concat(F.substring(h, 1, 8), F.lit("-"), F.substring(h, 9, 4), F.lit("-5"), F.substring(h, 14, 3), F.lit("-"), variant, F.substring(h, 18, 3), F.lit("-"), F.substring(h, 21, 12))
+
+
 def shortened(c: Column, limit: int = 50) -> Column:
     return F.when(F.length(c) > limit, F.concat(F.left(c, F.lit(limit - 3)), F.lit("..."))).otherwise(c)
 

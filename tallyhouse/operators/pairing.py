@@ -11,11 +11,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from tallyhouse.functions.numbers import cents
+from tallyhouse.functions.text import uuid5
 
 #: Days between the sides of a pair; days that a settlement may precede its cycle; candidates that a collective debit may have.
 WITHIN, BEFORE, MOST_CANDIDATES = 2, 3, 18
 
 
+def link_id(kind: Column, parent: Column, child: Column, prefix: str = "link") -> Column:
+    """The stable id of a link: the version 5 UUID of ``prefix:kind:parent:child`` in the namespace of URLs. ``prefix`` is that of the ids which are stored."""
+    return uuid5(F.concat_ws(":", F.lit(prefix), kind, parent, child))
+
+
 def matched(rows: DataFrame, within: int = WITHIN) -> DataFrame:
     """Pairs (credit_id, debit_id) of ``rows`` (id, amount, booking_date): equal cents, opposite signs, at most ``within`` days apart.
 

@@ -115,6 +115,16 @@ def wallet_top_ups(t: Tables) -> DataFrame:
     return pairing.top_ups(_legs(t), F.col("sender_iban") == "DE0", F.col("recipient_iban") == "DE0")
 
 
+_SHA = "sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode('link:internal_transfer:' || credit_id || ':' || debit_id))"
+
+
+@query(with_("ledger", **_LEGS, h=f"SELECT credit_id, debit_id, {_SHA} AS h FROM p WHERE r = 1")
+       + "SELECT credit_id, debit_id, left(h, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || CASE WHEN substr(h, 17, 1) IN ('0', '4', '8', 'c') THEN '8' WHEN substr(h, 17, 1) IN ('1', '5', '9', 'd') THEN '9' WHEN substr(h, 17, 1) IN ('2', '6', 'a', 'e') THEN 'a' ELSE 'b' END || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS link_id FROM h")
+def transfer_links(t: Tables) -> DataFrame:
+    """The pairs of internal transfers with their stable link ids."""
+    return pairing.internal_transfers(_legs(t), ["DE0"]).withColumn("link_id", pairing.link_id(F.lit("internal_transfer"), F.col("credit_id"), F.col("debit_id")))
+
+
 @query()
 def collective_debits(t: Tables) -> DataFrame:
     rows = t.ledger().where("amount < 0")

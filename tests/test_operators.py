@@ -52,6 +52,16 @@ def test_only_subset(values, target):
     assert pairing.only_subset(target, values) == (list(ways[0]) if len(ways) == 1 else None)
 
 
+def test_link_ids_are_version_5_uuids(spark):
+    import uuid
+
+    names = [f"x:{k}:ü" for k in range(40)] + ["", None]
+    rows = spark.createDataFrame([(n,) for n in names], "n string")
+    assert [r[0] for r in rows.select(text.uuid5(F.col("n"))).collect()] == [n if n is None else str(uuid.uuid5(uuid.NAMESPACE_URL, n)) for n in names]
+    links = spark.createDataFrame([("a", "b")], "p string, c string").select(pairing.link_id(F.lit("top_up"), F.col("p"), F.col("c"), "book"))
+    assert links.first()[0] == str(uuid.uuid5(uuid.NAMESPACE_URL, "book:top_up:a:b"))
+
+
 def test_collective_debits(spark):
     schema = "id string, account string, booking_date date, amount decimal(14,2)"
     row = lambda i, d, a: (i, "x", DAY + timedelta(d), Decimal(str(a)))
