@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 from tallyhouse.llm.jaccard import _slices
 from tallyhouse.llm.language import held_out
 from tallyhouse.llm.shingles import word_hashes
-from tallyhouse.llm.storage import small_batches
+from tallyhouse.llm.storage import small_batches, written
 
 #: Words of a passage, and buckets that their hashes fall into.
 PASSAGE, BUCKETS = 64, 256
@@ -93,13 +93,15 @@ class Attention:
         self.w = {"W": random.normal(0, d**-0.5, (d, hidden)), "c": np.zeros(hidden), "V": random.normal(0, 0.25, (hidden, gates)), "U": random.normal(0, 0.25, (hidden, gates)), "u": random.normal(0, 0.25, gates), "w": random.normal(0, 0.25, hidden), "b": np.zeros(1)}
 
     def standard(self, x: np.ndarray) -> np.ndarray:
-        return np.clip((x - self.mean) / self.scale, -8, 8)
+        x = x - self.mean.astype(x.dtype)
+        x /= self.scale
+        return np.clip(x, -8, 8, out=x)
 
     def forward(self, x: np.ndarray, bags: np.ndarray) -> dict[str, np.ndarray]:
         """``x`` is in standard form."""
         w, start = self.w, np.concatenate([[0], np.cumsum(bags)[:-1]])
         of = np.repeat(np.arange(len(bags)), bags)
-        h = np.tanh(x @ w["W"] + w["c"])
+        h = np.tanh(x @ w["W"].astype(x.dtype) + w["c"])
         t, g = np.tanh(h @ w["V"]), 1 / (1 + np.exp(-(h @ w["U"])))
         e = (t * g) @ w["u"]
         a = np.exp(e - np.maximum.reduceat(e, start)[of])
@@ -116,7 +118,7 @@ class Attention:
         de = f["a"] * (da - np.add.reduceat(f["a"] * da, f["start"])[f["of"]])
         dt, dg = de[:, None] * w["u"] * f["g"] * (1 - f["t"] ** 2), de[:, None] * w["u"] * f["t"] * f["g"] * (1 - f["g"])
         dh = (f["a"][:, None] * dz[f["of"]] + dt @ w["V"].T + dg @ w["U"].T) * (1 - f["h"] ** 2)
-        out = {"W": f["x"].T @ dh, "c": dh.sum(axis=0), "V": f["h"].T @ dt, "U": f["h"].T @ dg, "u": (f["t"] * f["g"]).T @ de, "w": f["z"].T @ ds, "b": ds.sum(keepdims=True)}
+        out = {"W": f["x"].T @ dh.astype(f["x"].dtype), "c": dh.sum(axis=0), "V": f["h"].T @ dt, "U": f["h"].T @ dg, "u": (f["t"] * f["g"]).T @ de, "w": f["z"].T @ ds, "b": ds.sum(keepdims=True)}
         return {k: v + decay * w[k] for k, v in out.items()}
 
     def fit(self, x: np.ndarray, bags: np.ndarray, y: np.ndarray, steps: int = 200, rate: float = 0.02) -> Attention:
@@ -134,9 +136,10 @@ class Attention:
         return self
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = 3000, longest: int = 200_000) -> Attention | None:
+def fit(docs: DataFrame, labels: DataFrame, sample: int = 3000, longest: int = 200_000, passages: int = 60_000) -> Attention | None:
     """Learn from at most ``sample`` labelled documents outside the held-out fold, those of the lowest hashes of doc_id, none longer than ``longest`` characters.
 
+    Of these, as many as have ``passages`` passages in all come to the driver, in order of that hash: 66 MB of single-precision features, whatever the corpus.
     Rows of a document that contradict each other count as their highest label. None if there are not two kinds of label.
     """
     small_batches(docs.sparkSession)
@@ -152,14 +155,21 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 3000, longest: int = 2
                 yield pa.RecordBatch.from_arrays([batch.column(0)[s.start : s.stop], batch.column(2)[s.start : s.stop], pa.array([p.tobytes() for p in parts], pa.binary())], names=["doc_id", "quality", "x"])
 
     texts = docs.where((F.coalesce(F.length("text"), F.lit(0)) <= longest) & ~held_out()).select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    rows = texts.select("doc_id", "text", "quality").mapInArrow(work, "doc_id long, quality double, x binary").collect()  # `sample` rows at most, bar repeated doc_ids
+    encoded = written(texts.select("doc_id", "text", "quality").mapInArrow(work, "doc_id long, quality double, x binary"), "passages")
+    place = F.xxhash64("doc_id")
+    sizes = encoded.groupBy(place.alias("place")).agg((F.sum(F.length("x")) / (4 * WIDTH)).alias("n")).orderBy("place").collect()  # a row a sampled document
+    fits = np.cumsum([r["n"] for r in sizes]) <= passages
+    if not fits.any():
+        return None
+    rows = encoded.where(place <= sizes[int(fits.sum()) - 1]["place"]).collect()
     rows.sort(key=lambda r: (r["doc_id"], r["x"]))
     y = np.array([r["quality"] for r in rows])
     if len(set(y.tolist())) < 2:
         return None
-    parts = [np.frombuffer(r["x"], "<f4").reshape(-1, WIDTH).astype(np.float64) for r in rows]
+    parts = [np.frombuffer(r["x"], "<f4").reshape(-1, WIDTH) for r in rows]
     x, bags = np.concatenate(parts), np.array([len(p) for p in parts])
-    return Attention(x.mean(axis=0), x.std(axis=0) + 0.02).fit(x, bags, y)
+    del rows, parts
+    return Attention(x.mean(axis=0, dtype=np.float64), np.array([c.std(dtype=np.float64) for c in x.T]) + 0.02).fit(x, bags, y)
 
 
 def score(docs: DataFrame, model: Attention | None) -> DataFrame:

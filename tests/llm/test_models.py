@@ -296,3 +296,12 @@ def test_pipeline_on_odd_rows(spark, tmp_path):
         for _, stage in corpus_pipeline.STAGES:
             docs = stage(spark, docs, str(tmp_path))
         assert docs.count() >= 0
+
+
+def test_quality_learns_from_as_many_passages_as_allowed(spark):
+    docs = spark.createDataFrame([(i, ("good words here " if i % 2 else "BAD!!! 000 ") * 200) for i in range(1, 60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 60)], "doc_id long, quality int")
+    for passages in (60_000, 200):
+        found = quality.score(docs, quality.fit(docs, labels, passages=passages)).collect()
+        assert all((r["quality_score"] > 0.5) == (r["doc_id"] % 2 == 1) for r in found)
+    assert quality.fit(docs, labels, passages=3) is None
