@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyhouse.llm import chunkstore, jaccard, language, licenses, neighbours, packing, pieces, quality, secrets, vectorgraph
+from tallyhouse.llm import bytebpe, chunkstore, importance, jaccard, language, licenses, neighbours, packing, pieces, quality, secrets, vectorgraph, whitening
 from tallyhouse.llm.storage import new_folder
 
 
@@ -73,8 +73,23 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", language.held_out().alias("held_out"), F.col("quality_score").alias("score"), predicted.alias("predicted"))
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), components=8)
+    return found.withColumn("deviation", F.expr("try_cast(deviation as long)"))
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, benchmark = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
+    return importance.resample(docs, benchmark, percent=5, least_words=20, seed=42, buckets=10_000)
+
+
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return bytebpe.encode(docs, vocabulary("byte_bpe_50k.json"), ids=False, digests=True)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scan, op2_sentencepiece, op3_chunk_store, op4_license_scan, op5_ngram_jaccard, op6_packing, op7_nearest_neighbours, op8_language_id, op9_embedding_near_dedup, op10_quality)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_sentencepiece, op3_chunk_store, op4_license_scan, op5_ngram_jaccard, op6_packing, op7_nearest_neighbours, op8_language_id, op9_embedding_near_dedup, op10_quality, op11_embedding_whitening, op12_importance_resampling, op13_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -24,7 +24,7 @@ _LOWER = bytes(ord(c.lower()) if len(c.lower()) == 1 and ord(c.lower()) < 256 el
 _SPACES = re.compile(r"[ \n]+")
 
 
-def _byte_letters() -> dict[int, str]:
+def byte_letters() -> dict[int, str]:
     """The printable character that stands for each byte in byte-level vocabularies."""
     plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
     rest = [b for b in range(256) if b not in plain]
@@ -41,7 +41,7 @@ class WordIds:
         self.limit = limit
         self.size = self.library.get_vocab_size()
         self.dtype, kind = (np.uint16, "H") if self.size <= 65536 else (np.uint32, "I")
-        library, tokenize, letters = self.library, self.library.model.tokenize, _byte_letters()
+        library, tokenize, letters = self.library, self.library.model.tokenize, byte_letters()
 
         class PreTokens(dict):
             def __missing__(self, token: bytes) -> bytes:
