@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyhouse.functions.numbers import money
-from tallyhouse.operators import enrich, normalise, pairing, runs, versions
+from tallyhouse.operators import enrich, normalise, runs, versions
 from tallyhouse.plans.registry import query
 from tallyhouse.sources.tables import Tables, with_
 
@@ -91,62 +91,6 @@ def memory_examples(t: Tables) -> DataFrame:
     return enrich.memory_examples(t.ledger(), t.spark.createDataFrame([("Customer#00000001",), ("0000007",), ("abc",)], "key string"))
 
 
-def _legs(t: Tables) -> DataFrame:
-    """Each order as a debit, and its mirror as a credit 0 to 3 days later."""
-    o = t.ledger().withColumn("cents", F.abs(F.col("amount")))
-    debit = o.select(F.concat(F.lit("d"), "id").alias("id"), (-F.col("cents")).alias("amount"), "booking_date", F.concat(F.lit("DE"), F.col("custkey").cast("string")).alias("sender_iban"), F.lit("DE0").alias("recipient_iban"))
-    credit = o.select(F.concat(F.lit("c"), "id").alias("id"), F.col("cents").alias("amount"), F.date_add("booking_date", (F.col("okey") % 4).cast("int")).alias("booking_date"), F.lit("DE0").alias("sender_iban"), F.concat(F.lit("DE"), F.col("custkey").cast("string")).alias("recipient_iban"))
-    return debit.union(credit)
-
-
-_LEGS = dict(
-    o="SELECT *, abs(amount) AS c FROM ledger",
-    p="SELECT 'c' || x.id AS credit_id, 'd' || y.id AS debit_id, row_number() OVER (PARTITION BY x.id ORDER BY y.booking_date, 'd' || y.id) AS r FROM o x JOIN o y ON x.c = y.c AND abs(date_diff('day', CAST(x.booking_date + CAST(x.okey % 4 AS INTEGER) AS DATE), y.booking_date)) <= 2",
-)
-
-
-@query(with_("ledger", **_LEGS) + "SELECT credit_id, debit_id FROM p WHERE r = 1")
-def internal_transfers(t: Tables) -> DataFrame:
-    return pairing.internal_transfers(_legs(t), ["DE0"])
-
-
-@query(with_("ledger", **_LEGS) + "SELECT credit_id, debit_id FROM p WHERE r = 1")
-def wallet_top_ups(t: Tables) -> DataFrame:
-    return pairing.top_ups(_legs(t), F.col("sender_iban") == "DE0", F.col("recipient_iban") == "DE0")
-
-
-_SHA = "sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode('link:internal_transfer:' || credit_id || ':' || debit_id))"
-
-
-@query(with_("ledger", **_LEGS, h=f"SELECT credit_id, debit_id, {_SHA} AS h FROM p WHERE r = 1")
-       + "SELECT credit_id, debit_id, left(h, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || CASE WHEN substr(h, 17, 1) IN ('0', '4', '8', 'c') THEN '8' WHEN substr(h, 17, 1) IN ('1', '5', '9', 'd') THEN '9' WHEN substr(h, 17, 1) IN ('2', '6', 'a', 'e') THEN 'a' ELSE 'b' END || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS link_id FROM h")
-def transfer_links(t: Tables) -> DataFrame:
-    """The pairs of internal transfers with their stable link ids."""
-    return pairing.internal_transfers(_legs(t), ["DE0"]).withColumn("link_id", pairing.link_id(F.lit("internal_transfer"), F.col("credit_id"), F.col("debit_id")))
-
-
-@query()
-def collective_debits(t: Tables) -> DataFrame:
-    rows = t.ledger().where("amount < 0")
-    sums = rows.where("source = 'wallet'").groupBy("custkey", "booking_date").agg(F.sum("amount").cast("decimal(14,2)").alias("amount"), F.min("id").alias("id"))
-    return pairing.collective_debits(sums.select(F.concat(F.lit("p"), "id").alias("id"), "custkey", "booking_date", "amount"), rows.where("source <> 'card'"), "custkey")
-
-
-_CYCLES = dict(
-    cy="SELECT date_trunc('month', booking_date)::DATE AS cycle, sum(CAST(amount * 100 AS BIGINT)) AS net_cents, min(booking_date) AS first, count(*) AS n FROM ledger WHERE source = 'card' GROUP BY 1",
-    db="SELECT 's' || strftime(cycle, '%Y-%m') AS debit_id, CAST(cycle + INTERVAL 1 MONTH + INTERVAL 1 DAY AS DATE) AS booking_date, -net_cents + CASE WHEN month(cycle) % 2 = 0 THEN 1 ELSE 0 END AS c FROM cy",
-    j="SELECT debit_id, booking_date, cycle, c AS cents, n, count(*) OVER (PARTITION BY debit_id) AS k FROM db JOIN cy ON c = -net_cents AND booking_date >= first - 3 WHERE net_cents < 0",
-)
-
-
-@query(with_("ledger", **_CYCLES) + "SELECT debit_id, cycle, CAST(cents AS BIGINT) AS cents, n FROM j WHERE k = 1 QUALIFY row_number() OVER (PARTITION BY cycle ORDER BY booking_date, debit_id) = 1")
-def card_settlements(t: Tables) -> DataFrame:
-    cycles = pairing.card_cycles(t.ledger().where("source = 'card'"))
-    off = F.when(F.month("cycle") % 2 == 0, 1).otherwise(0)
-    debits = cycles.select(F.concat(F.lit("s"), F.date_format("cycle", "yyyy-MM")).alias("id"), F.date_add(F.add_months("cycle", 1), 1).alias("booking_date"), ((F.col("net_cents") - off) / 100).cast("decimal(18,2)").alias("amount"))
-    return pairing.settlements(cycles, debits)
-
-
 def _arrivals(t: Tables) -> DataFrame:
     return t.ledger().select("source", F.col("custkey").cast("string").alias("external_id"), F.sha2(F.concat_ws("|", "custkey", "amount"), 256).alias("content_hash"), F.col("okey").alias("arrival"))
 

@@ -124,7 +124,7 @@ def agent_summary(t: Tables) -> DataFrame:
     return R.for_agent(t.ledger().select(F.col("source").alias("account_id"), "amount"), accounts)
 
 
-@query(with_("positions", s=f"SELECT min(depot_id) AS depot_id, {m('sum(current_value)')} AS total_value, {m('sum(purchase_value)')} AS total_purchase_value, count(*) AS position_count FROM positions WHERE depot_id = (SELECT min(n_nationkey) FROM nation)")
+@query(with_("positions", s=f"SELECT (SELECT CAST(min(n_nationkey) AS BIGINT) FROM nation) AS depot_id, {m('sum(current_value)')} AS total_value, {m('sum(purchase_value)')} AS total_purchase_value, count(*) AS position_count FROM positions WHERE depot_id = (SELECT min(n_nationkey) FROM nation)")
        + f"SELECT *, CAST(total_value - total_purchase_value AS DECIMAL(18,2)) AS total_gains, {r('(total_value - total_purchase_value) * 100', 'total_purchase_value')} AS total_gains_percent FROM s")
 def agent_depot(t: Tables) -> DataFrame:
     return R.first_depot(t.depots(), t.positions())
