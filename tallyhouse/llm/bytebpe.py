@@ -17,10 +17,11 @@ import hashlib
 import json
 import re
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache, partial
 from heapq import heapify, heappop, heappush
 from typing import NamedTuple
+from unicodedata import category
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -29,12 +30,16 @@ from pyspark.sql import functions as F
 from tallyhouse.llm.storage import small_batches
 from tallyhouse.llm.wordids import byte_letters
 
-#: Characters of a text that one task encodes; characters of a pre-token that are merged at once; characters of a unit that the memo keeps.
-BLOCK, LEAF, MEMO_CHARS = 1 << 16, 256, 100
+#: Characters of a text that one task encodes; bytes of a pre-token that are merged at once, and without an agenda; characters of a unit that the memo keeps.
+BLOCK, LEAF, SHORT, MEMO_CHARS = 1 << 16, 256, 32, 100
 #: White space as the vocabulary's pattern has it.
 _WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _SPACE, _AFTER = re.compile(f"[{_WHITE}]"), re.compile(f"(?<=[^{_WHITE}])[{_WHITE}]")
 _UNITS = re.compile(f"[{_WHITE}]*[^{_WHITE}]+|[{_WHITE}]+")
+#: The vocabulary's pattern over the first characters of Unicode, whose classes no version of it has changed.
+_LETTERS, _NUMBERS = ("".join(re.escape(chr(c)) for c in range(0x250) if category(chr(c))[0] == k) for k in "LN")
+_PRETOKENS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTERS}]+| ?[{_NUMBERS}]+| ?[^{_WHITE}{_LETTERS}{_NUMBERS}]+|[{_WHITE}]+(?![^{_WHITE}])|[{_WHITE}]+")
+_BEYOND = re.compile(f"[^{chr(0)}-{chr(0x24F)}]")
 
 
 class Piece(NamedTuple):
@@ -45,10 +50,21 @@ class Piece(NamedTuple):
     tail: int
 
 
+class _Memo(dict):
+    def __init__(self, fresh: Callable[[str], tuple[bytes, bytes]]):
+        self.fresh = fresh
+
+    def __missing__(self, unit: str) -> tuple[bytes, bytes]:
+        found = self.fresh(unit)
+        if len(unit) <= MEMO_CHARS:
+            self[unit] = found
+        return found
+
+
 class ByteBpe:
     """Encoder and decoder for one tokenizer file with a byte-level pre-tokenizer and no normaliser; special tokens are found in texts as the library finds them."""
 
-    def __init__(self, path: str, limit: int = 300_000):
+    def __init__(self, path: str, limit: int = 600_000):
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
@@ -70,23 +86,17 @@ class ByteBpe:
             a, b = m if isinstance(m, list) else m.split(" ")
             self.merges[vocabulary[a], vocabulary[b]] = rank, vocabulary[a + b]
         self.pretokens = Tokenizer.from_file(path).pre_tokenizer.pre_tokenize_str
+        self.rank = {pair: rank for pair, (rank, _) in self.merges.items()}
+        self.of_rank = [new for _, new in self.merges.values()]
         self.limit = limit
-        fresh = self._unit
-
-        class Units(dict):
-            def __missing__(self, unit: str) -> tuple[bytes, bytes]:
-                found = fresh(unit)
-                if len(unit) <= MEMO_CHARS:
-                    self[unit] = found
-                return found
-
-        self.units = Units()
+        # units may hold several pre-tokens, words are one each
+        self.units, self.words = _Memo(self._unit), _Memo(self._word)
 
     def merge(self, symbols: list[int]) -> list[int]:
         """Symbols after all merges."""
         n, merges = len(symbols), self.merges
-        if n < 2:
-            return symbols
+        if n <= SHORT:
+            return self.merge_short(symbols)
         symbols = list(symbols)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         queue = [(*m, i, a, b) for i, (a, b) in enumerate(zip(symbols, symbols[1:], strict=False)) if (m := merges.get((a, b)))]
@@ -107,6 +117,25 @@ class ByteBpe:
                 heappush(queue, (*m, h, symbols[h], new))
         return [s for s in symbols if s >= 0]
 
+    def merge_short(self, symbols: list[int]) -> list[int]:
+        """The same, looking at all pairs each time."""
+        rank, none = self.rank.get, len(self.of_rank)
+        symbols = list(symbols)
+        ranks = [rank(pair, none) for pair in zip(symbols, symbols[1:], strict=False)]
+        while ranks:
+            best = min(ranks)
+            if best == none:
+                break
+            i = ranks.index(best)
+            new = self.of_rank[best]
+            symbols[i : i + 2] = [new]
+            del ranks[i]
+            if i:
+                ranks[i - 1] = rank((symbols[i - 1], new), none)
+            if i < len(ranks):
+                ranks[i] = rank((new, symbols[i + 1]), none)
+        return symbols
+
     def again(self, ids: array | list[int]) -> list[int]:
         """The encoding of what ids stand for, as one pre-token without halves."""
         letters = self.letter_of_byte
@@ -136,10 +165,17 @@ class ByteBpe:
             ids += self.pretoken(letters)
         return ids.tobytes(), b"".join(map(self.bytes_of.__getitem__, ids))
 
+    def _word(self, word: str) -> tuple[bytes, bytes]:
+        raw = word.encode()
+        ids = array("I", self.merge([self.letter_of_byte[b] for b in raw])) if len(raw) <= LEAF else self.pretoken(self.pretokens(word)[0][0])
+        return ids.tobytes(), b"".join(map(self.bytes_of.__getitem__, ids))
+
     def parts(self, text: str) -> list[tuple[bytes, bytes]]:
         """The units of a text in turn, special tokens as units of their own."""
         if self.specials is None or not any(s in text for s in self.special):
-            return list(map(self.units.__getitem__, _UNITS.findall(text)))
+            if _BEYOND.search(text):
+                return list(map(self.units.__getitem__, _UNITS.findall(text)))
+            return list(map(self.words.__getitem__, _PRETOKENS.findall(text)))
         out = []
         for k, part in enumerate(self.specials.split(text)):
             if k % 2:
@@ -149,9 +185,9 @@ class ByteBpe:
         return out
 
     def trim(self) -> None:
-        """Empty the memo when it has grown past the limit; between texts only."""
-        if len(self.units) > self.limit:
-            self.units.clear()
+        """Empty a memo when the two have grown past the limit; between texts only."""
+        if len(self.units) + len(self.words) > self.limit:
+            max(self.units, self.words, key=len).clear()
 
     def encode(self, text: str | None) -> array:
         """Ids of a text."""
