@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tallyhouse.functions import text as T
 from tallyhouse.functions.numbers import cents
 from tallyhouse.operators.versions import upsert
+from tallyhouse.sources.folders import stored as written
 
 #: Patterns of a mail's fields, the first that fits counting.
 MERCHANT = [r"^\s*(?:merchant|händler|shop|vendor)\s*:\s*(.+)$", r"^\s*(?:from|von)\s*:\s*(.+)$"]
@@ -68,16 +69,27 @@ def upsert_evidence(stored: DataFrame, drafts: DataFrame, order: str) -> DataFra
     return upsert(stored, latest, ["evidence_id"])
 
 
-def match_scores(evidence: DataFrame, ledger: DataFrame, within: int = 7, least: int = 650) -> DataFrame:
+#: Rows of one amount and run of days that a task joins at most.
+MOST_ROWS = 4096
+
+
+def match_scores(evidence: DataFrame, ledger: DataFrame, within: int = 7, least: int = 650, most_rows: int = MOST_ROWS) -> DataFrame:
     """Ledger rows that each evidence may prove, with a score in thousandths and its reasons, as links.
 
-    Equal cents and at most ``within`` days apart, by an equi-join on cents; refunds prove credits, everything else debits.
+    Equal cents and at most ``within`` days apart; refunds prove credits, everything else debits. The join is on cents and
+    runs of days as long as the window, of which an evidence lies in two at most and a row in one. Amounts of which a run
+    has more than ``most_rows`` are split over tasks, each with a share of the rows and all the evidence.
     """
+    run = lambda day: F.floor(F.unix_date(day) / (2 * within + 1))
     e = evidence.select("evidence_id", "evidence_type", "merchant_key", "payment_method", "document_date", F.abs(cents(F.col("total_amount"))).alias("cents"))
+    e = e.withColumn("run", F.explode(F.array_distinct(F.array(run(F.date_sub("document_date", within)), run(F.date_add("document_date", within))))))
     hay = T.merchant_key(F.concat_ws(" ", *[F.nullif(c, F.lit("")) for c in ("sender", "recipient", "description")]))
-    t = ledger.where(~F.col("internal_transfer")).select("id", "booking_date", "amount", F.abs(cents(F.col("amount"))).alias("cents"), F.coalesce(hay, F.lit("")).alias("hay"))
+    t = ledger.where(~F.col("internal_transfer")).select("id", "booking_date", "amount", F.abs(cents(F.col("amount"))).alias("cents"), F.coalesce(hay, F.lit("")).alias("hay"), run(F.col("booking_date")).alias("run"))
+    hot = t.groupBy("cents", "run").count().where(F.col("count") > most_rows).select("cents", "run", F.ceil(F.col("count") / most_rows).alias("shares"))
+    t = t.join(hot, ["cents", "run"], "left").withColumn("share", F.pmod(F.xxhash64("id"), F.coalesce("shares", F.lit(1)))).drop("shares")
+    e = e.join(hot, ["cents", "run"], "left").withColumn("share", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("shares", F.lit(1)) - 1))).drop("shares")
     away = F.abs(F.datediff("booking_date", "document_date"))
-    pairs = e.join(t, "cents").where(away <= within)
+    pairs = e.join(t, ["cents", "run", "share"]).where(away <= within)
     pairs = pairs.where(F.when(F.col("evidence_type") == "refund", F.col("amount") > 0).otherwise(F.col("amount") < 0))
     tokens = F.filter(F.split("merchant_key", " "), lambda x: F.length(x) >= 4)
     holds = lambda c: F.contains(F.col("hay"), c)
@@ -96,9 +108,9 @@ def upsert_links(stored: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def imported(messages: DataFrame, stored: DataFrame, links: DataFrame, ledger: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(evidence, links) after ``messages``, extracted, put in and matched to the ledger. Messages count in the order of their source_message_id."""
-    drafts = extracted(messages)
-    evidence = upsert_evidence(stored, drafts, "message")
+    """(evidence, links) after ``messages``, extracted, put in and matched to the ledger. Drafts without an amount or of little confidence stay out. Messages count in the order of their source_message_id."""
+    drafts = written(usable(extracted(messages)), "drafts")
+    evidence = written(upsert_evidence(stored, drafts, "message"), "evidence")
     keys = ["source", "order_ref_hash", "evidence_type"]
     come = evidence.join(drafts.select("evidence_id").distinct(), "evidence_id", "left_semi").unionByName(evidence.join(drafts.select(keys).distinct(), keys, "left_semi")).dropDuplicates(["evidence_id"])
     return evidence, upsert_links(links, match_scores(come, ledger))

@@ -11,7 +11,7 @@ from tallyhouse.plans.reporting import END, IN_PERIOD, START
 from tallyhouse.operators import ledger as L
 from tallyhouse.sources.tables import Tables, with_
 
-#: Mails about each ninth row, as expressions that both sides read.
+#: A mail about each row, as expressions that both sides read.
 _SUBJECT = "CASE okey % 4 WHEN 0 THEN 'Rechnung' WHEN 1 THEN 'Erstattung' WHEN 2 THEN 'Quittung' ELSE 'Your parcel' END"
 _BODY = (
     "CASE WHEN okey % 8 <> 5 THEN 'Merchant: ' || CASE WHEN okey % 2 = 0 THEN 'PayPal *Zebra GmbH' ELSE coalesce(recipient, sender) END || chr(10) ELSE '' END"
@@ -20,7 +20,7 @@ _BODY = (
     " || CASE WHEN okey % 5 <> 0 THEN 'Order: AB-' || CAST(okey AS STRING) || chr(10) ELSE '' END"
     " || CASE okey % 7 WHEN 0 THEN 'Payment: Visa 4242' || chr(10) WHEN 1 THEN 'Payment: SEPA' || chr(10) ELSE '' END || CASE WHEN okey % 6 = 0 THEN '- Pen | 1,50 | office' ELSE '' END"
 )
-_MAILS = f"SELECT okey, 'm' || id AS source_message_id, booking_date + 3 AS received_at, 'shop@mail.example' AS sender, {_SUBJECT} AS subject, {_BODY} AS body_text FROM ledger WHERE okey % 9 = 0"
+_MAILS = f"SELECT okey, 'm' || id AS source_message_id, booking_date + 3 AS received_at, 'shop@mail.example' AS sender, {_SUBJECT} AS subject, {_BODY} AS body_text FROM ledger"
 
 
 def _x(pattern: str) -> str:
@@ -57,7 +57,7 @@ _MATCHES = dict(
 
 
 def _messages(t: Tables) -> DataFrame:
-    return t.ledger().where("okey % 9 = 0").selectExpr("'gmail' AS source", "'m' || id AS source_message_id", "date_add(booking_date, 3) AS received_at", "'shop@mail.example' AS sender", f"{_SUBJECT} AS subject", f"{_BODY} AS body_text")
+    return t.ledger().selectExpr("'gmail' AS source", "'m' || id AS source_message_id", "date_add(booking_date, 3) AS received_at", "'shop@mail.example' AS sender", f"{_SUBJECT} AS subject", f"{_BODY} AS body_text")
 
 
 def _drafts(t: Tables) -> DataFrame:
@@ -115,7 +115,7 @@ def evidence_of_period(t: Tables) -> DataFrame:
     return E.newest(_drafts(t), START, END).select("evidence_id", "merchant_name", "document_date", "confidence")
 
 
-_KEPT = _DRAFTS | {"all_": _DRAFTS["drafts"], "drafts": "SELECT * FROM all_ QUALIFY row_number() OVER (PARTITION BY coalesce(order_ref_hash || evidence_type, evidence_id) ORDER BY source_message_id DESC) = 1"}
+_KEPT = _DRAFTS | {"all_": _DRAFTS["drafts"], "drafts": "SELECT * FROM all_ WHERE total_amount IS NOT NULL AND confidence >= 0.5 QUALIFY row_number() OVER (PARTITION BY coalesce(order_ref_hash || evidence_type, evidence_id) ORDER BY source_message_id DESC) = 1"}
 _KEPT = {k: _KEPT[k] for k in ("mails", "texts", "h", "f", "g", "all_", "drafts")}
 
 
