@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
@@ -43,22 +43,29 @@ REFUND_WORDS = [
 ]
 
 
+def native_pattern(pattern: str) -> str | None:
+    """A rule's pattern as Spark's engine reads it; None where that engine, or the one that rules are written for, does not compile it."""
+    from py4j.protocol import Py4JJavaError
+
+    try:
+        re.compile(pattern)
+        found = "(?iu)" + re.sub(r"\(\?P=(\w+)\)", r"\\k<\1>", pattern.replace("(?P<", "(?<"))
+        SparkSession.active()._jvm.java.util.regex.Pattern.compile(found)
+    except (re.error, Py4JJavaError):
+        return None
+    return found
+
+
 def valid_rules(rules: list[tuple[str, str, int]]) -> list[tuple[str, str, int]]:
-    """(pattern, category, priority) whose patterns compile, highest priority first, then in the order given."""
-    kept = []
-    for rule in rules:
-        try:
-            re.compile(rule[0])
-        except re.error:
-            continue
-        kept.append(rule)
-    return sorted(kept, key=lambda r: -r[2])
+    """(pattern for Spark's engine, category, priority) of the rules whose patterns compile, highest priority first, then in the order given."""
+    kept = [(native_pattern(pattern), category, priority) for pattern, category, priority in rules]
+    return sorted([rule for rule in kept if rule[0] is not None], key=lambda r: -r[2])
 
 
 def rule_category(rules: list[tuple[str, str, int]]) -> Column:
-    """The category of the first rule that a row's text matches, null if none: one expression, no join."""
+    """The category of the first rule that a row's text matches, null if none: one expression, no join. For rules by the thousand see ``rulebook``."""
     text = haystack(F.col("sender"), F.col("recipient"), F.col("description"))
-    return F.coalesce(*[F.when(text.rlike(f"(?iu){p}"), c) for p, c, _ in valid_rules(rules)], F.lit(None).cast("string"))
+    return F.coalesce(*[F.when(text.rlike(p), c) for p, c, _ in valid_rules(rules)], F.lit(None).cast("string"))
 
 
 def apply_rules(ledger: DataFrame, rules: list[tuple[str, str, int]]) -> DataFrame:
@@ -140,18 +147,38 @@ def refund_candidates(ledger: DataFrame, catch_all: str) -> DataFrame:
     return ledger.where((F.col("category_id") == catch_all) & ~F.col("is_refund") & (F.col("amount") > 0) & ~F.col("internal_transfer") & F.col("refund_audit_decided_at").isNull())
 
 
+def _grams(text: Column, n: int) -> Column:
+    """The distinct runs of ``n`` characters of a text that has as many."""
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda k: F.substring(text, k, F.lit(n))))
+
+
+def containing(longer: DataFrame, shorter: DataFrame, n: int = 4) -> DataFrame:
+    """Distinct pairs (longer, shorter) of texts (columns of these names) of which the first contains the second, both of ``n`` characters at least.
+
+    The longer ones are listed by each run of n characters; a shorter one is looked up by that of its runs which fewest
+    of them have, and then compared. One that has a run which none has is not looked up at all.
+    """
+    a, b = (df.select(c).where(F.length(c) >= n).distinct() for df, c in ((longer, "longer"), (shorter, "shorter")))
+    listed = a.select("longer", F.explode(_grams(F.col("longer"), n)).alias("gram"))
+    sizes = listed.groupBy("gram").agg(F.count("*").alias("size"))
+    asked = b.select("shorter", F.explode(_grams(F.col("shorter"), n)).alias("gram")).join(sizes, "gram", "left")
+    rarest = asked.groupBy("shorter").agg(F.min(F.struct(F.coalesce("size", F.lit(0)).alias("size"), "gram")).alias("r")).where("r.size > 0")
+    return rarest.select("shorter", "r.gram").join(listed, "gram").where(F.contains("longer", "shorter")).select("longer", "shorter")
+
+
 def memory_examples(history: DataFrame, keys: DataFrame, most: int = 20, least_key: int = 4) -> DataFrame:
     """Categorised rows whose counterpart contains one of ``keys`` (a column key) or is contained in it: the newest of each (counterpart, category), the newest ``most`` of those.
 
-    Each name is compared once with each key: the newest row of each (counterpart, category) comes first, then the join of distinct names with the keys of one prompt.
+    Keys and names of fewer than ``least_key`` characters take no part. The newest row of each (counterpart, category)
+    comes first, then distinct names and keys meet by runs of ``least_key`` characters, in either direction.
     """
     name = F.lower(F.coalesce(F.nullif("recipient", F.lit("")), F.nullif("sender", F.lit(""))))
     rows = history.where("category_id is not null").withColumn("counterpart", name).where("counterpart is not null")
     newest = rows.groupBy("counterpart", "category_id").agg(F.min_by(F.struct("id", "booking_date"), F.struct((-F.unix_date("booking_date")).alias("d"), "id")).alias("r"))
-    key = keys.select(F.lower("key").alias("key")).where(F.length("key") >= least_key).distinct()
-    meets = F.contains("counterpart", "key") | ((F.length("counterpart") >= least_key) & F.contains("key", "counterpart"))
-    known = newest.select("counterpart").distinct().join(key, meets, "left_semi")
-    return newest.join(known, "counterpart", "left_semi").select("r.id", "counterpart", "category_id", "r.booking_date").orderBy(F.desc("booking_date"), "id").limit(most)
+    names, key = newest.select("counterpart").distinct(), keys.select(F.lower("key").alias("key"))
+    within = containing(names.toDF("longer"), key.toDF("shorter"), least_key).select(F.col("longer").alias("counterpart"))
+    around = containing(key.toDF("longer"), names.toDF("shorter"), least_key).select(F.col("shorter").alias("counterpart"))
+    return newest.join(within.union(around).distinct(), "counterpart", "left_semi").select("r.id", "counterpart", "category_id", "r.booking_date").orderBy(F.desc("booking_date"), "id").limit(most)
 
 
 def decided(ledger: DataFrame, catch_all: str, at: str) -> DataFrame:

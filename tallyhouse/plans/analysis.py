@@ -85,10 +85,16 @@ def refund_candidates(t: Tables) -> DataFrame:
     return enrich.refund_candidates(rows, "5-LOW").select("id", money(F.col("amount")).alias("amount"))
 
 
-@query(with_("ledger", h="SELECT *, lower(coalesce(nullif(recipient, ''), nullif(sender, ''))) AS counterpart FROM ledger WHERE category_id IS NOT NULL", k="SELECT *, row_number() OVER (PARTITION BY counterpart, category_id ORDER BY booking_date DESC, id) AS r FROM h WHERE contains(counterpart, 'customer#00000001') OR (length(counterpart) >= 4 AND contains('customer#00000001', counterpart)) OR contains(counterpart, '0000007')")
-       + "SELECT id, counterpart, category_id, booking_date FROM k WHERE r = 1 ORDER BY booking_date DESC, id LIMIT 20")
+_KEYS = "CASE c_custkey % 4 WHEN 0 THEN upper(c_name) WHEN 1 THEN right(c_name, 4) WHEN 2 THEN 'pay to ' || c_name || ' now' ELSE right(c_name, 3) END"
+
+
+@query(with_("ledger", h="SELECT *, lower(coalesce(nullif(recipient, ''), nullif(sender, ''))) AS counterpart FROM ledger WHERE category_id IS NOT NULL", ks=f"SELECT DISTINCT lower({_KEYS}) AS k FROM customer WHERE c_acctbal < 0", n="SELECT DISTINCT counterpart FROM h", known="SELECT counterpart FROM n WHERE EXISTS (SELECT 1 FROM ks WHERE length(k) >= 4 AND (contains(counterpart, k) OR (length(counterpart) >= 4 AND contains(k, counterpart))))",
+             top="SELECT *, row_number() OVER (PARTITION BY counterpart, category_id ORDER BY booking_date DESC, id) AS r FROM h WHERE counterpart IN (SELECT counterpart FROM known)")
+       + "SELECT id, counterpart, category_id, booking_date FROM top WHERE r = 1 ORDER BY booking_date DESC, id LIMIT 1000")
 def memory_examples(t: Tables) -> DataFrame:
-    return enrich.memory_examples(t.ledger(), t.spark.createDataFrame([("Customer#00000001",), ("0000007",), ("abc",)], "key string"))
+    """Keys are names, ends of names and texts around names of all customers in debt."""
+    keys = t.raw("customer").where("c_acctbal < 0").selectExpr(f"{_KEYS} AS key")
+    return enrich.memory_examples(t.ledger(), keys, most=1000)
 
 
 def _arrivals(t: Tables) -> DataFrame:
