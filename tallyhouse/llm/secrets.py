@@ -34,7 +34,7 @@ SHAPES = [
     ("sk-", "api-key", r"(?<![A-Za-z0-9])sk-[A-Za-z0-9_-]{20,}"),
     ("sk_live", "payment-key", r"(?<![A-Za-z0-9])sk_live_[A-Za-z0-9]{16,}"),
     ("eyJ", "web-token", r"(?<![A-Za-z0-9])eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
-    ("://", "url-password", r"://[^/\s:@]{1,80}:([^/\s:@]{4,200})@"),
+    ("://", "url-password", r"://[^/\s:@]+:([^/\s:@]{4,})@"),
     ("PRIVATE KEY", "private-key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:\s*[A-Za-z-]+: [^\n]*\n)*[A-Za-z0-9+/=\s]*(?:-----END [A-Z ]*PRIVATE KEY-----)?"),
 ]
 #: Parts of names that hold credentials.
@@ -50,13 +50,21 @@ _PATTERNS = [(literal, kind, re.compile(p)) for literal, kind, p in SHAPES]
 _SIGN = re.compile(r"[=:]")
 _NAME = re.compile(r"([A-Za-z][A-Za-z0-9_.-]*)[\"'`]?[ \t]*$")
 #: A value in quotes goes on to the closing one on its line; any other ends at a space or mark.
-_VALUE = re.compile(r"[=:>]?[ \t]*(?:\"([^\"\n]{6,300})\"|'([^'\n]{6,300})'|`([^`\n]{6,300})`|[\"'`]?([^\s\"'`,;<>()]{6,}))")
+_VALUE = re.compile(r"[=:>]?[ \t]*(?:\"([^\"\n]{6,})\"|'([^'\n]{6,})'|`([^`\n]{6,})`|[\"'`]?([^\s\"'`,;<>()]{6,}))")
 _RUN = re.compile(rf"[A-Za-z0-9+/_-]{{{LEAST_RUN},}}={{0,2}}")
 _DIGIT, _LETTER = re.compile(r"[0-9]"), re.compile(r"[A-Za-z]")
 _WORD = re.compile(r"[A-Za-z]{2,}")
 FEATURES = ["length", "upper", "lower", "digit", "other", "distinct", "entropy", "transitions", "class_changes", "coverage", "hex", "repeats", "assigned", "shaped", "credential_name", "credential_last", "quoted", "name_or_path", "neighbours", "neighbour_count", "example_path", "settings_path", "prose_path", "lock_path", "depth"]
 
 
+def _named(text: str, at: int) -> re.Match | None:
+    """The name that ends before a sign, however long it is."""
+    reach = REACH
+    while (name := _NAME.search(text, max(0, at - reach), at)) and name.start() == at - reach > 0:
+        reach *= 2
+    return name
+
+
 def candidates(text: str) -> list[tuple[int, int, str, str]]:
     """(begin, end, kind, name assigned to) of all candidates in order; where they overlap, a shape comes before an assignment and that before a run."""
     found: list[tuple[int, int, str, str]] = []
@@ -65,7 +73,7 @@ def candidates(text: str) -> list[tuple[int, int, str, str]]:
             found += [(*m.span(m.lastindex or 0), kind, "") for m in pattern.finditer(text)]
     for m in _SIGN.finditer(text):
         at = m.start()
-        name = _NAME.search(text, max(0, at - REACH), at)
+        name = _named(text, at)
         if name and any(n in name[1].lower() for n in CREDENTIAL_NAMES) and (value := _VALUE.match(text, m.end())):
             found.append((*value.span(value.lastindex), "assignment", name[1].lower()))
     for m in _RUN.finditer(text):
@@ -252,7 +260,7 @@ def scan(docs: DataFrame, forest: Forest, id_column: str = "doc_id", path_column
     """Every candidate of every whole text: the id, begin (characters before it), length, kind, secret_sha256, score and is_secret.
 
     A row a candidate; null and empty texts and texts without candidates give none. Repeated rows give their findings each; a null id stays null; a missing or null path counts as empty.
-    Extra columns are left out; an empty table gives an empty one. The secret itself is not returned.
+    Extra columns are left out; an empty table gives an empty one. The secret itself is not returned. An id that is named as one of the other columns gets an underscore.
     """
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(forest)
@@ -265,10 +273,11 @@ def scan(docs: DataFrame, forest: Forest, id_column: str = "doc_id", path_column
             yield pa.RecordBatch.from_arrays([
                 batch.column(0).take(pa.array([k for k, _, _ in rows], pa.int64())), pa.array([s[0] for _, s, _ in rows], pa.int64()), pa.array([s[1] - s[0] for _, s, _ in rows], pa.int64()), pa.array([s[2] for _, s, _ in rows], pa.string()),
                 pa.array([hashlib.sha256(f.value.encode()).hexdigest() for _, _, f in rows], pa.string()), pa.array(score), pa.array(score >= threshold),
-            ], names=[id_column, "begin", "length", "kind", "secret_sha256", "score", "is_secret"])
+            ], names=[name, *own])
 
-    kind = docs.schema[id_column].dataType.simpleString()
-    return docs.select(id_column, "text", path.alias("path")).mapInArrow(work, f"`{id_column}` {kind}, begin long, length long, kind string, secret_sha256 string, score double, is_secret boolean")
+    kind, own = docs.schema[id_column].dataType.simpleString(), ["begin", "length", "kind", "secret_sha256", "score", "is_secret"]
+    name = f"{id_column}_" if id_column.lower() in own else id_column
+    return docs.select(F.col(f"`{id_column}`"), "text", path.alias("path")).mapInArrow(work, f"`{name}` {kind}, begin long, length long, kind string, secret_sha256 string, score double, is_secret boolean")
 
 
 def redact(docs: DataFrame, forest: Forest, path_column: str | None = "source", threshold: float = 0.5, mark: str = "[secret]") -> DataFrame:

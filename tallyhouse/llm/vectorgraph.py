@@ -9,6 +9,7 @@ Each pair that was found counts once, for both of its ends. Recall is audited ag
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterator
 from functools import reduce
 
@@ -22,6 +23,7 @@ from tallyhouse.llm.components import components
 from tallyhouse.llm.storage import written
 from tallyhouse.llm.vectors import dimension_of, lloyd, matrix, sample, valid_rows
 
+_LOG = logging.getLogger(__name__)
 #: Vectors a cluster and a shard are meant to have, and centres learned at a time: a table that needs more clusters has its clusters cut again.
 CLUSTER, SHARD, MOST_CLUSTERS = 2000, 4000, 4096
 #: Vectors that the centres within a cluster are learned from at most.
@@ -69,13 +71,13 @@ def robust_prune(x: np.ndarray, near: np.ndarray, seed: int) -> list[np.ndarray]
     return [np.array(sorted(a | b), np.int64) for a, b in zip(kept, back, strict=True)]
 
 
-def range_search(x: np.ndarray, lists: list[np.ndarray], q: np.ndarray, starts: list[int], threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Rows that a walk from ``starts`` meets with ``x @ q >= threshold - SLACK``, and these products."""
+def range_search(x: np.ndarray, lists: list[np.ndarray], q: np.ndarray, starts: list[int], threshold: float, slack: float = SLACK) -> tuple[np.ndarray, np.ndarray]:
+    """Rows that a walk from ``starts`` meets with ``x @ q >= threshold - slack``, and these products."""
     seen = np.zeros(len(x), bool)
     frontier = np.array(sorted(set(starts)))
     seen[frontier] = True
     score = x[frontier] @ q
-    best, least = score.max(), threshold - SLACK
+    best, least = score.max(), threshold - slack
     hits, scores = [frontier[score >= least]], [score[score >= least]]
     while len(frontier):
         around = np.unique(np.concatenate([lists[k] for k in frontier.tolist()]))
@@ -131,8 +133,8 @@ class Shard:
     meets unless that has searched the query's cluster before, or does so in the same round and has the smaller id.
     """
 
-    def __init__(self, cluster: int, t: pa.Table, threshold: float):
-        self.cluster, self.threshold = cluster, threshold
+    def __init__(self, cluster: int, t: pa.Table, threshold: float, slack: float = SLACK):
+        self.cluster, self.threshold, self.slack = cluster, threshold, slack
         self.x, self.ids, self.copies = _matrix(t), t.column("node").to_numpy(), t.column("copies").to_numpy()
         self.before, self.now = t.column("before").to_pylist(), t.column("now").to_pylist()
         order = np.argsort(self.ids)
@@ -174,14 +176,14 @@ class Shard:
         at = np.repeat(self.first[near] - np.cumsum(n) + n, n) + np.arange(n.sum())
         angle = np.repeat(np.arccos(np.clip(score, -1, 1)), n)
         part = self.outside[at]
-        return set(part["home"][np.cos(angle - part["angle"]) >= self.threshold - SLACK].tolist())
+        return set(part["home"][np.cos(angle - part["angle"]) >= self.threshold - self.slack].tolist())
 
     def search(self, queries: pa.RecordBatch) -> pa.RecordBatch:
         """Links of each query, clusters to go on to, and an edge from each that is not of this shard; what the shard's own vectors have is kept for ``rest``."""
         out: list[tuple] = []
         for i, home, copies, q in zip(*(queries.column(k).to_pylist() for k in ("node", "home", "copies")), _matrix(queries), strict=True):
             inside = i in self.at
-            near, score = range_search(self.x, self.around, q, [self.medoid] + ([self.at[i]] if inside else []), self.threshold)
+            near, score = range_search(self.x, self.around, q, [self.medoid] + ([self.at[i]] if inside else []), self.threshold, self.slack)
             out += [(i, None, None, c) for c in self._onward(near, score) if c != home]
             hits = near[(score >= self.threshold) & (self.ids[near] != i)]
             counted = hits[self._counts(i, home, hits)]
@@ -206,7 +208,7 @@ def _finds(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.int32()), strict=True)], names=["node", "links", "root", "onward"])
 
 
-def find_links(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
+def find_links(batches: Iterator[pa.RecordBatch], threshold: float, slack: float = SLACK) -> Iterator[pa.RecordBatch]:
     """Search shards (role 0) by the queries that follow them (role 1), which are held a batch at a time."""
     key, held, shard = None, [], None
     for (*at, role), run in _runs(batches, ["cluster", "shard", "block", "role"]):
@@ -218,7 +220,7 @@ def find_links(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[
             held.append(run)
             continue
         if shard is None and held:
-            shard, held = Shard(key[0], pa.Table.from_batches(held), threshold), []
+            shard, held = Shard(key[0], pa.Table.from_batches(held), threshold, slack), []
         if shard:
             yield shard.search(run)
     if shard:
@@ -231,7 +233,8 @@ def near_duplicates(rows: DataFrame, id_column: str = "vec_id", vector_column: s
     Vectors that are null, empty, zero, of another length than most or not finite in all components link with nothing and are their own component; a row without an id keeps a null component and is kept. Rows that repeat an id are vectors
     of their own for n_links and one node for components. Extra columns are ignored; an empty table gives an empty one.
     Equal vectors are one node with a count. Centres come from at most ``learn_from`` vectors; all rows are indexed and searched.
-    ``audit`` vectors or more, until half as many have links, all were asked or ``audit_most`` were, are held against all rows by brute force; below ``recall``, a mean over those with links, the search is done again with two more clusters for each vector.
+    At every size AUDIT_BLOCK vectors or more, until half of ``audit`` have links, all were asked or ``audit_most`` were, are held against all rows by brute force; below ``recall``, a mean over those with links, the search is done again with two more clusters for each vector.
+    Where all vectors were asked, every link is known and none may be missing: the search is then done again with more clusters and a further expansion until it has them all. The recall reached is logged.
     Where ``audit_most`` vectors hold too few with links, ``audit`` of those that the search found links for are held against all rows as well; if it found none either, it is done once more with two more clusters.
     """
     spark = rows.sparkSession
@@ -247,19 +250,23 @@ def near_duplicates(rows: DataFrame, id_column: str = "vec_id", vector_column: s
     clusters = max(1, round(n / CLUSTER))
     finer = -(-clusters // MOST_CLUSTERS)
     centres = _unit(lloyd(_unit(sample(nodes.select(F.col("node").alias("id"), "v"), learn_from)), -(-clusters // finer)))
-    asked, last = _audit_sample(nodes, audit, threshold, audit_most) if overlap < len(centres) else ([], None)
-    again = True
+    asked, last = _audit_sample(nodes, audit, threshold, audit_most, AUDIT_BLOCK)
+    again, slack = True, SLACK
     while True:
-        found, edges = _search(nodes, centres, min(overlap, len(centres)), threshold, finer)
-        if overlap >= len(centres):
-            break
+        found, edges = _search(nodes, centres, min(overlap, len(centres)), threshold, finer, slack)
         known = asked
         if last and 2 * sum(links > 0 for _, links in asked) < audit:
             known = asked + _audit_found(nodes.where(F.col("key") > last), nodes, found, audit, threshold)
-        if _recall(found, known) >= recall:
+        reached = _recall(found, known)
+        _LOG.info("recall %.4f over %d audited vectors, %d clusters a vector, slack %.2f", reached, len(known), overlap, slack)
+        if reached >= (recall if last else 1.0):
             if not last or not again or any(links for _, links in known):
                 break
             again = False
+        elif overlap >= len(centres) and slack > 2:  # every vector was met
+            break
+        if not last or overlap >= len(centres):
+            slack *= 2
         overlap += 2
     joined = components(edges)
     by_node = nodes.select("key", "node", "copies").join(found, "node", "left").join(joined.withColumnRenamed("id", "node"), "node", "left")
@@ -341,7 +348,7 @@ def _place_within(placed: DataFrame, finer: int, overlap: int) -> DataFrame:
     return heads.union(rows).repartition(n, "cluster", "block").sortWithinPartitions("cluster", "block", "role").mapInArrow(assign, PLACED)
 
 
-def _search(nodes: DataFrame, centres: np.ndarray, overlap: int, threshold: float, finer: int = 1) -> tuple[DataFrame, DataFrame]:
+def _search(nodes: DataFrame, centres: np.ndarray, overlap: int, threshold: float, finer: int = 1, slack: float = SLACK) -> tuple[DataFrame, DataFrame]:
     """links per node (node, links: other rows within range of it), and edges (a, b) that span what was found."""
     spark = nodes.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -371,7 +378,7 @@ def _search(nodes: DataFrame, centres: np.ndarray, overlap: int, threshold: floa
     data = written(dealt.where("own").join(united, "node").select("cluster", "shard", "shards", "node", "copies", "v", "around"), "graph")
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from find_links(batches, threshold)
+        yield from find_links(batches, threshold, slack)
 
     searched = homes.select("node", F.col("home").alias("cluster"), F.lit(1).alias("round"))
     finds: list[DataFrame] = []
@@ -395,10 +402,10 @@ def _search(nodes: DataFrame, centres: np.ndarray, overlap: int, threshold: floa
     return found.where("links is not null").groupBy("node").agg(F.sum("links").alias("links")), found.where("root is not null").select(F.col("node").alias("a"), F.col("root").alias("b"))
 
 
-def _audit_sample(nodes: DataFrame, n: int, threshold: float, most: int) -> tuple[list[tuple[int, int]], str | None]:
-    """(node, links) by brute force of ``n`` nodes or more in order of their keys, and the last key if these are not all nodes: blocks of growing size are asked until half of ``n`` have links, all nodes were asked or ``most`` were; a pass over all rows a block."""
+def _audit_sample(nodes: DataFrame, n: int, threshold: float, most: int, first: int = 0) -> tuple[list[tuple[int, int]], str | None]:
+    """(node, links) by brute force of ``n`` nodes or more (``first`` at once) in order of their keys, and the last key if these are not all nodes: blocks of growing size are asked until half of ``n`` have links, all nodes were asked or ``most`` were; a pass over all rows a block."""
     asked: list[tuple[int, int]] = []
-    after, size = "", min(n, most)
+    after, size = "", min(max(n, first), most)
     while True:
         chosen = nodes.where(F.col("key") > after).orderBy("key").limit(size).select("key", "node", "v").collect()
         if chosen:
