@@ -50,10 +50,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Puts a mark in the place of every secret and counts n_chars again."""
+    """Puts a mark in the place of every secret and counts n_chars, where there is such a column, again."""
     path = vocabulary("word_bpe_49k.json")
     forest = secrets.fit(spark, secrets.labelled_findings(spark, path), path)
-    return secrets.redact(docs, forest).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    clean = secrets.redact(docs, forest)
+    return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else clean
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
