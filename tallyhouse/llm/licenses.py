@@ -185,6 +185,44 @@ RULES = [
     ("BSL-1.0", "BoostName"),
     ("LicenseRef-all-rights-reserved", "AllRights"),
 ]
+#: How notices name a licence after "licensed under" and the like, and the identifier of the sentence.
+NAMES = {
+    "mit license": "MitName", "mit": "MitName", "mit x11 license": "MitName", "expat license": "MitName",
+    "apache license version 2.0": "ApacheName", "apache license 2.0": "ApacheName", "apache 2.0 license": "ApacheName", "apache 2.0": "ApacheName", "apache license v2.0": "ApacheName", "apache license v2": "ApacheName", "apache license version 2.0 the license": "ApacheLicensed",
+    "bsd 3 clause license": "Bsd3Name", "3 clause bsd license": "Bsd3Name", "new bsd license": "Bsd3Name", "modified bsd license": "Bsd3Name", "bsd 3 clause": "Bsd3Name",
+    "bsd 2 clause license": "Bsd2Name", "2 clause bsd license": "Bsd2Name", "simplified bsd license": "Bsd2Name", "freebsd license": "Bsd2Name", "bsd 2 clause": "Bsd2Name",
+    "gnu general public license version 3": "Gpl3Name", "gnu general public license v3": "Gpl3Name", "gnu general public license v3.0": "Gpl3Name", "gpl v3": "Gpl3Name", "gplv3": "Gpl3Name", "gpl version 3": "Gpl3Name", "gnu gpl v3": "Gpl3Name", "gnu gplv3": "Gpl3Name",
+    "gnu general public license version 2": "Gpl2Name", "gnu general public license v2": "Gpl2Name", "gnu general public license v2.0": "Gpl2Name", "gpl v2": "Gpl2Name", "gplv2": "Gpl2Name", "gpl version 2": "Gpl2Name", "gnu gpl v2": "Gpl2Name",
+    "gnu lesser general public license version 3": "Lgpl3Name", "gnu lesser general public license v3": "Lgpl3Name", "lgpl v3": "Lgpl3Name", "lgplv3": "Lgpl3Name",
+    "gnu affero general public license version 3": "Agpl3Name", "gnu affero general public license v3": "Agpl3Name", "agpl v3": "Agpl3Name", "agplv3": "Agpl3Name",
+    "mozilla public license version 2.0": "MplName", "mozilla public license 2.0": "MplName", "mpl 2.0": "MplName", "isc license": "IscName", "boost software license version 1.0": "BoostName", "unlicense": "UnlicenseGrant",
+    "creative commons attribution 4.0 international license": "CcByName", "creative commons attribution sharealike 4.0 international license": "CcBySaName", "creative commons attribution noncommercial 4.0 international license": "CcByNcName", "cc by 4.0": "CcByName", "cc by sa 4.0": "CcBySaName",
+}
+SENTENCES_AND_NAMES = SENTENCES | {f"licensed under {name}": identifier for name, identifier in NAMES.items()}
+#: Marks before a sentence of a list, as they are left of "1.", "(a)" or "iv)".
+LIST_MARK = "^(?:[0-9]{1,2}[.]?|[a-z]|[ivx]{1,4}) "
+#: Fixed values, the first that fits counting: sentences that name somebody or something, and how they stand among the known ones.
+SLOTS = [
+    ("^(?:neither )?the names? of .+ n?or the names of (?:its|their|the|any|any of its) contributors may (?:not )?be used to endorse or promote products derived from this software without (?:specific )?prior written permission$", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
+    ("^(?:neither )?the names? of .+ may (?:not )?be used to endorse or promote products derived from this software without (?:specific )?prior written permission$", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
+    ("^this software is provided by .+ as is and any express or implied warranties including", "this software is provided by the copyright holders and contributors as is and any express or implied warranties including"),
+    ("^in no event shall .+ be liable for any direct indirect incidental special exemplary or consequential damages", "in no event shall the copyright holder or contributors be liable for any direct indirect incidental special exemplary or consequential damages"),
+    ("^in no event shall .+ be liable for any claim damages or other liability", "in no event shall the authors or copyright holders be liable for any claim damages or other liability"),
+    ("^(?:.* )?(?:licensed|licenced|released|distributed|published|available|provided) under (?:the |a |an )?(?:terms (?:and conditions )?of )?(?:the |a |an )?(.+?)(?: (?:see|refer to) .*)?$", "licensed under \\1"),
+]
+#: Words that a sentence with a slot holds one of.
+SLOT_WORDS = (" under ", "the name", "provided by", "in no event shall", "redistribution")
+#: Identifiers of SPDX, and those that are deprecated with what they mean.
+SPDX_IDS = """0BSD AFL-3.0 AGPL-3.0-only AGPL-3.0-or-later Apache-1.1 Apache-2.0 Artistic-2.0 BSD-1-Clause BSD-2-Clause BSD-3-Clause BSD-3-Clause-Clear BSD-4-Clause BSL-1.0 CC-BY-3.0 CC-BY-4.0 CC-BY-NC-4.0 CC-BY-NC-ND-4.0
+CC-BY-NC-SA-4.0 CC-BY-ND-4.0 CC-BY-SA-3.0 CC-BY-SA-4.0 CC0-1.0 CDDL-1.0 CECILL-2.1 ECL-2.0 EPL-1.0 EPL-2.0 EUPL-1.2 GFDL-1.3-only GPL-1.0-only GPL-2.0-only GPL-2.0-or-later GPL-3.0-only GPL-3.0-or-later ISC LGPL-2.0-only
+LGPL-2.0-or-later LGPL-2.1-only LGPL-2.1-or-later LGPL-3.0-only LGPL-3.0-or-later LPPL-1.3c MIT MIT-0 MPL-1.1 MPL-2.0 MS-PL MS-RL MulanPSL-2.0 NCSA OFL-1.1 OpenSSL OSL-3.0 PostgreSQL Python-2.0 Ruby Unlicense UPL-1.0 Vim W3C WTFPL X11 Zlib""".split()
+DEPRECATED = {f"{name}{plus}": f"{name}-{'or-later' if plus else 'only'}" for name in ("AGPL-3.0", "GPL-1.0", "GPL-2.0", "GPL-3.0", "LGPL-2.0", "LGPL-2.1", "LGPL-3.0", "GFDL-1.3") for plus in ("", "+")}
+#: By identifier in lower case; "or any later" of one that has no such form is left out.
+SPDX = {i.lower(): i for i in SPDX_IDS} | {f"{i.lower()}+": i for i in SPDX_IDS} | {i.lower(): name for i, name in DEPRECATED.items()}
+_ID = "[A-Za-z0-9][A-Za-z0-9.+-]*"
+_OPERAND = rf"(?:\([ \t]*)*{_ID}(?:[ \t]*\))*"
+SPDX_TAG = rf"(?i)SPDX-License-Identifier:[ \t]*({_OPERAND}(?:[ \t]+(?:AND|OR|WITH)[ \t]+{_OPERAND})*)"
+SPDX_EXCEPTION = rf"(?i)[ \t]WITH[ \t]+(?:\([ \t]*)*{_ID}"
 #: Known sentences that no rule took.
 UNNAMED = "LicenseRef-unnamed"
 #: Where a sentence ends: where lines count as sentences of their own, and where a line end is a space.
@@ -202,13 +240,29 @@ def rule_pattern(rule: str) -> str:
     return out
 
 
+def _filled(sentence: Column) -> Column:
+    """A sentence without its list mark and with the slots as the known sentences have them; a known one as it is."""
+    bare = F.regexp_replace(sentence, LIST_MARK, "")
+    slots = reduce(lambda rest, slot: F.when(bare.rlike(slot[0]), F.regexp_replace(bare, slot[0], slot[1].replace("\\1", "$1"))).otherwise(rest), reversed(SLOTS), bare)
+    return F.when(~sentence.isin(list(SENTENCES)) & reduce(lambda a, b: a | b, [F.contains(sentence, F.lit(w)) for w in SLOT_WORDS]), slots).otherwise(sentence)
+
+
+def _tagged() -> Column:
+    """SPDX identifiers of the expressions in tags of column text, in order; exceptions and identifiers that are not known are left out, references to licences of one's own stay."""
+    table = F.create_map(*[F.lit(x) for pair in SPDX.items() for x in pair])
+    ids = F.flatten(F.transform(F.regexp_extract_all("text", F.lit(SPDX_TAG), 1), lambda e: F.regexp_extract_all(F.regexp_replace(e, SPDX_EXCEPTION, ""), F.lit(_ID), 0)))
+    bare = F.transform(ids, lambda i: F.rtrim(i, F.lit(".-")))
+    named = F.transform(bare, lambda i: F.when(F.startswith(i, F.lit("LicenseRef-")), i).otherwise(F.try_element_at(table, F.lower(i))))
+    return F.when(F.contains(F.lower("text"), F.lit("spdx-license-identifier:")), F.array_compact(named)).otherwise(F.array().cast("array<string>"))
+
+
 def _known(kind: str) -> Column:
     """Identifiers of the known sentences of column text, in order, as ``,Id,,Id,``."""
     marked = F.regexp_replace(F.lower("text"), ENDS[kind], "\n") if kind == "lines" else F.regexp_replace(F.regexp_replace(F.lower("text"), ENDS[kind], "\u0001"), "\n", " ")
     mark = "\n" if kind == "lines" else "\u0001"
     sentences = F.split(F.regexp_replace(marked, f"[^a-z0-9.{mark}]+", " "), mark)
-    known = F.filter(F.transform(sentences, lambda s: F.trim(s, F.lit(" ."))), lambda s: s.isin(list(SENTENCES)))
-    table = F.create_map(*[F.lit(x) for pair in SENTENCES.items() for x in pair])
+    known = F.filter(F.transform(F.transform(sentences, lambda s: F.trim(s, F.lit(" ."))), _filled), lambda s: s.isin(list(SENTENCES_AND_NAMES)))
+    table = F.create_map(*[F.lit(x) for pair in SENTENCES_AND_NAMES.items() for x in pair])
     return F.array_join(F.transform(known, lambda s: F.concat(F.lit(","), F.element_at(table, s), F.lit(","))), "")
 
 
@@ -232,15 +286,15 @@ def scan(docs: DataFrame) -> DataFrame:
     """Licences of every whole text of ``docs`` (doc_id, text).
 
     A row per row: doc_id, sentence_ids (identifiers in order, comma-separated; lines as sentences first, then, where they differ, lines joined), licenses
-    (comma-separated, ascending, empty if none), n_known and unclaimed (identifiers that no rule took in either reading, comma-separated, ascending). A text with known sentences and no licence has UNNAMED. Null and empty texts have none.
+    (comma-separated, ascending, empty if none; those of SPDX expressions in tags among them), n_known and unclaimed (identifiers that no rule took in either reading, comma-separated, ascending). A text with known sentences and no licence has UNNAMED. Null and empty texts have none.
     Repeated rows and null doc_ids stay, extra columns are left out, an empty table stays empty. No shuffle.
     """
-    both = docs.select("doc_id", F.coalesce(_known("lines"), F.lit("")).alias("a"), F.coalesce(_known("wrapped"), F.lit("")).alias("b"))
+    both = docs.select("doc_id", F.coalesce(_known("lines"), F.lit("")).alias("a"), F.coalesce(_known("wrapped"), F.lit("")).alias("b"), F.coalesce(_tagged(), F.array().cast("array<string>")).alias("tagged"))
     # Lines that are sentences show in either reading; each reading has its own sequence for the rules.
     found = both.withColumn("b", F.when(F.col("a") == F.col("b"), "").otherwise(F.col("b"))).withColumns({"ra": _licences(F.col("a")), "rb": _licences(F.col("b")), "ids": _ids(F.concat("a", "b"))})
     left_a, left_b = _ids(F.col("ra.left")), _ids(F.col("rb.left"))
     unclaimed = F.array_union(F.array_except(left_a, F.array_except(_ids(F.col("b")), left_b)), F.array_except(left_b, F.array_except(_ids(F.col("a")), left_a)))
-    named = F.array_union("ra.found", "rb.found")
+    named = F.array_union(F.array_union("ra.found", "rb.found"), "tagged")
     licences = F.when((F.size(named) == 0) & (F.size("ids") > 0), F.array(F.lit(UNNAMED))).otherwise(named)
     return found.select("doc_id", F.array_join("ids", ",").alias("sentence_ids"), F.array_join(F.array_sort(licences), ",").alias("licenses"), F.size("ids").cast("long").alias("n_known"), F.array_join(F.array_sort(unclaimed), ",").alias("unclaimed"))
 
@@ -253,8 +307,15 @@ def _spelled_out(rule: str) -> list[str]:
 
 def oracle() -> str:
     """The same in SQL for DuckDB: sentences by other expressions, since RE2 cannot look around, and every sequence that a rule takes spelled out instead of its pattern."""
-    quoted = ", ".join(f"'{s}'" for s in SENTENCES)
-    table = "MAP {" + ", ".join(f"'{s}': '{i}'" for s, i in SENTENCES.items()) + "}"
+    quoted, whole = (", ".join(f"'{s}'" for s in known) for known in (SENTENCES, SENTENCES_AND_NAMES))
+    table = "MAP {" + ", ".join(f"'{s}': '{i}'" for s, i in SENTENCES_AND_NAMES.items()) + "}"
+    bare = f"regexp_replace(s, '{LIST_MARK}', '')"
+    slots = " ".join(f"WHEN regexp_matches({bare}, '{pattern}') THEN regexp_replace({bare}, '{pattern}', '{to}')" for pattern, to in SLOTS)
+    holds = " OR ".join(f"contains(s, '{w}')" for w in SLOT_WORDS)
+    filled = f"CASE WHEN s NOT IN ({quoted}) AND ({holds}) THEN CASE {slots} ELSE {bare} END ELSE s END"
+    ids = f"flatten(list_transform(regexp_extract_all(text, '{SPDX_TAG}', 1), lambda e: regexp_extract_all(regexp_replace(e, '{SPDX_EXCEPTION}', '', 'g'), '{_ID}')))"
+    spdx = "MAP {" + ", ".join(f"'{i}': '{name}'" for i, name in SPDX.items()) + "}"
+    tagged = f"coalesce(list_filter(list_transform(list_transform({ids}, lambda i: rtrim(i, '.-')), lambda i: CASE WHEN starts_with(i, 'LicenseRef-') THEN i ELSE {spdx}[lower(i)] END), lambda i: i IS NOT NULL), [])"
     blank = {"lines": r"[ \t\r]", "wrapped": r"[ \t\r\n]"}
     ends = {"lines": r"[.!?;:]+[ \t\r]*\n[ \t\r\n]*|[.!?;:]+[ \t\r]+|\n[ \t\r\n]*", "wrapped": r"[.!?;:]+[ \t\r\n]+|\n[ \t\r]*\n[ \t\r\n]*"}
 
@@ -269,7 +330,7 @@ def oracle() -> str:
         if kind == "wrapped":
             marked = f"replace({marked}, chr(10), ' ')"
         cleaned = f"regexp_replace(replace({marked}, chr(2), '.'), '[^a-z0-9.' || {mark} || ']+', ' ', 'g')"
-        return f"coalesce(list_aggregate(list_transform(list_filter(list_transform(string_split({cleaned}, {mark}), lambda s: trim(s, ' .')), lambda s: s IN ({quoted})), lambda s: ',' || {table}[s] || ','), 'string_agg', ''), '')"
+        return f"coalesce(list_aggregate(list_transform(list_filter(list_transform(list_transform(string_split({cleaned}, {mark}), lambda s: trim(s, ' .')), lambda s: {filled}), lambda s: s IN ({whole})), lambda s: ',' || {table}[s] || ','), 'string_agg', ''), '')"
 
     def taken(column: str, rule: str) -> str:
         return reduce(lambda x, way: f"replace({x}, '{way}', '|')", _spelled_out(rule), column)
@@ -282,14 +343,14 @@ def oracle() -> str:
     def names(column: str) -> str:
         return ", ".join(f"CASE WHEN {column}_{k} <> {column}_{k - 1} THEN '{name}' END" for k, (name, _) in enumerate(RULES, 1))
 
-    ids = lambda x: f"list_filter(string_split(replace({x}, '|', ','), ','), lambda s: s <> '')"
+    names_of = lambda x: f"list_filter(string_split(replace({x}, '|', ','), ','), lambda s: s <> '')"
     last = len(RULES)
     return f"""
-WITH both_ AS (SELECT doc_id, {known("lines")} AS a, {known("wrapped")} AS b FROM documents),
-seq AS (SELECT doc_id, a, CASE WHEN a = b THEN '' ELSE b END AS b FROM both_),
+WITH both_ AS (SELECT doc_id, {known("lines")} AS a, {known("wrapped")} AS b, {tagged} AS tagged FROM documents),
+seq AS (SELECT doc_id, tagged, a, CASE WHEN a = b THEN '' ELSE b END AS b FROM both_),
 {chain("a") % "seq"},
 {chain("b") % f"a{last}"},
-named AS (SELECT doc_id, {ids("a")} AS ia, {ids("b")} AS ib, {ids(f"a_{last}")} AS la, {ids(f"b_{last}")} AS lb, list_distinct(list_filter([{names("a")}, {names("b")}], lambda x: x IS NOT NULL)) AS found FROM b{last}),
+named AS (SELECT doc_id, {names_of("a")} AS ia, {names_of("b")} AS ib, {names_of(f"a_{last}")} AS la, {names_of(f"b_{last}")} AS lb, list_distinct(list_filter([{names("a")}, {names("b")}], lambda x: x IS NOT NULL) || tagged) AS found FROM b{last}),
 sets AS (SELECT *, list_filter(ia, lambda x: NOT list_contains(la, x)) AS ca, list_filter(ib, lambda x: NOT list_contains(lb, x)) AS cb FROM named)
 SELECT doc_id, array_to_string(ia || ib, ',') AS sentence_ids,
        CASE WHEN len(found) = 0 AND len(ia || ib) > 0 THEN '{UNNAMED}' ELSE array_to_string(list_sort(found), ',') END AS licenses,
