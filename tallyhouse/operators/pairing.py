@@ -13,6 +13,7 @@ from pyspark.sql import window as W
 
 from tallyhouse.functions.numbers import cents
 from tallyhouse.functions.text import uuid5
+from tallyhouse.operators.ordering import dealt
 from tallyhouse.sources.folders import stored
 
 #: Days between the sides of a pair; days that a settlement may precede its cycle; candidates that a collective debit may have.
@@ -24,15 +25,6 @@ def link_id(kind: Column, parent: Column, child: Column, prefix: str = "link") -
     return uuid5(F.concat_ws(":", F.lit(prefix), kind, parent, child))
 
 
-def _dealt(rows: DataFrame, keys: list[str], order: list[str]) -> tuple[DataFrame, DataFrame]:
-    """``rows`` stored in ranges of (keys, order), each with its ``part`` and its ``line`` there, and of each part and key the first line, how many rows it has and how many stand in parts before: no task or window holds a key's rows, however many there are."""
-    ordered = rows.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order)
-    placed = stored(ordered.withColumns({"part": F.spark_partition_id(), "line": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))}), "dealt")
-    counts = placed.groupBy(*keys, "part").agg(F.min("line").alias("first"), F.count("*").alias("n"))
-    before = F.sum("n").over(W.Window.partitionBy(*keys).orderBy("part")) - F.col("n")
-    return placed, counts.withColumn("before", before)
-
-
 def _spans(frames: Iterator[pd.DataFrame], within: int) -> Iterator[pd.DataFrame]:
     """Which credits of a day meet which debits, as runs of places: rows (cents, day, credits, debits) come amount by amount and day by day, and a day's credits take the first debits that are left."""
     columns = ["cents", "credit_day", "credit_from", "debit_day", "debit_from", "n"]
@@ -81,15 +73,15 @@ def matched(rows: DataFrame, within: int = WITHIN) -> DataFrame:
     """
     keys = ["cents", "day", "credit"]
     own = rows.where("amount <> 0 and booking_date is not null").select("id", F.abs(cents(F.col("amount"))).alias("cents"), F.col("booking_date").alias("day"), (F.col("amount") > 0).alias("credit"))
-    placed, parts = _dealt(own, keys, ["id"])
-    days = parts.groupBy("cents", "day").agg(F.sum(F.when(F.col("credit"), F.col("n"))).alias("credits"), F.sum(F.when(~F.col("credit"), F.col("n"))).alias("debits")).fillna(0)
+    placed, parts = dealt(own, keys, ["id"])
+    days = parts.groupBy("cents", "day").agg(F.sum(F.when(F.col("credit"), F.col("_rows"))).alias("credits"), F.sum(F.when(~F.col("credit"), F.col("_rows"))).alias("debits")).fillna(0)
     ordered = days.repartition("cents").sortWithinPartitions("cents", "day")
     spans = stored(ordered.mapInPandas(partial(_spans, within=within), "cents long, credit_day date, credit_from long, debit_day date, debit_from long, n long"), "spans")
     side = lambda c: F.struct(F.lit(c == "credit").alias("credit"), F.col(f"{c}_day").alias("day"), F.col(f"{c}_from").alias("from"))
     sides = spans.select("cents", "credit_day", "debit_day", F.col("n").alias("wanted"), F.explode(F.array(side("credit"), side("debit"))).alias("s")).select("cents", "credit_day", "debit_day", "wanted", "s.*")
-    plan = parts.join(sides, keys).where((F.col("from") <= F.col("before") + F.col("n")) & (F.col("from") + F.col("wanted") > F.col("before") + 1))
-    number = F.col("before") + F.col("line") - F.col("first") + 1 - F.col("from")
-    met = placed.join(plan, [*keys, "part"]).withColumn("number", number).where((F.col("number") >= 0) & (F.col("number") < F.col("wanted")))
+    plan = parts.join(sides, keys).where((F.col("from") <= F.col("_before") + F.col("_rows")) & (F.col("from") + F.col("wanted") > F.col("_before") + 1))
+    number = F.col("_before") + F.col("_line") - F.col("_first") + 1 - F.col("from")
+    met = placed.join(plan, [*keys, "_part"]).withColumn("number", number).where((F.col("number") >= 0) & (F.col("number") < F.col("wanted")))
     of = lambda credit: F.max(F.when(F.col("credit") == F.lit(credit), F.col("id")))
     return met.groupBy("cents", "credit_day", "debit_day", "number").agg(of(True).alias("credit_id"), of(False).alias("debit_id")).select("credit_id", "debit_id")
 

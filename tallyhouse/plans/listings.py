@@ -218,13 +218,6 @@ def anomaly_bundle(t: Tables) -> DataFrame:
     })
 
 
-@query(with_("ledger", x="SELECT id AS transaction_id, okey, amount, custkey FROM ledger ORDER BY okey LIMIT 1500", n="SELECT custkey, row_number() OVER (ORDER BY min(okey), custkey) AS n FROM x GROUP BY 1") + "SELECT okey, 'tx_' || CASE WHEN rn < 100 THEN lpad(CAST(rn AS VARCHAR), 3, '0') ELSE CAST(rn AS VARCHAR) END AS transaction_id, 'ev_' || CASE WHEN n < 100 THEN lpad(CAST(n AS VARCHAR), 3, '0') ELSE CAST(n AS VARCHAR) END AS evidence_id FROM (SELECT *, row_number() OVER (ORDER BY okey) AS rn FROM x) JOIN n USING (custkey)")
-def prompt_pseudonyms(t: Tables) -> DataFrame:
-    """Ids as a prompt shows them; a banned column is gone."""
-    rows = t.ledger().orderBy("okey").limit(1500).select(F.col("id").alias("transaction_id"), "okey", F.col("custkey").cast("string").alias("evidence_id"), F.col("description").alias("order_reference"))
-    return T.for_prompt(rows, "okey").select("okey", "transaction_id", "evidence_id")
-
-
 @query("WITH u AS (SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'https://hooks.example/api/' || CAST(event_id * 1000003 AS VARCHAR) || '/' WHEN 1 THEN 'https://hooks.example/' || CAST(event_id % 100 AS VARCHAR) WHEN 2 THEN 'plain' END AS url FROM events) SELECT event_id, CASE WHEN url IS NULL OR NOT contains(url, '/') THEN url WHEN length(regexp_extract(rtrim(url, '/'), '[^/]*$')) <= 6 THEN regexp_replace(rtrim(url, '/'), '[^/]*$', '') || '…' ELSE regexp_replace(rtrim(url, '/'), '[^/]*$', '') || '…' || right(rtrim(url, '/'), 6) END AS masked FROM u")
 def masked_urls(t: Tables) -> DataFrame:
     urls = t.raw("events").select("event_id", F.when(F.col("event_id") % 4 == 0, F.concat(F.lit("https://hooks.example/api/"), (F.col("event_id") * 1000003).cast("string"), F.lit("/"))).when(F.col("event_id") % 4 == 1, F.concat(F.lit("https://hooks.example/"), (F.col("event_id") % 100).cast("string"))).when(F.col("event_id") % 4 == 2, "plain").alias("url"))

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyhouse.functions import numbers, text
-from tallyhouse.operators import changes, enrich, normalise
+from tallyhouse.operators import changes, enrich, normalise, prompts
 from tallyhouse.operators import reports as R
 from tallyhouse.sources import canonical, files
 from tallyhouse.streaming import ingest
@@ -112,7 +112,7 @@ def test_dates_ratios_and_prompts(spark):
     got = row.select(numbers.month_later(F.col("d"), F.lit(1)), *[numbers.relative_start(F.lit(t), F.col("today")) for t in ("2026-02-01", "-7d", "30d", "4000d", "x")], numbers.even_ratio(F.lit("0.25").cast("decimal(18,2)"), F.lit(2), 2)).first()
     assert tuple(map(str, got)) == ("2026-02-28", "2026-02-01", "2026-03-03", "2026-02-08", "None", "None", "0.12")
     rows = spark.createDataFrame([(1, "b", "to a@b.example", "DE1"), (2, "a", "x", "DE2"), (3, "b", None, "DE3")], "seq int, transaction_id string, note string, sender_iban string")
-    shown = sorted(tuple(r) for r in text.for_prompt(rows, "seq").collect())
+    shown = sorted(tuple(r) for r in prompts.for_prompt(rows, "seq").collect())
     assert shown == [(1, "tx_001", "to [email]"), (2, "tx_002", "x"), (3, "tx_001", None)]
     metrics = spark.createDataFrame([('{"a": "1", "b": [1, 2]}',), ('[{"key": "a", "value": "1"}]',)], "j string").select(changes.metric_list(F.col("j"))).collect()
     assert [[tuple(m) for m in r[0]] for r in metrics] == [[("a", "1"), ("b", "[1,2]")], [("a", "1")]]

@@ -6,7 +6,7 @@ from decimal import Decimal
 
 from pyspark.sql import functions as F
 
-from tallyhouse.operators import pairing
+from tallyhouse.operators import ordering, pairing
 
 DAY = date(2026, 1, 1)
 SCHEMA = "id string, account string, booking_date date, amount decimal(14,2)"
@@ -88,8 +88,8 @@ def _most_rows(spark):
     r = random.Random(7)
     found = [(f"{k:05d}", r.randrange(3), r.choice([5, -5])) for k in range(4000)] + [(f"x{k}", 0, 7 * (-1) ** k) for k in range(50)]
     table = rows(spark, *found)
-    placed, _ = pairing._dealt(table.select("id", F.abs("amount").alias("cents"), F.col("booking_date").alias("day"), (F.col("amount") > 0).alias("credit")), ["cents", "day", "credit"], ["id"])
-    assert max(x["count"] for x in placed.groupBy("part").count().collect()) <= 0.5 * len(found)
+    placed, _ = ordering.dealt(table.select("id", F.abs("amount").alias("cents"), F.col("booking_date").alias("day"), (F.col("amount") > 0).alias("credit")), ["cents", "day", "credit"], ["id"])
+    assert max(x["count"] for x in placed.groupBy("_part").count().collect()) <= 0.5 * len(found)
     debits = sorted(((d, i) for i, d, a in found if a < 0), key=lambda x: x)
     amount, used, want = {i: a for i, _, a in found}, set(), []
     for d, i in sorted((d, i) for i, d, a in found if a > 0):
