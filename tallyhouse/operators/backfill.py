@@ -75,9 +75,9 @@ def walked(accounts: DataFrame, bookings: DataFrame, start: str, today: str, wid
     """
     a, b = F.to_date(F.lit(start)), F.to_date(F.lit(today))
     names = accounts.select(F.col("account").cast("string").alias("account")).where("account is not null").distinct()
-    counts = bookings.where(F.col("day").between(a, b)).groupBy(F.col("account").cast("string").alias("account"), "day").agg(F.count("*").alias("n"))
-    # a day without bookings makes an account known that has none
-    days = counts.join(names, "account", "left_semi").unionByName(names.select("account", b.alias("day"), F.lit(0).cast("long").alias("n")))
+    read = bookings.select(F.col("account").cast("string").alias("account"), "day", F.lit(1).alias("n")).where(F.col("day").between(a, b)).join(names, "account", "left_semi")
+    # a day without bookings makes an account known that has none; the sum comes after the union, so that the rows of an account are dealt together
+    days = read.unionByName(names.select("account", b.alias("day"), F.lit(0).alias("n"))).groupBy("account", "day").agg(F.sum("n").alias("n"))
     ordered = days.repartition("account").sortWithinPartitions("account", F.desc("day"))
     windows = ordered.select("account", "day", "n").mapInPandas(partial(_walks, start=pd.Timestamp(start), today=pd.Timestamp(today), width=width, page=page), WINDOWS)
     if not strict:
