@@ -24,11 +24,12 @@ def insert_versions(stored: DataFrame, incoming: DataFrame) -> DataFrame:
     Only ids that come in are touched.
     """
     fresh = versions(incoming.join(stored.select("content_hash"), "content_hash", "left_anti"))
-    keys = ["source", "external_id"]
+    keys = F.col("source").alias("_source"), F.col("external_id").alias("_id")
+    same = F.col("source").eqNullSafe(F.col("_source")) & (F.col("external_id") == F.col("_id"))
     newest = stored.where("superseded_by is null").groupBy(*keys).agg(F.max("version").alias("top"))
-    placed = fresh.join(newest, keys, "left").withColumn("version", F.col("version") + F.coalesce("top", F.lit(0).cast("bigint"))).drop("top")
+    placed = fresh.join(newest, same, "left").withColumn("version", F.col("version") + F.coalesce("top", F.lit(0).cast("bigint"))).drop("top", "_source", "_id")
     nexts = fresh.where("version = 1 and external_id is not null").select(*keys, F.col("content_hash").alias("next"))
-    kept = stored.join(nexts, keys, "left").withColumn("superseded_by", F.coalesce("superseded_by", "next")).drop("next")
+    kept = stored.join(nexts, same, "left").withColumn("superseded_by", F.coalesce("superseded_by", "next")).drop("next", "_source", "_id")
     return kept.unionByName(placed.select(kept.columns))
 
 

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from tallyhouse.plans.registry import query
 from tallyhouse.sources.folders import fresh_folder
 from tallyhouse.sources.tables import Tables, with_
-from tallyhouse.streaming import ingest
+from tallyhouse.sources.store import Store
+from tallyhouse.streaming import chains, ingest
 
 
 @query("SELECT event_id, user_id, event_type FROM events")
@@ -36,13 +37,34 @@ def rate_limited(t: Tables) -> DataFrame:
     return ingest.over_limit(t.raw("events").select("event_id", "user_id", "ts"), "ts", "user_id", most=2, seconds=7200).select("event_id")
 
 
-@query("WITH a AS (SELECT event_type AS source, CAST(user_id AS VARCHAR) AS external_id, sha256(CAST(user_id AS VARCHAR) || '|' || CAST(event_id % 1000 AS VARCHAR)) AS content_hash, event_id AS arrival FROM events), f AS (SELECT content_hash, count(DISTINCT source || external_id) AS owners FROM a GROUP BY 1) SELECT count(*) AS hashes, count(*) AS stored FROM f")
+def _arriving(t: Tables, owner: str) -> DataFrame:
+    """Bookings that arrive in five files, the later ones with corrections of what came before and some of it again. Hashes are those of one ``owner`` each."""
+    path = fresh_folder(t.spark, "arriving")
+    rows = t.raw("events").selectExpr("event_type AS source", "CAST(user_id % 97 AS STRING) AS external_id", f"sha2(concat_ws('|', {owner}, CAST(event_id % 50 AS STRING)), 256) AS content_hash", "event_id AS arrival")
+    last = rows.agg(F.max("arrival")).first()[0] + 1
+    for k in range(5):  # one after the other, so that the stream reads them in this order
+        rows.where(F.col("arrival").between(k * last // 5 - last // 50, (k + 1) * last // 5 - 1)).coalesce(1).write.mode("append").parquet(path)
+    return ingest.opened(t.spark, path, 1)
+
+
+def _chains(owner: str) -> str:
+    return f"""WITH a AS (SELECT event_type AS source, CAST(user_id % 97 AS VARCHAR) AS external_id, sha256(concat_ws('|', {owner}, CAST(event_id % 50 AS VARCHAR))) AS content_hash, event_id AS arrival FROM events),
+f AS (SELECT * FROM a QUALIFY row_number() OVER (PARTITION BY content_hash ORDER BY arrival) = 1)
+SELECT *, row_number() OVER (PARTITION BY source, external_id ORDER BY arrival) AS version, lead(content_hash) OVER (PARTITION BY source, external_id ORDER BY arrival) AS superseded_by FROM f"""
+
+
+@query(_chains("event_type, CAST(user_id % 97 AS VARCHAR)"))
 def stream_versions(t: Tables) -> DataFrame:
-    """A stream of bookings, kept by hash: as many as there are distinct ones."""
-    stream = ingest.opened(t.spark, f"{t.folder}/events.parquet")
-    rows = stream.select(F.col("event_type").alias("source"), F.col("user_id").cast("string").alias("external_id"), F.sha2(F.concat_ws("|", "user_id", (F.col("event_id") % 1000).cast("string")), 256).alias("content_hash"), F.col("event_id").alias("arrival"))
-    found = ingest.versioned(rows, fresh_folder(t.spark, "bookings"))
-    return found.agg(F.countDistinct("content_hash").alias("hashes"), F.count("*").alias("stored"))
+    """A stream's version chains from keyed state: every row with its version and what supersedes it."""
+    return chains.chained(_arriving(t, "event_type, CAST(user_id % 97 AS STRING)"), fresh_folder(t.spark, "chains"))
+
+
+@query(_chains("CAST(user_id % 7 AS VARCHAR)"))
+def stream_store(t: Tables) -> DataFrame:
+    """The same into stored tables, where a hash counts once whoever brings it."""
+    store = Store(t.spark, fresh_folder(t.spark, "store"), 16)
+    chains.kept(_arriving(t, "CAST(user_id % 7 AS STRING)"), store)
+    return store.read("versions")
 
 
 @query("SELECT CAST(date_trunc('month', ts) AS DATE) AS month, CAST(sum(CASE WHEN event_id % 3 = 0 THEN 0 ELSE CAST(round(value * 100) AS BIGINT) END) AS BIGINT) AS income, CAST(sum(CASE WHEN event_id % 3 = 0 THEN -CAST(round(value * 100) AS BIGINT) ELSE 0 END) AS BIGINT) AS expenses, count(*) AS n FROM events GROUP BY 1")

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupStateTimeout
 
-from tallyhouse.operators.versions import versions
 from tallyhouse.sources.folders import fresh_folder
 
 
@@ -60,31 +59,6 @@ def over_limit(events: DataFrame, time: str, key: str, most: int = 5, seconds: i
     return events.withColumn("_at", at).withColumn("hits", F.count("*").over(before)).where(F.col("hits") > most).drop("_at")
 
 
-#: Folders that stored hashes are dealt to: a batch reads those that its own hashes belong to.
-BUCKETS = 256
-
-
-def versioned(stream: DataFrame, path: str) -> DataFrame:
-    """Keeps every distinct booking (source, external_id, content_hash, arrival) that a stream brings below ``path`` and returns all versions: late corrections become newer versions, replays nothing.
-
-    Batches append only hashes that are not stored, and look only into the buckets of their own hashes; a batch that runs twice overwrites its own folder.
-    """
-    spark = stream.sparkSession
-    schema = stream.schema
-    whole = T.StructType([*schema.fields, T.StructField("batch", T.LongType()), T.StructField("bucket", T.IntegerType())])
-
-    def keep(df: DataFrame, n: int) -> None:
-        df = df.withColumn("bucket", F.pmod(F.xxhash64("content_hash"), F.lit(BUCKETS)).cast("int"))
-        if n:
-            buckets = [r["bucket"] for r in df.select("bucket").distinct().collect()]  # BUCKETS rows at most
-            known = spark.read.schema(whole).parquet(path).where((F.col("batch") < n) & F.col("bucket").isin(buckets))
-            df = df.join(known.select("content_hash"), "content_hash", "left_anti")
-        df.dropDuplicates(["content_hash"]).select(*schema.names, "bucket").write.partitionBy("bucket").mode("overwrite").parquet(f"{path}/batch={n}")
-
-    _run(stream, keep, "append")
-    return versions(spark.read.schema(whole).parquet(path).select(schema.names))
-
-
 def cashflow(stream: DataFrame, time: str, amount: str) -> DataFrame:
     """Income, expenses in cents and count of each month, kept up to date as bookings come; the latest state of each month is returned. State is a row a month."""
     spark, path = stream.sparkSession, fresh_folder(stream.sparkSession, "cashflow")
