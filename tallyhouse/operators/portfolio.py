@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from tallyhouse.functions.numbers import money, ratio, total
+from tallyhouse.operators.versions import upsert
 
 #: Buckets of instrument types; the rest is OTHER_BUCKET.
 BUCKETS = {"SHARE": "Aktien", "STOCK": "Aktien", "ETF": "ETFs", "FUND": "ETFs", "BOND": "Anleihen", "BONDS": "Anleihen"}
@@ -19,12 +20,19 @@ def bucket(kind: Column) -> Column:
     return F.coalesce(F.try_element_at(table, F.coalesce(F.upper(kind), F.lit(""))), F.lit(OTHER_BUCKET))
 
 
-def summary(positions: DataFrame) -> DataFrame:
-    """Value, purchase and gains over all positions; the daily gain counts those with a value of the day before."""
-    before = F.col("prev_day_value")
-    known = before > 0
-    one = positions.agg(total(F.col("current_value")).alias("value"), total(F.col("purchase_value")).alias("purchase"), total(F.when(known, F.col("current_value") - before)).alias("daily_gain"), total(F.when(known, before)).alias("day_before"), F.count("*").alias("n"), F.countDistinct("depot_id").alias("depots"))
-    return one.select("value", "purchase", money(F.col("value") - F.col("purchase")).alias("gain"), ratio((F.col("value") - F.col("purchase")) * 100, F.col("purchase"), 2).alias("gain_pct"), "daily_gain", ratio(F.col("daily_gain") * 100, F.col("day_before"), 2).alias("daily_gain_pct"), "n", "depots")
+def day_before() -> Column:
+    """A position's value of the day before: the stored one, else price times quantity; null where neither is known or it is not positive."""
+    priced = F.when(F.col("prev_day_price") != 0, F.col("prev_day_price") * F.col("quantity"))
+    value = F.coalesce(F.col("prev_day_value").cast("decimal(28,6)"), priced.cast("decimal(28,6)"))
+    return F.when(value > 0, value)
+
+
+def summary(positions: DataFrame, depots: DataFrame) -> DataFrame:
+    """Value, purchase and gains over all positions, how many there are and how many depots, and how fresh they are; the daily gain counts those with a value of the day before."""
+    before = day_before()
+    one = positions.agg(total(F.col("current_value")).alias("value"), total(F.col("purchase_value")).alias("purchase"), total(F.when(before.isNotNull(), F.coalesce("current_value", F.lit(0)) - before)).alias("daily_gain"), total(before).alias("day_before"), F.count("*").alias("n"), F.max("as_of").alias("last_as_of"))
+    one = one.join(depots.agg(F.count("*").alias("depots")), F.lit(True))
+    return one.select("value", "purchase", money(F.col("value") - F.col("purchase")).alias("gain"), ratio((F.col("value") - F.col("purchase")) * 100, F.col("purchase"), 2).alias("gain_pct"), "daily_gain", ratio(F.col("daily_gain") * 100, F.col("day_before"), 2).alias("daily_gain_pct"), "n", "depots", "last_as_of")
 
 
 def allocation(positions: DataFrame, instruments: DataFrame) -> DataFrame:
@@ -35,9 +43,9 @@ def allocation(positions: DataFrame, instruments: DataFrame) -> DataFrame:
 
 
 def depot_totals(depots: DataFrame, positions: DataFrame) -> DataFrame:
-    """Sums of each depot, empty ones included."""
-    sums = positions.groupBy("depot_id").agg(F.sum("current_value").alias("v"), F.sum("purchase_value").alias("p"), F.count("*").alias("n"))
-    both = depots.join(sums, "depot_id", "left").select("depot_id", money(F.coalesce("v", F.lit(0))).alias("value"), money(F.coalesce("p", F.lit(0))).alias("purchase"), F.coalesce("n", F.lit(0).cast("bigint")).alias("n"))
+    """Sums of each depot and how fresh they are, empty ones included."""
+    sums = positions.groupBy("depot_id").agg(F.sum("current_value").alias("v"), F.sum("purchase_value").alias("p"), F.count("*").alias("n"), F.max("as_of").alias("as_of"))
+    both = depots.join(sums, "depot_id", "left").select("depot_id", money(F.coalesce("v", F.lit(0))).alias("value"), money(F.coalesce("p", F.lit(0))).alias("purchase"), F.coalesce("n", F.lit(0).cast("bigint")).alias("n"), "as_of")
     return both.withColumn("gain", money(F.col("value") - F.col("purchase")))
 
 
@@ -45,8 +53,7 @@ def position_gains(positions: DataFrame, instruments: DataFrame) -> DataFrame:
     """Gains of each position and its weight in its depot."""
     sums = positions.groupBy("depot_id").agg(F.sum("current_value").alias("all_"))
     gain = F.col("current_value") - F.col("purchase_value")
-    known = F.col("prev_day_value") > 0
-    return positions.join(sums, "depot_id").join(instruments, "isin").select("depot_id", "isin", "name", money(F.col("current_value")).alias("value"), money(gain).alias("gain"), ratio(gain * 100, F.col("purchase_value"), 2).alias("gain_pct"), money(F.when(known, F.col("current_value") - F.col("prev_day_value"))).alias("daily_gain"), ratio(F.col("current_value") * 100, F.col("all_"), 2).alias("weight_pct"))
+    return positions.join(sums, "depot_id").join(instruments, "isin").select("depot_id", "isin", "name", money(F.col("current_value")).alias("value"), money(gain).alias("gain"), ratio(gain * 100, F.col("purchase_value"), 2).alias("gain_pct"), money(F.col("current_value") - day_before()).alias("daily_gain"), ratio(F.col("current_value") * 100, F.col("all_"), 2).alias("weight_pct"))
 
 
 def snapshots(depots: DataFrame, positions: DataFrame) -> DataFrame:
@@ -55,6 +62,16 @@ def snapshots(depots: DataFrame, positions: DataFrame) -> DataFrame:
     return joined.rollup("depot_id").agg(total(F.col("current_value")).alias("total_value"), total(F.col("purchase_value")).alias("total_purchase_value"))
 
 
+def taken(depots: DataFrame, positions: DataFrame, day: str) -> DataFrame:
+    """Snapshots of a day: depot_id, null for all together, snapshot_date and the sums."""
+    return snapshots(depots, positions).select("depot_id", F.to_date(F.lit(day)).alias("snapshot_date"), "total_value", "total_purchase_value")
+
+
+def keep_snapshots(stored: DataFrame, new: DataFrame) -> DataFrame:
+    """``stored`` with ``new`` put in by depot and day, the row of all depots like any other: what is taken again on a day replaces what was."""
+    return upsert(stored, new, ["depot_id", "snapshot_date"])
+
+
 def performance(snapshots_: DataFrame, span: str, ref: str) -> DataFrame:
     """Whole-portfolio snapshots of a range that ends at ``ref``."""
     rows = snapshots_.where(F.col("depot_id").isNull() & (F.col("snapshot_date") <= F.to_date(F.lit(ref))))

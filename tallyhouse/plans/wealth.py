@@ -16,10 +16,13 @@ TODAY = "1998-12-31"
 _BUCKET = "CASE WHEN instrument_type IN ('SHARE', 'STOCK') THEN 'Aktien' WHEN instrument_type IN ('ETF', 'FUND') THEN 'ETFs' WHEN instrument_type IN ('BOND', 'BONDS') THEN 'Anleihen' ELSE 'Sonstiges' END"
 
 
-@query(with_("positions", s=f"SELECT {m('sum(current_value)')} AS value, {m('sum(purchase_value)')} AS purchase, {m('sum(CASE WHEN prev_day_value > 0 THEN current_value - prev_day_value END)')} AS daily_gain, {m('sum(CASE WHEN prev_day_value > 0 THEN prev_day_value END)')} AS before, count(*) AS n, count(DISTINCT depot_id) AS depots FROM positions")
-       + f"SELECT value, purchase, CAST(value - purchase AS DECIMAL(18,2)) AS gain, {r('(value - purchase) * 100', 'purchase', 2)} AS gain_pct, daily_gain, {r('daily_gain * 100', 'before', 2)} AS daily_gain_pct, n, depots FROM s")
+_BEFORE = "SELECT *, CASE WHEN coalesce(prev_day_value, CASE WHEN prev_day_price <> 0 THEN prev_day_price * quantity END) > 0 THEN coalesce(CAST(prev_day_value AS DECIMAL(28,6)), CAST(prev_day_price * quantity AS DECIMAL(28,6))) END AS before FROM positions"
+
+
+@query(with_("positions", "depots", x=_BEFORE, s=f"SELECT {m('sum(current_value)')} AS value, {m('sum(purchase_value)')} AS purchase, {m('sum(current_value - before)')} AS daily_gain, {m('sum(before)')} AS before, count(*) AS n, max(as_of) AS last_as_of FROM x")
+       + f"SELECT value, purchase, CAST(value - purchase AS DECIMAL(18,2)) AS gain, {r('(value - purchase) * 100', 'purchase', 2)} AS gain_pct, daily_gain, {r('daily_gain * 100', 'before', 2)} AS daily_gain_pct, n, (SELECT count(*) FROM depots) AS depots, last_as_of FROM s")
 def portfolio_summary(t: Tables) -> DataFrame:
-    return P.summary(t.positions())
+    return P.summary(t.positions(), t.depots())
 
 
 @query(with_("positions", "instruments", s=f"SELECT {_BUCKET} AS bucket, {m('sum(current_value)')} AS value FROM positions JOIN instruments USING (isin) GROUP BY 1") + f"SELECT bucket, value, {r('value * 100', '(SELECT sum(value) FROM s)', 2)} AS share_pct FROM s WHERE value > 0")
@@ -27,12 +30,12 @@ def allocation(t: Tables) -> DataFrame:
     return P.allocation(t.positions(), t.instruments()).orderBy(F.desc("value"))
 
 
-@query(with_("depots", "positions", s="SELECT depot_id, sum(current_value) AS v, sum(purchase_value) AS p, count(*) AS n FROM positions GROUP BY 1") + f"SELECT depot_id, {m('v')} AS value, {m('p')} AS purchase, coalesce(n, 0) AS n, CAST({m('v')} - {m('p')} AS DECIMAL(18,2)) AS gain FROM depots LEFT JOIN s USING (depot_id)")
+@query(with_("depots", "positions", s="SELECT depot_id, sum(current_value) AS v, sum(purchase_value) AS p, count(*) AS n, max(as_of) AS as_of FROM positions GROUP BY 1") + f"SELECT depot_id, as_of, {m('v')} AS value, {m('p')} AS purchase, coalesce(n, 0) AS n, CAST({m('v')} - {m('p')} AS DECIMAL(18,2)) AS gain FROM depots LEFT JOIN s USING (depot_id)")
 def depot_totals(t: Tables) -> DataFrame:
     return P.depot_totals(t.depots(), t.positions())
 
 
-@query(with_("positions", "instruments") + f"SELECT depot_id, isin, name, CAST(current_value AS DECIMAL(18,2)) AS value, CAST(current_value - purchase_value AS DECIMAL(18,2)) AS gain, {r('(current_value - purchase_value) * 100', 'purchase_value', 2)} AS gain_pct, CASE WHEN prev_day_value > 0 THEN CAST(current_value - prev_day_value AS DECIMAL(18,2)) END AS daily_gain, {r('current_value * 100', 'sum(current_value) OVER (PARTITION BY depot_id)', 2)} AS weight_pct FROM positions JOIN instruments USING (isin)")
+@query(with_("positions", "instruments", x=_BEFORE) + f"SELECT depot_id, isin, name, CAST(current_value AS DECIMAL(18,2)) AS value, CAST(current_value - purchase_value AS DECIMAL(18,2)) AS gain, {r('(current_value - purchase_value) * 100', 'purchase_value', 2)} AS gain_pct, CAST(current_value - before AS DECIMAL(18,2)) AS daily_gain, {r('current_value * 100', 'sum(current_value) OVER (PARTITION BY depot_id)', 2)} AS weight_pct FROM x JOIN instruments USING (isin)")
 def position_gains(t: Tables) -> DataFrame:
     return P.position_gains(t.positions(), t.instruments())
 
@@ -42,6 +45,30 @@ def portfolio_snapshots(t: Tables) -> DataFrame:
     return P.snapshots(t.depots(), t.positions())
 
 
+_TAKEN = "SELECT d.depot_id, DATE '{day}' AS snapshot_date, " + m("sum(current_value)") + " AS total_value, " + m("sum(purchase_value)") + " AS total_purchase_value FROM depots d LEFT JOIN (SELECT * FROM positions WHERE {which}) p ON d.depot_id = p.depot_id GROUP BY ROLLUP (d.depot_id)"
+
+
+@query(with_("depots", "positions") + f"{_TAKEN.format(day='1998-12-29', which='isin % 2 = 0')} UNION ALL {_TAKEN.format(day='1998-12-30', which='true')}")
+def snapshot_series(t: Tables) -> DataFrame:
+    """Snapshots of two days, the first taken twice; a day's second one counts."""
+    depots, positions = t.depots(), t.positions()
+    kept = P.taken(depots, positions.where("isin % 3 = 0"), "1998-12-29")
+    for day, which in (("1998-12-29", "isin % 2 = 0"), ("1998-12-30", "true")):
+        kept = P.keep_snapshots(kept, P.taken(depots, positions.where(which), day))
+    return kept
+
+
+_LIMITS = "SELECT category_id, CAST(round(sum(abs(amount)) / 12, 0) AS DECIMAL(14,2)) AS monthly_limit FROM ledger WHERE category_id IS NOT NULL GROUP BY 1"
+
+
+@query(with_("ledger", "budgets", i=_LIMITS) + "SELECT category_id, coalesce(i.monthly_limit, b.monthly_limit) AS monthly_limit, coalesce(b.warning, 0.8) AS warning, coalesce(b.name, category_id) AS name FROM budgets b FULL JOIN i USING (category_id)")
+def budgets_upserted(t: Tables) -> DataFrame:
+    """Budgets whose limits are learned from the ledger: one of a category that has a budget keeps its name and its warning."""
+    stored = t.budgets().select("category_id", "monthly_limit", "warning", "name")
+    sums = t.ledger().where("category_id is not null").groupBy("category_id").agg(F.round(F.sum(F.abs("amount")) / 12, 0).cast("decimal(14,2)").alias("monthly_limit"))
+    return versions.upsert(stored, sums.select("category_id", "monthly_limit", F.lit("0.8").cast("decimal(4,2)").alias("warning"), F.col("category_id").alias("name")), ["category_id"], fixed=["warning", "name"])
+
+
 _DAILY = "SELECT CAST(NULL AS BIGINT) AS depot_id, booking_date AS snapshot_date, sum(amount) AS v FROM trades GROUP BY 2 UNION ALL SELECT depot_id, booking_date, sum(amount) FROM trades GROUP BY 1, 2"
 
 

@@ -29,7 +29,8 @@ TAGS = "SELECT CAST(o_orderkey AS VARCHAR) AS id, 'seven' AS tag FROM orders WHE
 POSITIONS = """
 SELECT CAST(s_nationkey AS BIGINT) AS depot_id, l_partkey AS isin, CAST(sum(CAST(l_quantity AS DECIMAL(18,6))) AS DECIMAL(18,6)) AS quantity,
        CAST(sum(CAST(l_quantity * p_retailprice AS DECIMAL(18,2))) AS DECIMAL(18,2)) AS current_value, CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DECIMAL(18,2)) AS purchase_value,
-       CASE WHEN l_partkey % 3 <> 0 THEN CAST(sum(CAST(l_quantity AS DECIMAL(18,2))) * 900 AS DECIMAL(18,2)) END AS prev_day_value
+       CASE WHEN l_partkey % 3 <> 0 THEN CAST(sum(CAST(l_quantity AS DECIMAL(18,2))) * 900 AS DECIMAL(18,2)) END AS prev_day_value,
+       CASE WHEN l_partkey % 2 = 0 THEN CAST(l_partkey % 5 * 300 AS DECIMAL(14,4)) END AS prev_day_price, max(CAST(l_shipdate AS DATE)) AS as_of
 FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN part ON l_partkey = p_partkey GROUP BY s_nationkey, l_partkey"""
 INSTRUMENTS = "SELECT p_partkey AS isin, p_name AS name, CASE WHEN p_type LIKE 'STANDARD%' THEN 'SHARE' WHEN p_type LIKE 'SMALL%' THEN 'ETF' WHEN p_type LIKE 'LARGE%' THEN 'FUND' WHEN p_type LIKE 'PROMO%' THEN 'BOND' WHEN p_type LIKE 'MEDIUM%' THEN 'CERTIFICATE' END AS instrument_type FROM part"
 TRADES = """
@@ -79,8 +80,9 @@ class Tables:
     def positions(self) -> DataFrame:
         rows = self.raw("lineitem").join(self.raw("supplier").select("s_suppkey", "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey")).join(self.raw("part").select("p_partkey", "p_retailprice"), F.col("l_partkey") == F.col("p_partkey"))
         sums = rows.groupBy(F.col("s_nationkey").cast("bigint").alias("depot_id"), F.col("l_partkey").alias("isin")).agg(
-            F.sum(F.col("l_quantity").cast("decimal(18,6)")).cast("decimal(18,6)").alias("quantity"), F.sum((F.col("l_quantity") * F.col("p_retailprice")).cast("decimal(18,2)")).cast("decimal(18,2)").alias("current_value"), F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).cast("decimal(18,2)").alias("purchase_value"))
-        return sums.withColumn("prev_day_value", F.when(F.col("isin") % 3 != 0, (F.col("quantity") * 900).cast("decimal(18,2)")))
+            F.sum(F.col("l_quantity").cast("decimal(18,6)")).cast("decimal(18,6)").alias("quantity"), F.sum((F.col("l_quantity") * F.col("p_retailprice")).cast("decimal(18,2)")).cast("decimal(18,2)").alias("current_value"), F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).cast("decimal(18,2)").alias("purchase_value"), F.max(F.col("l_shipdate").cast("date")).alias("as_of"))
+        before = F.when(F.col("isin") % 3 != 0, (F.col("quantity") * 900).cast("decimal(18,2)"))
+        return sums.withColumns({"prev_day_value": before, "prev_day_price": F.when(F.col("isin") % 2 == 0, (F.col("isin") % 5 * 300).cast("decimal(14,4)"))})
 
     def instruments(self) -> DataFrame:
         kind = F.col("p_type")
