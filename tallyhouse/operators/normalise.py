@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -68,9 +69,8 @@ def _holds(word: str) -> Column:
     return F.contains(F.lower(F.concat_ws(" ", "sender", "recipient", "description")), F.lit(word))
 
 
-def _flagged(ledger: DataFrame, ids: DataFrame, flag: str) -> DataFrame:
-    marked = ids.select("id").distinct().withColumn("_hit", F.lit(True))
-    return ledger.join(marked, "id", "left").withColumn(flag, F.col(flag) | F.coalesce("_hit", F.lit(False))).drop("_hit")
+#: What the pass finds out about a booking.
+FLAGS = ["internal_transfer", "is_recurring", "is_outlier"]
 
 
 def normalised(raw: DataFrame, rules: list[tuple[str, str, int]], own_ibans: list[str]) -> Normalised:
@@ -78,12 +78,12 @@ def normalised(raw: DataFrame, rules: list[tuple[str, str, int]], own_ibans: lis
 
     Parents of several bookings do not count themselves: they are marked as internal, what they are made of stays. Internal rows are no outliers and set no measure for them.
     """
-    # each step reads the ledger several times: it is written between them, so that plans stay small
+    # the ledger is written once; steps hand on ids, and all flags are joined at the end
     ledger = stored_(enrich.apply_rules(frame(raw), rules).drop("matched"), "ledger")
-    ids = lambda pairs: pairs.select(F.explode(F.array("credit_id", "debit_id")).alias("id"))
-    ledger = stored_(_flagged(ledger, ids(pairing.internal_transfers(ledger, own_ibans)), "internal_transfer"), "ledger")
+    pairs = pairing.internal_transfers(ledger, own_ibans)
+    own = stored_(pairs.select(F.explode(F.array("credit_id", "debit_id")).alias("id")), "internal")
     wallet, bank, card = F.col("source") == "wallet", F.col("source") == "bank", F.col("source") == "card"
-    free = ledger.where(~F.col("internal_transfer"))
+    free = ledger.join(own, "id", "left_anti")
     top_ups = stored_(pairing.top_ups(free, wallet, bank & _holds(WALLET_NAME)), "top-ups")
     parents = free.where(bank & (F.col("amount") < 0) & _holds(WALLET_NAME)).join(top_ups.select(F.col("debit_id").alias("id")), "id", "left_anti").withColumn("account", F.lit("wallet"))
     details = free.where(wallet).join(top_ups.select(F.col("credit_id").alias("id")), "id", "left_anti").withColumn("account", F.lit("wallet"))
@@ -94,12 +94,14 @@ def normalised(raw: DataFrame, rules: list[tuple[str, str, int]], own_ibans: lis
     links = top_ups.select(F.col("debit_id").alias("parent_id"), F.col("credit_id").alias("child_id"), F.lit("top_up").alias("kind"))
     links = links.unionByName(sums.withColumn("kind", F.lit("collective"))).unionByName(paid.join(months, "cycle").select(F.col("debit_id").alias("parent_id"), "child_id", F.lit("settlement").alias("kind")))
     links = stored_(links, "links")
-    marked = links.select(F.col("parent_id").alias("id")).unionByName(top_ups.select(F.col("credit_id").alias("id")))
-    ledger = stored_(_flagged(ledger, marked, "internal_transfer"), "ledger")
-    patterns, flags = enrich.recurring(ledger)
-    ledger = stored_(_flagged(ledger, flags, "is_recurring"), "ledger")
-    spent = ledger.where(~F.col("internal_transfer")).withColumn("spent", F.abs("amount"))
-    return Normalised(_flagged(ledger, enrich.outliers(spent.select("id", "category_id", "spent"), "category_id", "spent"), "is_outlier"), links, patterns)
+    internal = stored_(own.union(links.select("parent_id")).union(top_ups.select("credit_id")).distinct(), "internal")
+    patterns, recurring = enrich.recurring(ledger)
+    spent = ledger.join(internal, "id", "left_anti").select("id", "category_id", F.abs("amount").alias("spent"))
+    far = enrich.outliers(spent, "category_id", "spent")
+    hits = [ids.select("id", *[F.lit(flag == f).alias(f"_{f}") for f in FLAGS]) for ids, flag in ((internal, "internal_transfer"), (recurring, "is_recurring"), (far, "is_outlier"))]
+    marked = reduce(DataFrame.union, hits).groupBy("id").agg(*[F.bool_or(f"_{f}").alias(f"_{f}") for f in FLAGS])
+    flagged = ledger.join(marked, "id", "left").withColumns({f: F.col(f) | F.coalesce(f"_{f}", F.lit(False)) for f in FLAGS}).select(ledger.columns)
+    return Normalised(flagged, links, patterns)
 
 
 def ingested(stored: DataFrame, incoming: DataFrame, rules: list[tuple[str, str, int]], own_ibans: list[str]) -> tuple[DataFrame, Normalised]:

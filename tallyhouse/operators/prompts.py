@@ -26,8 +26,8 @@ def _name(prefix: Column, number: Column) -> Column:
 
 def pseudonyms(rows: DataFrame, column: str, order: str, prefix: str) -> DataFrame:
     """``rows`` with the values of ``column`` replaced by prefix_001, prefix_002 ... in the order in which they are first seen; nulls stay. Numbers are dealt by ranges of that order."""
-    first = rows.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("_value")).agg(F.min(order).alias("_first")).withColumn("_kind", F.lit(prefix))
-    named = numbered(first, ["_kind"], ["_first", "_value"], "_number").select("_value", _name(F.lit(prefix), F.col("_number")).alias("_name"))
+    first = rows.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("_value")).agg(F.min(order).alias("_seen")).withColumn("_kind", F.lit(prefix))
+    named = numbered(first, ["_kind"], ["_seen", "_value"], "_number").select("_value", _name(F.lit(prefix), F.col("_number")).alias("_name"))
     return rows.join(named, F.col(column) == F.col("_value"), "left").withColumn(column, F.col("_name")).drop("_value", "_name")
 
 
