@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 
 #: Fixed values of the contract: words are runs of other bytes than these; A-Z count as a-z.
 SEPARATORS = b"\x20\x09\x0a\x0b\x0c\x0d"
 #: Bytes hashed at a time.
 BLOCK = 1 << 18
+#: Bytes up to which a word's hash is a polynomial; that of a longer one is a digest, since there are unlike words of 1024 letters and more that every polynomial modulo 2^64 takes for the same.
+LONG = 128
 HASH_BITS = 60
 MASK = np.uint64((1 << HASH_BITS) - 1)
 
@@ -45,7 +49,7 @@ def word_hashes(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
                 rest = np.flatnonzero(_SEPARATES[buf[at:]])
                 end = at + int(rest[0]) if len(rest) else len(buf)
                 begins.append(np.array([at]))
-                hashes.append(_long_word(buf[at:end]))
+                hashes.append(np.array([_digest(buf[at:end])]))
                 at = end
                 continue
             part, gaps = part[: ends[-1] + 1], gaps[: ends[-1] + 1]
@@ -53,19 +57,18 @@ def word_hashes(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         first, last = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
         sums = np.concatenate([[np.uint64(0)], np.cumsum(_BYTE_VALUE[part] * _POWER[: len(part)], dtype=np.uint64)])
         begins.append(first + at)
-        hashes.append(_mixed((sums[last] - sums[first]) * _INVERSE[first] + (last - first).astype(np.uint64)))
+        found = _mixed((sums[last] - sums[first]) * _INVERSE[first] + (last - first).astype(np.uint64))
+        for k in np.flatnonzero(last - first > LONG).tolist():
+            found[k] = _digest(part[first[k] : last[k]])
+        hashes.append(found)
         at += len(part)
     if not begins:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     return np.concatenate(begins), np.concatenate(hashes)
 
 
-def _long_word(word: np.ndarray) -> np.ndarray:
-    h = np.zeros(1, np.uint64)
-    for k in range(0, len(word), BLOCK):
-        part = word[k : k + BLOCK]
-        h = _mixed(h + np.sum(_BYTE_VALUE[part] * _POWER[: len(part)], dtype=np.uint64) + np.uint64(len(part)))
-    return h
+def _digest(word: np.ndarray) -> np.uint64:
+    return np.uint64(int.from_bytes(hashlib.blake2b(word.tobytes().lower(), digest_size=8).digest(), "little"))
 
 
 def shingle_sets(texts: list[str | None], width: int) -> list[np.ndarray]:

@@ -150,3 +150,16 @@ def test_vector_components(spark):
     assert all(r["n_links"] == 0 and r["component_id"] == r["vec_id"] for r in got if r["vec_id"] not in comp)
     assert all(r["kept"] == (r["vec_id"] == r["component_id"] or r["vec_id"] is None) for r in got)
     assert vectorgraph.near_duplicates(frame(spark, [])).count() == 0
+
+
+def test_words_that_polynomials_take_for_the_same(spark):
+    """The Thue-Morse word over a and b and the same with a and b swapped: any polynomial modulo 2^64 agrees on the two."""
+    from tallyhouse.llm import shingles
+
+    word = "".join("ab"[bin(k).count("1") % 2] for k in range(1024))
+    other = word.translate(str.maketrans("ab", "ba"))
+    sets = shingles.shingle_sets([word, other, word.upper(), f"x {word} y", "c" * 300_000, "c" * 299_999 + "d", "c" * 300_000], 5)
+    assert sets[0].tolist() == sets[2].tolist() != sets[1].tolist() and sets[4].tolist() == sets[6].tolist() != sets[5].tolist()
+    texts = [" ".join([w] * 3 + [str(k) for k in range(4)]) for w in (word, other, word)]
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.similar_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), width=5, percent=80).collect()}
+    assert got == {0: 0, 1: 1, 2: 0}
