@@ -50,11 +50,11 @@ def wealth(accounts: DataFrame, positions: DataFrame) -> DataFrame:
 
 
 def for_agent(bookings: DataFrame, accounts: DataFrame) -> DataFrame:
-    """In, out, net and count of each usual account name: accounts (account_id, account_type) of one type are one, and an account without bookings stays."""
+    """In, out (both without a sign), net and count of each usual account name: accounts (account_id, account_type) of one type are one, and an account without bookings stays."""
     named = accounts.select("account_id", account_name(F.col("account_type")).alias("account"))
     rows = named.join(bookings, "account_id", "left")
-    sums = rows.groupBy("account").agg(total(F.when(F.col("amount") > 0, F.col("amount"))).alias("total_in"), total(F.when(F.col("amount") < 0, F.col("amount"))).alias("total_out"), F.count("amount").alias("n"))
-    return sums.withColumn("net", money(F.col("total_in") + F.col("total_out")))
+    sums = rows.groupBy("account").agg(total(F.when(F.col("amount") > 0, F.col("amount"))).alias("total_in"), total(F.when(F.col("amount") < 0, -F.col("amount"))).alias("total_out"), F.count("amount").alias("n"))
+    return sums.withColumn("net", money(F.col("total_in") - F.col("total_out")))
 
 
 def counterpart(amount: Column, creditor: Column, debtor: Column) -> Column:

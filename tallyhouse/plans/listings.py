@@ -118,7 +118,7 @@ def wealth_export(t: Tables) -> DataFrame:
 _ACCOUNTS = [("bank", "Giro"), ("wallet", "CA"), ("card", "Credit Card"), ("none", None)]
 
 
-@query(with_("ledger", x="SELECT CASE source WHEN 'card' THEN 'credit_card' ELSE 'girokonto' END AS account, amount FROM ledger UNION ALL SELECT 'unknown', NULL") + f"SELECT account, {m('sum(CASE WHEN amount > 0 THEN amount END)')} AS total_in, {m('sum(CASE WHEN amount < 0 THEN amount END)')} AS total_out, count(amount) AS n, {m('sum(amount)')} AS net FROM x GROUP BY 1")
+@query(with_("ledger", x="SELECT CASE source WHEN 'card' THEN 'credit_card' ELSE 'girokonto' END AS account, amount FROM ledger UNION ALL SELECT 'unknown', NULL") + f"SELECT account, {m('sum(CASE WHEN amount > 0 THEN amount END)')} AS total_in, {m('sum(CASE WHEN amount < 0 THEN -amount END)')} AS total_out, count(amount) AS n, {m('sum(amount)')} AS net FROM x GROUP BY 1")
 def agent_summary(t: Tables) -> DataFrame:
     accounts = t.spark.createDataFrame(_ACCOUNTS, "account_id string, account_type string")
     return R.for_agent(t.ledger().select(F.col("source").alias("account_id"), "amount"), accounts)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
@@ -45,16 +48,34 @@ def json_export(spark: SparkSession, path: str) -> DataFrame:
     return each.select("account_id", F.to_json("v").alias("raw"))
 
 
+#: Fixed value: how many characters of a file tell its dialect.
+SNIFFED = 4096
+
+
+def separator(head: str) -> str:
+    """What separates the fields of a CSV that begins with ``head``: of comma and semicolon the one that stands equally often, outside of quotes, in most of its lines; a comma where neither does. A last line that was cut does not count, and quotes may hold line ends."""
+    cut = len(head) >= SNIFFED
+    bare = re.sub(r'"[^"]*(?:"|$)', "", head)
+    lines = [line for line in bare.split("\n") if line.strip()]
+    lines = lines[:-1] if cut and len(lines) > 1 else lines
+    best, most = ",", (0, 0)
+    for sep in ",;":
+        counts = Counter(n for line in lines if (n := line.count(sep)))
+        # of equally many lines the larger count decides, as decimals hold commas too
+        found = max(((k, c) for c, k in counts.items()), default=(0, 0))
+        if found > most:
+            best, most = sep, found
+    return best
+
+
 def wallet_rows(spark: SparkSession, path: str) -> DataFrame:
     """The rows of a wallet's CSV under this engine's names. The separator is that of the header; columns are found by name; a missing one is an error that names it."""
     if broken := spark.read.format("binaryFile").load(path).where(~F.is_valid_utf8(F.col("content").cast("string"))).select("path").take(1):
         raise ValueError(f"not UTF-8: {broken[0][0]}")
-    # the dialect is that of the first 4096 characters: what separates the header counts, a comma if nothing does
-    head = "\n".join(r[0] for r in spark.read.text(path).limit(200).collect())[:4096]
+    head = "\n".join(r[0] for r in spark.read.text(path).limit(SNIFFED).collect())[:SNIFFED]
     if not head.strip():
         raise ValueError("the statement is empty")
-    first = next(line for line in head.split("\n") if line.strip())
-    sep = ";" if first.count(";") > first.count(",") else ","
+    sep = separator(head)
     raw = spark.read.csv(path, header=True, sep=sep, encoding="UTF-8", multiLine=True, escape='"')
     names: dict[str, str] = {}
     for c in raw.columns:
@@ -155,6 +176,31 @@ def card_statements(spark: SparkSession, path: str) -> tuple[DataFrame, DataFram
     return bookings.join(checked.where("error is null").select("file"), "file", "left_semi"), checked.where("error is not null")
 
 
+def wallet_files(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(rows with their ``file``, errors) of a wallet's CSV files at ``path``: each has its own dialect, and one that is too large, not UTF-8, without a needed column or too long is told of in errors (file, error) while the others count.
+
+    More files or bytes than an import takes are an error of the whole, and so is an import without any statement. The driver lists at most that many files; their rows stay in Spark.
+    """
+    found = spark.read.format("binaryFile").load(path).select("path", "length")
+    totals = found.agg(F.count("*").alias("n"), F.sum("length").alias("bytes")).first()
+    if totals["n"] > MOST_FILES:
+        raise ValueError(f"more than {MOST_FILES} files")
+    if (totals["bytes"] or 0) > MOST_TOTAL:
+        raise ValueError(f"more than {MOST_TOTAL} bytes")
+    rows, errors = None, []
+    for file, length in sorted(map(tuple, found.collect())):
+        try:
+            if length > MOST_BYTES:
+                raise ValueError("the file is too large")
+            one = wallet_rows(spark, file).withColumn("file", F.lit(file))
+            rows = one if rows is None else rows.unionByName(one)
+        except ValueError as error:
+            errors.append((file, str(error)))
+    if rows is None:
+        raise ValueError("; ".join(f"{file}: {error}" for file, error in errors) or "no statement")
+    return rows, spark.createDataFrame(errors, "file string, error string")
+
+
 def mail_messages(rows: DataFrame) -> DataFrame:
     """source, source_message_id, received_at, sender, subject, body_text of ``rows`` with a URL-safe base64 ``body`` or ``html``."""
     plain = F.unbase64(F.translate("body", "-_", "+/")).cast("string")

@@ -63,6 +63,33 @@ def test_wallet_names_missing_columns(spark, tmp_path):
         files.wallet_rows(spark, str(tmp_path / "w.csv"))
 
 
+def test_separator_of_the_first_characters():
+    assert files.separator("a;b;c\n1,5;2,5;3\n1,5;2,5;3\n") == ";"
+    assert files.separator('a,b\n"x;y;z\nmore;text",2\n') == ","
+    assert files.separator("one column\nx\n") == "," and files.separator("") == ","
+    # a title before the header does not decide, nor does a line that the 4096 characters cut
+    assert files.separator("Report, all of it\na;b\n" + "1;2\n" * 2000) == ";"
+    assert files.separator("a;b\n" + "x" * 4000 + ";2\n" + ",,,,,," * 100) == ";"
+
+
+def test_wallet_files_count_each_for_itself(spark, tmp_path):
+    def put(name, sep, rows):
+        (tmp_path / name).write_text("\n".join(sep.join(f'"{c}"' for c in r) for r in rows), encoding="utf-8")
+
+    row = ["08.05.2026", "1", "Zahlung", "EUR", "-19,99", "Shop", "T1", ""]
+    put("a.csv", ",", [HEADER.split(","), row])
+    put("b.csv", ";", [HEADER.split(","), [*row[:6], "T2", ""]])
+    put("c.csv", ",", [["Datum", "Name"], ["1", "2"]])
+    (tmp_path / "d.csv").write_bytes(b"\xff\xfe broken")
+    rows, errors = files.wallet_files(spark, str(tmp_path / "*.csv"))
+    assert sorted((r["external_id"], r["amount"]) for r in files.wallet(rows).collect()) == [("T1", Decimal("-19.99")), ("T2", Decimal("-19.99"))]
+    assert {r["file"].rsplit("/", 1)[1][0] for r in rows.collect()} == {"a", "b"}
+    told = {r["file"].rsplit("/", 1)[1]: r["error"] for r in errors.collect()}
+    assert set(told) == {"c.csv", "d.csv"} and "transaction_id" in told["c.csv"] and "UTF-8" in told["d.csv"]
+    with pytest.raises(ValueError, match="c.csv.*d.csv"):
+        files.wallet_files(spark, str(tmp_path / "[cd].csv"))
+
+
 STATEMENT = """Rechnungsdatum 20.01.2026
 ************1111
 9999 before the frame 9999 1,00
