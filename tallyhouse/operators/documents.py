@@ -158,7 +158,7 @@ def _plain(quantity: Column) -> Column:
 
 
 def _percent(c: Column) -> Column:
-    return F.concat(F.when(c >= 0, "+").otherwise(""), F.translate(F.format_string("%.2f", F.round(c, 2)), ".", ","), F.lit(" %"))
+    return F.concat(F.when(c >= 0, "+").otherwise("-"), F.translate(F.format_string("%.2f", F.round(F.abs(c), 2)), ".", ","), F.lit(" %"))
 
 
 def _line(*cells: Column) -> Column:

@@ -112,7 +112,7 @@ def _eur(x: str) -> str:
 
 
 def _pct(x: str) -> str:
-    return f"replace(format('{{:+.2f}}', round({x}, 2)), '.', ',') || ' %'"
+    return f"CASE WHEN {x} >= 0 THEN '+' ELSE '-' END || replace(CAST(CAST(round(abs(CAST({x} AS DECIMAL(18,4))), 2) AS DECIMAL(18,2)) AS VARCHAR), '.', ',') || ' %'"
 
 
 def _cells(*x: str) -> str:
