@@ -37,6 +37,17 @@ def _object(*columns: Column | str) -> Column:
     return F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
 
 
+def _percent_number(a: Column, b: Column) -> Column:
+    """``a`` in per cent of ``b`` (decimals), to four digits, as a JSON number that is written out (0.0005, not 5.0E-4) and keeps its sign where it rounds to zero."""
+    digits = F.regexp_replace(F.abs(ratio(a * 100, b, 4)).cast("decimal(38,4)").cast("string"), r"(\.\d+?)0+$", "$1")
+    return F.concat(F.when(((b > 0) & (a < 0)) | ((b < 0) & (a >= 0)), "-").otherwise(""), digits)
+
+
+def _with_number(json: Column, name: str, number: Column) -> Column:
+    """An object with one more field at its end, a number as text."""
+    return F.concat(F.substring(json, F.lit(1), F.length(json) - 1), F.lit(f',"{name}":'), number, F.lit("}"))
+
+
 def composed(frames: DataFrame, rows: DataFrame) -> DataFrame:
     """(section, level, group, part, n, text) of ``frames`` (section, level, group, part, text), which open (part 0) and close (part 2) lists, and ``rows`` (section, level, group, by, tie, text), their members in order: commas stand before all but a list's first."""
     members = numbered(rows, ["section", "level", "group"], ["by", "tie", "text"], "n")
@@ -108,7 +119,9 @@ def agent_document(bookings: DataFrame, accounts: DataFrame, depots: DataFrame,
     one = sums.agg(F.coalesce(F.sum("accounts"), F.lit(0)).alias("account_count"), F.coalesce(F.sum("count"), F.lit(0)).alias("booked")).join(dealt.agg(F.count("*").alias("traded")), F.lit(True))
     meta = one.select(F.lit(exported_at).alias("exported_at"), "account_count", (F.col("booked") + F.col("traded")).alias("total_transaction_count"))
     depot, once = R.first_depot(depots, positions), depots.sparkSession.range(1)
-    depot_summary = _object("total_value", "total_purchase_value", "total_gains", "total_gains_percent", "position_count")
+    gained = _percent_number(F.col("total_value") - F.col("total_purchase_value"), F.col("total_purchase_value"))
+    depot_summary = _with_number(_object("total_value", "total_purchase_value", "total_gains"), "total_gains_percent", gained)
+    depot_summary = _with_number(depot_summary, "position_count", F.col("position_count").cast("string"))
     opening = F.concat(F.lit(","), quoted(F.col("account")), F.lit(':{"account_id":'), quoted(F.col("account_id")), F.lit(',"summary":'), _object("total_in", "total_out", "net", "count"), F.lit(',"transactions":['))
     entries = sums.select(F.lit(1).alias("section"), F.lit(1).alias("level"), F.col("account").alias("group"), F.explode(F.array(F.struct(F.lit(0).alias("part"), opening.alias("text")), F.struct(F.lit(2).alias("part"), F.lit("]}").alias("text")))).alias("f")).select("section", "level", "group", "f.part", "f.text")
     frames = _together(
@@ -116,9 +129,10 @@ def agent_document(bookings: DataFrame, accounts: DataFrame, depots: DataFrame,
         _frame(depot, 2, 0, "", 0, F.concat(F.lit(',"depot":{"depot_id":'), quoted(F.coalesce(F.col("depot_id").cast("string"), F.lit(""))), F.lit(',"summary":'), depot_summary)),
         _frame(once, 2, 1, "positions", 0, F.lit(',"positions":[')), _frame(once, 2, 1, "positions", 2, F.lit("]")),
         _frame(once, 2, 1, "transactions", 0, F.lit(',"transactions":[')), _frame(once, 2, 1, "transactions", 2, F.lit("]")), _frame(once, 2, 2, "", 2, F.lit("}}")))
+    position = _with_number(_object(*[c for c in held.columns if c not in ("depot_id", "gains_percent")]), "gains_percent", _percent_number(F.col("current_value") - F.col("purchase_value"), F.col("purchase_value")))
     rows = _together(
         _lists(mapped, 1, F.col("account"), _object(*[c for c in mapped.columns if c != "account"]), F.col("date"), F.col("transaction_id")),
-        _lists(held, 2, F.lit("positions"), _object(*[c for c in held.columns if c != "depot_id"]), F.lpad(F.col("isin").cast("string"), 20, "0"), F.lit("")),
+        _lists(held, 2, F.lit("positions"), position, F.lpad(F.col("isin").cast("string"), 20, "0"), F.lit("")),
         _lists(dealt, 2, F.lit("transactions"), _object(*[c for c in dealt.columns if c != "depot_id"]), F.col("date"), F.col("transaction_id")))
     return composed(frames, rows)
 

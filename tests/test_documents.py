@@ -90,3 +90,13 @@ def test_report(spark, tmp_path):
     depot = lines.index("## Depot")
     assert lines[depot + 4 : depot + 7] == ["| ? | I2 | 1.5 | 120,00 EUR | 20,00 EUR (+20,00 %) |", "| One | I1 | 1000 | 90,00 EUR | 90,00 EUR (+0,00 %) |", "| **Gesamt** | | | **210,00 EUR** | **110,00 EUR (+110,00 %)** |"]
     assert lines[lines.index("## Depot-Transaktionen") + 4 :][:2] == ["| 2026-05-01 | BUY | ? | 1.5 | -100,00 EUR |", "| 2025-01-01 | SELL | One | 2 | 7,00 EUR |"]
+
+
+def test_small_percentages_are_written_out(spark, tmp_path):
+    """No exponent, no zeros at the end, and the sign of a loss that rounds to nothing."""
+    values = [("100000.00", "99999.50"), ("99999.99", "100000.00"), ("112.50", "100.00"), ("1000000.00", "1000000.01"), ("5.00", "5.00"), ("5.00", "0.00"), ("200000.00", "0.01")]
+    held = [("D1", f"I{k}", Decimal("1"), Decimal(v), Decimal(p)) for k, (v, p) in enumerate(values)]
+    text = whole(D.agent_document(*tables(spark, depots=[("D1", "first")], positions=held), "now"), tmp_path / "d")
+    found = [x.split("}")[0] for x in text.split('"gains_percent":')[1:]]
+    assert found == ["0.0005", "-0.0", "12.5", "-0.0", "0.0", "0.0", "1999999900.0"]
+    assert "E" not in "".join(found) and json.loads(text)["depot"]["summary"]["position_count"] == 7
