@@ -42,10 +42,10 @@ def report_saved(reports: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def run_events(runs: DataFrame, events: DataFrame) -> DataFrame:
-    """The book of runs after ``events`` (run_id, kind, at, source, rows, error): started, beat and finished ones; a finish with an error is a failure. A beat after the finish changes nothing."""
+    """The book of runs after ``events`` (run_id, kind, at, source, rows, error): started, beat and finished ones; a finish with an error is a failure. A beat after the finish changes nothing. Of finishes at one time one with an error counts, of these the one with the last error and most rows."""
     seen = events.groupBy("run_id").agg(
         F.max("source").alias("source"), F.min(F.when(F.col("kind") == "started", F.col("at"))).alias("started_at"), F.max(F.when(F.col("kind") == "beat", F.col("at"))).alias("heartbeat_at"),
-        F.max_by(F.when(F.col("kind") == "finished", F.struct("at", "rows", "error")), F.when(F.col("kind") == "finished", F.col("at"))).alias("end"))
+        F.max(F.when(F.col("kind") == "finished", F.struct("at", "error", "rows"))).alias("end"))
     status = F.when(F.col("end").isNull(), "running").when(F.col("end.error").isNotNull(), "failed").otherwise("completed")
     rows = seen.select("run_id", "source", status.alias("status"), "started_at", F.col("end.at").alias("finished_at"), F.when(F.col("end").isNull() | (F.col("heartbeat_at") <= F.col("end.at")), F.col("heartbeat_at")).alias("heartbeat_at"), F.col("end.rows").alias("rows"), F.col("end.error").alias("error"))
     return upsert(runs, rows, ["run_id"])

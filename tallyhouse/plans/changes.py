@@ -61,7 +61,8 @@ def run_book(t: Tables) -> DataFrame:
     ts, kind = F.col("ts").cast("timestamp"), F.col("event_id") % 4
     events = t.raw("events").select(F.col("user_id").alias("run_id"), F.when(kind == 0, "started").when(kind == 1, "finished").otherwise("beat").alias("kind"), ts.alias("at"), F.lit("bank").alias("source"), F.lit(1).alias("rows"), F.when(F.col("event_id") % 8 == 1, "broken").alias("error"))
     nothing = t.spark.createDataFrame([], "run_id long, source string, status string, started_at timestamp, finished_at timestamp, heartbeat_at timestamp, rows int, error string")
-    return C.run_events(nothing, events).select("run_id", "status", F.unix_timestamp("started_at").alias("began"), F.unix_timestamp("heartbeat_at").alias("beat"))
+    second = lambda c: F.expr(f"CAST(round(unix_micros({c}) / 1000) AS BIGINT) div 1000")  # noqa: E731 - of the time to the nearest millisecond, as the SQL has it
+    return C.run_events(nothing, events).select("run_id", "status", second("started_at").alias("began"), second("heartbeat_at").alias("beat"))
 
 
 @query(with_("ledger", **_RUNS) + "SELECT counterpart, count(*) AS n FROM x JOIN patterns p USING (counterpart) WHERE m BETWEEN first AND last GROUP BY counterpart, first")
