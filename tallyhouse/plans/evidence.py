@@ -9,6 +9,7 @@ from tallyhouse.operators import evidence as E
 from tallyhouse.plans.registry import query
 from tallyhouse.plans.reporting import END, IN_PERIOD, START
 from tallyhouse.operators import ledger as L
+from tallyhouse.sources.folders import stored as written
 from tallyhouse.sources.tables import Tables, with_
 
 #: A mail about each row, as expressions that both sides read.
@@ -64,6 +65,11 @@ def _drafts(t: Tables) -> DataFrame:
     return E.extracted(_messages(t))
 
 
+def _kept_drafts(t: Tables) -> DataFrame:
+    """What matching and reports read of the drafts, written once: filters and joins would have every pattern read again."""
+    return written(_drafts(t).select("evidence_id", "evidence_type", "merchant_name", "merchant_key", "total_amount", "document_date", "payment_method"), "drafts")
+
+
 @query(with_("ledger", **_DRAFTS) + "SELECT evidence_id, evidence_type, merchant_name, merchant_key, total_amount, document_date, payment_method, order_ref_hash, confidence FROM drafts")
 def mail_drafts(t: Tables) -> DataFrame:
     return _drafts(t).select("evidence_id", "evidence_type", "merchant_name", "merchant_key", "total_amount", "document_date", "payment_method", "order_ref_hash", "confidence")
@@ -71,7 +77,7 @@ def mail_drafts(t: Tables) -> DataFrame:
 
 @query(with_("ledger", **_DRAFTS, **_MATCHES) + "SELECT * FROM links WHERE score >= 650")
 def evidence_matches(t: Tables) -> DataFrame:
-    return E.match_scores(_drafts(t), t.ledger())
+    return E.match_scores(_kept_drafts(t), t.ledger())
 
 
 _STORED = "SELECT 's' || id AS evidence_id, 'gmail' AS source, CASE WHEN okey % 5 <> 0 THEN 'r' || id END AS order_ref_hash, 'invoice' AS evidence_type, CAST(amount AS DECIMAL(18,2)) AS total_amount FROM ledger WHERE okey % 6 = 0"
@@ -91,7 +97,7 @@ def evidence_upsert(t: Tables) -> DataFrame:
 @query(with_("ledger", **_DRAFTS, **_MATCHES, n="SELECT * FROM links WHERE score >= 650") + "SELECT link_id, id, score, CASE WHEN ascii(right(id, 1)) % 2 = 0 THEN 'again' ELSE 'new' END AS state FROM n UNION ALL SELECT 'old' || id, id, 1 AS score, 'old' FROM ledger WHERE okey % 400 = 0")
 def evidence_links(t: Tables) -> DataFrame:
     """Links that are stored already with another score take the new one."""
-    found = E.match_scores(_drafts(t), t.ledger()).withColumn("state", F.lit("new"))
+    found = written(E.match_scores(_kept_drafts(t), t.ledger()), "links").withColumn("state", F.lit("new"))  # read twice
     again = found.where("ascii(right(id, 1)) % 2 = 0")
     old = t.ledger().where("okey % 400 = 0").select(F.lit("e").alias("evidence_id"), "id", F.lit("x_match").alias("match_type"), F.lit(1).cast("bigint").alias("score"), F.lit("").alias("reasons"), F.concat(F.lit("old"), "id").alias("link_id"), F.lit("old").alias("state"))
     stored = again.withColumns({"score": F.lit(0).cast("bigint"), "state": F.lit("again")}).unionByName(old)
@@ -101,7 +107,7 @@ def evidence_links(t: Tables) -> DataFrame:
 
 @query(with_("ledger", "categories", **_DRAFTS, **_MATCHES, n="SELECT * FROM links WHERE score >= 650") + f"SELECT t.id, t.booking_date, CAST(t.amount AS DECIMAL(18,2)) AS amount, name, n.evidence_id, d.evidence_type, d.merchant_name, n.score AS evidence_score FROM ledger t LEFT JOIN categories USING (category_id) LEFT JOIN n ON n.id = t.id LEFT JOIN drafts d ON d.evidence_id = n.evidence_id WHERE t.amount < 0 AND NOT internal_transfer AND {IN_PERIOD} ORDER BY t.amount, t.id, n.evidence_id NULLS FIRST LIMIT 20")
 def debits_with_evidence(t: Tables) -> DataFrame:
-    drafts, rows = _drafts(t), t.ledger()
+    drafts, rows = _kept_drafts(t), t.ledger()
     return E.top_debits(L.between(rows, START, END), t.categories(), E.match_scores(drafts, rows), drafts).withColumn("amount", F.col("amount").cast("decimal(18,2)"))
 
 
