@@ -15,6 +15,8 @@ REDACTIONS = [
     (r"(?i)\b(order|bestell(?:ung|nummer)?|invoice|rechnung(?:snummer)?|ref)[\s:#-]*[A-Z0-9][A-Z0-9._/-]{3,}\b", "$1 [ref]"),
     (r"\b\d{7,}\b", "[number]"),
 ]
+#: Fixed value: what a text must hold for any of these to match.
+REDACTABLE = r"(?i)[@0-9]|order|bestell|invoice|rechnung|ref"
 #: The same for texts that go to a language model; here a reference needs a digit.
 SANITISERS = [
     (r"(?i)\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}\b", "[email]"),
@@ -27,7 +29,7 @@ SANITISERS = [
 #: Legal forms and the like that are no part of a merchant's name.
 LEGAL_FORMS = r"\b(gmbh|ag|inc|ltd|co\.?|kg|se|eu|payments?)\b"
 #: Patterns and words of each kind of evidence, the first that fits counting; and of payment methods.
-EVIDENCE_TYPES = [("refund", r"\brefund(?:ed)?\b|\brückerstattung\b|\berstattung\b|\berstattet\b|\bgutschrift\b"), ("subscription", "subscription|abo|verlängerung"), ("receipt", "receipt|quittung|beleg|kassenbon"), ("invoice", "invoice|rechnung")]
+EVIDENCE_TYPES = [("refund", r"\b(?:refund(?:ed)?|rückerstattung|erstattung|erstattet|gutschrift)\b"), ("subscription", "subscription|abo|verlängerung"), ("receipt", "receipt|quittung|beleg|kassenbon"), ("invoice", "invoice|rechnung")]
 PAYMENT_METHODS = [("paypal", "paypal"), ("credit_card", "visa|mastercard|kreditkarte|credit card"), ("direct_debit", "sepa|lastschrift|direct debit"), ("invoice", "kauf auf rechnung|zahlungsart: invoice|payment method: invoice")]
 
 
@@ -36,13 +38,17 @@ def _blank_to_null(c: Column) -> Column:
 
 
 def _replaced(c: Column, rules: list[tuple[str, str]], limit: int) -> Column:
-    out = reduce(lambda x, rule: F.regexp_replace(x, *rule), rules, c)
-    return F.left(F.trim(F.regexp_replace(out, r"\s+", " ")), F.lit(limit))
+    return _squeezed(reduce(lambda x, rule: F.regexp_replace(x, *rule), rules, c), limit)
+
+
+def _squeezed(c: Column, limit: int) -> Column:
+    return F.left(F.trim(F.regexp_replace(c, r"\s+", " ")), F.lit(limit))
 
 
 def redact(c: Column, limit: int = 500) -> Column:
     """Free text without addresses, account numbers, references and long numbers; null if nothing is left."""
-    return _blank_to_null(_replaced(c, REDACTIONS, limit))
+    replaced = reduce(lambda x, rule: F.regexp_replace(x, *rule), REDACTIONS, c)
+    return _blank_to_null(_squeezed(F.when(c.rlike(REDACTABLE), replaced).otherwise(c), limit))
 
 
 def sanitise(c: Column, limit: int = 300) -> Column:

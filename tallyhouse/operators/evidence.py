@@ -39,9 +39,10 @@ def extracted(messages: DataFrame) -> DataFrame:
     text = F.col("text")
     sender = F.split(F.coalesce("sender", F.lit("")), "@")[0]
     m = m.withColumns({
-        "merchant_name": T.redact(F.coalesce(_first(text, MERCHANT), sender), 200), "signed": T.mixed_decimal(_first(text, AMOUNT)), "currency": F.upper(F.coalesce(_first(text, CURRENCY), F.lit("EUR"))), "written": T.any_date(_first(text, DATE)),
+        "merchant": F.coalesce(_first(text, MERCHANT), sender), "signed": T.mixed_decimal(_first(text, AMOUNT)), "currency": F.upper(F.coalesce(_first(text, CURRENCY), F.lit("EUR"))), "written": T.any_date(_first(text, DATE)),
         "order_ref": _first(text, ORDER), "payment_method": T.payment_method(text), "payment_hint": T.redact(_first(text, PAYMENT), 200), "evidence_type": T.evidence_type(text), "line_items": T.line_items(body), "subject_hint": T.redact(subject, 200), "redacted_snippet": T.redact(body, 500),
     })
+    m = m.withColumn("merchant_name", T.redact(F.col("merchant"), 200))
     m = m.withColumns({"merchant_key": T.merchant_key(F.col("merchant_name")), "order_ref_hash": T.reference_hash(F.col("order_ref")), "document_date": F.coalesce("written", "received_at")})
     message = F.coalesce(F.nullif("source_message_id", F.lit("")), F.nullif(subject, F.lit("")), body)
     identity = F.concat_ws("|", "from", F.coalesce("order_ref_hash", T.reference_hash(message)), "evidence_type", F.coalesce(F.when(F.col("signed") != 0, F.col("signed").cast("string")), F.lit("")), F.coalesce(F.col("written").cast("string"), F.lit("")))
@@ -85,6 +86,7 @@ def match_scores(evidence: DataFrame, ledger: DataFrame, within: int = 7, least:
     e = e.withColumn("run", F.explode(F.array_distinct(F.array(run(F.date_sub("document_date", within)), run(F.date_add("document_date", within))))))
     hay = T.merchant_key(F.concat_ws(" ", *[F.nullif(c, F.lit("")) for c in ("sender", "recipient", "description")]))
     t = ledger.where(~F.col("internal_transfer")).select("id", "booking_date", "amount", F.abs(cents(F.col("amount"))).alias("cents"), F.coalesce(hay, F.lit("")).alias("hay"), run(F.col("booking_date")).alias("run"))
+    t = written(t, "booked")  # read twice
     hot = t.groupBy("cents", "run").count().where(F.col("count") > most_rows).select("cents", "run", F.ceil(F.col("count") / most_rows).alias("shares"))
     t = t.join(hot, ["cents", "run"], "left").withColumn("share", F.pmod(F.xxhash64("id"), F.coalesce("shares", F.lit(1)))).drop("shares")
     e = e.join(hot, ["cents", "run"], "left").withColumn("share", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("shares", F.lit(1)) - 1))).drop("shares")
@@ -109,7 +111,7 @@ def upsert_links(stored: DataFrame, found: DataFrame) -> DataFrame:
 
 def imported(messages: DataFrame, stored: DataFrame, links: DataFrame, ledger: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(evidence, links) after ``messages``, extracted, put in and matched to the ledger. Drafts without an amount or of little confidence stay out. Messages count in the order of their source_message_id."""
-    drafts = written(usable(extracted(messages)), "drafts")
+    drafts = usable(written(extracted(messages), "drafts"))  # written first: the filter would have the texts read twice
     evidence = written(upsert_evidence(stored, drafts, "message"), "evidence")
     keys = ["source", "order_ref_hash", "evidence_type"]
     come = evidence.join(drafts.select("evidence_id").distinct(), "evidence_id", "left_semi").unionByName(evidence.join(drafts.select(keys).distinct(), keys, "left_semi")).dropDuplicates(["evidence_id"])
