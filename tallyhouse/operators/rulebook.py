@@ -11,7 +11,8 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from contextlib import suppress
-from functools import lru_cache
+from functools import lru_cache, reduce
+from itertools import chain
 from re import _parser as parser  # the pattern as a tree; there is no other public reader of it
 
 import pandas as pd
@@ -19,8 +20,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyhouse.functions.text import haystack
+from tallyhouse.operators.ordering import numbered
+from tallyhouse.sources.folders import stored
 
-#: Rules that are sent to the tasks at most; letters that a word must have to be worth looking for; words that letters with a choice may spell; texts whose rule a task remembers.
+#: Rules that are sent to the tasks at once; letters that a word must have to be worth looking for; words that letters with a choice may spell; texts whose rule a task remembers.
 MOST_RULES, LEAST_LETTERS, MOST_WORDS, REMEMBERED = 200_000, 2, 16, 50_000
 #: Letters that patterns take for one of a-z, whatever the case.
 ALIKE = {0x130: "i", 0x131: "i", 0x17F: "s", 0x212A: "k"}
@@ -119,21 +122,37 @@ def first_match(text: Column, patterns: list[str]) -> Column:
     return F.pandas_udf(places, "int")(text)
 
 
-def ordered(rules: DataFrame) -> list[tuple[str, str]]:
-    """(pattern, category_id) of ``rules`` (pattern, category_id, priority, rule_id), highest priority first, then by rule_id; rules without a pattern are left out. More than MOST_RULES are refused."""
-    rows = rules.where("pattern is not null").orderBy(F.desc_nulls_last("priority"), "rule_id").limit(MOST_RULES + 1).collect()
-    if len(rows) > MOST_RULES:
-        raise ValueError(f"more than {MOST_RULES} rules")
-    return [(r["pattern"], r["category_id"]) for r in rows]
-
-
-def apply_rules(ledger: DataFrame, rules: DataFrame) -> DataFrame:
-    """``ledger`` with ``matched``, the category of the first of ``rules`` (see ``ordered``) that a row's text matches, which fills missing categories only."""
-    kept = ordered(rules)
-    if not kept:
-        return ledger.withColumn("matched", F.lit(None).cast("string"))
-    spark = ledger.sparkSession
-    categories = F.broadcast(spark.createDataFrame([(k, c) for k, (_, c) in enumerate(kept)], "_rule int, matched string"))  # MOST_RULES rows at most
-    text = haystack(F.col("sender"), F.col("recipient"), F.col("description"))
-    found = ledger.withColumn("_rule", first_match(text, [p for p, _ in kept])).join(categories, "_rule", "left").drop("_rule")
-    return found.withColumn("category_id", F.coalesce("category_id", "matched"))
+def chunks(rules: DataFrame, most: int = MOST_RULES) -> Iterator[list[tuple[str, str]]]:
+    """(pattern, category_id) of ``rules`` (pattern, category_id, priority, rule_id), highest priority first, then by rule_id, at most ``most`` at a time; rules without a pattern are left out. They are numbered over ranges, so the driver holds one chunk."""
+    kept = rules.where("pattern is not null").select("pattern", "category_id", "priority", "rule_id", F.lit(0).alias("_all"))
+    placed = stored(numbered(kept, ["_all"], [F.desc_nulls_last("priority"), "rule_id"], "_place").select("pattern", "category_id", "_place"), "rules")
+    for begin in range(0, placed.agg(F.coalesce(F.max("_place"), F.lit(0))).first()[0], most):
+        rows = placed.where(F.col("_place").between(begin + 1, begin + most)).collect()
+        yield [(r["pattern"], r["category_id"]) for r in sorted(rows, key=lambda r: r["_place"])]
+
+
+def _categories(found: DataFrame, kept: list[tuple[str, str]]) -> DataFrame:
+    """``found`` with the category of its ``_rule`` as ``matched``; null where there is none."""
+    categories = found.sparkSession.createDataFrame([(k, c) for k, (_, c) in enumerate(kept)], "_rule int, matched string")
+    return found.join(F.broadcast(categories), "_rule", "left").drop("_rule")  # a chunk at most
+
+
+def apply_rules(ledger: DataFrame, rules: DataFrame, most: int = MOST_RULES) -> DataFrame:
+    """``ledger`` with ``matched``, the category of the first of ``rules`` (see ``chunks``) that a row's text matches, which fills missing categories only.
+
+    Up to ``most`` rules are sent to the tasks at once. If there are more, each text is taken once and meets chunk after
+    chunk of them, in order, until one of its rules matches.
+    """
+    text, found = haystack(F.col("sender"), F.col("recipient"), F.col("description")), []
+    each = chunks(rules, most)
+    first, more = next(each, []), next(each, None)
+    if more is None:
+        matched = _categories(ledger.withColumn("_rule", first_match(text, [p for p, _ in first])), first) if first else ledger.withColumn("matched", F.lit(None).cast("string"))
+        return matched.withColumn("category_id", F.coalesce("category_id", "matched"))
+    texts = stored(ledger.select(text.alias("_text")).distinct(), "texts")
+    for kept in chain([first, more], each):
+        tried = stored(texts.withColumn("_rule", first_match(F.col("_text"), [p for p, _ in kept])), "tried")
+        found.append(_categories(tried.where("_rule is not null"), kept))
+        texts = tried.where("_rule is null").select("_text")
+    matched = ledger.withColumn("_text", text).join(reduce(DataFrame.unionByName, found), "_text", "left").drop("_text")
+    return matched.withColumn("category_id", F.coalesce("category_id", "matched"))

@@ -78,3 +78,13 @@ def test_memory_examples_both_ways(spark):
     history = spark.createDataFrame(rows, "id string, category_id string, recipient string, sender string, booking_date date, amount decimal(14,2)")
     found = lambda *keys: [r["id"] for r in enrich.memory_examples(history, spark.createDataFrame([(k,) for k in keys], "key string")).collect()]
     assert found("ACME") == ["2"] and found("buy at acme shop now") == ["3", "2"] and found("abc", "abcd") == [] and found("shop") == ["3", "2"]
+
+
+def test_more_rules_than_are_sent_at_once(spark):
+    """Rules in chunks find what all of them at once find, in the same order; texts that nothing matches and rows alike stay."""
+    r = random.Random(7)
+    rules = [("".join(r.choice("abc") for _ in range(r.randrange(2, 5))), f"c{k}", r.choice([None, 1, 2, 3]), f"{k:03d}") for k in range(60)] + [("([", "bad", 9, "x"), (None, "none", 9, "y")]
+    table = spark.createDataFrame(rules, "pattern string, category_id string, priority int, rule_id string")
+    rows = ledger(spark, [("".join(r.choice("abcd") for _ in range(6)), r.choice([None, "kept"])) for _ in range(80)] + [("zzz", None), ("zzz", None), (None, None)])
+    found = [sorted(map(str, rulebook.apply_rules(rows, table, most).select("id", "matched", "category_id").collect())) for most in (1000, 61, 25)]
+    assert found[0] == found[1] == found[2] and len(found[0]) == 83
