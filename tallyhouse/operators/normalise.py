@@ -52,10 +52,10 @@ def replayed(records: DataFrame) -> DataFrame:
 
 
 def hash_changes(stored: DataFrame) -> DataFrame:
-    """old, new of active rows (source, raw, content_hash, superseded_by) of the primary bank whose payload now makes another hash; rows without a payload are left alone."""
+    """old, new of active rows (source, raw, content_hash, superseded_by) of the primary bank whose payload now makes another hash, each pair once however many rows share it; rows without a payload are left alone."""
     active = stored.where((F.col("source") == C.PRIMARY) & F.col("superseded_by").isNull() & F.get_json_object("raw", "$.source_payload").isNotNull())
     again = C.content_hash(C.bank(active.select(F.get_json_object("raw", "$.source_payload").alias("raw"), F.col("content_hash").alias("old")), "old"), "new")
-    return again.where("old <> new").select("old", "new")
+    return again.where("old <> new").select("old", "new").distinct()
 
 
 def frame(raw: DataFrame) -> DataFrame:

@@ -23,20 +23,40 @@ def amount(text: Column) -> Column:
     return F.bround(text.cast("decimal(38,10)"), 2).cast("decimal(14,2)")
 
 
+#: What a bank's booking may hold, as JSON; ``amount`` is a text or an object, read as text.
+_BOOKING = {
+    **dict.fromkeys(("transactionId", "transaction_id", "reference", "bookingDate", "booking_date", "valutaDate", "value_date", "valuation_date", "amount", "currency", "remittanceInfo", "remittance_info", "description"), "string"),
+    **{f"{k}_{f}": "string" for k in ("remitter", "debtor", "creditor") for f in ("name", "iban")},
+    **dict.fromkeys(("remitter", "debtor", "creditor"), "struct<holderName: string, name: string, iban: string>"),
+    "transactionValue": "struct<value: string, unit: string>",
+    "source_payload": "struct<reference: string>",
+}
+
+
+def _first(*fields: Column | str) -> Column:
+    """The first of some fields that holds something."""
+    return F.coalesce(*[F.nullif(F.col(f) if isinstance(f, str) else f, F.lit("")) for f in fields])
+
+
 def bank(rows: DataFrame, *kept: str) -> DataFrame:
-    """Canonical columns of ``rows`` (raw: JSON of one booking), nested or flat, and those ``kept``; the counterparty is by sign, credits coming from the remitter."""
-    raw = F.col("raw")
-    value = amount(_at(raw, "$.transactionValue.value", "$.amount.value", "$.amount"))
+    """Canonical columns of ``rows`` (raw: JSON of one booking), nested or flat, and those ``kept``; the counterparty is by sign, credits coming from the remitter.
+
+    The JSON is read once a row, by a generator: Spark writes a column's expression out wherever the column is used, filters included, and would read it again for each of them.
+    """
+    read = F.from_json("raw", ", ".join(f"{k} {kind}" for k, kind in _BOOKING.items()), {"allowUnquotedControlChars": "true", "allowNonNumericNumbers": "false"})
+    rows = rows.select(*kept, F.inline(F.array(read)).alias(*[f"_{k}" for k in _BOOKING]))
+    part = lambda f: F.get_json_object("_amount", f"$.{f}")
+    value = amount(_first("_transactionValue.value", part("value"), "_amount"))
     out = value < 0
-    name = lambda *keys: _at(raw, *(f"$.{k}.{f}" for k in keys for f in ("holderName", "name")), *(f"$.{k}_name" for k in keys))
-    number = lambda *keys: _at(raw, *(f"$.{k}.iban" for k in keys), *(f"$.{k}_iban" for k in keys))
-    booked = F.to_date(F.left(_at(raw, "$.bookingDate", "$.booking_date"), F.lit(10)))
+    name = lambda *keys: _first(*(f"_{k}.{f}" for k in keys for f in ("holderName", "name")), *(f"_{k}_name" for k in keys))
+    number = lambda *keys: _first(*(f"_{k}.iban" for k in keys), *(f"_{k}_iban" for k in keys))
+    booked = F.to_date(F.left(_first("_bookingDate", "_booking_date"), F.lit(10)))
     return rows.select(
-        F.lit(PRIMARY).alias("source"), _at(raw, "$.transactionId", "$.transaction_id", "$.reference", "$.source_payload.reference").alias("external_id"), booked.alias("booking_date"),
-        F.coalesce(F.to_date(F.left(_at(raw, "$.valutaDate", "$.value_date", "$.valuation_date"), F.lit(10))), booked).alias("valuation_date"), value.alias("amount"),
-        F.coalesce(_at(raw, "$.transactionValue.unit", "$.amount.unit", "$.currency"), F.lit("EUR")).alias("currency"),
+        F.lit(PRIMARY).alias("source"), _first("_transactionId", "_transaction_id", "_reference", "_source_payload.reference").alias("external_id"), booked.alias("booking_date"),
+        F.coalesce(F.to_date(F.left(_first("_valutaDate", "_value_date", "_valuation_date"), F.lit(10))), booked).alias("valuation_date"), value.alias("amount"),
+        F.coalesce(_first("_transactionValue.unit", part("unit"), "_currency"), F.lit("EUR")).alias("currency"),
         F.when(~out, name("remitter", "debtor")).alias("sender"), F.when(out, name("creditor")).alias("recipient"), F.when(~out, number("remitter", "debtor")).alias("sender_iban"), F.when(out, number("creditor")).alias("recipient_iban"),
-        F.left(remittance(_at(raw, "$.remittanceInfo", "$.remittance_info", "$.description")), F.lit(DESCRIPTION_LIMIT)).alias("description"), *kept)
+        F.left(remittance(_first("_remittanceInfo", "_remittance_info", "_description")), F.lit(DESCRIPTION_LIMIT)).alias("description"), *kept)
 
 
 def card(rows: DataFrame, *kept: str) -> DataFrame:
@@ -84,7 +104,8 @@ def content_hash(rows: DataFrame, column: str = "content_hash") -> DataFrame:
         return F.to_json(F.struct(*[fields[k].alias(k) for k in sorted(fields)]), {"ignoreNullFields": "false"})
 
     whole = F.when(F.col("source") == PRIMARY, document("comdirect_id", F.lit(None).cast("string"))).otherwise(document("external_id", text("external_id")))
-    return rows.withColumn(column, F.sha2(_escaped(whole), 256))
+    text = rows.select("*", F.explode(F.array(whole)).alias("_identity"))  # a generator, so that a filter on the hash does not write all of it out again
+    return text.withColumn(column, F.sha2(_escaped(F.col("_identity")), 256)).drop("_identity")
 
 
 def _escaped(text: Column) -> Column:
