@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,14 +39,18 @@ def rate_limited(t: Tables) -> DataFrame:
     return ingest.over_limit(t.raw("events").select("event_id", "user_id", "ts"), "ts", "user_id", most=2, seconds=7200).select("event_id")
 
 
-def _arriving(t: Tables, owner: str) -> DataFrame:
-    """Bookings that arrive in five files, the later ones with corrections of what came before and some of it again. Hashes are those of one ``owner`` each."""
+#: Files that a run of a stream takes at once: all there are.
+_ALL_FILES = 1 << 30
+
+
+def _arriving(t: Tables, owner: str) -> Iterator[DataFrame]:
+    """Bookings that arrive in five loads, the later ones with corrections of what came before and some of it again: after each load the stream of all so far, which takes a load as one batch, however many tasks wrote it. Hashes are those of one ``owner`` each."""
     path = fresh_folder(t.spark, "arriving")
     rows = t.raw("events").selectExpr("event_type AS source", "CAST(user_id % 97 AS STRING) AS external_id", f"sha2(concat_ws('|', {owner}, CAST(event_id % 50 AS STRING)), 256) AS content_hash", "event_id AS arrival")
     last = rows.agg(F.max("arrival")).first()[0] + 1
     for k in range(5):  # one after the other, so that the stream reads them in this order
-        rows.where(F.col("arrival").between(k * last // 5 - last // 50, (k + 1) * last // 5 - 1)).coalesce(1).write.mode("append").parquet(path)
-    return ingest.opened(t.spark, path, 1)
+        rows.where(F.col("arrival").between(k * last // 5 - last // 50, (k + 1) * last // 5 - 1)).write.mode("append").parquet(path)
+        yield ingest.opened(t.spark, path, _ALL_FILES)
 
 
 def _chains(owner: str) -> str:
@@ -56,14 +62,18 @@ SELECT *, row_number() OVER (PARTITION BY source, external_id ORDER BY arrival)
 @query(_chains("event_type, CAST(user_id % 97 AS VARCHAR)"))
 def stream_versions(t: Tables) -> DataFrame:
     """A stream's version chains from keyed state: every row with its version and what supersedes it."""
-    return chains.chained(_arriving(t, "event_type, CAST(user_id % 97 AS STRING)"), fresh_folder(t.spark, "chains"))
+    path = fresh_folder(t.spark, "chains")
+    for stream in _arriving(t, "event_type, CAST(user_id % 97 AS STRING)"):
+        found = chains.chained(stream, path)
+    return found
 
 
 @query(_chains("CAST(user_id % 7 AS VARCHAR)"))
 def stream_store(t: Tables) -> DataFrame:
     """The same into stored tables, where a hash counts once whoever brings it."""
     store = Store(t.spark, fresh_folder(t.spark, "store"), 16)
-    chains.kept(_arriving(t, "CAST(user_id % 7 AS STRING)"), store)
+    for stream in _arriving(t, "CAST(user_id % 7 AS STRING)"):
+        chains.kept(stream, store)
     return store.read("versions")
 
 

@@ -24,7 +24,8 @@ class _Chain(StatefulProcessor):
         self.known = handle.getMapState("known", "content_hash string", "version long")
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        frame = pd.concat(list(rows)).sort_values(["arrival", "content_hash"])
+        first = lambda x: x.groupby("content_hash", as_index=False)["arrival"].min()
+        frame = first(pd.concat([first(part) for part in rows])).sort_values(["arrival", "content_hash"])  # the state is asked once a hash, not once a row
         last, version = self.newest.get() if self.newest.exists() else (None, 0)
         out = []
         for content_hash, arrival in zip(frame["content_hash"], frame["arrival"], strict=True):
