@@ -27,7 +27,7 @@ def insert_versions(store: Store, incoming: DataFrame, batch: str) -> None:
     fresh = stored(fresh, "fresh")
     touched = store.touched(fresh, CHAIN)
     before = store.read("versions", touched)
-    after = fresh if before is None else V.insert_versions(before, fresh.select(incoming.columns))
+    after = fresh if before is None else V.extended(before, fresh)
     store.commit(batch, {"versions": Change(after, CHAIN, touched), "hashes": Change(fresh.select("content_hash"), ["content_hash"])} if touched else {})
 
 

@@ -33,6 +33,20 @@ def insert_versions(stored: DataFrame, incoming: DataFrame) -> DataFrame:
     return kept.unionByName(placed.select(kept.columns))
 
 
+def extended(stored: DataFrame, fresh: DataFrame) -> DataFrame:
+    """What ``insert_versions`` gives for ``fresh`` that are versions among themselves already, of hashes that are not stored; both sides are shuffled once.
+
+    Both must be read from files: Spark takes a union of sides that are dealt alike for dealt alike itself.
+    """
+    both = stored.withColumn("_new", F.lit(False)).unionByName(fresh.select(stored.columns).withColumn("_new", F.lit(True)))
+    same = W.Window.partitionBy("source", "external_id")
+    top = F.max(F.when(~F.col("_new") & F.col("superseded_by").isNull(), F.col("version"))).over(same)
+    next_ = F.max(F.when(F.col("_new") & (F.col("version") == 1), F.col("content_hash"))).over(same)
+    named = both.where("external_id is not null").withColumns({"_top": F.coalesce(top, F.lit(0).cast("bigint")), "_next": next_})
+    named = named.withColumns({"version": F.when(F.col("_new"), F.col("version") + F.col("_top")).otherwise(F.col("version")), "superseded_by": F.when(F.col("_new"), F.col("superseded_by")).otherwise(F.coalesce("superseded_by", "_next"))})
+    return named.select(stored.columns).unionByName(both.where("external_id is null").select(stored.columns))
+
+
 def active(rows: DataFrame) -> DataFrame:
     return rows.where("superseded_by is null")
 
