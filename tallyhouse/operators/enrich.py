@@ -88,6 +88,7 @@ def recurring(ledger: DataFrame, months: int = 3, tolerance_percent: int = 10) -
     deviation = n * F.col("sxx").cast("double") - sx * sx
     runs = runs.where(deviation <= (tolerance_percent / 100) ** 2 * sx * sx)
     patterns = runs.select("counterpart", "first", "last", F.col("months").cast("bigint").alias("months"), F.col("n").cast("bigint").alias("n"), F.round(sx / n / 100, 2).alias("avg_amount"))
+    patterns = stored(patterns, "patterns")  # few as a rule: of known size, they go to the rows
     flags = rows.join(patterns.select("counterpart", "first", "last"), "counterpart").where("m between first and last").select("id", "counterpart", F.col("first").alias("pattern_start"))
     return patterns, flags
 
@@ -127,12 +128,15 @@ def outliers(rows: DataFrame, group: str, value: str, least: int = 3, threshold:
 
     0.6745 (x - median) / MAD, or (x - median) / (1.253314 mean deviation) where MAD is 0. A group may hold most of the rows.
     """
-    x = rows.withColumn("x", F.col(value).cast("double"))
     joined = lambda a, b: a.join(b.withColumnRenamed(group, "_g"), F.col(group).eqNullSafe(F.col("_g"))).drop("_g")
-    x = joined(joined(x, x.groupBy(group).agg(F.count("x").alias("size"))), medians(x, [group], "x")).withColumn("away", F.abs(F.col("x") - F.col("median")))
-    x = joined(joined(x, x.groupBy(group).agg(F.avg("away").alias("mean_away"))), medians(x, [group], "away").withColumnRenamed("median", "mad"))
+    # the medians count these two columns again and again
+    x = stored(rows.select(group, F.col(value).cast("double").alias("x")), "measured")
+    middle = stored(joined(x.groupBy(group).agg(F.count("x").alias("size")), medians(x, [group], "x")), "middles")
+    away = joined(x, middle).select(group, F.abs(F.col("x") - F.col("median")).alias("away"))
+    measures = joined(joined(middle, away.groupBy(group).agg(F.avg("away").alias("mean_away"))), medians(away, [group], "away").withColumnRenamed("median", "mad"))
+    x = joined(rows.withColumn("x", F.col(value).cast("double")), stored(measures, "measures"))
     z = F.when(F.col("mad") > 0, 0.6745 * (F.col("x") - F.col("median")) / F.col("mad")).when(F.col("mean_away") > 0, (F.col("x") - F.col("median")) / (1.253314 * F.col("mean_away"))).otherwise(0.0)
-    return x.withColumn("z", z).where((F.col("size") >= least) & (F.abs("z") > threshold)).drop("x", "size", "median", "away", "mad", "mean_away")
+    return x.withColumn("z", z).where((F.col("size") >= least) & (F.abs("z") > threshold)).drop("x", "size", "median", "mad", "mean_away")
 
 
 def refund_suggestion(ledger: DataFrame) -> DataFrame:

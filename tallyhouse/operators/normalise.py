@@ -37,13 +37,14 @@ def raw_rows(spark: SparkSession, payloads: list[str], source: str) -> DataFrame
 def canonical(raw: DataFrame) -> DataFrame:
     """Canonical columns of ``raw`` (source, raw: JSON) by the adapter of each source, other columns kept. A source without one is an error, not a row that is lost."""
     kept = [c for c in raw.columns if c not in (*FIELDS, "raw")]
-    known = F.col("source").isin("bank", "card", "wallet")
-    raw = raw.withColumn("source", F.when(known, F.col("source")).otherwise(F.raise_error(F.concat(F.lit("no adapter for source "), F.coalesce("source", F.lit("null")))).cast("string")))
+    known = F.coalesce(F.col("source").isin("bank", "card", "wallet"), F.lit(False))
     none = {"original_amount": F.lit(None).cast("decimal(14,2)"), "original_currency": F.lit(None).cast("string")}
     bank = C.bank(raw.where("source = 'bank'"), *kept).withColumns(none)
     card = C.card(raw.where("source = 'card'").withColumn("c", F.from_json("raw", _CARD)).select(*kept, "c.*"), *kept)
     wallet = raw.where("source = 'wallet'").withColumn("c", F.from_json(F.coalesce(F.get_json_object("raw", "$.canonical"), "raw"), _CANONICAL)).select("source", "c.*", *kept)
-    return bank.unionByName(card).unionByName(wallet)
+    # beside the others, so that each of those reads its own source from files; it has no rows
+    strange = raw.where(F.when(known, F.lit(False)).otherwise(F.raise_error(F.concat(F.lit("no adapter for source "), F.coalesce("source", F.lit("null")))).cast("boolean")))
+    return bank.unionByName(card).unionByName(wallet).unionByName(strange.select("source", *kept), allowMissingColumns=True)
 
 
 def replayed(records: DataFrame) -> DataFrame:
@@ -59,8 +60,14 @@ def hash_changes(stored: DataFrame) -> DataFrame:
 
 
 def frame(raw: DataFrame) -> DataFrame:
-    """Active rows as an empty ledger: bookings without a day are left out, flags are off, nothing has a category."""
-    rows = canonical(raw.where("superseded_by is null")).where("booking_date is not null")
+    """Active rows as an empty ledger: bookings without a day are left out, flags are off, nothing has a category. Rows whose column ``is_read`` is true have their canonical columns in the struct ``canonical`` and are not read again."""
+    active = raw.where("superseded_by is null")
+    if "is_read" in raw.columns:
+        kept = [c for c in raw.columns if c not in (*FIELDS, "raw", "canonical", "is_read")]
+        rows = active.where("is_read").select("source", "canonical.*", *kept).unionByName(canonical(active.where("not is_read").drop("canonical", "is_read")))
+    else:
+        rows = canonical(active)
+    rows = rows.where("booking_date is not null")
     off = {f: F.lit(False) for f in ("is_recurring", "is_outlier", "internal_transfer", "is_refund")}
     return rows.withColumns({"id": F.col("content_hash"), "valuation_date": F.coalesce("valuation_date", "booking_date"), "category_id": F.lit(None).cast("string"), **off})
 
@@ -100,6 +107,7 @@ def normalised(raw: DataFrame, rules: list[tuple[str, str, int]], own_ibans: lis
     far = enrich.outliers(spent, "category_id", "spent")
     hits = [ids.select("id", *[F.lit(flag == f).alias(f"_{f}") for f in FLAGS]) for ids, flag in ((internal, "internal_transfer"), (recurring, "is_recurring"), (far, "is_outlier"))]
     marked = reduce(DataFrame.union, hits).groupBy("id").agg(*[F.bool_or(f"_{f}").alias(f"_{f}") for f in FLAGS])
+    marked = stored_(marked, "marked")
     flagged = ledger.join(marked, "id", "left").withColumns({f: F.col(f) | F.coalesce(f"_{f}", F.lit(False)) for f in FLAGS}).select(ledger.columns)
     return Normalised(flagged, links, patterns)
 
@@ -107,6 +115,7 @@ def normalised(raw: DataFrame, rules: list[tuple[str, str, int]], own_ibans: lis
 def ingested(stored: DataFrame, incoming: DataFrame, rules: list[tuple[str, str, int]], own_ibans: list[str]) -> tuple[DataFrame, Normalised]:
     """(versions, ledger) after ``incoming`` (source, raw, arrival) came to ``stored`` (source, external_id, content_hash, arrival, raw, version, superseded_by): what is new is versioned, then all is normalised."""
     rows = C.content_hash(canonical(incoming.withColumn("payload", F.col("raw"))))
-    fresh = rows.select("source", "external_id", "content_hash", "arrival", F.col("payload").alias("raw"))
-    kept = stored_(versions.insert_versions(stored, fresh), "versions")
-    return kept, normalised(kept, rules, own_ibans)
+    fresh = rows.select("source", "external_id", "content_hash", "arrival", F.col("payload").alias("raw"), F.struct(*FIELDS[1:]).alias("canonical"), F.lit(True).alias("is_read"))
+    before = stored.withColumns({"canonical": F.lit(None).cast(fresh.schema["canonical"].dataType), "is_read": F.lit(False)})
+    kept = stored_(versions.insert_versions(before, fresh), "versions")
+    return kept.drop("canonical", "is_read"), normalised(kept, rules, own_ibans)

@@ -12,10 +12,9 @@ from pyspark.sql import window as W
 def versions(rows: DataFrame) -> DataFrame:
     """Adds version and superseded_by to ``rows`` (source, external_id, content_hash, arrival): a hash counts once, at its first arrival; rows without an external id are versions 1."""
     first = rows.withColumn("r", F.row_number().over(W.Window.partitionBy("content_hash").orderBy("arrival"))).where("r = 1").drop("r")
-    named, bare = first.where("external_id is not null"), first.where("external_id is null")
-    same = W.Window.partitionBy("source", "external_id").orderBy("arrival")
-    named = named.withColumns({"version": F.row_number().over(same).cast("bigint"), "superseded_by": F.lead("content_hash").over(same)})
-    return named.unionByName(bare.withColumns({"version": F.lit(1).cast("bigint"), "superseded_by": F.lit(None).cast("string")}))
+    # a row without an external id stands alone by its hash
+    same = W.Window.partitionBy("source", "external_id", F.when(F.col("external_id").isNull(), F.col("content_hash"))).orderBy("arrival")
+    return first.withColumns({"version": F.row_number().over(same).cast("bigint"), "superseded_by": F.lead("content_hash").over(same)})
 
 
 def insert_versions(stored: DataFrame, incoming: DataFrame) -> DataFrame:

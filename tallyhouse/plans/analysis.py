@@ -230,7 +230,7 @@ _PASS = dict(
 @query(with_("ledger", **_PASS) + "SELECT id, category_id, EXISTS (SELECT 1 FROM pt WHERE pt.counterpart = b.counterpart AND b.m BETWEEN first AND last) AS is_recurring, is_outlier, false AS internal_transfer FROM b JOIN o3 USING (id)")
 def normalised_ledger(t: Tables) -> DataFrame:
     """All of the bank's bookings, ingested into an empty store and taken through the whole pass."""
-    nothing = t.spark.createDataFrame([], "source string, external_id string, content_hash string, arrival long, raw string, version long, superseded_by string")
+    nothing = t.spark.createDataFrame([], "source string, external_id string, content_hash string, arrival long, raw string, version long, superseded_by string").limit(0)  # which the optimiser knows to be empty
     _, found = normalise.ingested(nothing, _payloads(t), RULES, ["DE0"])
     return found.ledger.select(F.col("external_id").alias("id"), "category_id", "is_recurring", "is_outlier", "internal_transfer")
 

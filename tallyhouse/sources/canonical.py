@@ -112,4 +112,4 @@ def _escaped(text: Column) -> Column:
     """``\\uXXXX`` for every character beyond ASCII, by its UTF-16 units."""
     units = F.split(F.regexp_replace(F.hex(F.encode(text, "UTF-16BE")), "(.{4})", "$1 "), " ")
     one = lambda u: F.when(u == "", "").when(F.startswith(u, F.lit("00")) & (u < "0080"), F.char(F.conv(u, 16, 10).cast("bigint"))).otherwise(F.concat(F.lit("\\u"), F.lower(u)))
-    return F.when(text.rlike(r"[^\x00-\x7F]"), F.array_join(F.transform(units, one), "")).otherwise(text)
+    return F.when(F.length(text) < F.octet_length(text), F.array_join(F.transform(units, one), "")).otherwise(text)
