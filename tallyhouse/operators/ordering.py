@@ -21,5 +21,6 @@ def dealt(rows: DataFrame, keys: list[str], order: list[str]) -> tuple[DataFrame
 def numbered(rows: DataFrame, keys: list[str], order: list[str], name: str = "number") -> DataFrame:
     """``rows`` with their number, from 1, among those of equal ``keys`` (not null) in ``order``."""
     placed, counts = dealt(rows, keys, order)
+    counts = stored(counts, "counts")  # a row a key and part: of known size, they go to the rows where they are few
     found = placed.join(counts, [*keys, "_part"])
     return found.withColumn(name, F.col("_before") + F.col("_line") - F.col("_first") + 1).select(*rows.columns, name)

@@ -5,7 +5,7 @@ from decimal import Decimal
 
 from pyspark.sql import functions as F
 
-from tallyhouse.operators import enrich, normalise, versions
+from tallyhouse.operators import enrich, normalise, ordering, versions
 
 
 def test_bookings_that_were_read_are_not_read_again(spark):
@@ -34,3 +34,15 @@ def test_rows_without_an_external_id_stand_alone(spark):
     rows = spark.createDataFrame([("bank", None, "a", 1), ("bank", None, "b", 2), ("bank", None, "a", 3), ("bank", "x", "c", 1), ("bank", "x", "d", 2)], "source string, external_id string, content_hash string, arrival long")
     found = {(r["content_hash"], r["arrival"]): (r["version"], r["superseded_by"]) for r in versions.versions(rows).collect()}
     assert found == {("a", 1): (1, None), ("b", 2): (1, None), ("c", 1): (1, "d"), ("d", 2): (2, None)}
+
+
+def test_numbered_rows_are_not_shuffled_again_for_their_numbers(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "64k")
+    try:
+        rows = spark.range(20_000).select((F.col("id") % 3).alias("k"), F.sha2(F.col("id").cast("string"), 512).alias("text"))
+        found = ordering.numbered(rows, ["k"], ["text"], "n")
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+        assert found.groupBy("k").agg(F.min("n"), F.max("n"), F.countDistinct("n")).orderBy("k").collect() == [(k, 1, n, n) for k, n in enumerate((6667, 6667, 6666))]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
