@@ -43,14 +43,15 @@ def _gear() -> np.ndarray:
 
 
 GEAR = _gear()
+assert REACH & (REACH - 1) == 0
 
 
 def marks(ids: np.ndarray) -> np.ndarray:
     """Ends at which the rolling hash of the REACH ids before has its low bits zero. What stands before a document does not matter to it: its first LEAST ids, more than REACH, are never cut."""
-    gear = GEAR[ids & 0xFFFF]
-    rolled = np.zeros(len(ids), dtype=np.uint32)
-    for k in range(min(REACH, len(ids))):
-        rolled[k:] += gear[: len(ids) - k] << np.uint32(k)
+    rolled, reach = GEAR[ids & 0xFFFF], 1
+    while reach < min(REACH, len(ids)):  # sums over twice as many ids from two sums
+        rolled[reach:] += rolled[:-reach] << np.uint32(reach)
+        reach *= 2
     return np.flatnonzero(rolled >> np.uint32(32 - CUT_BITS - 8) & np.uint32((1 << CUT_BITS) - 1) == 0) + 1
 
 
@@ -116,24 +117,14 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, row
     schema = "doc_id long, tie long, seq int, after long, n int, digest binary, payload binary"
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).mapInArrow(chunked, schema)
 
-    def stored_once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None
-        for batch in batches:  # sorted by digest, rows with a payload first
-            digests, payloads = batch.column("digest").to_pylist(), batch.column("payload").to_pylist()
-            for k, d in enumerate(digests):
-                if d == last:
-                    payloads[k] = None
-                last = d
-            yield batch.set_column(batch.schema.get_field_index("payload"), "payload", pa.array(payloads, pa.binary()))
-
     # Copies of a chunk without ids go anywhere; those with ids meet, at most one from each task and memo.
     with_ids = rows.withColumn("deal", F.when(F.col("payload").isNull(), F.xxhash64("doc_id", "tie", "seq")).otherwise(F.xxhash64("digest")))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    met = W.Window.partitionBy("deal", "digest").orderBy(F.col("payload").isNull())
     (
-        with_ids.repartition(n, "deal").drop("deal")
-        .sortWithinPartitions("digest", F.col("payload").isNull())
-        .mapInArrow(stored_once, schema)
-        .write.option("compression", "zstd").parquet(f"{path}/chunks")
+        with_ids.repartition(n, "deal")
+        .withColumn("payload", F.when(F.row_number().over(met) == 1, F.col("payload"))).drop("deal")
+        .write.option("compression", "zstd").option("parquet.enable.dictionary#payload", "false").option("parquet.enable.dictionary#digest", "false").parquet(f"{path}/chunks")
     )
     _write_recipes(spark, path, rows_per_shard)
     found = spark.read.parquet(f"{path}/whole").select("root").first()
@@ -175,13 +166,14 @@ def _write_recipes(spark: SparkSession, path: str, rows_per_shard: int) -> None:
     chunks = spark.read.parquet(f"{path}/chunks")
     # Rows of a doc_id and text that repeat have the same chunks; they are told apart by how often each comes.
     listed = (
-        chunks.groupBy("doc_id", "tie", "seq").agg(F.first("digest").alias("digest"), F.first("n").alias("n"), F.first("after").alias("after"), F.count("*").alias("copies"))
+        chunks.groupBy("doc_id", "tie", "seq", "digest", "n", "after").agg(F.count("*").alias("copies"))
         .groupBy("doc_id", "tie").agg(F.sort_array(F.collect_list(F.struct("seq", "digest", "n", "after"))).alias("chunks"), F.max("copies").alias("copies"))
         .select("doc_id", "tie", F.transform("chunks", lambda c: F.struct(c["digest"].alias("digest"), c["n"].alias("n"), c["after"].alias("after"))).alias("chunks"), F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"))
         .withColumn("n_tokens", F.get("chunks", 0)["n"] + F.get("chunks", 0)["after"])
     )
     in_order = W.Window.partitionBy("shard").orderBy(F.col("doc_id").asc_nulls_first(), "tie", "copy")
-    placed = with_shards(listed, "doc_id", rows_per_shard)[0].withColumns({"pos": F.row_number().over(in_order), "before": F.coalesce(F.sum("n_tokens").over(in_order.rowsBetween(W.Window.unboundedPreceding, -1)), F.lit(0).cast("long"))})
+    firsts = chunks.where("seq = 0").select("doc_id")  # one of each document, whose last id at least is in a chunk
+    placed = with_shards(listed, "doc_id", rows_per_shard, firsts)[0].withColumns({"pos": F.row_number().over(in_order), "before": F.coalesce(F.sum("n_tokens").over(in_order.rowsBetween(W.Window.unboundedPreceding, -1)), F.lit(0).cast("long"))})
     _with_root(placed, "root").drop("copy").write.option("compression", "zstd").partitionBy("shard").parquet(f"{path}/recipes")
     if not listed_any(spark, path):
         spark.createDataFrame([], "shard long, start long, n_docs long, n_tokens long, root string").write.parquet(f"{path}/manifest")

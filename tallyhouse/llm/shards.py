@@ -9,19 +9,20 @@ from pyspark.sql import functions as F
 MOST_BOUNDS = 4000
 
 
-def with_shards(df: DataFrame, column: str, rows_per_shard: int) -> tuple[DataFrame, int]:
+def with_shards(df: DataFrame, column: str, rows_per_shard: int, values: DataFrame | None = None) -> tuple[DataFrame, int]:
     """``df`` with a long ``shard`` that ascends with ``column``, and how many there are: about ``rows_per_shard`` rows each; nulls come first, in shard 0.
 
-    Rows that share a value share a shard, however many they are.
+    Rows that share a value share a shard, however many they are. ``values`` has the same values of ``column`` and is counted instead, where ``df`` is dear to compute.
     """
-    wanted = max(1, -(-df.count() // rows_per_shard))
+    values = df if values is None else values
+    wanted = max(1, -(-values.count() // rows_per_shard))
     ranges = min(wanted, MOST_BOUNDS)
-    bounds = _bounds(df, column, ranges)
+    bounds = _bounds(values, column, ranges)
     placed = df.withColumn("shard", range_of(column, bounds).cast("long"))
     if wanted <= MOST_BOUNDS:
         return placed, len(bounds) + 1
     finer = -(-wanted // ranges)
-    cuts = placed.groupBy("shard").agg(F.percentile_approx(column, [k / finer for k in range(1, finer)], 100 * finer).alias("cuts"))  # a row a range
+    cuts = values.withColumn("shard", range_of(column, bounds).cast("long")).groupBy("shard").agg(F.percentile_approx(column, [k / finer for k in range(1, finer)], 100 * finer).alias("cuts"))  # a row a range
     cut = placed.join(cuts, "shard").withColumn("shard", F.col("shard") * finer + F.coalesce(F.size(F.filter("cuts", lambda c: c <= F.col(column))), F.lit(0)))
     return cut.select(*df.columns, "shard"), (len(bounds) + 1) * finer
 
