@@ -2,7 +2,8 @@
 
 A pattern is read for words that each of its matches must hold one of. All words of all rules make one automaton, which a
 text is run through once; only rules whose words occur, and those that need none, are tried, in order. A row costs its
-length and the few rules it may match, however many rules there are.
+length and the few rules it may match, however many rules there are. More rules than a task should hold are dealt by their
+words (see ``rulewords``).
 """
 
 from __future__ import annotations
@@ -12,8 +13,6 @@ from collections import Counter
 from collections.abc import Iterator
 from contextlib import suppress
 from functools import lru_cache, reduce
-from itertools import chain
-from re import _parser as parser  # the pattern as a tree; there is no other public reader of it
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -21,41 +20,11 @@ from pyspark.sql import functions as F
 
 from tallyhouse.functions.text import haystack
 from tallyhouse.operators.ordering import numbered
+from tallyhouse.operators.rulewords import ALIKE, EDGE, compiled, first_by_words, needed, rule_words
 from tallyhouse.sources.folders import stored
 
-#: Rules that are sent to the tasks at once; letters that a word must have to be worth looking for; words that letters with a choice may spell; texts whose rule a task remembers.
-MOST_RULES, LEAST_LETTERS, MOST_WORDS, REMEMBERED = 200_000, 2, 16, 50_000
-#: Letters that patterns take for one of a-z, whatever the case.
-ALIKE = {0x130: "i", 0x131: "i", 0x17F: "s", 0x212A: "k"}
-
-
-def needed(pattern: str) -> list[set[str]]:
-    """Sets of words in lower case: every match of ``pattern`` holds at least one word of each set."""
-    return _needed(parser.parse(pattern, re.IGNORECASE))
-
-
-def _needed(items) -> list[set[str]]:
-    found: list[set[str]] = []
-    runs = {""}  # what the letters read last may spell
-    for op, value in [*items, (None, None)]:
-        if op is parser.AT:  # a place, not a letter
-            continue
-        letters = [value] if op is parser.LITERAL else [v for o, v in value if o is parser.LITERAL] if op is parser.IN else []
-        if letters and max(letters) < 128 and (op is parser.LITERAL or len(letters) == len(value)) and len(runs) * len(letters) <= MOST_WORDS:
-            runs = {run + chr(v).lower() for run in runs for v in letters}
-            continue
-        if min(map(len, runs)) >= LEAST_LETTERS:
-            found.append(runs)
-        runs = {""}
-        if op is parser.SUBPATTERN and not value[1] and not value[2]:
-            found += _needed(value[3])
-        elif op in (parser.MAX_REPEAT, parser.MIN_REPEAT) and value[0] > 0:
-            found += _needed(value[2])
-        elif op is parser.BRANCH:
-            parts = [max(_needed(branch), key=lambda words: min(map(len, words)), default=set()) for branch in value[1]]
-            if all(parts):
-                found.append(set().union(*parts))
-    return found
+#: Rules that are sent to the tasks at once; texts whose rule a task remembers.
+MOST_RULES, REMEMBERED = 200_000, 50_000
 
 
 class Matcher:
@@ -69,7 +38,7 @@ class Matcher:
         sets: dict[int, list[set[str]]] = {}
         for k, p in enumerate(patterns):
             with suppress(re.error, OverflowError, RecursionError):
-                sets[k] = needed(p)
+                sets[k] = [{word.rstrip(EDGE) for word in some} for some in needed(p)]
         shared = Counter(word for own in sets.values() for word in set().union(*own))
         words: dict[str, list[int]] = {}
         for k, own in sets.items():  # the words that fewest rules share tell most
@@ -85,10 +54,9 @@ class Matcher:
         self.known: dict[str, int] = {}
 
     def _found(self, k: int, text: str) -> bool:
-        pattern = self.compiled.get(k)
-        if pattern is None:
-            pattern = self.compiled[k] = re.compile(self.patterns[k], re.IGNORECASE)
-        return pattern.search(text) is not None
+        if k not in self.compiled:
+            self.compiled[k] = compiled(self.patterns[k])
+        return self.compiled[k] is not None and self.compiled[k].search(text) is not None
 
     def first(self, text: str) -> int:
         """The rule's place, or -1."""
@@ -122,37 +90,56 @@ def first_match(text: Column, patterns: list[str]) -> Column:
     return F.pandas_udf(places, "int")(text)
 
 
-def chunks(rules: DataFrame, most: int = MOST_RULES) -> Iterator[list[tuple[str, str]]]:
-    """(pattern, category_id) of ``rules`` (pattern, category_id, priority, rule_id), highest priority first, then by rule_id, at most ``most`` at a time; rules without a pattern are left out. They are numbered over ranges, so the driver holds one chunk."""
+def placed(rules: DataFrame) -> DataFrame:
+    """pattern, category_id, _place of ``rules`` (pattern, category_id, priority, rule_id), stored: places from 1, highest priority first, then by rule_id; rules without a pattern are left out."""
     kept = rules.where("pattern is not null").select("pattern", "category_id", "priority", "rule_id", F.lit(0).alias("_all"))
-    placed = stored(numbered(kept, ["_all"], [F.desc_nulls_last("priority"), "rule_id"], "_place").select("pattern", "category_id", "_place"), "rules")
-    for begin in range(0, placed.agg(F.coalesce(F.max("_place"), F.lit(0))).first()[0], most):
-        rows = placed.where(F.col("_place").between(begin + 1, begin + most)).collect()
-        yield [(r["pattern"], r["category_id"]) for r in sorted(rows, key=lambda r: r["_place"])]
+    return stored(numbered(kept, ["_all"], [F.desc_nulls_last("priority"), "rule_id"], "_place").select("pattern", "category_id", "_place"), "rules")
 
 
-def _categories(found: DataFrame, kept: list[tuple[str, str]]) -> DataFrame:
-    """``found`` with the category of its ``_rule`` as ``matched``; null where there is none."""
-    categories = found.sparkSession.createDataFrame([(k, c) for k, (_, c) in enumerate(kept)], "_rule int, matched string")
-    return found.join(F.broadcast(categories), "_rule", "left").drop("_rule")  # a chunk at most
+def chunks(rules: DataFrame, most: int = MOST_RULES) -> Iterator[list[tuple[int, str, str]]]:
+    """(_place, pattern, category_id) of ``rules`` (see ``placed``) in order, at most ``most`` at a time. They are numbered over ranges, so the driver holds one chunk."""
+    lines = stored(numbered(rules.select("pattern", "category_id", "_place", F.lit(0).alias("_all")), ["_all"], ["_place"], "_line"), "lines")
+    for begin in range(0, lines.agg(F.coalesce(F.max("_line"), F.lit(0))).first()[0], most):
+        rows = lines.where(F.col("_line").between(begin + 1, begin + most)).collect()
+        yield [(r["_place"], r["pattern"], r["category_id"]) for r in sorted(rows, key=lambda r: r["_line"])]
+
+
+def _chosen(rows: DataFrame, text: Column, kept: list[tuple[int, str, str]]) -> DataFrame:
+    """``rows`` with the first of the rules ``kept`` that ``text`` matches: its ``_own`` place and ``_category``, null if there is none."""
+    categories = rows.sparkSession.createDataFrame([(k, p, c) for k, (p, _, c) in enumerate(kept)], "_rule int, _own long, _category string")
+    return rows.withColumn("_rule", first_match(text, [p for _, p, _ in kept])).join(F.broadcast(categories), "_rule", "left").drop("_rule")  # a chunk at most
+
+
+def _met(texts: DataFrame, found: DataFrame, loose: DataFrame, most: int) -> DataFrame:
+    """``found`` (_text, _place, matched) of ``texts``, where none of the ``loose`` rules comes before; these meet, chunk after chunk, the texts that no rule before theirs matches."""
+    left, done = stored(texts.join(found, "_text", "left"), "left"), []
+    for kept in chunks(loose, most):
+        open_ = F.col("_place").isNull() | (F.col("_place") > kept[0][0])
+        done.append(left.where(~open_))
+        earlier = F.col("_own") < F.coalesce("_place", F.col("_own") + 1)
+        tried = _chosen(left.where(open_), F.col("_text"), kept)
+        left = stored(tried.select("_text", F.when(earlier, F.col("_own")).otherwise(F.col("_place")).alias("_place"), F.when(earlier, F.col("_category")).otherwise(F.col("matched")).alias("matched")), "left")
+    return reduce(DataFrame.unionByName, [*done, left.where("_place is not null")])
 
 
 def apply_rules(ledger: DataFrame, rules: DataFrame, most: int = MOST_RULES) -> DataFrame:
-    """``ledger`` with ``matched``, the category of the first of ``rules`` (see ``chunks``) that a row's text matches, which fills missing categories only.
+    """``ledger`` with ``matched``, the category of the first of ``rules`` (see ``placed``) that a row's text matches, which fills missing categories only.
 
-    Up to ``most`` rules are sent to the tasks at once. If there are more, each text is taken once and meets chunk after
-    chunk of them, in order, until one of its rules matches.
+    Up to ``most`` rules are sent to the tasks at once. If there are more, each text is taken once and meets the rules
+    whose words it holds, by a join; rules that have no word of their own are sent to the texts chunk after chunk.
     """
-    text, found = haystack(F.col("sender"), F.col("recipient"), F.col("description")), []
-    each = chunks(rules, most)
-    first, more = next(each, []), next(each, None)
-    if more is None:
-        matched = _categories(ledger.withColumn("_rule", first_match(text, [p for p, _ in first])), first) if first else ledger.withColumn("matched", F.lit(None).cast("string"))
-        return matched.withColumn("category_id", F.coalesce("category_id", "matched"))
-    texts = stored(ledger.select(text.alias("_text")).distinct(), "texts")
-    for kept in chain([first, more], each):
-        tried = stored(texts.withColumn("_rule", first_match(F.col("_text"), [p for p, _ in kept])), "tried")
-        found.append(_categories(tried.where("_rule is not null"), kept))
-        texts = tried.where("_rule is null").select("_text")
-    matched = ledger.withColumn("_text", text).join(reduce(DataFrame.unionByName, found), "_text", "left").drop("_text")
+    text, rules = haystack(F.col("sender"), F.col("recipient"), F.col("description")), placed(rules)
+    n = rules.agg(F.coalesce(F.max("_place"), F.lit(0))).first()[0]
+    if not n:
+        matched = ledger.withColumn("matched", F.lit(None).cast("string"))
+    elif n <= most:
+        kept = [(r["_place"], r["pattern"], r["category_id"]) for r in sorted(rules.collect(), key=lambda r: r["_place"])]
+        matched = _chosen(ledger, text, kept).drop("_own").withColumnRenamed("_category", "matched")
+    else:
+        words, texts = rule_words(rules), ledger.select(text.alias("_text")).distinct()
+        loose = words.where("_key is null")
+        found = first_by_words(texts, words)
+        if not loose.isEmpty():
+            found = _met(texts, found, loose, most)
+        matched = ledger.withColumn("_text", text).join(found.drop("_place"), "_text", "left").drop("_text")
     return matched.withColumn("category_id", F.coalesce("category_id", "matched"))
