@@ -7,12 +7,12 @@ are tried only where a word was found: by Spark's engine, if it reads them as Py
 
 from __future__ import annotations
 
-import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import suppress
-from functools import lru_cache, reduce
+from functools import lru_cache
 from itertools import accumulate
+from operator import itemgetter
 from re import _parser as parser  # the pattern as a tree; there is no other public reader of it
 
 import numpy as np
@@ -35,6 +35,8 @@ KEY_LETTERS, PIECE, COUNT_BITS, FILTER_BITS = 24, 1 << 20, 20, 28
 _CODES = range(0xE000, 0xF8FF)
 _STANDING = "".join(map(chr, _CODES))
 _IS_WORD = re.compile(f"[A-Za-z0-9_{_STANDING[0]}-{_STANDING[-1]}]")
+#: What stands between words, between sets of them and before all sets.
+_UNIT, _SET, _GROUP = "\x1f", "\x1e", "\x1d"
 _DIGITS, _NOT_DIGITS = re.compile("[0-9]+"), re.compile(r"[{]|\(\?\(|\\[0-9xuUN]|[^\x00-\x7f]")
 _REPEATS = (parser.MAX_REPEAT, parser.MIN_REPEAT)
 
@@ -208,42 +210,74 @@ def _cut(word: str) -> str:
     return word if len(word) <= KEY_LETTERS else word[:KEY_LETTERS]  # cut before its EDGE, too
 
 
+def _word_letters(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The letters of words cut to KEY_LETTERS, where each begins and its length, for as many words at a time as fit a piece."""
+    step = PIECE // (KEY_LETTERS + 1)
+    for k in range(0, len(words), step):
+        lengths = np.fromiter(map(len, words[k : k + step]), np.int64, len(words[k : k + step]))
+        yield np.frombuffer("".join(words[k : k + step]).encode("ascii"), np.uint8), np.cumsum(lengths) - lengths, lengths
+
+
 def word_keys(words: list[str]) -> np.ndarray:
     """Keys of ``words`` cut to KEY_LETTERS."""
-    out, step = [np.zeros(0, np.uint64)], PIECE // (KEY_LETTERS + 1)
-    for k in range(0, len(words), step):
-        some = words[k : k + step]
-        lengths = np.fromiter(map(len, some), np.int64, len(some))
-        out.append(_keys(_sums(np.frombuffer("".join(some).encode("ascii"), np.uint8)), np.cumsum(lengths) - lengths, lengths))
-    return np.concatenate(out)
+    return np.concatenate([np.zeros(0, np.uint64), *(_keys(_sums(letters), begin, length) for letters, begin, length in _word_letters(words))])
 
 
-def _read_rule(pattern: str) -> tuple[str | None, str]:
-    """``shared`` and, as JSON, ``needed`` of a pattern, of words in ASCII, cut."""
+def word_stems(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Of each word a number for its first three letters, below 0 if it has two, and a bit for its length and whether EDGE is behind it."""
+    stems, bits = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for letters, begin, length in _word_letters(words):
+        edge = letters[begin + length - 1] == ord(EDGE)
+        three = [letters[np.minimum(begin + k, len(letters) - 1)].astype(np.int64) for k in range(3)]
+        stems.append(np.where(length - edge > 2, three[0] << 14 | three[1] << 7 | three[2], -1 - (three[0] << 7 | three[1])))
+        bits.append(np.int64(1) << length - edge + 32 * edge)
+    return np.concatenate(stems), np.concatenate(bits)
+
+
+def _read_rule(pattern: str) -> str:
+    """``shared``, empty if None, and the sets that are ``needed``, of words in ASCII, cut, between separators that no word holds."""
     tree = parser.parse(pattern, re.IGNORECASE)
-    return _all_shared(tree), json.dumps([sorted(set(map(_cut, some))) for some in _all_needed(tree)], ensure_ascii=False)
+    sets = [_UNIT.join(sorted(set(map(_cut, some)))) for some in _all_needed(tree) if not any(mark in word for word in some for mark in (_UNIT, _SET, _GROUP))]
+    return (_all_shared(tree) or "") + _GROUP + _SET.join(sets)
 
 
 @lru_cache(maxsize=10_000)
-def _read_shape(shape: str) -> tuple[str | None, str]:
+def _read_shape(shape: str) -> tuple[str, Callable[[str], tuple[str, ...] | str]] | None:
+    """What is read of a pattern, with holes, and which of its digits fill them; None if that can't be told for all digits."""
     with suppress(re.error, OverflowError, RecursionError):
-        return _read_rule(shape)
-    return None, ""
-
-
-def read_rule(pattern: str) -> tuple[str | None, str]:
+        read, text, holes = _read_rule(shape), [], []
+        for letter in read:
+            k = ord(letter) - _CODES[0]
+            if ord(letter) not in _CODES:
+                text.append("%%" if letter == "%" else letter)
+            elif text and text[-1] == "%s" and holes[-1].stop == k:  # the next digit
+                holes[-1] = slice(holes[-1].start, k + 1)
+            else:
+                holes.append(slice(k, k + 1))
+                text.append("%s")
+        return None if read.startswith(_GROUP) or not holes else ("".join(text), itemgetter(*holes))
+    return None
+
+
+def read_rule(pattern: str) -> str:
     """As ``_read_rule``. Patterns that differ in digits alone are read once, with letters that stand for the digits, if both engines read them alike; digits that are no letters of their own (counts, ranges, names) let that fail."""
     if not _NOT_DIGITS.search(pattern):
-        digits = "".join(_DIGITS.findall(pattern))
-        if 0 < len(digits) <= len(_STANDING):
-            ends = iter(accumulate(map(len, _DIGITS.findall(pattern))))
-            plain, sets = _read_shape(_DIGITS.sub(lambda m: _STANDING[(end := next(ends)) - len(m[0]) : end], pattern))
-            if plain is not None:
-                back = str.maketrans(dict(zip(_STANDING, digits, strict=False)))
-                return plain.translate(back), sets.translate(back)
+        runs = _DIGITS.findall(pattern)
+        digits = "".join(runs)
+        if len(digits) <= len(_STANDING):
+            ends = accumulate(map(len, runs))
+            read = _read_shape(_DIGITS.sub(lambda m: _STANDING[(end := next(ends)) - len(m[0]) : end], pattern))
+            if read is not None:
+                return read[0] % read[1](digits)
     return _read_rule(pattern)
 
 
+def parted(read: str) -> tuple[str | None, list[list[str]]]:
+    """``shared`` and ``needed`` out of what ``read_rule`` tells."""
+    plain, sets = read.split(_GROUP)
+    return plain or None, [some.split(_UNIT) for some in sets.split(_SET)] if sets else []
+
+
 def _counted(keys: np.ndarray) -> np.ndarray:
     """Two places among the counts for each key: a word is shared as often as the less of both says, or less often."""
     low, bits = np.uint64((1 << COUNT_BITS) - 1), np.uint64(COUNT_BITS)
@@ -251,28 +285,29 @@ def _counted(keys: np.ndarray) -> np.ndarray:
 
 
 def _read_rules(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """_place, pattern (as both engines read it, where ``both``), category_id, the sets of words as JSON and which counts their words add to; rules that do not compile go."""
+    """_place, pattern (as both engines read it, where ``both``), category_id, all that is read of it and which counts their words add to; rules that do not compile go."""
     for batch in batches:
         place, category, kept, patterns, both, sets, words, ends = batch.column("_place"), batch.column("category_id"), [], [], [], [], [], [0]
         for k, pattern in enumerate(batch.column("pattern").to_pylist()):
             with suppress(re.error, OverflowError, RecursionError):
-                plain, own = read_rule(pattern)
+                own = read_rule(pattern)
+                plain, some_words = parted(own)
                 kept.append(k)
                 patterns.append(plain if plain is not None else pattern)
                 both.append(plain is not None)
                 sets.append(own)
-                words += {word for some in json.loads(own) for word in some if word.isascii()}
+                words += {word for some in some_words for word in some if word.isascii()}
                 ends.append(2 * len(words))
         counted = _counted(word_keys(words)).ravel()
         take = pa.array(kept, pa.int32())
         columns = [place.take(take), pa.array(patterns, pa.string()), pa.array(both, pa.bool_()), category.take(take), pa.array(sets, pa.string()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(counted))]
-        yield pa.RecordBatch.from_arrays(columns, names=["_place", "pattern", "both", "category_id", "sets", "counted"])
+        yield pa.RecordBatch.from_arrays(columns, names=["_place", "pattern", "both", "category_id", "read", "counted"])
 
 
 def rule_words(rules: DataFrame) -> DataFrame:
     """_key, _stem, _lengths, _place, pattern, both, category_id: a row for each word that stands for a rule of ``rules`` (pattern, category_id, _place), stored; one without a key for a rule that has no word, or only such as too many share."""
     spark = rules.sparkSession
-    read = stored(rules.select("pattern", "category_id", "_place").mapInArrow(_read_rules, "_place long, pattern string, both boolean, category_id string, sets string, counted array<int>"), "rules-read")
+    read = stored(rules.select("pattern", "category_id", "_place").mapInArrow(_read_rules, "_place long, pattern string, both boolean, category_id string, read string, counted array<int>"), "rules-read")
     rows = read.select(F.explode("counted").alias("at")).groupBy("at").agg(F.count("*").alias("n")).toArrow()  # at most 2 ** COUNT_BITS, twice
     counts = np.zeros(2 << COUNT_BITS, np.int64)
     counts[rows["at"].to_numpy()] = rows["n"].to_numpy()
@@ -281,12 +316,12 @@ def rule_words(rules: DataFrame) -> DataFrame:
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rule, words = [], []
-            every = [[some for some in json.loads(s) if all(map(str.isascii, some))] for s in batch.column("sets").to_pylist()]
+            rule, words, loose = [], [], []
+            every = [[some for some in parted(r)[1] if r.isascii() or all(map(str.isascii, some))] for r in batch.column("read").to_pylist()]
             n = known.value[_counted(word_keys([w for sets in every for some in sets for w in some]))].min(axis=1).tolist()
             at = 0
             for k, sets in enumerate(every):
-                best, chosen = (most, 0), [None]
+                best, chosen = (most, 0), []
                 for some in sets:
                     rank = (max(n[at : at + len(some)]), -min(map(len, some)))
                     at += len(some)
@@ -295,19 +330,13 @@ def rule_words(rules: DataFrame) -> DataFrame:
                 chosen = list(dict.fromkeys(chosen))
                 words += chosen
                 rule += [k] * len(chosen)
-            bare = [w and w.rstrip(EDGE) for w in words]
-            keys = word_keys([w or "" for w in words]).view(np.int64)
-            stems = [w and (_stem(w[:3]) if len(w) > 2 else -1 - _stem(w)) for w in bare]
-            lengths = [w and 1 << (len(b) + (len(w) > len(b)) * 32) for w, b in zip(words, bare, strict=True)]
-            take = pa.array(rule, pa.int32())
-            columns = [pa.array(keys, mask=np.array([w is None for w in words], bool)), pa.array(stems, pa.int32()), pa.array(lengths, pa.int64()), *(batch.column(c).take(take) for c in ("_place", "pattern", "both", "category_id"))]
+                loose += [] if chosen else [k]
+            take, none = pa.array(rule + loose, pa.int32()), np.arange(len(rule) + len(loose)) >= len(rule)
+            values = [np.concatenate([v, np.zeros(len(loose), np.int64)]) for v in (word_keys(words).view(np.int64), *word_stems(words))]
+            columns = [*(pa.array(v, mask=none) for v in values), *(batch.column(c).take(take) for c in ("_place", "pattern", "both", "category_id"))]
             yield pa.RecordBatch.from_arrays(columns, names=["_key", "_stem", "_lengths", "_place", "pattern", "both", "category_id"])
 
-    return stored(read.drop("counted").mapInArrow(choose, "_key long, _stem int, _lengths long, _place long, pattern string, both boolean, category_id string"), "rule-words")
-
-
-def _stem(word: str) -> int:
-    return reduce(lambda stem, letter: stem << 7 | ord(letter), word, 0)
+    return stored(read.drop("counted").mapInArrow(choose, "_key long, _stem long, _lengths long, _place long, pattern string, both boolean, category_id string"), "rule-words")
 
 
 _LOWER = np.array([c + 32 if 65 <= c <= 90 else c for c in range(256)], np.uint8)
@@ -316,11 +345,13 @@ _IN_WORD = np.array([c < 128 and chr(c).isalnum() or c == 95 for c in range(256)
 
 def _letters_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of all ``texts`` in lower case, one text after another, and where each begins and the last ends."""
-    if any(not t.isascii() for t in texts.to_pylist()):
-        texts = pa.array([t.translate(ALIKE).lower() for t in texts.to_pylist()], pa.large_string())
     _, ends, letters = texts.buffers()
     ends = np.frombuffer(ends, np.int64)[texts.offset : texts.offset + len(texts) + 1]
-    return _LOWER[np.frombuffer(letters, np.uint8)[ends[0] : ends[-1]] if letters and letters.size else np.zeros(0, np.uint8)], ends - ends[0]
+    letters = np.frombuffer(letters, np.uint8)[ends[0] : ends[-1]] if letters and letters.size else np.zeros(0, np.uint8)
+    if (letters > 127).any():
+        low = [t.translate(ALIKE).lower().encode() for t in texts.to_pylist()]
+        letters, ends = np.frombuffer(b"".join(low), np.uint8), np.cumsum([0, *map(len, low)])
+    return _LOWER[letters], ends - ends[0]
 
 
 def _found(letters: np.ndarray, ends: np.ndarray, lengths: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -370,7 +401,7 @@ def text_keys(texts: DataFrame, words: DataFrame) -> DataFrame:
     shared_tables = texts.sparkSession.sparkContext.broadcast((lengths, known))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in filter(len, batches):
             text, key = _found(*_letters_of(batch.column("_text").cast(pa.large_string())), *shared_tables.value)
             yield pa.RecordBatch.from_arrays([batch.column("_text").take(pa.array(text)), pa.array(key.view(np.int64))], names=["_text", "_key"])
 
