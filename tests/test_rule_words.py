@@ -8,7 +8,7 @@ import pytest
 
 from tallyhouse.operators import rulebook, rulewords
 
-ATOMS = ["a", "b", "1", "2", "12", "0", " ", "#", r"\b", r"\d", r"\w", r"\s", r"\S", ".", "^", "$", "[12]", "[1-3]", "[^1a]", "[a-c1]", r"[\d ]", "(?:12|13)", "(1|2)", "(?P<n1>1|a)", "a*", "0*", "1+", "[12]*", "[ab]+?", "(?:ab|1)*", "1{2}", "2{0,3}", "(?=.*1)", "(?!2)", "(?<=1)", r"\1", "(?:|1)", "k", "s", "i", "é", r"\.", r"\x31", r"\Z", "(?-i:a)", r"(?a:\w)", "S", r"\B", "1*", "(", "|"]
+ATOMS = ["a", "b", "1", "2", "12", "0", " ", "#", r"\b", r"\d", r"\w", r"\s", r"\S", ".", "^", "$", "[12]", "[1-3]", "[^1a]", "[a-c1]", "[X-b]", "[^Z-c]", r"[\d ]", "(?:12|13)", "(1|2)", "(?P<n1>1|a)", "a*", "0*", "1+", "[12]*", "[ab]+?", "(?:ab|1)*", "1{2}", "2{0,3}", "(?=.*1)", "(?!2)", "(?<=1)", r"\1", "(?:|1)", "k", "s", "i", "é", r"\.", r"\x31", r"\Z", "(?-i:a)", r"(?a:\w)", "S", r"\B", "1*", "(", "|"]
 
 
 def made(seed, n):
